@@ -21,8 +21,10 @@ def is_ascii(c: Column) -> Column:
 
 
 def ascii_view(c: Column, keep: str = "") -> Column:
-    """Text with every non-ASCII character (except ``keep``) replaced by a symbol."""
-    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(c, f"[^\\x00-\\x7f{keep}]", PLACEHOLDER))
+    """Text with every non-ASCII character (except white space and ``keep``) replaced
+    by a symbol."""
+    kept = WS_CLASS[1:-1].replace("\\s", "") + keep
+    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(c, f"[^\\x00-\\x7f{kept}]", PLACEHOLDER))
 
 
 def js_pattern(p: str) -> str:

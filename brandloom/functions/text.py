@@ -35,6 +35,11 @@ def fold(c: Column) -> Column:
     return F.when(is_ascii(c), F.lower(c)).otherwise(F.lower(F.translate(c, _SRC + _MARKS, _DST)))
 
 
+def drop_accents(c: Column) -> Column:
+    """Accents removed, case and other letters kept."""
+    return F.when(is_ascii(c), c).otherwise(F.translate(c, _SRC[:-2] + _MARKS, _DST[:-2]))
+
+
 def words_of(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit("[a-z0-9]+(?:'[a-z]+)?"), F.lit(0))
 
