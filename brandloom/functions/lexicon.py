@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brandloom import vocab as V
-from brandloom.functions.regex import ascii_view
+from brandloom.functions.regex import ascii_view, let
 from brandloom.functions.text import fold
 
 
@@ -36,18 +36,22 @@ class Lexicon:
     def topics_in_folded(self, folded: Column) -> Column:
         """Topic ids in lexicon order. One pass over all patterns rules out the texts
         without a topic; only the others are tested topic by topic."""
-        t = ascii_view(folded)
-        none = F.array().cast("array<string>")
-        tests = F.array(*[F.when(t.rlike(x.pattern), F.lit(x.id)) for x in self.topics])
-        hit = F.array_compact(tests)
-        return F.when(t.rlike("|".join(x.pattern for x in self.topics)), hit).otherwise(none)
+
+        def tested(t: Column) -> Column:
+            tests = F.array_compact(F.array(*[F.when(t.rlike(x.pattern), F.lit(x.id)) for x in self.topics]))
+            return F.when(t.rlike("|".join(x.pattern for x in self.topics)), tests).otherwise(F.array().cast("array<string>"))
+
+        return let(ascii_view(folded), tested)
 
     def topics_in(self, text: Column) -> Column:
         return self.topics_in_folded(fold(text))
 
     def primary_of(self, ids: Column) -> Column:
-        specific = F.filter(ids, lambda t: ~t.isin(list(self.generic))) if self.generic else ids
-        return F.coalesce(F.get(specific, F.lit(0)), F.get(ids, F.lit(0)))
+        def pick(every: Column) -> Column:
+            specific = F.filter(every, lambda t: ~t.isin(list(self.generic))) if self.generic else every
+            return F.coalesce(F.get(specific, F.lit(0)), F.get(every, F.lit(0)))
+
+        return let(ids, pick)
 
     def primary_topic(self, text: Column) -> Column:
         return self.primary_of(self.topics_in(text))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brandloom import vocab as V
+from brandloom.functions.regex import let
 from brandloom.functions.text import fold
 
 MIN_PREFIX = 5
@@ -25,29 +26,31 @@ def normalize_name(c: Column) -> Column:
 def same_norm(a: Column, b: Column) -> Column:
     """Same business, on normalised names: equal, or the shorter one (5+ characters)
     is a whole-word prefix of the longer one."""
-    shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    longer = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    prefix = (F.length(shorter) >= MIN_PREFIX) & F.startswith(F.concat(longer, F.lit(" ")), F.concat(shorter, F.lit(" ")))
-    return (a != "") & (b != "") & ((a == b) | prefix)
+
+    def test(x: Column, y: Column) -> Column:
+        starts = F.when(F.length(x) <= F.length(y), F.startswith(y, F.concat(x, F.lit(" ")))).otherwise(F.startswith(x, F.concat(y, F.lit(" "))))
+        return (x != "") & (y != "") & ((x == y) | ((F.least(F.length(x), F.length(y)) >= MIN_PREFIX) & starts))
+
+    return let(a, lambda x: let(b, lambda y: test(x, y)))
 
 
 def any_same(norms: Column, norm: Column) -> Column:
-    return F.exists(norms, lambda n: same_norm(n, norm))
+    return let(norm, lambda m: F.exists(norms, lambda n: same_norm(n, m)))
 
 
 def first_same(names: Column, norms: Column, norm: Column) -> Column:
     """First of ``names`` whose norm is the same business, else NULL."""
-    hit = F.filter(F.arrays_zip(names.alias("name"), norms.alias("norm")), lambda x: same_norm(x["norm"], norm))
-    return F.get(hit, F.lit(0))["name"]
+    zipped = F.arrays_zip(names.alias("name"), norms.alias("norm"))
+    return let(norm, lambda m: F.get(F.filter(zipped, lambda x: same_norm(x["norm"], m)), F.lit(0))["name"])
 
 
 def proper_prefixes(norm: Column) -> Column:
     """Whole-word prefixes of 5+ characters, shorter than the name itself."""
-    tokens = F.split(norm, " ")
-    cut = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, 1, i), " "),
-    )
-    return F.when(F.size(tokens) > 1, F.filter(cut, lambda p: F.length(p) >= MIN_PREFIX)).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def cut(tokens: Column) -> Column:
+        each = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, 1, i), " ")
+        )
+        return F.when(F.size(tokens) > 1, F.filter(each, lambda p: F.length(p) >= MIN_PREFIX)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(norm, " "), cut)

@@ -7,6 +7,8 @@ replaces characters outside ASCII by a symbol that is no word character.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ from brandloom.vocab import WS_CLASS, WHITESPACE
 PLACEHOLDER = "¤"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``: keeps nested
+    expressions (and their cost inside lambdas) linear."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_ascii(c: Column) -> Column:
     """Constant-time test per row: one byte per character."""
     return F.length(c) == F.octet_length(c)
@@ -24,7 +32,7 @@ def ascii_view(c: Column, keep: str = "") -> Column:
     """Text with every non-ASCII character (except white space and ``keep``) replaced
     by a symbol."""
     kept = WS_CLASS[1:-1].replace("\\s", "") + keep
-    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(c, f"[^\\x00-\\x7f{kept}]", PLACEHOLDER))
+    return let(c, lambda t: F.when(is_ascii(t), t).otherwise(F.regexp_replace(t, f"[^\\x00-\\x7f{kept}]", PLACEHOLDER)))
 
 
 def js_pattern(p: str) -> str:

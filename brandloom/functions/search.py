@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brandloom import vocab as V
-from brandloom.functions.regex import ascii_view, js_pattern, js_round, matches, trim_ws
+from brandloom.functions.regex import ascii_view, js_pattern, js_round, let, matches, trim_ws
 from brandloom.functions.text import fold, paragraphs, words
 
 EMPTY = "array<string>"
@@ -26,24 +26,32 @@ def keep_hits(*tests: tuple[Column, str | Column]) -> Column:
 
 def classify_intent(query: Column, folded_brand_names: Column) -> Column:
     """struct(primary, all, label) for a query; the names are already folded."""
-    q = fold(query)
-    a = ascii_view(q)
-    names = F.exists(folded_brand_names, lambda b: (b != "") & F.contains(q, b))
-    found = keep_hits((F.coalesce(names, F.lit(False)), "Navigational"), *[(matches(a, p), i) for i, p in V.INTENT_PATTERNS])
-    fallback = F.when(matches(a, V.INTENT_FALLBACK_PATTERN), F.lit("Commercial investigation")).otherwise(F.lit("Informational"))
-    every = F.when(F.size(found) > 0, found).otherwise(F.array(fallback))
-    investigate = (
-        F.array_contains(every, "Commercial investigation")
-        & F.array_contains(every, "Transactional")
-        & ~matches(a, V.INTENT_BOOKING_PATTERN)
-    )
-    primary = F.when(investigate, F.lit("Commercial investigation")).otherwise(F.get(every, F.lit(0)))
-    ordered = F.concat(F.array(primary), F.array_remove(every, primary))
-    short = F.transform(
-        F.slice(ordered, 1, 2), lambda i: F.when(i == "Commercial investigation", F.lit("Commercial")).otherwise(i)
-    )
-    label = F.when(F.size(ordered) > 1, F.array_join(short, " + ")).otherwise(primary)
-    return F.struct(primary.alias("primary"), ordered.alias("all"), label.alias("label"))
+
+    def found(q: Column, a: Column) -> Column:
+        names = F.exists(folded_brand_names, lambda b: (b != "") & F.contains(q, b))
+        hits = keep_hits((F.coalesce(names, F.lit(False)), "Navigational"), *[(matches(a, p), i) for i, p in V.INTENT_PATTERNS])
+        fallback = F.when(matches(a, V.INTENT_FALLBACK_PATTERN), F.lit("Commercial investigation")).otherwise(F.lit("Informational"))
+        return let(hits, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(fallback)))
+
+    def ordered(every: Column, a: Column) -> Column:
+        investigate = (
+            F.array_contains(every, "Commercial investigation")
+            & F.array_contains(every, "Transactional")
+            & ~matches(a, V.INTENT_BOOKING_PATTERN)
+        )
+        primary = F.when(investigate, F.lit("Commercial investigation")).otherwise(F.get(every, F.lit(0)))
+        return let(primary, lambda p: F.concat(F.array(p), F.array_remove(every, p)))
+
+    def labelled(o: Column) -> Column:
+        short = F.transform(F.slice(o, 1, 2), lambda i: F.when(i == "Commercial investigation", F.lit("Commercial")).otherwise(i))
+        first = F.get(o, F.lit(0))
+        label = F.when(F.size(o) > 1, F.array_join(short, " + ")).otherwise(first)
+        return F.struct(first.alias("primary"), o.alias("all"), label.alias("label"))
+
+    def whole(q: Column) -> Column:
+        return let(ascii_view(q), lambda a: let(let(found(q, a), lambda e: ordered(e, a)), labelled))
+
+    return let(fold(query), whole)
 
 
 def expected_ctr(position: Column) -> Column:
@@ -84,18 +92,23 @@ def suffix_of_any(domain: Column, sites: Column) -> Column:
 
 
 def result_format(title: Column, link: Column, domain: Column, brand_site: Column, competitor_sites: Column) -> Column:
-    t = ascii_view(fold(title))
     own = (F.coalesce(brand_site, F.lit("")) != "") & F.endswith(domain, brand_site)
+
+    def by_title(t: Column) -> Column:
+        return (
+            F.when(matches(t, V.LISTICLE_TITLE), "Listicle")
+            .when(matches(t, V.COMPARISON_TITLE), "Comparison")
+            .when(matches(t, V.GUIDE_TITLE), "Guide")
+            .when(matches(t, V.REVIEW_TITLE) | domain.rlike("tripadvisor"), "Review")
+            .otherwise("Article / page")
+        )
+
     return (
         F.when(own, "Brand page")
         .when(suffix_of_any(domain, competitor_sites), "Competitor page")
         .when(domain.rlike(V.OTA_DOMAINS), "OTA listing")
         .when(F.concat(domain, link).rlike(V.FORUM_RESULT), "Forum thread")
-        .when(matches(t, V.LISTICLE_TITLE), "Listicle")
-        .when(matches(t, V.COMPARISON_TITLE), "Comparison")
-        .when(matches(t, V.GUIDE_TITLE), "Guide")
-        .when(matches(t, V.REVIEW_TITLE) | domain.rlike("tripadvisor"), "Review")
-        .otherwise("Article / page")
+        .otherwise(let(ascii_view(fold(title)), by_title))
     )
 
 
@@ -113,15 +126,13 @@ def domain_kind(domain: Column, brand_site: Column, competitor_sites: Column) ->
 
 
 def sentiment(sentence: Column, rating: Column, positive: str = V.POSITIVE_WORDS, negative: str = V.NEGATIVE_WORDS) -> Column:
-    s = ascii_view(fold(sentence))
-    pos, neg = F.regexp_count(s, F.lit(positive)), F.regexp_count(s, F.lit(negative))
-    return (
-        F.when(pos > neg, 1)
-        .when(neg > pos, -1)
-        .when(rating >= 4, 1)
-        .when(rating <= 2, -1)
-        .otherwise(0)
-    )
+    def sign(s: Column) -> Column:
+        return F.sign(F.regexp_count(s, F.lit(positive)) - F.regexp_count(s, F.lit(negative))).cast("int")
+
+    def judged(v: Column) -> Column:
+        return F.when(v != 0, v).when(rating >= 4, 1).when(rating <= 2, -1).otherwise(0)
+
+    return let(let(ascii_view(fold(sentence)), sign), judged)
 
 
 # --- questions ------------------------------------------------------------------------
@@ -191,9 +202,12 @@ def parse_content(c: Column) -> Column:
 
 def skipped_level(hs: Column) -> Column:
     """True when a heading is more than one level deeper than the one before."""
-    levels = F.transform(hs, lambda h: h["level"])
-    steps = F.zip_with(F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))), levels, lambda b, a: b - a)
-    return F.coalesce(F.exists(steps, lambda d: d > 1), F.lit(False))
+
+    def jumps(levels: Column) -> Column:
+        steps = F.zip_with(F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))), levels, lambda b, a: b - a)
+        return F.coalesce(F.exists(steps, lambda d: d > 1), F.lit(False))
+
+    return let(F.transform(hs, lambda h: h["level"]), jumps)
 
 
 def claim_phrase(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brandloom import vocab as V
-from brandloom.functions.regex import is_ascii, js_pattern, quote_regex, trim_ws
+from brandloom.functions.regex import is_ascii, js_pattern, let, quote_regex, trim_ws
 
 _MARKS = "".join(chr(cp) for cp in range(0x0300, 0x0370))
 
@@ -32,12 +32,12 @@ _SRC, _DST = _accent_table()
 
 def fold(c: Column) -> Column:
     """Lower case without accents. ASCII text (the common case) skips the mapping."""
-    return F.when(is_ascii(c), F.lower(c)).otherwise(F.lower(F.translate(c, _SRC + _MARKS, _DST)))
+    return let(c, lambda t: F.when(is_ascii(t), F.lower(t)).otherwise(F.lower(F.translate(t, _SRC + _MARKS, _DST))))
 
 
 def drop_accents(c: Column) -> Column:
     """Accents removed, case and other letters kept."""
-    return F.when(is_ascii(c), c).otherwise(F.translate(c, _SRC[:-2] + _MARKS, _DST[:-2]))
+    return let(c, lambda t: F.when(is_ascii(t), t).otherwise(F.translate(t, _SRC[:-2] + _MARKS, _DST[:-2])))
 
 
 def words_of(folded: Column) -> Column:
@@ -77,15 +77,31 @@ _BULLETS = "(?i)^[" + V.WS_CLASS[1:-1] + "\\-•*✓✔❌✗x]+"
 
 def jaccard(a: Column, b: Column) -> Column:
     """Set overlap of two arrays; 0 when either is empty."""
-    union = F.size(F.array_union(a, b))
-    inter = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(inter / union)
+
+    def share(x: Column, y: Column) -> Column:
+        union, inter = F.size(F.array_union(x, y)), F.size(F.array_intersect(x, y))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(inter / union)
+
+    return let(a, lambda x: let(b, lambda y: share(x, y)))
 
 
 def share_within(needles: Column, haystack: Column) -> Column:
     """Share of ``needles`` (duplicates kept) found in ``haystack``; 0 for none."""
-    hits = F.size(F.filter(needles, lambda w: F.array_contains(haystack, w)))
-    return F.when(F.size(needles) == 0, F.lit(0.0)).otherwise(hits / F.size(needles))
+
+    def share(n: Column, h: Column) -> Column:
+        hits = F.size(F.filter(n, lambda w: F.array_contains(h, w)))
+        return F.when(F.size(n) == 0, F.lit(0.0)).otherwise(hits / F.size(n))
+
+    return let(needles, lambda n: let(haystack, lambda h: share(n, h)))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Elements of ``a`` (duplicates kept) that are in ``b``."""
+    return let(b, lambda h: F.filter(a, lambda t: F.array_contains(h, t)))
+
+
+def without(a: Column, b: Column) -> Column:
+    return let(b, lambda h: F.filter(a, lambda t: ~F.array_contains(h, t)))
 
 
 def fold_phrase(p: Column) -> Column:
@@ -95,8 +111,12 @@ def fold_phrase(p: Column) -> Column:
 def folded_contains(folded_text: Column, folded_phrase: Column) -> Column:
     """Whole-phrase test on folded inputs. The literal test runs first, so the
     pattern is only built where the phrase occurs at all."""
-    pattern = F.concat(F.lit("(?:^|[^a-z0-9])"), quote_regex(folded_phrase), F.lit("(?:[^a-z0-9]|\\z)"))
-    return (folded_phrase != "") & F.contains(folded_text, folded_phrase) & F.rlike(folded_text, pattern)
+
+    def test(text: Column, p: Column) -> Column:
+        pattern = F.concat(F.lit("(?:^|[^a-z0-9])"), quote_regex(p), F.lit("(?:[^a-z0-9]|\\z)"))
+        return (p != "") & F.contains(text, p) & F.rlike(text, pattern)
+
+    return let(folded_text, lambda t: let(folded_phrase, lambda p: test(t, p)))
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:
@@ -125,18 +145,16 @@ def _host(url: Column) -> Column:
 def domain_of(url: Column) -> Column:
     """Host without ``www.``; for text that is no URL, its part before the first slash."""
     plain = F.regexp_replace(F.element_at(F.split(F.regexp_replace(url, "^https?://", ""), "/"), 1), r"^www\.", "")
-    host = _host(url)
-    return F.when(host != "", host).otherwise(plain)
+    return let(_host(url), lambda h: F.when(h != "", h).otherwise(plain))
 
 
 def citation_domain(url: Column) -> Column:
     """As ``domain_of``, but text that is no URL is returned unchanged."""
-    host = _host(url)
-    return F.when(host != "", host).otherwise(url)
+    return let(_host(url), lambda h: F.when(h != "", h).otherwise(url))
 
 
 def ellipsis(c: Column, limit: int, keep: int) -> Column:
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, keep), F.lit("…"))).otherwise(c)
+    return let(c, lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, keep), F.lit("…"))).otherwise(t))
 
 
 def decode_entities(c: Column) -> Column:

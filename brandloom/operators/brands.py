@@ -14,12 +14,22 @@ from brandloom.functions.text import domain_of, fold, lines
 COMPETITOR = "struct<name:string,website:string,aliases:array<string>>"
 PAGE = "struct<title:string,url:string,type:string>"
 
-BRAND_SCHEMA = T._parse_datatype_string(
-    "project_id string, brand_name string, brand_aliases array<string>, website string, industry string, "
-    "property_type string, city string, region string, country string, country_code string, language string, "
-    "brand_summary string, usps string, brand_facts string, products string, restricted_claims string, "
-    "tone_of_voice string, sentence_style string, words_to_use string, words_to_avoid string, target_customers string, "
-    f"cta_preference string, english_variant string, competitors array<{COMPETITOR}>, site_pages array<{PAGE}>"
+_TEXT = T.StringType()
+BRAND_SCHEMA = T.StructType(
+    [T.StructField(c, _TEXT) for c in ("project_id", "brand_name")]
+    + [T.StructField("brand_aliases", T.ArrayType(_TEXT))]
+    + [
+        T.StructField(c, _TEXT)
+        for c in (
+            "website", "industry", "property_type", "city", "region", "country", "country_code", "language", "brand_summary", "usps", "brand_facts",
+            "products", "restricted_claims", "tone_of_voice", "sentence_style", "words_to_use", "words_to_avoid", "target_customers", "cta_preference",
+            "english_variant",
+        )
+    ]
+    + [
+        T.StructField("competitors", T.ArrayType(T.StructType([T.StructField("name", _TEXT), T.StructField("website", _TEXT), T.StructField("aliases", T.ArrayType(_TEXT))]))),
+        T.StructField("site_pages", T.ArrayType(T.StructType([T.StructField(c, _TEXT) for c in ("title", "url", "type")]))),
+    ]
 )
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from brandloom import vocab as V
 from brandloom.functions.lexicon import HOSPITALITY, Lexicon
-from brandloom.functions.regex import ascii_view, js_round, matches, trim_ws
+from brandloom.functions.regex import ascii_view, js_round, let, matches, trim_ws
 from brandloom.functions.search import (
     banned_from_rules, claim_phrase, empty_array, headings, links, plain_text, skipped_level, suffix_of_any,
 )
 from brandloom.functions.text import (
-    domain_of, drop_stopwords, ellipsis, fold, fold_phrase, folded_contains, lines, paragraphs, sentences, share_within, words_of,
+    domain_of, drop_stopwords, ellipsis, fold, fold_phrase, folded_contains, lines, paragraphs, sentences, share_within, without, words_of,
 )
 from brandloom.operators.brands import brand_profile
 
@@ -61,21 +61,25 @@ def split_phrases(text: Column) -> Column:
 
 def name_variants(official: Column, aliases: Column, kind: str, tokens: Column) -> Column:
     """Word runs that are close to an official name but spelled differently."""
-    target = fold(official)
-    size = F.size(F.split(official, V.WS_CLASS + "+"))
     known = F.transform(F.coalesce(aliases, empty_array()), fold)
-    reach = F.greatest(F.lit(1), F.floor(F.length(target) / 8)).cast("int")
-    starts = F.sequence(F.lit(1), F.size(tokens) - size + 1)
-    grams = F.transform(starts, lambda i: F.regexp_replace(F.array_join(F.slice(tokens, i, size), " "), r"[.,;:!?)]+\z", ""))
 
-    def close(g: Column) -> Column:
-        f = fold(g)
-        near = F.abs(F.length(f) - F.length(target)) <= reach
-        d = F.levenshtein(f, target)
-        return near & (f != target) & ~F.array_contains(known, f) & (d > 0) & (d <= reach)
+    def grams(size: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.regexp_replace(F.array_join(F.slice(tokens, i, size), " "), r"[.,;:!?)]+\z", ""))
+
+    def close(f: Column, t: Column, reach: Column, names: Column) -> Column:
+        near = F.abs(F.length(f) - F.length(t)) <= reach
+        d = F.levenshtein(f, t)
+        return near & (f != t) & ~F.array_contains(names, f) & (d > 0) & (d <= reach)
 
-    issues = F.transform(F.filter(grams, close), lambda g: _cat(f"{kind}: “", g, "” → “", official, "”"))
-    return F.when((F.size(tokens) >= size) & (F.length(target) >= 6), issues).otherwise(empty_array())
+    def issues(t: Column, reach: Column, size: Column, names: Column) -> Column:
+        hits = F.filter(grams(size), lambda g: let(fold(g), lambda f: close(f, t, reach, names)))
+        found = F.transform(hits, lambda g: _cat(f"{kind}: “", g, "” → “", official, "”"))
+        return F.when((F.size(tokens) >= size) & (F.length(t) >= 6), found).otherwise(empty_array())
+
+    reach_of = lambda t: F.greatest(F.lit(1), F.floor(F.length(t) / 8)).cast("int")
+    size = F.size(F.split(official, V.WS_CLASS + "+"))
+    return let(known, lambda ks: let(fold(official), lambda t: let(reach_of(t), lambda r: let(size, lambda n: issues(t, r, n, ks)))))
 
 
 def draft_features(drafts: DataFrame, brands: DataFrame, rules: DataFrame | None, lexicon: Lexicon) -> DataFrame:
@@ -136,41 +140,60 @@ def draft_features(drafts: DataFrame, brands: DataFrame, rules: DataFrame | None
     )
 
 
-def _seo(lexicon: Lexicon) -> list[Column]:
+Area = tuple[dict[str, Column], list[Column]]
+# Each area returns its metrics (computed once, as columns "m_<name>") and the
+# checks that word them.
+
+
+def _m(name: str) -> Column:
+    return F.col("m_" + name)
+
+
+def _seo(lexicon: Lexicon) -> Area:
     kw = F.col("keyword")
 
     def coverage(text: Column) -> Column:
         return share_within(F.col("kw_words"), drop_stopwords(words_of(fold(text))))
 
     hs = F.col("headings")
-    h1 = F.get(F.filter(hs, lambda h: h["level"] == 1), F.lit(0))
-    intro = share_within(F.col("kw_words"), drop_stopwords(F.slice("word_list", 1, 100))) >= 0.75
-    h2 = _any(hs, lambda h: (h["level"] == 2) & (coverage(h["text"]) >= 0.5))
     target = fold(kw)
-    times = F.when(target == "", 0).otherwise(
-        (F.length("plain_fold") - F.length(F.replace(F.col("plain_fold"), target, F.lit("")))) / F.greatest(F.length(target), F.lit(1))
+    times = let(
+        target,
+        lambda t: F.when(t == "", 0).otherwise(
+            (F.length("plain_fold") - F.length(F.replace(F.col("plain_fold"), t, F.lit("")))) / F.greatest(F.length(t), F.lit(1))
+        ),
     ).cast("int")
-    density = F.when(F.col("wc") > 0, times * F.size("kw_words") / F.col("wc")).otherwise(0.0)
-    has_kw = kw.isNotNull()
-    n1, n2 = (F.size(F.filter(hs, lambda h, n=n: h["level"] == n)) for n in (1, 2))
-    skipped = skipped_level(hs)
-    wc = F.col("wc")
     required = F.col("required_entities")
-    missing = F.filter(required, lambda e: ~folded_contains(F.col("plain_fold"), fold_phrase(e)))
-    ratio = F.lit(1.0) - F.size(missing) / F.greatest(F.size(required), F.lit(1))
     urls = F.transform("site_pages", lambda p: p["url"])
-    inner = F.size(
-        F.filter(
-            "links",
-            lambda l: F.startswith(l["url"], F.lit("/"))
-            | (F.col("brand_site").isNotNull() & suffix_of_any(domain_of(l["url"]), F.array(F.coalesce("brand_site", F.lit("")))))
-            | F.array_contains(urls, l["url"]),
-        )
+    inner = F.filter(
+        "links",
+        lambda l: F.startswith(l["url"], F.lit("/"))
+        | (F.col("brand_site").isNotNull() & suffix_of_any(domain_of(l["url"]), F.array(F.coalesce("brand_site", F.lit("")))))
+        | F.array_contains(urls, l["url"]),
+    )
+    metrics = {
+        "h1": F.get(F.filter(hs, lambda h: h["level"] == 1), F.lit(0))["text"],
+        "h1_fit": F.coalesce(coverage(F.get(F.filter(hs, lambda h: h["level"] == 1), F.lit(0))["text"]) >= 0.6, F.lit(False)),
+        "intro": share_within(F.col("kw_words"), drop_stopwords(F.slice("word_list", 1, 100))) >= 0.75,
+        "h2_fit": _any(hs, lambda h: (h["level"] == 2) & (coverage(h["text"]) >= 0.5)),
+        "times": times,
+        "n1": F.size(F.filter(hs, lambda h: h["level"] == 1)),
+        "n2": F.size(F.filter(hs, lambda h: h["level"] == 2)),
+        "skipped": skipped_level(hs),
+        "missing": F.filter(required, lambda e: ~folded_contains(F.col("plain_fold"), fold_phrase(e))),
+        "inner": F.size(inner),
+    }
+    density = F.when(F.col("wc") > 0, _m("times") * F.size("kw_words") / F.col("wc")).otherwise(0.0)
+    has_kw = kw.isNotNull()
+    h1, intro, h2, times, n1, n2, skipped, missing, inner = (
+        _m(n) for n in ("h1", "intro", "h2_fit", "times", "n1", "n2", "skipped", "missing", "inner")
     )
+    wc = F.col("wc")
+    ratio = F.lit(1.0) - F.size(missing) / F.greatest(F.size(required), F.lit(1))
     pages = F.array_join(F.slice(F.transform("site_pages", lambda p: p["title"]), 1, 2), ", ")
-    return [
-        F.when(has_kw, _check("kw-h1", "seo", _status(h1.isNotNull() & (coverage(h1["text"]) >= 0.6), FAIL), "Keyword in H1 / title",
-               F.when(h1.isNotNull(), _cat("H1: “", h1["text"], "”")).otherwise("No H1 found."), _cat("Put “", kw, "” (or a close variant) in the H1."))),
+    return metrics, [
+        F.when(has_kw, _check("kw-h1", "seo", _status(_m("h1_fit"), FAIL), "Keyword in H1 / title",
+               F.when(h1.isNotNull(), _cat("H1: “", h1, "”")).otherwise("No H1 found."), _cat("Put “", kw, "” (or a close variant) in the H1."))),
         F.when(has_kw, _check("kw-intro", "seo", _status(intro, WARN), "Keyword in the first 100 words",
                F.when(intro, "Found early in the intro.").otherwise("The intro doesn't clearly state the topic."), "Answer the query in the opening paragraph.")),
         F.when(has_kw, _check("kw-h2", "seo", _status(h2, WARN), "Keyword variant in a subheading",
@@ -192,45 +215,48 @@ def _seo(lexicon: Lexicon) -> list[Column]:
     ]
 
 
-def _geo(lexicon: Lexicon) -> list[Column]:
+def _geo(lexicon: Lexicon) -> Area:
     brand, names = F.col("brand_name"), F.col("brand_phrases")
-    where = _any(
-        F.arrays_zip("paras", "para_folds"),
-        lambda p: matches(ascii_view(p["paras"], "–"), V.DISTANCE, ignore_case=True) & _names_any(p["para_folds"], names),
+    has_city = F.col("city") != ""
+    kw_audience = lexicon.audience_of(lexicon.topics_in(F.coalesce("keyword", F.lit(""))))
+    stated_facts = F.filter(
+        F.arrays_zip("stated_facts", "fact_words"),
+        lambda f: (F.size(f["fact_words"]) > 0) & _any(F.col("sent_words"), lambda s: share_within(f["fact_words"], s) >= 0.6),
     )
-    stated = F.transform(
-        F.filter(
-            F.arrays_zip("stated_facts", "fact_words"),
-            lambda f: (F.size(f["fact_words"]) > 0) & _any(F.col("sent_words"), lambda s: share_within(f["fact_words"], s) >= 0.6),
+    audience = F.coalesce(F.get(kw_audience, F.lit(0)), F.get("audience", F.lit(0))) if lexicon.audience else F.lit(None).cast("string")
+    metrics = {
+        "where": _any(
+            F.arrays_zip("paras", "para_folds"),
+            lambda p: matches(ascii_view(p["paras"], "–"), V.DISTANCE, ignore_case=True) & _names_any(p["para_folds"], names),
         ),
-        lambda f: f["stated_facts"],
-    )
-    n_stated = F.size(stated)
-    unstated = F.filter("stated_facts", lambda f: ~F.array_contains(stated, f))
-    aud = F.coalesce(
-        F.get(lexicon.audience_of(lexicon.topics_in(F.coalesce("keyword", F.lit("")))), F.lit(0)), F.get("audience", F.lit(0))
-    ) if lexicon.audience else F.lit(None).cast("string")
+        "stated": F.transform(stated_facts, lambda f: f["stated_facts"]),
+        "audience": audience,
+        "early": _names_any(F.col("first100"), names) & (~has_city | folded_contains(F.col("first100"), F.col("city_phrase"))),
+        "asks": F.size(F.filter("headings", lambda h: matches(ascii_view(h["text"]), V.QUESTION_HEADING, ignore_case=True))),
+        "quotable": F.size(
+            F.filter(
+                F.arrays_zip("sents", "sent_folds"),
+                lambda s: s["sents"].rlike("[0-9]") & (F.size(F.split(s["sents"], V.WS_CLASS + "+")) <= 35) & _names_any(s["sent_folds"], names),
+            )
+        ),
+        # The paragraph test needs the audience, so it is resolved per topic id.
+        "audience_paras": F.filter("para_folds", lambda p: _names_any(p, names)),
+    }
+    where, stated, aud, early, asks, quotable = (_m(n) for n in ("where", "stated", "audience", "early", "asks", "quotable"))
     aud_label = F.lower(lexicon.label_of(aud))
-    for_aud = _any("para_folds", lambda p: _names_any(p, names) & F.array_contains(lexicon.topics_in_folded(p), aud))
-    has_city = F.col("city") != ""
-    early = _names_any(fold(F.col("first100")), names) & (~has_city | folded_contains(F.col("first100"), F.col("city_phrase")))
-    asks = F.size(F.filter("headings", lambda h: matches(ascii_view(h["text"]), V.QUESTION_HEADING, ignore_case=True)))
-    quotable = F.size(
-        F.filter(
-            F.arrays_zip("sents", "sent_folds"),
-            lambda s: s["sents"].rlike("[0-9]") & (F.size(F.split(s["sents"], V.WS_CLASS + "+")) <= 35) & _names_any(s["sent_folds"], names),
-        )
-    )
-    return [
+    for_aud = _any(_m("audience_paras"), lambda p: F.array_contains(lexicon.topics_in_folded(p), aud))
+    n_stated = F.size(stated)
+    unstated = without(F.col("stated_facts"), stated)
+    checks = [
         _check("geo-where", "geo", _status(where, FAIL), "Can AI answer “Where should I stay?”",
                F.when(where, _cat("A paragraph names ", brand, " with a concrete location fact.")).otherwise(_cat("No paragraph pairs ", brand, " with a concrete distance or location fact.")),
                _cat("Add a sentence like “", brand, " is a 5-minute walk from …”.")),
         _check("geo-why", "geo", _graded(n_stated, 2, 1), _cat("Can AI answer “Why choose ", brand, "?”"),
                _cat(n_stated, " approved fact", _s(n_stated), "/USP", _s(n_stated), " stated in the content."),
                F.when(F.size("stated_facts") > 0, _cat("Work in: ", F.array_join(F.slice(unstated, 1, 2), "; "), ".")).otherwise("Add approved facts to the brand profile first."), stated),
-        F.when(aud.isNotNull(), _check("geo-audience", "geo", _status(for_aud, WARN), _cat("Can AI answer “Best option for ", aud_label, "?”"),
-               F.when(for_aud, _cat(brand, " is linked to ", aud_label, " in the same paragraph.")).otherwise(_cat("Nothing ties ", brand, " to ", aud_label, ".")),
-               _cat("Say plainly why ", brand, " suits ", aud_label, ", with a fact."))),
+        let(for_aud, lambda ok: F.when(aud.isNotNull(), _check("geo-audience", "geo", _status(ok, WARN), _cat("Can AI answer “Best option for ", aud_label, "?”"),
+               F.when(ok, _cat(brand, " is linked to ", aud_label, " in the same paragraph.")).otherwise(_cat("Nothing ties ", brand, " to ", aud_label, ".")),
+               _cat("Say plainly why ", brand, " suits ", aud_label, ", with a fact.")))),
         _check("geo-entity", "geo", _status(early, WARN), "Brand + location in the first 100 words",
                F.when(early, "Strong entity association early on.").otherwise(_cat("Mention ", brand, F.when(has_city, _cat(" and ", F.col("city"))).otherwise(""), " in the opening.")),
                F.when(~early, "Name the brand and the destination in the intro.")),
@@ -239,6 +265,7 @@ def _geo(lexicon: Lexicon) -> list[Column]:
         _check("geo-quotable", "geo", _graded(quotable, 2, 1), "Quotable fact sentences", _cat(quotable, " short sentence", _s(quotable), " pairing ", brand, " with a number."),
                F.when(quotable < 2, "AI answers quote short, specific sentences: brand + fact + number.")),
     ]
+    return metrics, checks if lexicon.audience else [c for i, c in enumerate(checks) if i != 2]
 
 
 def unverified_figures() -> Column:
@@ -268,34 +295,43 @@ def other_spellings() -> Column:
     return F.when(uk, used([us for us, _ in V.SPELLING_PAIRS])).otherwise(used([gb for _, gb in V.SPELLING_PAIRS]))
 
 
-def _brand() -> list[Column]:
+def _brand() -> Area:
     text = F.col("plain_fold")
 
     def present(phrases: Column) -> Column:
         return F.filter(phrases, lambda p: folded_contains(text, fold_phrase(p)))
 
-    claims, restricted = present(F.col("restricted")), F.col("restricted")
-    proof = F.flatten(
-        F.transform(claims, lambda p: F.slice(F.transform(F.filter(F.arrays_zip("sents", "sent_folds"), lambda s: folded_contains(s["sent_folds"], fold_phrase(p))), lambda s: s["sents"]), 1, 1))
-    )
-    avoid = F.array_distinct(present(F.col("avoid")))
-    preferred = F.col("preferred")
-    used = present(preferred)
-    rivals = F.transform(
-        F.filter(F.arrays_zip("competitors", "rival_phrases"), lambda c: _names_any(text, c["rival_phrases"])), lambda c: c["competitors"]["name"]
-    )
-    figures, wrong, issues = F.col("_figures"), F.col("_wrong"), F.col("_issues")
+    def proof(p: Column) -> Column:
+        stating = F.filter(F.arrays_zip("sents", "sent_folds"), lambda s: folded_contains(s["sent_folds"], fold_phrase(p)))
+        return F.transform(F.slice(stating, 1, 1), lambda s: s["sents"])
+
     uk = fold(F.coalesce("english_variant", F.lit(V.DEFAULT_ENGLISH))).rlike(V.UK_VARIANTS)
+    metrics = {
+        "claims": present(F.col("restricted")),
+        "avoid": F.array_distinct(present(F.col("avoid"))),
+        "used": present(F.col("preferred")),
+        "rivals": F.transform(
+            F.filter(F.arrays_zip("competitors", "rival_phrases"), lambda c: _names_any(text, c["rival_phrases"])), lambda c: c["competitors"]["name"]
+        ),
+        "issues": F.concat(
+            name_variants(F.col("brand_name"), F.col("brand_aliases"), "Brand", F.col("name_tokens")),
+            F.flatten(F.transform("competitors", lambda c: name_variants(c["name"], c["aliases"], "Competitor", F.col("name_tokens")))),
+        ),
+        "figures": unverified_figures(),
+        "wrong": other_spellings(),
+    }
+    claims, avoid, used, rivals, issues, figures, wrong = (_m(n) for n in metrics)
+    restricted, preferred = F.col("restricted"), F.col("preferred")
     variant = F.coalesce(F.nullif("english_variant", F.lit("")), F.lit(V.DEFAULT_ENGLISH))
 
     def none(a: Column) -> Column:
         return F.size(a) == 0
 
-    return [
+    return metrics, [
         _check("brand-claims", "brand", _status(none(claims), FAIL), "Restricted claims",
                F.when(~none(claims), _cat("Content makes restricted claims: ", F.array_join(claims, ", "), "."))
                .when(~none(restricted), _cat("None of ", F.size(restricted), " restricted claims found.")).otherwise("No restricted claims configured."),
-               F.when(~none(claims), "Remove or rephrase these claims."), proof),
+               F.when(~none(claims), "Remove or rephrase these claims."), F.flatten(F.transform(claims, proof))),
         _check("brand-avoid", "brand", _status(none(avoid), FAIL), "Words to avoid & feedback rules",
                F.when(~none(avoid), _cat("Found: ", F.array_join(F.transform(avoid, lambda w: _cat("“", w, "”")), ", "), ".")).otherwise("No banned words or phrases."),
                F.when(~none(avoid), "Replace with approved vocabulary.")),
@@ -315,20 +351,23 @@ def _brand() -> list[Column]:
     ]
 
 
-def _conversion() -> list[Column]:
+def _conversion() -> Area:
     def calls(v: Column) -> Column:
         return matches(v, V.CALL_TO_ACTION, ignore_case=True)
 
     views = F.col("sent_views")
-    n = F.size(F.filter(views, calls))
-    pref = F.col("cta_preference")
-    set_ = F.coalesce(pref, F.lit("")) != ""
-    like_pref = _any("sent_words", lambda s: share_within(F.col("cta_words"), s) >= 0.6)
     start = F.floor(F.size(views) * F.lit(0.75)).cast("int")
     tail = F.array_join(F.slice(views, start + 1, F.greatest(F.size(views) - start, F.lit(0))), " ")
-    closes = calls(tail)
-    booking = _any("links", lambda l: F.concat_ws(" ", l["url"], l["text"]).rlike("(?i)" + V.BOOKING_LINK))
-    return [
+    metrics = {
+        "calls": F.size(F.filter(views, calls)),
+        "like_pref": _any(F.col("sent_words"), lambda s: share_within(F.col("cta_words"), s) >= 0.6),
+        "closes": calls(tail),
+        "booking": _any("links", lambda l: F.concat_ws(" ", l["url"], l["text"]).rlike("(?i)" + V.BOOKING_LINK)),
+    }
+    n, like_pref, closes, booking = (_m(x) for x in metrics)
+    pref = F.col("cta_preference")
+    set_ = F.coalesce(pref, F.lit("")) != ""
+    return metrics, [
         _check("cta", "conversion", _status(n > 0, FAIL), "Call to action", F.when(n > 0, _cat(n, " CTA", _s(n), " found.")).otherwise("No call to action."),
                F.when((n == 0) & set_, _cat("Add the preferred CTA: ", pref, ".")).when(n == 0, "End with one clear next step.")),
         F.when(set_, _check("cta-pref", "conversion", _status(like_pref, WARN), "Preferred CTA wording",
@@ -350,20 +389,14 @@ def check_drafts(
     """One row per draft and check: draft_id, check_id, area, status, label, detail,
     fix, evidence, word_count, keyword."""
     d = draft_features(drafts, brands, rules, lexicon)
+    makers = {"seo": lambda: _seo(lexicon), "geo": lambda: _geo(lexicon), "brand": _brand, "conversion": _conversion}
+    metrics: dict[str, Column] = {}
     checks: list[Column] = []
-    if "seo" in areas:
-        checks += _seo(lexicon)
-    if "geo" in areas:
-        checks += _geo(lexicon)
-    if "brand" in areas:
-        issues = F.concat(
-            name_variants(F.col("brand_name"), F.col("brand_aliases"), "Brand", F.col("name_tokens")),
-            F.flatten(F.transform("competitors", lambda c: name_variants(c["name"], c["aliases"], "Competitor", F.col("name_tokens")))),
-        )
-        d = d.withColumns({"_issues": issues, "_figures": unverified_figures(), "_wrong": other_spellings()})
-        checks += _brand()
-    if "conversion" in areas:
-        checks += _conversion()
+    for area in areas:
+        found, listed_checks = makers[area]()
+        metrics.update({f"m_{k}": v for k, v in found.items()})
+        checks += listed_checks
+    d = d.withColumns(metrics)
     listed = d.select("draft_id", "project_id", "keyword", F.col("wc").alias("word_count"), F.array_compact(F.array(*checks)).alias("checks"))
     return listed.select("draft_id", "project_id", "keyword", "word_count", F.posexplode("checks").alias("pos", "c")).select(
         "draft_id", "project_id", "keyword", "word_count", "pos", F.col("c.id").alias("check_id"), "c.area", "c.status", "c.label", "c.detail", "c.fix", "c.evidence"

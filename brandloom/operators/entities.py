@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from brandloom import vocab as V
 from brandloom.functions.names import any_same, normalize_folded
-from brandloom.functions.regex import ascii_view, matches
+from brandloom.functions.regex import ascii_view, let, matches
 from brandloom.functions.search import empty_array
 from brandloom.functions.text import fold
 from brandloom.operators.topics import top_rows
+from brandloom.session import cut_lineage
 
 # A capitalised run; the boundary before it is an ASCII one.
 _RUN = (
@@ -33,8 +34,10 @@ def trim_edges(run: Column) -> Column:
             f = fold(w)
             return (F.replace(f, F.lit("’"), F.lit("'")) if plain_quotes else f).isin(V.ENTITY_EDGE)
 
-        first = F.array_position(F.transform(ws, lambda w: edge(w)), F.lit(False)).cast("int")
-        return F.when(first == 0, empty_array()).otherwise(F.slice(ws, F.greatest(first, F.lit(1)), F.greatest(F.size(ws), F.lit(1))))
+        def cut_at(words: Column, first: Column) -> Column:
+            return F.when(first == 0, empty_array()).otherwise(F.slice(words, F.greatest(first, F.lit(1)), F.greatest(F.size(words), F.lit(1))))
+
+        return let(ws, lambda x: let(F.array_position(F.transform(x, edge), F.lit(False)).cast("int"), lambda i: cut_at(x, i)))
 
     return F.reverse(keep_from(F.reverse(keep_from(parts, True)), False))
 
@@ -43,9 +46,11 @@ def entity_candidates(text: Column) -> Column:
     """array<struct<name,folded>>: first spelling of each entity name in one text."""
 
     def shaped(run: Column) -> Column:
-        parts = trim_edges(run)
-        name = F.array_join(parts, " ")
-        return F.struct(name.alias("name"), fold(name).alias("folded"), F.size(parts).alias("n"))
+        def named(parts: Column) -> Column:
+            joined = F.array_join(parts, " ")
+            return let(joined, lambda name: F.struct(name.alias("name"), fold(name).alias("folded"), F.size(parts).alias("n")))
+
+        return let(trim_edges(run), named)
 
     def keep(x: Column) -> Column:
         lone = x["n"] == 1
@@ -60,8 +65,10 @@ def entity_candidates(text: Column) -> Column:
 
 
 def _excluded(name_folded: Column, folds: Column, exclude_words: Column, business_norms: Column) -> Column:
-    own_words = F.split(name_folded, V.WS_CLASS + "+")
-    fragment = F.exists(exclude_words, lambda ws: F.forall(own_words, lambda w: F.array_contains(ws, w)))
+    fragment = let(
+        F.split(name_folded, V.WS_CLASS + "+"),
+        lambda own: F.exists(exclude_words, lambda ws: F.forall(own, lambda w: F.array_contains(ws, w))),
+    )
     return F.array_contains(folds, name_folded) | any_same(business_norms, normalize_folded(name_folded)) | fragment
 
 
@@ -93,7 +100,7 @@ def extract_entities(
     counted = per_doc.groupBy(*keys, "folded").agg(
         F.count(F.lit(1)).alias("mentions"), F.min(F.struct("ord", F.col("first.pos"), F.col("first.name"))).alias("seen")
     )
-    allowed = (
+    allowed = cut_lineage(
         counted.join(ctx, keys)
         .filter(~_excluded(F.col("folded"), F.col("_folds"), F.col("_words"), F.col("_biz")))
         .select(*keys, "folded", "mentions", F.col("seen.name").alias("name"), "seen", F.size(F.split("folded", " ")).alias("n_words"))

@@ -12,6 +12,7 @@ from brandloom.operators.brands import brand_profile
 from brandloom.operators.leaders import FOLD_LIMIT, first_copies, leader_clusters
 from brandloom.operators.names import first_match
 from brandloom.operators.topics import top_rows
+from brandloom.session import cut_lineage
 
 MENTION = "struct<name:string,canonical:string,position:int,sentiment:string,context:string>"
 CITATION = "struct<url:string,title:string,domain:string>"
@@ -74,23 +75,27 @@ def _appearance(seen: Column) -> Column:
 
 
 def mention_clusters(named: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """(run_id, name, cluster, business): greedy first-seen clustering of names."""
-    known = named.filter(F.col("norm") != "")
+    """(run_id, name, display, cluster, business, cluster_seen): greedy first-seen
+    clustering of names. ``named`` holds one row per distinct name and run."""
+    named = cut_lineage(named)
+    seen = _appearance(F.col("seen"))
     # One row per distinct norm, ordered by its first appearance.
-    norms = known.groupBy("run_id", "norm").agg(F.min(_appearance(F.col("seen"))).alias("k"))
-    ordered = norms.withColumnRenamed("k", "ord")
-    items = ordered.select("run_id", "ord", F.col("norm").alias("feature"))
+    norms = named.filter(F.col("norm") != "").groupBy("run_id", "norm").agg(
+        F.min(seen).alias("ord"), F.min_by("display", seen).alias("business")
+    )
     led = leader_clusters(
-        items, ["run_id"], same_norm, lambda f: F.concat(F.array(f), proper_prefixes(f)), "string",
-        ord_kind="string", fold_limit=fold_limit,
+        norms.select("run_id", "ord", F.col("norm").alias("feature")), ["run_id"], same_norm,
+        lambda f: F.concat(F.array(f), proper_prefixes(f)), "string", ord_kind="string", fold_limit=fold_limit,
+    )
+    leaders = norms.select("run_id", F.col("ord").alias("leader_ord"), F.col("norm").alias("cluster"), "business")
+    cluster_of = led.join(leaders, ["run_id", "leader_ord"]).select(
+        "run_id", F.col("feature").alias("norm"), "cluster", "business", F.col("leader_ord").alias("cluster_seen")
     )
-    leaders = ordered.select("run_id", F.col("ord").alias("leader_ord"), F.col("norm").alias("cluster"))
-    cluster_of = ordered.join(led, ["run_id", "ord"]).join(leaders, ["run_id", "leader_ord"]).select("run_id", "norm", "cluster")
-    rows = known.join(cluster_of, ["run_id", "norm"])
+    cols = ["run_id", "name", "display", "cluster", "business", "cluster_seen"]
+    rows = named.filter(F.col("norm") != "").join(cluster_of, ["run_id", "norm"]).select(*cols)
     bare = named.filter(F.col("norm") == "").withColumn("cluster", F.lower("display"))
-    every = rows.select("run_id", "name", "display", "seen", "cluster").unionByName(bare.select("run_id", "name", "display", "seen", "cluster"))
-    titles = every.groupBy("run_id", "cluster").agg(F.min_by("display", "seen").alias("business"), F.min("seen").alias("cluster_seen"))
-    return every.join(titles, ["run_id", "cluster"]).select("run_id", "name", "display", "cluster", "business", "cluster_seen")
+    firsts = bare.groupBy("run_id", "cluster").agg(F.min_by("display", seen).alias("business"), F.min(seen).alias("cluster_seen"))
+    return cut_lineage(rows.unionByName(bare.join(firsts, ["run_id", "cluster"]).select(*cols)))
 
 
 def visibility_summary(
@@ -125,23 +130,21 @@ def visibility_summary(
         F.avg("f.position").alias("ai_avg_position"),
         *[F.count_if(F.col("f.sentiment") == s).alias(s) for s in ("positive", "neutral", "negative")],
     )
-    titles = clusters.groupBy("run_id", "cluster").agg(F.first("business").alias("name"), F.min("cluster_seen").alias("seen"))
-
-    def found(kind: str, columns: dict[str, str]) -> DataFrame:
-        hit = first_match(
-            titles.select("run_id", "name"), places.filter(F.col("list") == kind), "name", "title", ["run_id"], ["ord"], ["ord", "position", "rating", "reviews"]
-        )
-        return hit.filter(F.col("ord").isNotNull()).select("run_id", "name", *[F.col(a).alias(b) for a, b in columns.items()])
-
-    maps = found("maps", {"position": "maps_rank", "rating": "maps_rating", "reviews": "maps_reviews"}).withColumn("in_maps", F.lit(True))
-    pack = found("local_pack", {"position": "local_pack_rank"}).withColumn("in_pack", F.lit(True))
+    titles = clusters.groupBy("run_id", "cluster").agg(F.min("business").alias("name"), F.min("cluster_seen").alias("seen"))
+    ranks = first_match(
+        titles.select("run_id", "name"), places, "name", "title", ["run_id"], ["ord"], ["ord", "position", "rating", "reviews"],
+        by="list", values=("maps", "local_pack"),
+    ).select(
+        "run_id", "name", F.col("maps_position").alias("maps_rank"), F.col("maps_rating"), F.col("maps_reviews"),
+        F.col("local_pack_position").alias("local_pack_rank"), F.col("maps_ord").isNotNull().alias("in_maps"), F.col("local_pack_ord").isNotNull().alias("in_pack"),
+    )
     norm = normalize_name(F.col("name"))
     zero = F.lit(0).cast("long")
     in_ai = F.col("ai_mentions") > 0
     in_serp = (F.coalesce("in_maps", F.lit(False)) & F.coalesce(F.col("maps_rank") <= 10, F.lit(False))) | F.coalesce("in_pack", F.lit(False))
     businesses = (
         titles.join(stats, ["run_id", "cluster"], "left")
-        .join(maps, ["run_id", "name"], "left").join(pack, ["run_id", "name"], "left")
+        .join(ranks, ["run_id", "name"], "left")
         .join(profiles.select("run_id", "brand_norms", "competitor_norms"), "run_id")
         .join(totals.select("run_id", "successful_samples"), "run_id", "left")
         .withColumns({c: F.coalesce(c, zero) for c in ("ai_mentions", "ai_samples", "ai_prompts", "positive", "neutral", "negative")})

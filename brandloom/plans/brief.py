@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from brandloom import vocab as V
 from brandloom.functions.lexicon import HOSPITALITY, Lexicon
-from brandloom.functions.regex import js_round, trim_ws
+from brandloom.functions.regex import js_round, let, trim_ws
 from brandloom.functions.search import empty_array
-from brandloom.functions.text import content_words, ellipsis, fold, title_case
+from brandloom.functions.text import content_words, ellipsis, fold, overlap, title_case
 from brandloom.operators.brands import brand_profile
 
 
@@ -21,10 +21,6 @@ def audience_segments(text: Column) -> Column:
     return F.filter(F.transform(parts, trim_ws), lambda s: s != "")
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return F.filter(a, lambda t: F.array_contains(b, t))
-
-
 def _line(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -37,13 +33,15 @@ def internal_links(pages: Column, signal: Column, relevant: Column, lexicon: Lex
     """Site pages ranked by signal words plus twice the relevant topics they share."""
     def scored(p: Column, i: Column) -> Column:
         text = F.concat_ws(" ", p["title"], F.coalesce(p["type"], F.lit("")))
-        hit = _overlap(content_words(text), signal)
-        topics = _overlap(lexicon.topics_in(text), relevant)
-        why = F.coalesce(lexicon.label_of(F.get(topics, F.lit(0))), F.get(hit, F.lit(0)), F.lit("undefined"))
-        return F.struct(
-            (-(F.size(hit) + F.size(topics) * 2)).alias("neg"), i.alias("i"), p["title"].alias("title"), p["url"].alias("url"),
-            _line("Supports the ", F.lower(why), " angle").alias("reason"),
-        )
+
+        def row(hit: Column, topics: Column) -> Column:
+            why = F.coalesce(lexicon.label_of(F.get(topics, F.lit(0))), F.get(hit, F.lit(0)), F.lit("undefined"))
+            return F.struct(
+                (-(F.size(hit) + F.size(topics) * 2)).alias("neg"), i.alias("i"), p["title"].alias("title"), p["url"].alias("url"),
+                _line("Supports the ", F.lower(why), " angle").alias("reason"),
+            )
+
+        return let(overlap(content_words(text), signal), lambda h: let(overlap(lexicon.topics_in(text), relevant), lambda t: row(h, t)))
 
     good = F.filter(F.transform(pages, scored), lambda x: x["neg"] < 0)
     return F.transform(F.slice(F.array_sort(good), 1, limit), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["reason"].alias("reason")))
@@ -72,7 +70,7 @@ def build_briefs(topics: DataFrame, brands: DataFrame, insights: DataFrame, year
             ),
         }
     )
-    matching = F.filter("segments", lambda s: F.size(_overlap(s["topics"], F.col("query_topics"))) > 0)
+    matching = F.filter("segments", lambda s: F.size(overlap(s["topics"], F.col("query_topics"))) > 0)
     named = F.transform(matching, lambda s: s["text"])
     covered = F.flatten(F.transform(matching, lambda s: s["topics"]))
     extra = F.array_compact(
@@ -80,11 +78,12 @@ def build_briefs(topics: DataFrame, brands: DataFrame, insights: DataFrame, year
     ) if lexicon.audience else empty_array()
     chosen = F.concat(named, extra)
     fallback = F.transform(F.slice("segments", 1, 2), lambda s: s["text"])
-    audience = F.slice(F.transform(F.when(F.size(chosen) > 0, chosen).otherwise(fallback), lambda a: ellipsis(a, 80, 77)), 1, 4)
+    b = b.withColumn("chosen", chosen)
+    audience = F.slice(F.transform(F.when(F.size("chosen") > 0, F.col("chosen")).otherwise(fallback), lambda a: ellipsis(a, 80, 77)), 1, 4)
 
     proofs = F.transform(
         F.arrays_zip("facts", "fact_topics"),
-        lambda f, i: F.struct((-F.size(_overlap(f["fact_topics"], F.col("relevant")))).alias("neg"), i.alias("i"), f["facts"].alias("fact"), _overlap(f["fact_topics"], F.col("relevant")).alias("topics")),
+        lambda f, i: let(overlap(f["fact_topics"], F.col("relevant")), lambda t: F.struct((-F.size(t)).alias("neg"), i.alias("i"), f["facts"].alias("fact"), t.alias("topics"))),
     )
     best = F.slice(F.array_sort(F.filter(proofs, lambda x: x["neg"] < 0)), 1, 6)
     points = F.transform(best, lambda x: F.struct(F.array_join(F.transform(x["topics"], lexicon.label_of), " · ").alias("point"), x["fact"].alias("detail")))
@@ -113,7 +112,8 @@ def build_briefs(topics: DataFrame, brands: DataFrame, insights: DataFrame, year
         F.slice("missing_opportunities", 1, 2),
         lambda g: _section(g["label"], _line("Gap: ", g["reason"]), F.coalesce(_line("Proof point: ", fact(g["topic"])), F.lit("Needs client input."))),
     )
-    marks = F.slice(F.transform(F.filter("top_entities", lambda e: e["type"].isin("Landmark", "Place")), lambda e: e["name"]), 1, 6)
+    b = b.withColumn("marks", F.slice(F.transform(F.filter("top_entities", lambda e: e["type"].isin("Landmark", "Place")), lambda e: e["name"]), 1, 6))
+    marks = F.col("marks")
     nearby = F.when(
         F.size(marks) > 0,
         _section(_line("Nearby: ", F.array_join(F.slice(marks, 1, 3), ", ")), _line("Mention: ", F.array_join(marks, ", "), "."),
@@ -133,8 +133,13 @@ def build_briefs(topics: DataFrame, brands: DataFrame, insights: DataFrame, year
     span = lambda lo, hi: F.struct(F.lit(lo).alias("min"), F.lit(hi).alias("max"))
     word_count = F.when(F.col("intent.primary") == "Transactional", span(400, 800)).when(listy, span(1200, 1800)).otherwise(span(800, 1200))
 
-    titled = title_case(trim_ws(F.regexp_replace(topic, V.WS_CLASS + "+", " ")))
-    city_in = F.when(has_city & ~F.contains(fold(topic), fold(city)), _line(" in ", city)).otherwise("")
+    b = b.withColumns(
+        {
+            "titled": title_case(trim_ws(F.regexp_replace(topic, V.WS_CLASS + "+", " "))),
+            "city_in": F.when(has_city & ~F.contains(fold(topic), fold(city)), _line(" in ", city)).otherwise(""),
+        }
+    )
+    titled, city_in = F.col("titled"), F.col("city_in")
     ideas = F.array(
         _line(titled, city_in, f" ({year}): A Local's Guide"), _line(titled, ": Insider Tips from ", brand), _line(titled, city_in, ": Where to Go, Stay and Eat")
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brandloom.functions.lexicon import HOSPITALITY, Lexicon
 from brandloom.functions.search import empty_array
-from brandloom.functions.text import content_words, title_case
+from brandloom.functions.regex import let
+from brandloom.functions.text import content_words, overlap, title_case, without
 from brandloom.operators.brands import brand_profile
 from brandloom.operators.topics import top_rows
 
@@ -53,19 +54,15 @@ def opportunity_clusters(opps: DataFrame, lexicon: Lexicon = HOSPITALITY, limit:
 def fact_for(query: Column, topic: Column, pillar: Column) -> Column:
     """Approved fact for a query; expects the brand profile columns in scope."""
     own = content_words(F.concat_ws(" ", F.array_join("brand_names", " "), F.coalesce("city", F.lit(""))))
-    qw = F.filter(content_words(query), lambda w: ~F.array_contains(own, w))
-    scored = F.transform(
-        "facts",
-        lambda f, i: F.struct(
-            (-F.size(F.filter(content_words(f), lambda w: F.array_contains(qw, w)))).alias("neg"), i.alias("i"), f.alias("fact")
-        ),
-    )
-    best = F.array_min(scored)
-    return F.coalesce(
-        F.try_element_at("topic_facts", topic),
-        F.when(best["neg"] <= -2, best["fact"]),
-        F.when((pillar == "company") & (F.size(qw) == 0), F.get("facts", F.lit(0))),
-    )
+
+    def by_words(qw: Column) -> Column:
+        scored = F.transform("facts", lambda f, i: F.struct((-F.size(overlap(content_words(f), qw))).alias("neg"), i.alias("i"), f.alias("fact")))
+        return F.coalesce(
+            let(F.array_min(scored), lambda best: F.when(best["neg"] <= -2, best["fact"])),
+            F.when((pillar == "company") & (F.size(qw) == 0), F.get("facts", F.lit(0))),
+        )
+
+    return F.coalesce(F.try_element_at("topic_facts", topic), let(without(content_words(query), own), by_words))
 
 
 def content_plan(opps: DataFrame, brands: DataFrame, lexicon: Lexicon = HOSPITALITY, limit: int = 8) -> DataFrame:

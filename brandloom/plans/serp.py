@@ -21,6 +21,7 @@ from brandloom.operators.entities import extract_entities
 from brandloom.operators.names import first_match
 from brandloom.operators.questions import merge_questions
 from brandloom.operators.reviews import review_themes
+from brandloom.session import cut_lineage
 from brandloom.operators.topics import (
     TOP_RESULTS, coalesce_text, competitor_angles, result_counts, top_rows, topic_coverage, topic_demand, topic_gaps, wants_rooms,
 )
@@ -83,7 +84,7 @@ def question_items(serp: dict[str, DataFrame]) -> DataFrame:
     """Question texts with their source and weight, in one order across sources."""
     def part(df: DataFrame, group: int, text: Column, source: Column, weight: int) -> DataFrame:
         # Positions within a source are small; the group leads the order.
-        return df.select(*KEY, (F.lit(group) * 1_000_000_000 + F.col("ord")).cast("long").alias("ord"), text.alias("text"), source.alias("source"), F.lit(weight).alias("weight"))
+        return df.select(*KEY, (F.lit(group * 1_000_000_000).cast("long") + F.col("ord")).alias("ord"), text.alias("text"), source.alias("source"), F.lit(weight).alias("weight"))
 
     from_reddit = F.coalesce("source", "link", F.lit("")).rlike("(?i)reddit")
     return (
@@ -159,18 +160,17 @@ def competitor_names(subjects: DataFrame, places: DataFrame, limit: int = 6, nea
 def competitor_intel(subjects: DataFrame, places: DataFrame, reviews: DataFrame, brand_themes: DataFrame, lexicon: Lexicon = HOSPITALITY) -> DataFrame:
     """Ratings, ranks, praised and criticised topics per competitor, and the topic
     where the brand can answer a competitor's weakness."""
-    names = competitor_names(subjects, places)
+    names = cut_lineage(competitor_names(subjects, places))
     each = names.select(*KEY, F.posexplode("names").alias("pos", "name"))
     keyed = each.select(*KEY, "name").distinct()
-    out = each
-    for kind, tag in (("maps", "m"), ("local_pack", "p"), ("tripadvisor", "t")):
-        hit = first_match(keyed, places.filter(F.col("list") == kind), "name", "title", KEY, ["ord"], ["ord", "position", "rating", "reviews"])
-        out = out.join(hit.select(*KEY, "name", *[F.col(c).alias(f"{tag}_{c}") for c in ("position", "rating", "reviews")]), [*KEY, "name"], "left")
+    kinds = ("maps", "local_pack", "tripadvisor")
+    hits = first_match(keyed, places, "name", "title", KEY, ["ord"], ["ord", "position", "rating", "reviews"], by="list", values=kinds)
+    out = each.join(hits, [*KEY, "name"], "left")
     place = normalize_name(F.col("place"))
     about = reviews.join(names, KEY).select(
         *KEY, "ord", "rating", "text", F.explode(F.filter("names", lambda n: same_norm(normalize_name(n), place))).alias("name")
     )
-    themes = review_themes(about, [*KEY, "name"], lexicon, limit=4)
+    themes = cut_lineage(review_themes(about, [*KEY, "name"], lexicon, limit=4))
     good = gather(themes.filter(F.col("polarity") > 0), [*KEY, "name"], "rank", ["label"], "strengths")
     bad = gather(themes.filter(F.col("polarity") < 0), [*KEY, "name"], "rank", ["topic", "label"], "weak")
     praised = brand_themes.filter(F.col("polarity") > 0).groupBy(*KEY).agg(F.collect_set("topic").alias("praised"))
@@ -188,8 +188,8 @@ def competitor_intel(subjects: DataFrame, places: DataFrame, reviews: DataFrame,
         .otherwise(F.concat(F.lit("Guests praise "), "brand_name", F.lit("'s "), low, F.lit("; highlight it where "), "name", F.lit(" is weaker.")))
     )
     return out.select(
-        *KEY, "pos", "name", F.coalesce("m_rating", "p_rating", "t_rating").alias("rating"), F.coalesce("m_reviews", "p_reviews", "t_reviews").alias("reviews"),
-        F.col("m_position").alias("maps_rank"), F.col("p_position").alias("local_pack_rank"), F.coalesce("strengths", empty_array()).alias("strengths"),
+        *KEY, "pos", "name", F.coalesce(*[f"{k}_rating" for k in kinds]).alias("rating"), F.coalesce(*[f"{k}_reviews" for k in kinds]).alias("reviews"),
+        F.col("maps_position").alias("maps_rank"), F.col("local_pack_position").alias("local_pack_rank"), F.coalesce("strengths", empty_array()).alias("strengths"),
         F.transform(weak, lambda w: w["label"]).alias("weaknesses"), pitch.alias("opportunity"),
     )
 
@@ -228,8 +228,9 @@ def recommendations() -> Column:
 def analyse_serp(brands: DataFrame, serp: dict[str, DataFrame], lexicon: Lexicon = HOSPITALITY) -> DataFrame:
     """One nested row per result page. Every aggregation is keyed by serp_id, so
     the joins reuse one partitioning; each list is limited before it is collected."""
-    subjects = serp_subjects(serp["serps"], brands, lexicon)
-    organic = top_rows(serp["organic"], KEY, ["ord"], TOP_RESULTS).drop("rank")
+    # Read by many branches below: written once instead of recomputed per branch.
+    subjects = cut_lineage(serp_subjects(serp["serps"], brands, lexicon))
+    organic = cut_lineage(top_rows(serp["organic"], KEY, ["ord"], TOP_RESULTS).drop("rank"))
     places = serp["places"]
     counts = result_counts(organic, KEY)
     coverage = topic_coverage(organic, KEY, lexicon)
@@ -245,9 +246,9 @@ def analyse_serp(brands: DataFrame, serp: dict[str, DataFrame], lexicon: Lexicon
     entities = extract_entities(entity_texts(subjects, serp, organic), KEY, context, limit=12)
     results = top_results(organic, subjects, lexicon)
     reviews = serp["reviews"]
-    themes = review_themes(reviews, KEY, lexicon)
+    themes = cut_lineage(review_themes(reviews, KEY, lexicon))
     own = reviews.join(subjects.select(*KEY, "brand_norms"), KEY).filter(any_same(F.col("brand_norms"), normalize_name(F.col("place")))).drop("brand_norms")
-    own_themes = review_themes(own, KEY, lexicon)
+    own_themes = cut_lineage(review_themes(own, KEY, lexicon))
     rivals = competitor_intel(subjects, places, reviews, own_themes, lexicon)
     presence = brand_presence(subjects, organic, places).select(*KEY, F.struct("organic", "local_pack", "maps").alias("brand_presence"))
 
