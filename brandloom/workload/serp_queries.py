@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brandloom import vocab as V
-from brandloom.functions.names import normalize_name
-from brandloom.functions.search import classify_intent, domain_kind
-from brandloom.functions.text import citation_domain, content_words
+from brandloom.functions.search import links
+from brandloom.functions.text import citation_domain
 from brandloom.operators import visibility as VIS
 from brandloom.operators.entities import entity_candidates, extract_entities
 from brandloom.operators.questions import merge_questions
@@ -173,7 +173,9 @@ def visibility_frames(spark, sf):
     places = u.select(
         "run_id", F.when(F.col("ord") % 2 == 0, "maps").otherwise("local_pack").alias("list"), F.col("ord").alias("o"), (F.col("ord") % 1000 + 1).cast("int").alias("position"),
         F.substring_index("text", " ", 1).alias("title"), (F.length("text") % 5 + 1).cast("double").alias("rating"), F.length("text").alias("reviews"),
-    ).filter(F.col("title") != "").withColumn("ord", F.col("o")).drop("o")
+    ).filter(F.col("title") != "")
+    # Position within each list, from the turn order (a handful of turns per run).
+    places = places.withColumn("ord", F.row_number().over(Window.partitionBy("run_id", "list").orderBy("o"))).drop("o")
     return D.brands(spark), plans, places, s
 
 
@@ -199,8 +201,6 @@ def cited_domains(spark, sf):
 
 def deduped_citations(spark, sf):
     """Links of each page, the first of every address."""
-    from brandloom.functions.search import links
-
     p = D.table(spark, sf, "pages").select("page_id", F.posexplode(links(F.col("html"))).alias("ord", "l")).select("page_id", "ord", "l.url", F.col("l.text").alias("title"))
     d = VIS.dedupe_citations(p, ["page_id"])
     return d.select("page_id", "url", "ord", F.md5("title").alias("title_md5"))
@@ -211,7 +211,6 @@ QUERIES = {f.__name__: f for f in (
     required_entity_names, source_entities, customer_questions, review_topics, ai_visibility, ai_visibility_summary, ai_visibility_prompts, cited_domains, deduped_citations,
 )}
 
-_unused = (normalize_name, classify_intent, domain_kind, content_words, V)
 L = D.PROSE_WORDS
 ORGANIC = """organic AS (SELECT page_id // 10 AS serp_id, (page_id % 10 + 1)::INT AS ord, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url AS link, regexp_extract(html, '(?s)<p>(.*?)</p>', 1) AS snippet FROM pages),
 tops AS (SELECT serp_id, ord, title, link, {T} AS ts FROM organic),
@@ -325,7 +324,60 @@ _SERP_DOCS = """SELECT serp_id, (0, ord::BIGINT) AS ord, title || '. ' || snippe
   UNION ALL SELECT serp_id, (2, ord), 'Are ' || line || '. ' FROM turns WHERE role = 'assistant' AND serp_id IN (SELECT serp_id FROM subj)
   UNION ALL SELECT serp_id, (3, 0), CASE WHEN serp_id % 2 = 0 THEN 'Overview of Orre Orre. ' || substr(query, 13) END FROM subj"""
 
+_RIVALS = ["Sich Sich", "Thatin", "Orantion"]
+
+
+def _display(name: str, norm: str) -> str:
+    rivals = " ".join(f"WHEN {S.same(norm, S.q(r.lower()))} THEN {S.q(r)}" for r in _RIVALS)
+    return f"CASE WHEN {_is_brand(norm)} THEN 'Orre Orre' {rivals} ELSE {name} END"
+
+
+def _role(norm: str) -> str:
+    return f"CASE WHEN {_is_brand(norm)} THEN 'brand' WHEN {' OR '.join(S.same(norm, S.q(r.lower())) for r in _RIVALS)} THEN 'competitor' ELSE 'other' END"
+
+
+_ANSWERS = "SELECT conv_id * 1000 + turn AS sid, 0 AS ord, text FROM conversations WHERE role = 'assistant'"
+_FIRST_PLACE = "(SELECT arg_min({c}, p.ord) FROM places p WHERE p.run_id = t.run_id AND p.list = {l} AND " + S.same("p.tn", "t.bn") + ")"
+VISIBILITY = f"""{entity_sql(_ANSWERS, ['zzz'], ['zzz'], 15, 'sid')},
+ment AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS i, name FROM kept QUALIFY i < 200),
+answers AS (SELECT conv_id // 4 AS run_id, (conv_id % 4)::INT AS pi, turn::INT AS it, conv_id * 1000 + turn AS sid, turn = 5 AS failed, lower(regexp_extract(text, '([A-Za-z]+)', 1)) || '.example.com' AS domain FROM conversations WHERE role = 'assistant'),
+runs_ AS (SELECT DISTINCT conv_id // 4 AS run_id FROM conversations),
+m AS (SELECT run_id, pi, it, sid, i, name, {S.norm('name')} AS nn FROM ment JOIN answers USING (sid) WHERE NOT failed),
+users AS (SELECT conv_id // 4 AS run_id, conv_id * 1000 + turn AS o, string_split(text, ' ')[1] AS title, CASE WHEN (conv_id * 1000 + turn) % 2 = 0 THEN 'maps' ELSE 'local_pack' END AS list FROM conversations WHERE role = 'user'),
+places AS (SELECT *, (o % 1000 + 1)::INT AS position, {S.norm('title')} AS tn, row_number() OVER (PARTITION BY run_id, list ORDER BY o) AS ord FROM users WHERE title <> ''),
+allnames AS (SELECT run_id, name, (0, pi::BIGINT, it::BIGINT, i::BIGINT) AS seen FROM m UNION ALL SELECT run_id, 'Orre Orre', (1, 0, 0, 0) FROM runs_
+  UNION ALL SELECT run_id, v.n, (2, v.k, 0, 0) FROM runs_, (VALUES (0, 'Sich Sich'), (1, 'Thatin'), (2, 'Orantion')) v(k, n)
+  UNION ALL SELECT run_id, title, (3, CASE list WHEN 'maps' THEN 0 ELSE 1 END, ord, 0) FROM places WHERE list = 'local_pack' OR ord <= 10),
+fn AS (SELECT run_id, name, min(seen) AS seen, {_display('name', S.norm('name'))} AS display FROM allnames GROUP BY run_id, name),
+nd AS (SELECT *, {S.norm('display')} AS dn FROM fn),
+norms AS (SELECT run_id, dn, min(seen) AS seen, arg_min(display, seen) AS display FROM nd WHERE dn <> '' GROUP BY run_id, dn),
+led AS (SELECT run_id, list_reduce(list([dn] ORDER BY seen), lambda acc, x: CASE WHEN len(list_filter(acc, lambda l: {S.same('l', 'x[1]')})) > 0 THEN acc ELSE list_concat(acc, x) END) AS leaders FROM norms GROUP BY run_id),
+asg AS (SELECT n.run_id, n.dn, list_filter(leaders, lambda l: {S.same('l', 'n.dn')})[1] AS cluster FROM norms n JOIN led USING (run_id)),
+clus AS (SELECT nd.run_id, nd.name, nd.display, a.cluster, l.display AS business, l.seen AS cseen FROM nd JOIN asg a ON a.run_id = nd.run_id AND a.dn = nd.dn JOIN norms l ON l.run_id = nd.run_id AND l.dn = a.cluster
+  UNION ALL SELECT run_id, name, display, lower(display), first_value(display) OVER w, first_value(seen) OVER w FROM nd WHERE dn = '' WINDOW w AS (PARTITION BY run_id, lower(display) ORDER BY seen)),
+okn AS (SELECT run_id, count(*) AS total, count(*) FILTER (NOT failed) AS okc FROM answers GROUP BY run_id),
+once AS (SELECT m.run_id, pi, it, cluster, min(i) AS i FROM m JOIN clus c ON c.run_id = m.run_id AND c.name = m.name GROUP BY ALL),
+stats AS (SELECT run_id, cluster, count(*) AS k, count(DISTINCT pi) AS prompts, avg(i + 1) AS ap, count(*) FILTER (i % 3 = 0) AS pos, count(*) FILTER (i % 3 = 1) AS neu, count(*) FILTER (i % 3 = 2) AS neg FROM once GROUP BY ALL),
+titles AS (SELECT DISTINCT run_id, cluster, business AS name, cseen, {S.norm('business')} AS bn FROM clus),
+ranked AS (SELECT t.*, {_FIRST_PLACE.format(c='p.position', l="'maps'")} AS maps_rank, {_FIRST_PLACE.format(c='p.position', l="'local_pack'")} AS local_pack_rank FROM titles t),
+biz AS (SELECT r.run_id, r.name, {_role('r.bn')} AS role, coalesce(k, 0) AS k, coalesce(k, 0)::DOUBLE / greatest(coalesce(okc, 0), 1) AS rate, ap, coalesce(prompts, 0) AS prompts, coalesce(pos, 0) AS pos, coalesce(neu, 0) AS neu, coalesce(neg, 0) AS neg,
+  maps_rank, local_pack_rank, cseen, coalesce(maps_rank <= 10, false) OR local_pack_rank IS NOT NULL AS in_serp FROM ranked r LEFT JOIN stats s ON s.run_id = r.run_id AND s.cluster = r.cluster LEFT JOIN okn o ON o.run_id = r.run_id)"""
+
 ORACLES = {
+    "ai_visibility": f"""WITH {VISIBILITY} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY rate DESC, coalesce(maps_rank, 99), cseen)::INT AS rank, name, role, k AS ai_mentions, k AS ai_samples, round(rate, 6) AS ai_mention_rate, round(ap, 6) AS ai_avg_position, prompts AS ai_prompts,
+        pos AS positive, neu AS neutral, neg AS negative, maps_rank, local_pack_rank, CASE WHEN k > 0 AND in_serp THEN 'both' WHEN k > 0 THEN 'ai_only' WHEN in_serp THEN 'serp_only' ELSE 'neither' END AS gap FROM biz QUALIFY rank <= 40""",
+    "ai_visibility_summary": f"""WITH {VISIBILITY}, best AS (SELECT run_id, arg_min((name, k), (-rate, coalesce(maps_rank, 99), cseen)) AS b FROM biz WHERE role = 'brand' GROUP BY run_id), tot AS (SELECT run_id, sum(k)::BIGINT AS mt FROM stats GROUP BY run_id)
+        SELECT o.run_id, total AS total_samples, okc AS successful_samples, round(coalesce(mt, 0)::DOUBLE / greatest(okc, 1), 6) AS avg_mentions, round(okc::DOUBLE / greatest(okc, 1), 6) AS avg_citations, b[1] AS brand,
+        round(CASE WHEN coalesce(mt, 0) > 0 AND b IS NOT NULL THEN b[2]::DOUBLE / mt ELSE 0.0 END, 6) AS share_of_voice FROM okn o LEFT JOIN best USING (run_id) LEFT JOIN tot USING (run_id)""",
+    "ai_visibility_prompts": f"""WITH {VISIBILITY}, shown AS (SELECT m.run_id, pi, it, display, min(i) AS i FROM m JOIN clus c ON c.run_id = m.run_id AND c.name = m.name GROUP BY ALL),
+        cnt AS (SELECT run_id, pi, display, count(*) AS n, min((it, i)) AS seen FROM shown GROUP BY ALL), tops AS (SELECT run_id, pi, list(display ORDER BY n DESC, seen)[1:5] AS top FROM cnt GROUP BY ALL),
+        a AS (SELECT run_id, pi, count(*) AS n FROM answers WHERE NOT failed GROUP BY ALL), h AS (SELECT run_id, pi, count(DISTINCT it) AS hits FROM shown WHERE {_role(S.norm('display'))} = 'brand' GROUP BY ALL)
+        SELECT r.run_id, i::INT AS prompt_index, 'p' || i AS prompt, round(CASE WHEN coalesce(n, 0) > 0 THEN coalesce(hits, 0)::DOUBLE / n ELSE 0.0 END, 6) AS brand_rate, {S.join('top')} AS top
+        FROM (SELECT run_id, unnest(range(4)) AS i FROM runs_) r LEFT JOIN a ON a.run_id = r.run_id AND a.pi = i LEFT JOIN h ON h.run_id = r.run_id AND h.pi = i LEFT JOIN tops t ON t.run_id = r.run_id AND t.pi = i""",
+    "cited_domains": f"""WITH a AS (SELECT conv_id // 4 AS run_id, conv_id % 4 AS pi, turn AS it, lower(regexp_extract(text, '([A-Za-z]+)', 1)) || '.example.com' AS domain FROM conversations WHERE role = 'assistant' AND turn <> 5),
+        g AS (SELECT run_id, domain, count(*) AS count, min((pi, it)) AS seen FROM a GROUP BY ALL)
+        SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY count DESC, seen)::INT AS rank, domain, count, CASE WHEN domain LIKE '%ththre.example.com' THEN 'brand site' WHEN regexp_matches(domain, {S.q(V.CITATION_OTA_DOMAINS)}) THEN 'OTA'
+        WHEN regexp_matches(domain, {S.q(V.CITATION_REVIEW_DOMAINS)}) THEN 'reviews / maps' WHEN regexp_matches(domain, {S.q(V.CITATION_FORUM_DOMAINS)}) THEN 'forum' ELSE 'editorial / other' END AS kind FROM g QUALIFY rank <= 25""",
     "topic_coverage_by_page": f"WITH {ORGANIC} SELECT serp_id, topic, {S.label('topic', L)} AS label, results, round(results::DOUBLE / n, 6) AS coverage FROM cov JOIN n USING (serp_id)",
     "covered_angles": f"WITH {ORGANIC} SELECT serp_id, row_number() OVER (PARTITION BY serp_id ORDER BY results DESC, seen)::INT AS rank, topic, results, n FROM cov JOIN n USING (serp_id) WHERE results::DOUBLE / n >= 0.2::DOUBLE QUALIFY rank <= 3",
     "asked_topics": f"WITH {ORGANIC}, {SUBJECTS}, {TURNS}, {DEMAND} SELECT serp_id, topic, n_sources, array_to_string(sources, '|') AS sources FROM demand",
