@@ -98,6 +98,17 @@ def mention_clusters(named: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFram
     return cut_lineage(rows.unionByName(bare.join(firsts, ["run_id", "cluster"]).select(*cols)))
 
 
+def cited_domains(samples: DataFrame, profiles: DataFrame, limit: int = 25) -> DataFrame:
+    """Most cited domains per run, with their kind."""
+    cited = successful(samples).select("run_id", "prompt_index", "iteration", F.posexplode("citations").alias("i", "c"))
+    counted = cited.groupBy("run_id", F.col("c.domain").alias("domain")).agg(
+        F.count(F.lit(1)).alias("count"), F.min(F.struct("prompt_index", "iteration", "i")).alias("seen")
+    )
+    return top_rows(counted, ["run_id"], [F.desc("count"), "seen"], limit).join(
+        profiles.select("run_id", "brand_site", "competitor_sites"), "run_id"
+    ).select("run_id", "rank", "domain", "count", domain_kind(F.col("domain"), F.col("brand_site"), F.col("competitor_sites")).alias("kind"))
+
+
 def visibility_summary(
     brands: DataFrame,
     plans: DataFrame,
@@ -156,13 +167,7 @@ def visibility_summary(
         )
     )
 
-    # --- cited domains
-    cited = ok.select("run_id", "prompt_index", "iteration", F.posexplode("citations").alias("i", "c")).groupBy("run_id", F.col("c.domain").alias("domain")).agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct("prompt_index", "iteration", "i")).alias("seen")
-    )
-    domains = top_rows(cited, ["run_id"], [F.desc("count"), "seen"], top_domains).join(
-        profiles.select("run_id", "brand_site", "competitor_sites"), "run_id"
-    ).select("run_id", "rank", "domain", "count", domain_kind(F.col("domain"), F.col("brand_site"), F.col("competitor_sites")).alias("kind"))
+    domains = cited_domains(samples, profiles, top_domains)
 
     # --- per prompt: display names, once per answer
     shown = mention_rows(samples).join(clusters.select("run_id", "name", "display"), ["run_id", "name"])

@@ -101,11 +101,22 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "documents")
     kw = F.when(F.col("doc_id") % 10 > 0, F.array_join(F.slice(content_words(F.col("text")), 1, 2), " "))
+    anchor = F.when(F.col("doc_id") % 3 == 0, "the book").when(F.col("doc_id") % 3 == 1, "see offers").otherwise("a page")
+    more = F.when(F.col("doc_id") % 2 == 0, " [y](/tion)").otherwise("")
     return d.select(
-        F.col("doc_id").alias("draft_id"), F.lit("prose").alias("project_id"),
-        F.concat(F.lit("# Is "), kw, F.lit("\n\n"), F.col("text"), F.lit("\n[the book]("), "source", F.lit(") [x](/y)")).alias("content"),
-        kw.alias("keyword"), F.array(F.lit("Thing"), F.lit("erer"), F.lit("Und der")).alias("required_entities"),
-    ).withColumn("content", F.coalesce("content", F.lit("# none\n### three\nno keyword")))
+        F.col("doc_id").alias("draft_id"), F.lit("prose").alias("project_id"), kw.alias("keyword"), "text", "source", anchor.alias("anchor"), more.alias("more"),
+    ).select(
+        "draft_id", "project_id",
+        F.concat(
+            F.lit("# "), F.coalesce(F.concat(F.lit("Is "), "keyword"), F.lit("none\n### three")), F.lit("\n\n"), "text",
+            F.lit("\n["), "anchor", F.lit("]("), "source", F.lit(") [x](/y)"), "more",
+        ).alias("content"),
+        "keyword", F.array(F.lit("Thing"), F.lit("erer"), F.lit("Und der")).alias("required_entities"),
+    )
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("prose", 1, "Never call us a rewh."), ("prose", 2, 'Avoid "the of"')], "project_id string, rank int, content string")
 
 
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:

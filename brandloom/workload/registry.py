@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brandloom.workload import search_queries, serp_queries, text_queries
+from brandloom.workload import draft_queries, search_queries, serp_queries, text_queries
 
-MODULES = [search_queries, text_queries, serp_queries]
+MODULES = [search_queries, text_queries, serp_queries, draft_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

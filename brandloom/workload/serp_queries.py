@@ -196,7 +196,8 @@ def ai_visibility_prompts(spark, sf):
 
 
 def cited_domains(spark, sf):
-    return VIS.visibility_summary(*visibility_frames(spark, sf), lexicon=D.PROSE_WORDS)["domains"]
+    brands, plans, _, s = visibility_frames(spark, sf)
+    return VIS.cited_domains(s, VIS.run_profiles(plans, brands, D.PROSE_WORDS))
 
 
 def deduped_citations(spark, sf):
