@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,46 +143,48 @@ def draft_features(drafts: DataFrame, brands: DataFrame, rules: DataFrame | None
 
 
 Area = tuple[dict[str, Column], list[Column]]
+Reader = Callable[[str], Column]
 # Each area returns its metrics (computed once, as columns "m_<name>") and the
-# checks that word them.
+# checks that word them. Metrics read features through ``r``, bound once per draft:
+# inside lambdas a plain column could be inlined and recomputed per element.
 
 
 def _m(name: str) -> Column:
     return F.col("m_" + name)
 
 
-def _seo(lexicon: Lexicon) -> Area:
-    kw = F.col("keyword")
+def _seo(lexicon: Lexicon, r: Reader) -> Area:
+    kw = r("keyword")
 
     def coverage(text: Column) -> Column:
-        return share_within(F.col("kw_words"), drop_stopwords(words_of(fold(text))))
+        return share_within(r("kw_words"), drop_stopwords(words_of(fold(text))))
 
-    hs = F.col("headings")
+    hs = r("headings")
     target = fold(kw)
     times = let(
         target,
         lambda t: F.when(t == "", 0).otherwise(
-            (F.length("plain_fold") - F.length(F.replace(F.col("plain_fold"), t, F.lit("")))) / F.greatest(F.length(t), F.lit(1))
+            (F.length(r("plain_fold")) - F.length(F.replace(r("plain_fold"), t, F.lit("")))) / F.greatest(F.length(t), F.lit(1))
         ),
     ).cast("int")
-    required = F.col("required_entities")
-    urls = F.transform("site_pages", lambda p: p["url"])
+    required = r("required_entities")
+    urls = F.transform(r("site_pages"), lambda p: p["url"])
     inner = F.filter(
-        "links",
+        r("links"),
         lambda l: F.startswith(l["url"], F.lit("/"))
-        | (F.col("brand_site").isNotNull() & suffix_of_any(domain_of(l["url"]), F.array(F.coalesce("brand_site", F.lit("")))))
+        | (r("brand_site").isNotNull() & suffix_of_any(domain_of(l["url"]), F.array(F.coalesce(r("brand_site"), F.lit("")))))
         | F.array_contains(urls, l["url"]),
     )
     metrics = {
         "h1": F.get(F.filter(hs, lambda h: h["level"] == 1), F.lit(0))["text"],
         "h1_fit": F.coalesce(coverage(F.get(F.filter(hs, lambda h: h["level"] == 1), F.lit(0))["text"]) >= 0.6, F.lit(False)),
-        "intro": share_within(F.col("kw_words"), drop_stopwords(F.slice("word_list", 1, 100))) >= 0.75,
+        "intro": share_within(r("kw_words"), drop_stopwords(F.slice(r("word_list"), 1, 100))) >= 0.75,
         "h2_fit": _any(hs, lambda h: (h["level"] == 2) & (coverage(h["text"]) >= 0.5)),
         "times": times,
         "n1": F.size(F.filter(hs, lambda h: h["level"] == 1)),
         "n2": F.size(F.filter(hs, lambda h: h["level"] == 2)),
         "skipped": skipped_level(hs),
-        "missing": F.filter(required, lambda e: ~folded_contains(F.col("plain_fold"), fold_phrase(e))),
+        "missing": F.filter(required, lambda e: ~folded_contains(r("plain_fold"), fold_phrase(e))),
         "inner": F.size(inner),
     }
     density = F.when(F.col("wc") > 0, _m("times") * F.size("kw_words") / F.col("wc")).otherwise(0.0)
@@ -215,36 +219,36 @@ def _seo(lexicon: Lexicon) -> Area:
     ]
 
 
-def _geo(lexicon: Lexicon) -> Area:
-    brand, names = F.col("brand_name"), F.col("brand_phrases")
-    has_city = F.col("city") != ""
-    kw_audience = lexicon.audience_of(lexicon.topics_in(F.coalesce("keyword", F.lit(""))))
+def _geo(lexicon: Lexicon, r: Reader) -> Area:
+    brand, names = r("brand_name"), r("brand_phrases")
+    has_city = r("city") != ""
+    kw_audience = lexicon.audience_of(lexicon.topics_in(F.coalesce(r("keyword"), F.lit(""))))
     stated_facts = F.filter(
-        F.arrays_zip("stated_facts", "fact_words"),
-        lambda f: (F.size(f["fact_words"]) > 0) & _any(F.col("sent_words"), lambda s: share_within(f["fact_words"], s) >= 0.6),
+        F.arrays_zip(r("stated_facts"), r("fact_words")),
+        lambda f: (F.size(f["fact_words"]) > 0) & _any(r("sent_words"), lambda s: share_within(f["fact_words"], s) >= 0.6),
     )
-    audience = F.coalesce(F.get(kw_audience, F.lit(0)), F.get("audience", F.lit(0))) if lexicon.audience else F.lit(None).cast("string")
+    audience = F.coalesce(F.get(kw_audience, F.lit(0)), F.get(r("audience"), F.lit(0))) if lexicon.audience else F.lit(None).cast("string")
     metrics = {
         "where": _any(
-            F.arrays_zip("paras", "para_folds"),
+            F.arrays_zip(r("paras"), r("para_folds")),
             lambda p: matches(ascii_view(p["paras"], "–"), V.DISTANCE, ignore_case=True) & _names_any(p["para_folds"], names),
         ),
         "stated": F.transform(stated_facts, lambda f: f["stated_facts"]),
         "audience": audience,
-        "early": _names_any(F.col("first100"), names) & (~has_city | folded_contains(F.col("first100"), F.col("city_phrase"))),
-        "asks": F.size(F.filter("headings", lambda h: matches(ascii_view(h["text"]), V.QUESTION_HEADING, ignore_case=True))),
+        "early": _names_any(r("first100"), names) & (~has_city | folded_contains(r("first100"), r("city_phrase"))),
+        "asks": F.size(F.filter(r("headings"), lambda h: matches(ascii_view(h["text"]), V.QUESTION_HEADING, ignore_case=True))),
         "quotable": F.size(
             F.filter(
-                F.arrays_zip("sents", "sent_folds"),
+                F.arrays_zip(r("sents"), r("sent_folds")),
                 lambda s: s["sents"].rlike("[0-9]") & (F.size(F.split(s["sents"], V.WS_CLASS + "+")) <= 35) & _names_any(s["sent_folds"], names),
             )
         ),
         # The paragraph test needs the audience, so it is resolved per topic id.
-        "audience_paras": F.filter("para_folds", lambda p: _names_any(p, names)),
+        "audience_paras": F.filter(r("para_folds"), lambda p: _names_any(p, names)),
     }
     where, stated, aud, early, asks, quotable = (_m(n) for n in ("where", "stated", "audience", "early", "asks", "quotable"))
     aud_label = F.lower(lexicon.label_of(aud))
-    for_aud = _any(_m("audience_paras"), lambda p: F.array_contains(lexicon.topics_in_folded(p), aud))
+    for_aud = let(aud, lambda a: _any(_m("audience_paras"), lambda p: F.array_contains(lexicon.topics_in_folded(p), a)))
     n_stated = F.size(stated)
     unstated = without(F.col("stated_facts"), stated)
     checks = [
@@ -268,57 +272,57 @@ def _geo(lexicon: Lexicon) -> Area:
     return metrics, checks if lexicon.audience else [c for i, c in enumerate(checks) if i != 2]
 
 
-def unverified_figures() -> Column:
+def unverified_figures(r: Reader) -> Column:
     """Figures in sentences about the brand that the approved facts do not contain."""
     def claims(s: Column) -> Column:
         whole = F.regexp_extract_all(s["sent_views"], F.lit("(?i)" + V.FIGURE.replace("\\s", V.WS_CLASS)), F.lit(0))
         number = F.regexp_extract_all(s["sent_views"], F.lit("(?i)" + V.FIGURE.replace("\\s", V.WS_CLASS)), F.lit(1))
-        open_ = F.filter(F.arrays_zip(whole.alias("w"), number.alias("n")), lambda m: ~F.contains(F.col("fact_text"), F.replace(m["n"], F.lit(","), F.lit(""))))
+        open_ = F.filter(F.arrays_zip(whole.alias("w"), number.alias("n")), lambda m: ~F.contains(r("fact_text"), F.replace(m["n"], F.lit(","), F.lit(""))))
         return F.transform(open_, lambda m: _cat(m["w"], " — “", ellipsis(s["sents"], 110, 107), "”"))
 
     about = F.filter(
-        F.arrays_zip("sents", "sent_folds", "sent_views"),
+        F.arrays_zip(r("sents"), r("sent_folds"), "sent_views"),
         lambda s: s["sents"].rlike("[0-9]")
-        & (_names_any(s["sent_folds"], F.col("brand_phrases")) | matches(s["sent_views"], V.FIRST_PERSON, ignore_case=True)),
+        & (_names_any(s["sent_folds"], r("brand_phrases")) | matches(s["sent_views"], V.FIRST_PERSON, ignore_case=True)),
     )
     return F.flatten(F.transform(about, claims))
 
 
-def other_spellings() -> Column:
-    uk = F.coalesce(fold(F.coalesce("english_variant", F.lit(V.DEFAULT_ENGLISH))).rlike(V.UK_VARIANTS), F.lit(False))
+def other_spellings(r: Reader) -> Column:
+    uk = F.coalesce(fold(F.coalesce(r("english_variant"), F.lit(V.DEFAULT_ENGLISH))).rlike(V.UK_VARIANTS), F.lit(False))
 
     def used(words: list[str]) -> Column:
-        any_of = matches(F.col("plain_view"), r"\b(" + "|".join(words) + r")(s|ed|ing)?\b", ignore_case=True)
-        each = F.array_compact(F.array(*[F.when(matches(F.col("plain_view"), rf"\b{w}(s|ed|ing)?\b", ignore_case=True), F.lit(w)) for w in words]))
+        any_of = matches(r("plain_view"), r"\b(" + "|".join(words) + r")(s|ed|ing)?\b", ignore_case=True)
+        each = F.array_compact(F.array(*[F.when(matches(r("plain_view"), rf"\b{w}(s|ed|ing)?\b", ignore_case=True), F.lit(w)) for w in words]))
         return F.when(any_of, each).otherwise(empty_array())
 
     return F.when(uk, used([us for us, _ in V.SPELLING_PAIRS])).otherwise(used([gb for _, gb in V.SPELLING_PAIRS]))
 
 
-def _brand() -> Area:
-    text = F.col("plain_fold")
+def _brand(lexicon: Lexicon, r: Reader) -> Area:
+    text = r("plain_fold")
 
     def present(phrases: Column) -> Column:
         return F.filter(phrases, lambda p: folded_contains(text, fold_phrase(p)))
 
     def proof(p: Column) -> Column:
-        stating = F.filter(F.arrays_zip("sents", "sent_folds"), lambda s: folded_contains(s["sent_folds"], fold_phrase(p)))
+        stating = F.filter(F.arrays_zip(r("sents"), r("sent_folds")), lambda s: folded_contains(s["sent_folds"], fold_phrase(p)))
         return F.transform(F.slice(stating, 1, 1), lambda s: s["sents"])
 
-    uk = fold(F.coalesce("english_variant", F.lit(V.DEFAULT_ENGLISH))).rlike(V.UK_VARIANTS)
+    uk = fold(F.coalesce(r("english_variant"), F.lit(V.DEFAULT_ENGLISH))).rlike(V.UK_VARIANTS)
     metrics = {
-        "claims": present(F.col("restricted")),
-        "avoid": F.array_distinct(present(F.col("avoid"))),
-        "used": present(F.col("preferred")),
+        "claims": present(r("restricted")),
+        "avoid": F.array_distinct(present(r("avoid"))),
+        "used": present(r("preferred")),
         "rivals": F.transform(
-            F.filter(F.arrays_zip("competitors", "rival_phrases"), lambda c: _names_any(text, c["rival_phrases"])), lambda c: c["competitors"]["name"]
+            F.filter(F.arrays_zip(r("competitors"), r("rival_phrases")), lambda c: _names_any(text, c["rival_phrases"])), lambda c: c["competitors"]["name"]
         ),
         "issues": F.concat(
-            name_variants(F.col("brand_name"), F.col("brand_aliases"), "Brand", F.col("name_tokens")),
-            F.flatten(F.transform("competitors", lambda c: name_variants(c["name"], c["aliases"], "Competitor", F.col("name_tokens")))),
+            name_variants(r("brand_name"), r("brand_aliases"), "Brand", r("name_tokens")),
+            F.flatten(F.transform(r("competitors"), lambda c: name_variants(c["name"], c["aliases"], "Competitor", r("name_tokens")))),
         ),
-        "figures": unverified_figures(),
-        "wrong": other_spellings(),
+        "figures": unverified_figures(r),
+        "wrong": other_spellings(r),
     }
     claims, avoid, used, rivals, issues, figures, wrong = (_m(n) for n in metrics)
     restricted, preferred = F.col("restricted"), F.col("preferred")
@@ -351,18 +355,18 @@ def _brand() -> Area:
     ]
 
 
-def _conversion() -> Area:
+def _conversion(lexicon: Lexicon, r: Reader) -> Area:
     def calls(v: Column) -> Column:
         return matches(v, V.CALL_TO_ACTION, ignore_case=True)
 
-    views = F.col("sent_views")
+    views = r("sent_views")
     start = F.floor(F.size(views) * F.lit(0.75)).cast("int")
     tail = F.array_join(F.slice(views, start + 1, F.greatest(F.size(views) - start, F.lit(0))), " ")
     metrics = {
         "calls": F.size(F.filter(views, calls)),
-        "like_pref": _any(F.col("sent_words"), lambda s: share_within(F.col("cta_words"), s) >= 0.6),
+        "like_pref": _any(r("sent_words"), lambda s: share_within(r("cta_words"), s) >= 0.6),
         "closes": calls(tail),
-        "booking": _any("links", lambda l: F.concat_ws(" ", l["url"], l["text"]).rlike("(?i)" + V.BOOKING_LINK)),
+        "booking": _any(r("links"), lambda l: F.concat_ws(" ", l["url"], l["text"]).rlike("(?i)" + V.BOOKING_LINK)),
     }
     n, like_pref, closes, booking = (_m(x) for x in metrics)
     pref = F.col("cta_preference")
@@ -379,6 +383,15 @@ def _conversion() -> Area:
     ]
 
 
+_AREAS = {"seo": _seo, "geo": _geo, "brand": _brand, "conversion": _conversion}
+FEATURES = [
+    "headings", "links", "plain", "plain_fold", "paras", "sents", "word_list", "para_folds", "sent_folds", "plain_view", "sent_views", "kw_words",
+    "name_tokens", "wc", "first100", "sent_words", "keyword", "required_entities", "site_pages", "brand_site", "brand_phrases", "city", "city_phrase",
+    "stated_facts", "fact_words", "audience", "restricted", "avoid", "preferred", "competitors", "rival_phrases", "brand_name", "brand_aliases", "fact_text",
+    "english_variant", "cta_words",
+]
+
+
 def check_drafts(
     drafts: DataFrame,
     brands: DataFrame,
@@ -389,16 +402,17 @@ def check_drafts(
     """One row per draft and check: draft_id, check_id, area, status, label, detail,
     fix, evidence, word_count, keyword."""
     d = draft_features(drafts, brands, rules, lexicon)
-    makers = {"seo": lambda: _seo(lexicon), "geo": lambda: _geo(lexicon), "brand": _brand, "conversion": _conversion}
-    metrics: dict[str, Column] = {}
-    checks: list[Column] = []
-    for area in areas:
-        found, listed_checks = makers[area]()
-        metrics.update({f"m_{k}": v for k, v in found.items()})
-        checks += listed_checks
-    d = d.withColumns(metrics)
+    makers = [_AREAS[a] for a in areas]
+    features = F.struct(*FEATURES)
+
+    def measured(row: Column) -> Column:
+        found = {k: v for make in makers for k, v in make(lexicon, lambda c: row[c])[0].items()}
+        return F.struct(*[v.alias("m_" + k) for k, v in found.items()])
+
+    d = d.withColumn("m", let(features, measured)).select("*", "m.*")
+    checks = [c for make in makers for c in make(lexicon, F.col)[1]]
     listed = d.select("draft_id", "project_id", "keyword", F.col("wc").alias("word_count"), F.array_compact(F.array(*checks)).alias("checks"))
-    return listed.select("draft_id", "project_id", "keyword", "word_count", F.posexplode("checks").alias("pos", "c")).select(
+    return listed.select("draft_id", "project_id", "keyword", "word_count", F.posexplode_outer("checks").alias("pos", "c")).select(
         "draft_id", "project_id", "keyword", "word_count", "pos", F.col("c.id").alias("check_id"), "c.area", "c.status", "c.label", "c.detail", "c.fix", "c.evidence"
     )
 

@@ -19,6 +19,20 @@ DEFAULTS = {
 }
 
 
+# This rule copies the whole expression of an exploded array into a filter below it,
+# so a costly array (sentences, topics, checks) would be computed twice or more.
+EXCLUDED_RULE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the planner setting the jobs rely on to an existing session."""
+    key = "spark.sql.optimizer.excludedRules"
+    rules = [r for r in (spark.conf.get(key, None) or "").split(",") if r]
+    if EXCLUDED_RULE not in rules:
+        spark.conf.set(key, ",".join([*rules, EXCLUDED_RULE]))
+    return spark
+
+
 def build_session(app: str = "brandloom", master: str | None = None, **extra: str) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
@@ -27,7 +41,7 @@ def build_session(app: str = "brandloom", master: str | None = None, **extra: st
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

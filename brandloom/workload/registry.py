@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brandloom.session import tune
 from brandloom.workload import draft_queries, search_queries, serp_queries, text_queries
 
 MODULES = [search_queries, text_queries, serp_queries, draft_queries]
 
 
+def _tuned(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(tune(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
+    return {name: _tuned(fn) for m in MODULES for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
