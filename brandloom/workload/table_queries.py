@@ -90,7 +90,9 @@ def cascaded_delete(spark, sf):
 
 
 def orphaned_feedback(spark, sf):
-    return K.orphans(feedback(spark, sf), projects(spark, sf), "project_id", "project_id").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Feedback of projects that are gone (negative balance)."""
+    alive = D.table(spark, sf, "customer").filter(F.col("c_acctbal") >= 0).select(F.col("c_custkey").alias("project_id"))
+    return K.orphans(feedback(spark, sf), alive, "project_id", "project_id").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def filtered_orders(spark, sf):
@@ -122,6 +124,6 @@ ORACLES = {
     "latest_events": "SELECT user_id, event_type, event_id, round(value, 2) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "cascaded_delete": """WITH gone AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0) SELECT 'projects' AS table_name, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone)
         UNION ALL SELECT 'content_drafts', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM gone) UNION ALL SELECT 'feedback_logs', count(*) FROM events WHERE user_id NOT IN (SELECT k FROM gone)""",
-    "orphaned_feedback": f"WITH {_FB} SELECT kind, count(*) AS n FROM fb WHERE project_id NOT IN (SELECT c_custkey FROM customer) GROUP BY kind",
+    "orphaned_feedback": f"WITH {_FB} SELECT kind, count(*) AS n FROM fb WHERE project_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY kind",
     "filtered_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS price FROM orders WHERE o_orderstatus <> 'F' AND (o_orderpriority = '1-URGENT' OR o_custkey = 7) AND o_orderstatus IN ('O', 'P') ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
 }
