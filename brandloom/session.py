@@ -62,6 +62,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of a plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin over the cores when a scan yields fewer partitions than there are
+    (one small file); a large table already has enough and passes unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brandloom.functions.lexicon import Lexicon, Topic
 from brandloom.operators.brands import BRAND_SCHEMA
+from brandloom.session import spread
 
 PART_WORDS = Lexicon(
     topics=(
@@ -45,8 +46,13 @@ PROSE_POSITIVE = r"\b(with|that|une|und|los|for|[a-z]+ing)\b"
 PROSE_NEGATIVE = r"\b(was|from|les|der|las|not|[a-z]+ble)\b"
 
 
+#: Tables whose rows are costly to process.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 BRANDS = [
