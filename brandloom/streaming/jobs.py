@@ -11,7 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from brandloom.functions.lexicon import HOSPITALITY, Lexicon
 from brandloom.operators.checks import check_drafts, score_drafts
 from brandloom.operators.visibility import visibility_summary
-from brandloom.sources.tables import replace_by_key, upsert_table
+from brandloom.sources.tables import upsert_table
+
+#: Runs and drafts are small; tables are partitioned by a hash bucket of their key
+#: so that a micro-batch rewrites few, well-filled partitions.
+BUCKETS = 64
+
+
+def in_buckets(df: DataFrame, key: str, n: int = BUCKETS) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+
 
 SAMPLE_KEY = ["run_id", "prompt_index", "iteration"]
 
@@ -23,14 +32,16 @@ def visibility_stream(
     """Upserts arriving samples by key, then recomputes the summary of the touched
     runs only. Replaying a batch gives the same tables."""
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        upsert_table(batch, samples_path, "run_id", SAMPLE_KEY, [arrival])
-        touched = batch.select("run_id").distinct()
-        samples = spark.read.schema(batch.schema).parquet(samples_path).join(touched, "run_id", "left_semi")
-        mine = [df.join(touched, "run_id", "left_semi") for df in (plans, places)]
+        rows = in_buckets(batch, "run_id")
+        upsert_table(rows, samples_path, "bucket", SAMPLE_KEY, [arrival])
+        touched = rows.select("bucket", "run_id").distinct()
+        samples = spark.read.schema(rows.schema).parquet(samples_path).join(touched, ["bucket", "run_id"], "left_semi")
+        mine = [df.join(touched.select("run_id"), "run_id", "left_semi") for df in (plans, places)]
         out = visibility_summary(brands, mine[0], mine[1], samples, lexicon)
-        replace_by_key(out["summary"], summary_path, ["run_id"])
+        summary = in_buckets(out["summary"], "run_id").withColumn("batch", F.lit(batch_id))
+        upsert_table(summary, summary_path, "bucket", ["run_id"], ["batch"])
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -42,12 +53,13 @@ def recheck_stream(
     (``prior``: draft_id, required_entities) stay required. ``stream``: draft_id,
     project_id, content, keyword, edited_at."""
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("draft_id").agg(F.max_by(F.struct("project_id", "content", "keyword"), "edited_at").alias("d")).select("draft_id", "d.*")
         if prior is not None:
             newest = newest.join(prior().select("draft_id", "required_entities"), "draft_id", "left")
         else:
             newest = newest.withColumn("required_entities", F.array().cast("array<string>"))
-        replace_by_key(score_drafts(check_drafts(newest, brands, rules, lexicon)), scores_path, ["draft_id"])
+        scores = in_buckets(score_drafts(check_drafts(newest, brands, rules, lexicon)), "draft_id").withColumn("batch", F.lit(batch_id))
+        upsert_table(scores, scores_path, "bucket", ["draft_id"], ["batch"])
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from brandloom.plans.dashboards import project_overview, research_inputs
 from brandloom.sources import serp_json as J
 from brandloom.sources.gsc_csv import read_gsc, resolve_headers
 from brandloom.sources.tables import checked_input, read_text_documents, upsert_table
-from brandloom.streaming.jobs import visibility_stream
+from brandloom.streaming.jobs import recheck_stream, visibility_stream
 from tests import fixtures as X
 
 
@@ -122,3 +122,21 @@ def test_research_inputs_and_overview(spark):
     fb = spark.createDataFrame([("lis", True)], "project_id string, apply_as_rule boolean")
     o = {x.project_id: x for x in project_overview(X.brands(spark), none, drafts, fb, runs, none, none).collect()}["lis"]
     assert o.avg_score == 80 and o.visibility_rate == 0.5 and [s.done for s in o.steps] == [True, True, True, False, False, True, True, True]
+
+
+def test_recheck_stream(spark):
+    d = folder()
+    edits = X.drafts(spark).drop("required_entities").withColumn("edited_at", F.lit(1))
+    swapped = edits.filter("draft_id = 'weak'").withColumn("content", F.lit(X.STRONG)).withColumn("edited_at", F.lit(2))
+    edits.write.parquet(f"{d}/in/1")
+    prior = lambda: X.drafts(spark).select("draft_id", "required_entities")
+    run = lambda: recheck_stream(
+        spark.readStream.schema(edits.schema).parquet(f"{d}/in/*"), prior, f"{d}/scores", f"{d}/cp", X.brands(spark)
+    ).awaitTermination(300)
+    run()
+    first = {r.draft_id: r.overall for r in spark.read.parquet(f"{d}/scores").collect()}
+    assert first["weak"] < 50 < first["strong"]
+    swapped.write.parquet(f"{d}/in/2")
+    run()
+    second = {r.draft_id: r.overall for r in spark.read.parquet(f"{d}/scores").collect()}
+    assert second == {"weak": first["strong"], "strong": first["strong"]}
