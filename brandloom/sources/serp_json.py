@@ -1,7 +1,7 @@
 """Landed search-result JSON: one document per result page, normalised to frames.
 
-Each reader is a narrow projection per document; lists are cut to the length the
-analysis uses, which also bounds the rows per page."""
+Each reader is a narrow projection per document. Lists keep the length the analysis
+uses (first ten results, first twelve threads); the others are read whole."""
 
 from __future__ import annotations
 
@@ -24,8 +24,9 @@ def read_json(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFra
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def _rows(df: DataFrame, array: Column, limit: int, *fields: Column) -> DataFrame:
-    listed = df.select("serp_id", F.posexplode_outer(F.slice(array, 1, limit)).alias("ord", "r")).filter(F.col("r").isNotNull())
+def _rows(df: DataFrame, array: Column, limit: int | None, *fields: Column) -> DataFrame:
+    wanted = array if limit is None else F.slice(array, 1, limit)
+    listed = df.select("serp_id", F.posexplode_outer(wanted).alias("ord", "r")).filter(F.col("r").isNotNull())
     return listed.select("serp_id", "ord", *fields)
 
 
@@ -73,10 +74,10 @@ def serp_frames(docs: DataFrame) -> dict[str, DataFrame]:
             F.coalesce("answer_box.snippet", "answer_box.answer").alias("answer_snippet"), F.col("answer_box").isNotNull().alias("has_answer"),
         ),
         "organic": _rows(d, F.col("organic_results"), 10, _position(), _text("r.title").alias("title"), _text("r.link").alias("link"), F.col("r.snippet").alias("snippet"), F.col("r.source").alias("source")),
-        "questions": _rows(d, F.col("related_questions"), 1_000, _text("r.question").alias("question"), F.col("r.snippet").alias("snippet"), F.col("r.link").alias("link")),
-        "related": _rows(d, F.col("related_searches"), 1_000, F.col("r.query").alias("text")).filter(F.coalesce("text", F.lit("")) != ""),
-        "forums": _rows(d, F.col("discussions_and_forums"), 1_000, *post),
-        "places": _rows(d, F.col("places"), 1_000, *place_fields()).withColumn("list", F.lit("local_pack")),
+        "questions": _rows(d, F.col("related_questions"), None, _text("r.question").alias("question"), F.col("r.snippet").alias("snippet"), F.col("r.link").alias("link")),
+        "related": _rows(d, F.col("related_searches"), None, F.col("r.query").alias("text")).filter(F.coalesce("text", F.lit("")) != ""),
+        "forums": _rows(d, F.col("discussions_and_forums"), None, *post),
+        "places": _rows(d, F.col("places"), None, *place_fields()).withColumn("list", F.lit("local_pack")),
     }
 
 

@@ -148,7 +148,7 @@ def review_topics(spark, sf):
 def samples(spark, sf):
     """Assistant turns as sampled answers; capitalised names are their mentions."""
     c = D.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    names = F.slice(entity_candidates(F.col("text")), 1, 200)
+    names = entity_candidates(F.col("text"))
     mentions = F.transform(
         names,
         lambda x, i: F.struct(
@@ -340,7 +340,7 @@ def _role(norm: str) -> str:
 _ANSWERS = "SELECT conv_id * 1000 + turn AS sid, 0 AS ord, text FROM conversations WHERE role = 'assistant'"
 _FIRST_PLACE = "(SELECT arg_min({c}, p.ord) FROM places p WHERE p.run_id = t.run_id AND p.list = {l} AND " + S.same("p.tn", "t.bn") + ")"
 VISIBILITY = f"""{entity_sql(_ANSWERS, ['zzz'], ['zzz'], 15, 'sid')},
-ment AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS i, name FROM kept QUALIFY i < 200),
+ment AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS i, name FROM kept),
 answers AS (SELECT conv_id // 4 AS run_id, (conv_id % 4)::INT AS pi, turn::INT AS it, conv_id * 1000 + turn AS sid, turn = 5 AS failed, lower(regexp_extract(text, '([A-Za-z]+)', 1)) || '.example.com' AS domain FROM conversations WHERE role = 'assistant'),
 runs_ AS (SELECT DISTINCT conv_id // 4 AS run_id FROM conversations),
 m AS (SELECT run_id, pi, it, sid, i, name, {S.norm('name')} AS nn FROM ment JOIN answers USING (sid) WHERE NOT failed),
