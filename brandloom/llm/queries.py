@@ -61,7 +61,7 @@ f AS (  -- full sources come first by room for each unit of weight
          sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) - 2.0 * source_size AS full_before,
          sum(weight) OVER (ORDER BY 2.0 * source_size / weight DESC, source DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS weight_left
   FROM w),
-l AS (SELECT min((1.5 * (SELECT sum(source_size) FROM s) - full_before) / weight_left) AS level FROM f
+l AS (SELECT arg_min((1.5 * (SELECT sum(source_size) FROM s) - full_before) / weight_left, full_before) AS level FROM f
       WHERE (1.5 * (SELECT sum(source_size) FROM s) - full_before) / weight_left <= level),
 t AS (SELECT f.source, f.source_size, least(2.0 * f.source_size, f.weight * l.level)::DOUBLE AS target FROM f, l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
