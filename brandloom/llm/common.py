@@ -28,6 +28,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path for new files in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet into the shared checkpoint folder and read it back.
 
@@ -35,8 +41,7 @@ def stored(df: DataFrame) -> DataFrame:
     session's to clean, like that of checkpoint().
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

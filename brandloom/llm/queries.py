@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brandloom.llm import exact_dedup, mixing, near_dup, pieces, quality
-from brandloom.llm.common import table
+from brandloom.llm import divergence, exact_dedup, mixing, near_dup, pieces, quality, templates, token_files
+from brandloom.llm.common import new_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -17,6 +17,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(table(spark, sf_dir, "pages"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.read_tokens(spark, folder)
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judged(table(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +54,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_templates": op2,
     "op3_sentencepiece": op3,
+    "op4_token_files": op4,
+    "op5_divergence": op5,
     "op6_ngram_jaccard": op6,
     "op7_mixing": op7,
     "op9_quality_classifier": op9,
