@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brandloom.llm import divergence, exact_dedup, mixing, near_dup, pieces, quality, templates, token_files
+from brandloom.llm import attention_lm, divergence, exact_dedup, mixing, near_dup, pieces, quality, templates, token_files
 from brandloom.llm.common import new_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,6 +39,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.scores(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_divergence": op5,
     "op6_ngram_jaccard": op6,
     "op7_mixing": op7,
+    "op8_attention_lm": op8,
     "op9_quality_classifier": op9,
     "op10_exact_dedup": op10,
     "pipeline": pipeline,
