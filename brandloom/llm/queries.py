@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brandloom.llm import attention_lm, divergence, exact_dedup, mixing, near_dup, pieces, quality, templates, token_files
+from brandloom.llm import attention_lm, divergence, exact_dedup, mixing, near_dup, pieces, quality, substring_dedup, templates, token_files
 from brandloom.llm.common import new_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.main_text(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": op1,
     "op2_html_templates": op2,
     "op3_sentencepiece": op3,
     "op4_token_files": op4,
