@@ -25,8 +25,10 @@ from brandloom.llm.common import bounded, stored, text_of
 from brandloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 200
+SLICE = 500  # rows of a batch that are worked on together
 GRAM = 32
-SHARD_BYTES = 1 << 20  # bytes of windows that one suffix array takes, more only for one anchor hash
+SHARD_BYTES = 1 << 20  # bytes of windows that one suffix array takes, about
+LARGE_BYTES = 1 << 21  # an anchor hash with more is searched begin by begin, in its windows' memory
 MAX_HASHES = 2_000_000  # repeated anchor hashes, texts with windows, or texts with removals that may be broadcast
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,7 +55,7 @@ def gram_hashes(t: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all strings of the given length; of equal hashes the last counts."""
+    """Places and hashes of the anchors of all strings of the given length."""
     if len(text) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = gram_hashes(np.frombuffer(text, np.uint8), gram)
@@ -65,22 +67,14 @@ def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     left = np.minimum.accumulate(blocks, axis=1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(right[: n - w + 1], left[w - 1 : n])
-    # a place is the anchor of a string if its hash is the least and no later place in the string equals it
-    begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    spots = []
-    order = np.argsort(h, kind="stable")
-    ranked = h[order]
-    ends = np.append(begins[1:], len(least))
-    lo, hi = np.searchsorted(ranked, least[begins]), np.searchsorted(ranked, least[begins], "right")
-    one = hi - lo == 1
-    spots.append(order[lo[one]])
-    for b, e, x, y in zip(begins[~one], ends[~one], lo[~one], hi[~one]):
-        places = np.sort(order[x:y])
-        places = places[(places >= b) & (places < e - 1 + w)]
-        after = np.append(places[1:], 1 << 60)
-        # strings begin in b..e-1; a place is the last of its hash in one that ends before the next such place
-        spots.append(places[np.maximum(b, places - w + 1) <= np.minimum(np.minimum(e - 1, places), after - w)])
-    at = np.unique(np.concatenate(spots))
+    # a place has the least hash of some string if the greatest of the leasts around it is its own
+    m = len(least)
+    blocks = np.zeros(-(-(m + 2 * w - 2) // w) * w, np.uint64)
+    blocks[w - 1 : w - 1 + m] = least
+    blocks = blocks.reshape(-1, w)
+    left = np.maximum.accumulate(blocks, axis=1).ravel()
+    right = np.maximum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = np.flatnonzero(np.maximum(right[:n], left[w - 1 : w - 1 + n]) == h)
     return at, h[at]
 
 
@@ -113,6 +107,22 @@ def repeated_starts(anchor: np.ndarray, place: np.ndarray, windows: list[bytes],
     return [at[x] for x in np.split(hit, cuts)[:-1]]
 
 
+def repeated_by_begin(place: list[int], windows: list[bytes], length: int, gram: int) -> list[np.ndarray]:
+    """The same for the windows of one hash that are too many for an array: strings of one anchor are equal
+    only if they begin equally far before it, so each distance is counted on its own."""
+    starts: list[list[int]] = [[] for _ in windows]
+    for back in range(length - gram, -1, -1):
+        own = [k for k, (p, w) in enumerate(zip(place, windows)) if p >= back and p - back + length <= len(w)]
+        if len(own) > 1:
+            names = np.array([xxhash.xxh3_128_digest(windows[k][place[k] - back : place[k] - back + length]) for k in own], "S16")
+            # a trailing zero byte is not told from none, so the names are compared as numbers
+            names = np.frombuffer(names.tobytes(), "<u8").reshape(-1, 2)
+            _, kind, count = np.unique(names, axis=0, return_inverse=True, return_counts=True)
+            for k in np.flatnonzero(count[kind.ravel()] > 1).tolist():
+                starts[own[k]].append(place[own[k]] - back)
+    return [np.array(s, np.int64) for s in starts]
+
+
 def _spans(starts: np.ndarray, length: int) -> np.ndarray:
     """Begins and ends, in turn, of the runs that strings with these ascending begins cover."""
     if not len(starts):
@@ -121,11 +131,15 @@ def _spans(starts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])] + length], 1).ravel()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE))
+
+
 def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """key, spans: the merged runs of removed bytes of each text that has some (rows: key, text)."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             hs, ps = [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at, h = anchors(text, length, gram)
@@ -137,7 +151,7 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     twice = stored(twice.select("h"))
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             hs, ks, ps, fs = [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at, h = anchors(text, length, gram)
@@ -158,7 +172,7 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     wanted = stored(open_.groupBy("key").agg(F.collect_list(F.struct("h", "form", "at")).alias("wanted")).withColumnRenamed("key", "_k"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             h, f, at, data = [], [], [], []
             for text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for x in asked:
@@ -176,10 +190,13 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
         names: list[bytes] = []
         data: list[bytes] = []
         places: list[int] = []
-        held, last, seen = 0, None, set()
+        held, mark, last, seen = 0, 0, None, set()
 
         def answer() -> pa.RecordBatch:
-            starts = repeated_starts(np.array(group, np.int64).view(np.uint64), np.array(places, np.int64), data, length, gram)
+            if len(data) > 1 and group[0] == group[-1] and held > LARGE_BYTES:
+                starts = repeated_by_begin(places, data, length, gram)
+            else:
+                starts = repeated_starts(np.array(group, np.int64).view(np.uint64), np.array(places, np.int64), data, length, gram)
             out = pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(names, pa.binary()), pa.array([_spans(s, length).tolist() for s in starts], pa.list_(pa.int32()))], names=["h", "form", "inside"])
             group.clear(), names.clear(), data.clear(), places.clear()
             return out
@@ -187,10 +204,19 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for b in batches:
             for h, f, at, w in zip(*(c.to_pylist() for c in b.columns)):
                 if h != last:
-                    if held >= SHARD_BYTES:
+                    # a hash is never cut: it joins what is held, or stands alone if it is large
+                    if group and (held >= SHARD_BYTES or group[0] == group[-1] and held > LARGE_BYTES):
                         yield answer()
                         held = 0
-                    last, seen = h, set()
+                    mark, last, seen = len(group), h, set()
+                elif mark and held > LARGE_BYTES:
+                    rest = group[mark:], names[mark:], data[mark:], places[mark:]
+                    for x in (group, names, data, places):
+                        del x[mark:]
+                    yield answer()
+                    for x, y in zip((group, names, data, places), rest):
+                        x.extend(y)
+                    held, mark = sum(map(len, data)), 0
                 if f not in seen:
                     seen.add(f)
                     group.append(h)
@@ -207,7 +233,7 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     kept = rows.filter("first").select(F.col("key").alias("_k"), F.octet_length("text").alias("bytes"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for n, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 pairs = []
@@ -237,7 +263,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), b.column(1)], names=["doc_id", "key", "text"])
 
@@ -252,7 +278,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     removed = stored(spans.join(copies, F.col("key") == F.col("_c"), "left_anti").select(F.col("key").alias("_k"), "spans").unionByName(whole))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out, texts = [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 spans = [0, len(text)] if spans == [] else spans or []

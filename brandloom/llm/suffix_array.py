@@ -15,7 +15,7 @@ def _smaller(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next; the last one is not."""
     n = len(t)
     change = np.flatnonzero(t[1:] != t[:-1])
-    at = np.searchsorted(change, np.arange(n))  # the first change from here on decides
+    at = np.searchsorted(change, np.arange(n, dtype=np.int32))  # the first change from here on decides
     known = at < len(change)
     at = change[np.minimum(at, max(0, len(change) - 1))] if len(change) else np.zeros(n, np.int64)
     return known & (t[at] < t[np.minimum(at + 1, n - 1)])
