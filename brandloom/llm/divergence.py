@@ -21,7 +21,6 @@ WORDS_BASE, WORDS_NOISE = 0.17, 1.2  # a text of n words may be WORDS_BASE + WOR
 # Classes that are taken out of a text one after the other; what is left is the last class.
 CLASSES = ["[a-z]+", r"[\x20\x09-\x0D]+", "[A-Z]+", r"\p{Ll}+", r"\p{L}+", r"\p{N}+", r"[.,;:?'\"()\-]+", r"[#*$%&|<>]+", "[!]+"]
 MAX_LANGUAGES = 10_000
-_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def repeated_words(words: Column) -> Column:
@@ -30,13 +29,13 @@ def repeated_words(words: Column) -> Column:
     whole = F.slice(windows, 1, F.greatest(F.size(words) - 2, F.lit(0)))
 
     def covered(h: Column) -> Column:
-        at = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        at = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         n = F.size(h)
 
         def twin(x: Column, i: Column, a: Column) -> Column:
             return (F.get(a, i - 1)["h"] == x["h"]) | ((i < n - 1) & (F.get(a, i + 1)["h"] == x["h"]))
 
-        places = F.transform(F.array(at), lambda a: F.array_sort(F.transform(F.filter(a, lambda x, i: F.coalesce(twin(x, i, a), F.lit(False))), lambda x: x["i"])))[0]
+        places = F.transform(F.array(at), lambda a: F.sort_array(F.transform(F.filter(a, lambda x, i: F.coalesce(twin(x, i, a), F.lit(False))), lambda x: x["i"])))[0]
         return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
 
     # bound once; most texts have no repeated window and end at the first test
@@ -59,14 +58,17 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class and of the rest, as an array."""
-    out, left = [], text
-    for c in CLASSES:
-        shorter = F.regexp_replace(left, c, "")
-        out.append(F.char_length(left) - F.char_length(shorter))
-        left = shorter
-    return F.transform(F.array(*out, F.char_length(left)), lambda x: x.cast("double"))
+def with_class_counts(d: DataFrame) -> DataFrame:
+    """chars: the characters of t in each class and of the rest, as an array.
+
+    What is left of the text after each class is a column of its own, so that it is made once.
+    """
+    sizes, left = [], "t"
+    for k, c in enumerate(CLASSES):
+        d = d.withColumn(f"left{k}", F.regexp_replace(left, c, ""))
+        sizes.append((F.char_length(left) - F.char_length(f"left{k}")).cast("double"))
+        left = f"left{k}"
+    return d.withColumn("chars", F.array(*sizes, F.char_length(left).cast("double")))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -87,7 +89,7 @@ def distance(p: Column, q: Column) -> Column:
 
 def common_words(docs: DataFrame, most: int = COMMON_WORDS) -> list[str]:
     """The words with the largest share of a language's words, lower case, most of them at most."""
-    words = docs.select(F.col("lang").cast("string").alias("_lang"), F.explode(words_of(F.translate(text_of(), *_LOWER))).alias("word")).filter(F.col("word").rlike(r"^\p{L}+$"))
+    words = docs.select(F.col("lang").cast("string").alias("_lang"), F.explode(words_of(F.lower(text_of()))).alias("word")).filter(F.col("word").rlike(r"^\p{L}+$"))
     counts = stored(words.groupBy("_lang", "word").agg(F.count("*").alias("n")).filter("n > 1"))
     total = stored(counts.groupBy("_lang").agg(F.sum("n").alias("all")))
     share = counts.join(bounded(total, MAX_LANGUAGES), counts["_lang"].eqNullSafe(total["_lang"])).filter("all >= 1000").groupBy("word").agg(F.max(F.col("n") / F.col("all")).alias("share"))
@@ -103,13 +105,10 @@ def judged(docs: DataFrame) -> DataFrame:
     words is a parameter of bounded length and goes with the plan; other columns are not read.
     """
     words = common_words(docs)
-    d = base_counts(docs).withColumn("chars", class_counts(F.col("t")))
+    d = with_class_counts(base_counts(docs))
     if words:
-        lower = F.translate("t", *_LOWER)
-        hits = F.regexp_extract_all(lower, F.lit(r"(?<![^\x20\x09-\x0D])(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")(?![^\x20\x09-\x0D])"), F.lit(0))
-        d = d.withColumn("hits", hits)
-        counts = [(F.size("hits") - F.size(F.array_remove("hits", w))).cast("double") for w in words]
-        d = d.withColumn("common", F.array(*counts, (F.col("n_words") - F.size("hits")).cast("double")))
+        hits = F.filter(F.transform("w", lambda x: F.lower(x)), lambda x: x.isin(words))
+        d = d.withColumn("common", F.transform(F.array(hits), lambda h: F.array(*((F.size(h) - F.size(F.array_remove(h, w))).cast("double") for w in words), (F.col("n_words") - F.size(h)).cast("double")))[0])
     else:
         d = d.withColumn("common", F.array(F.col("n_words").cast("double")))
     rows = stored(d.select("doc_id", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars", "common"))
