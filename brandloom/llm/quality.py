@@ -113,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).astype("<f4").tobytes()], pa.binary())], names=["weights"])
 
     one = picked.repartition(1).sortWithinPartitions("_order", "text")
-    return np.frombuffer(one.mapInArrow(run, "weights binary").first()["weights"], "<f4")
+    found = one.mapInArrow(run, "weights binary").first()
+    return np.frombuffer(found["weights"], "<f4") if found else np.zeros((1 << HASH_BITS) + 1, np.float32)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:

@@ -121,8 +121,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).repartition(1).sortWithinPartitions("doc_id", "text").select("text")
     sample.mapInArrow(train, "hash string, bytes binary").write.parquet(f"{folder}/dictionary")
-    found = spark.read.parquet(f"{folder}/dictionary").first()
-    name, raw = found["hash"], spark.sparkContext.broadcast(bytes(found["bytes"]))
+    raw = read_dictionary(spark, folder)
+    name, raw = hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
 
 def read_dictionary(spark, folder: str) -> bytes:
+    """The dictionary, checked against its hash; empty if there were no documents to train it on."""
     found = spark.read.parquet(f"{folder}/dictionary").first()
+    if found is None:
+        return b""
     raw = bytes(found["bytes"])
     if hashlib.sha256(raw).hexdigest() != found["hash"]:
         raise ValueError("the dictionary does not have the hash that names it")
