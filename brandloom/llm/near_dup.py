@@ -4,11 +4,12 @@
 2. Similar sets form groups: sets that agree in a pair of min-hashes are compared with one
    leader, and linked sets are a group. This only makes the matrix small; it decides nothing else.
 3. The matrix lists, for each token, the groups that have it among the leading tokens of a
-   member: those of which two sets of Jaccard similarity t share one at least, in an order that
-   all sets have in common. Tokens that are frequent in a bounded sample come last in that order.
-4. A set's row of the matrix gives the groups it may be linked with; a group is opened only if
-   the set's overlap with the union of the group's tokens reaches the bound, and then its members
-   are compared with whole sets. Groups larger than GROUP_ROWS are dealt into parts.
+   member: those of which two similar sets must share so many, in an order that all sets have in
+   common. Tokens that are frequent in a bounded sample come last in that order.
+4. A set's row of the matrix counts the tokens that it shares with each group. Only groups that
+   reach the bound are asked; such a group is opened if the set's overlap with the union of all
+   its tokens reaches the bound too, and then its members are compared with whole sets. Groups
+   larger than GROUP_ROWS are dealt into parts.
 5. Links within and between groups give the connected components.
 
 Tokens are 64-bit hashes of shingles. Any order of the tokens gives the same links, so the sample
@@ -17,7 +18,6 @@ does not touch the result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,29 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from brandloom.llm.common import WORD, bounded, stored, text_of
+from brandloom.llm.common import bounded, stored, text_of
 from brandloom.llm.components import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100  # linked at this Jaccard similarity or more
-BANDS = 6
+BANDS = 4
+ROUNDS = 3  # of comparing sets with leaders
+SLACK = 20
 GROUP_ROWS = 32
-SAMPLE_DOCS = 50_000  # documents in which frequent tokens are counted, at most about as many
-SAMPLE_COUNT = 6  # documents of the sample that make a token frequent
-HOT_TOKENS = 1 << 18
+SAMPLE_DOCS = 60_000  # documents in which frequent tokens are counted, at most about as many
+SAMPLE_COUNT = 4  # documents of the sample that make a token frequent
+HOT_TOKENS = 1 << 20
 BROADCAST_IDS = 2_000_000
 LEADER_ROWS = 20_000  # sets that meet one leader in one task at most, about
 REMEMBERED = 500_000
 
-_WORDS = re.compile(WORD)
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_seen: dict[str, int] = {}
+_seen: dict[bytes, bytes] = {}
 _K = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _hash(word: str) -> int:
-    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+def _hash(word: bytes) -> bytes:
+    h = xxhash.xxh3_64_digest(word)
     if len(word) <= 40:
         if len(_seen) >= REMEMBERED:
             _seen.clear()
@@ -62,12 +62,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def tokens_of(text: str) -> np.ndarray:
-    """The ascending 64-bit hashes of the distinct shingles; of the whole if it has fewer words."""
-    words = _WORDS.findall(text.translate(_LOWER) if not text.islower() else text)
+def tokens_of(text: bytes) -> np.ndarray:
+    """The ascending 64-bit hashes of the distinct shingles; of the whole if it has fewer words.
+
+    The text is UTF-8: lower() and split() of bytes know A-Z and the six ASCII spaces only.
+    """
+    words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array([_seen.get(w) or _hash(w) for w in words], np.uint64)
+    h = np.frombuffer(b"".join([_seen.get(w) or _hash(w) for w in words]), np.uint64)
     n = max(1, len(h) - SHINGLE + 1)
     out = np.full(n, len(h) if len(h) < SHINGLE else 0, np.uint64)
     for k in range(min(SHINGLE, len(h))):
@@ -76,18 +79,23 @@ def tokens_of(text: str) -> np.ndarray:
 
 
 def leading(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The tokens of which a linked set has one at least, frequent ones last."""
+    """So many tokens, frequent ones last, that a linked set of no fewer tokens shares n // SLACK + 1 of them.
+
+    Two sets of n and m tokens are linked only if they share 0.75 of either. Then the first k
+    tokens that they share are among the first n - ceil(0.75 n) + k of the one, and likewise of
+    the other.
+    """
     n = len(tokens)
     need = -(-NUMERATOR * n // DENOMINATOR)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
         often = hot[at] == tokens
         tokens = np.concatenate([tokens[~often], tokens[often]])
-    return tokens[: n - need + 1]
+    return tokens[: n - need + 1 + n // SLACK]
 
 
 def _bands(tokens: np.ndarray) -> np.ndarray:
-    low = np.array([_mix(tokens * s).min() for s in _SEEDS], np.uint64)
+    low = np.array([(tokens * s).min() for s in _SEEDS], np.uint64)
     return _mix(low[::2] * np.uint64(31) + low[1::2] + np.arange(BANDS, dtype=np.uint64))
 
 
@@ -108,7 +116,7 @@ def frequent_tokens(docs: DataFrame, n_docs: int) -> np.ndarray:
             token, count = np.unique(t, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], names=["token", "n"])
 
-    counts = picked.select(text_of().alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = picked.select(text_of().cast("binary").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= SAMPLE_COUNT).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token")
     return np.sort(rows.toArrow().column(0).to_numpy().view(np.uint64)) if HOT_TOKENS else np.empty(0, np.uint64)
 
@@ -126,7 +134,7 @@ def _profile(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 names=["id", "n", "key", "leading", "bands"],
             )
 
-    rows = docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").alias("id"), text_of().cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, key binary, leading array<long>, bands array<long>")
 
 
@@ -178,7 +186,7 @@ def _compare(docs: DataFrame, roles: DataFrame) -> DataFrame:
             kind = batch.schema.field(3).type
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
-    texts = docs.select("doc_id", text_of().alias("text")).join(bounded(asked, BROADCAST_IDS), F.col("doc_id") == F.col("id")).select("id", "text", "roles")
+    texts = docs.select("doc_id", text_of().cast("binary").alias("text")).join(bounded(asked, BROADCAST_IDS), F.col("doc_id") == F.col("id")).select("id", "text", "roles")
     rows = texts.mapInArrow(send, f"g {kind}, part long, query int, id {kind}, tokens binary").repartition("g", "part").sortWithinPartitions("g", "part", "query")
     return rows.mapInArrow(meet, f"a {kind}, b {kind}")
 
@@ -192,12 +200,50 @@ def _common(s: np.ndarray, t: np.ndarray) -> int:
     return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
 
 
-def _leader_pairs(sets: DataFrame) -> DataFrame:
-    """Each set with the one leader it meets in most bands; a band's leader is its least id."""
-    rows = sets.select("id", "n", F.explode("bands").alias("band"))
+def _leaders(sets: DataFrame) -> DataFrame:
+    """a, b, times: each set with the leaders (least ids) of its bands."""
+    rows = sets.select("id", F.explode("bands").alias("band"))
     lead = rows.groupBy("band").agg(F.min("id").alias("b"), F.max("id").alias("last")).filter("b < last").select("band", "b")
-    met = rows.join(lead, "band").filter("id > b").groupBy("id", "b").agg(F.count("*").alias("times"))
-    return met.groupBy("id").agg(F.max_by("b", F.struct("times", "b")).alias("b")).select(F.col("id").alias("a"), "b")
+    return rows.join(lead, "band").filter("id > b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("times"))
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    """id, g, part of linked ids: the component, dealt into parts of about GROUP_ROWS."""
+    group = stored(components(links).select("id", F.col("component").alias("g")))
+    parts = group.groupBy("g").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("parts"))
+    return stored(group.join(parts, "g").select("id", "g", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")))
+
+
+def _near(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links found by comparing sets with leaders, and the groups that they make.
+
+    In each round a set meets the one leader, of another group and not met before, that it has in
+    most bands.
+    """
+    open_ = stored(_leaders(sets))
+    links = None
+    for k in range(ROUNDS):
+        lead = open_.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+        parts = lead.groupBy("b").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("parts"))
+        lead = stored(lead.join(parts, "b").select("a", "b", "parts"))
+        asks = lead.select(F.col("a").alias("id"), F.col("b").alias("g"), F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.lit(1).alias("query"))
+        leads = lead.select("b", "parts").distinct().select(F.col("b").alias("id"), F.col("b").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("query"))
+        found = _compare(docs, asks.unionByName(leads))
+        links = stored(found if links is None else links.unionByName(found))
+        group = _groups(links)
+        if k < ROUNDS - 1:
+            g = [group.select(F.col("id").alias(c), F.col("g").alias(f"g{c}")) for c in "ab"]
+            apart = ~F.coalesce("ga", "a").eqNullSafe(F.coalesce("gb", "b"))
+            open_ = stored(open_.join(lead, ["a", "b"], "left_anti").join(g[0], "a", "left").join(g[1], "b", "left").filter(apart).select("a", "b", "times"))
+    return links, group
+
+
+def _ask(docs: DataFrame, met: DataFrame, group: DataFrame) -> DataFrame:
+    """Links of the sets in met (id, g, part) with the members of those group parts."""
+    grouped = group.join(met.select("g", "part").distinct(), ["g", "part"], "left_semi").select("id", "g", "part")
+    single = met.select("g").distinct().join(group.select("g").distinct(), "g", "left_anti").select(F.col("g").alias("id"), "g", F.lit(0).cast("long").alias("part"))
+    members = grouped.unionByName(single).withColumn("query", F.lit(0))
+    return stored(_compare(docs, met.select("id", "g", "part").withColumn("query", F.lit(1)).unionByName(members)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -215,15 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = stored(rows.filter("n > 0 AND id IS NOT NULL").groupBy("key", "n").agg(F.min("id").alias("least")))
     sets = rows.filter("n > 0").join(bounded(least.select("least"), BROADCAST_IDS), F.col("id") == F.col("least"), "left_semi")
 
-    lead = _leader_pairs(sets)
-    parts = lead.groupBy("b").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("parts"))
-    lead = stored(lead.join(parts, "b"))
-    asks = lead.select(F.col("a").alias("id"), F.col("b").alias("g"), F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.lit(1).alias("query"))
-    leads = lead.select("b", "parts").distinct().select(F.col("b").alias("id"), F.col("b").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("query"))
-    near = stored(_compare(known, asks.unionByName(leads)))
-    group = components(near).select("id", F.col("component").alias("g"))
-    parts = group.groupBy("g").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("parts"))
-    group = stored(group.join(parts, "g").select("id", "g", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")))
+    near, group = _near(known, sets)
 
     # Tokens that one set has alone can't link: they go before the groups are looked up.
     token = W.partitionBy("token")
@@ -234,12 +272,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     matrix = posts.groupBy("token", "g", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     q = posts.select("token", "id", "n", F.col("g").alias("own"))
     fits = (F.col("own") < F.col("g")) & (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("least")) & (DENOMINATOR * F.col("most") >= NUMERATOR * F.col("n"))
-    met = stored(q.join(matrix, "token").filter(fits).select("id", "g", "part").distinct())
-
-    grouped = group.join(met.select("g", "part").distinct(), ["g", "part"], "left_semi").select("id", "g", "part")
-    single = met.select("g").distinct().join(group.select("g").distinct(), "g", "left_anti").select(F.col("g").alias("id"), "g", F.lit(0).cast("long").alias("part"))
-    members = grouped.unionByName(single).withColumn("query", F.lit(0))
-    links = stored(near.unionByName(_compare(known, met.withColumn("query", F.lit(1)).unionByName(members))))
+    shared = q.join(matrix, "token").filter(fits).groupBy("id", "g", "part").agg(F.count("*").alias("common"), F.min(F.least("n", "least")).alias("fewest"))
+    met = stored(shared.filter(F.col("common") > F.floor(F.col("fewest") / SLACK)).select("id", "g", "part", "common"))
+
+    # A group's best part is asked first. The others are asked only where the two are still apart.
+    first = stored(met.groupBy("id", "g").agg(F.max_by("part", F.struct("common", "part")).alias("part")))
+    links = stored(near.unionByName(_ask(known, first, group)))
+    now = _groups(links).select("id", F.col("g").alias("now"))
+    rest = met.join(first, ["id", "g", "part"], "left_anti").join(now, "id", "left").join(now.select(F.col("id").alias("g"), F.col("now").alias("then")), "g", "left")
+    rest = stored(rest.filter(~F.coalesce("now", "id").eqNullSafe(F.coalesce("then", "g"))).select("id", "g", "part"))
+    links = links.unionByName(_ask(known, rest, group))
 
     part_of = components(links)
     same = stored(least.join(part_of, F.col("id") == F.col("least"), "left").select("key", F.col("n").alias("m"), F.coalesce("component", "least").alias("component_id")))
