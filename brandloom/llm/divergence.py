@@ -8,10 +8,12 @@ language. Texts too short for a stable histogram are not judged by it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brandloom.llm.common import bounded, stored, text_of, words_of
+from brandloom.llm.common import SPACES, bounded, stored, text_of, words_of
 
 COMMON_WORDS = 64
 MIN_WORDS = 50
@@ -19,40 +21,48 @@ MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 80
 MAX_CHARS_DISTANCE = 0.26
 WORDS_BASE, WORDS_NOISE = 0.17, 1.2  # a text of n words may be WORDS_BASE + WORDS_NOISE / sqrt(n) away
 # Classes that are taken out of a text one after the other; what is left is the last class.
-CLASSES = ["[a-z]+", r"[\x20\x09-\x0D]+", "[A-Z]+", r"\p{Ll}+", r"\p{L}+", r"\p{N}+", r"[.,;:?'\"()\-]+", r"[#*$%&|<>]+", "[!]+"]
+SYMBOLS = r"[#*$%&|<>]+"
+CLASSES = ["[a-z]+", SPACES, "[A-Z]+", r"\p{Ll}+", r"\p{L}+", r"\p{N}+", r"[.,;:?'\"()\-]+", SYMBOLS, "[!]+"]
+PLACE_BITS = 30  # no text has more words
 MAX_LANGUAGES = 10_000
 
 
-def repeated_words(words: Column) -> Column:
-    """How many words lie in three-word windows that occur twice or more in the text."""
-    windows = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"), F.slice(words, 3, F.greatest(F.size(words), F.lit(1))).alias("c")), lambda w: F.xxhash64(w))
-    whole = F.slice(windows, 1, F.greatest(F.size(words) - 2, F.lit(0)))
-
-    def covered(h: Column) -> Column:
-        at = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        n = F.size(h)
+def with_repeated_words(d: DataFrame) -> DataFrame:
+    """n_repeat_words: how many words of w lie in three-word windows that occur twice or more in the text.
 
-        def twin(x: Column, i: Column, a: Column) -> Column:
-            return (F.get(a, i - 1)["h"] == x["h"]) | ((i < n - 1) & (F.get(a, i + 1)["h"] == x["h"]))
+    Windows are compared by 64-bit hashes. The low bits of a hash and the window's place make one
+    integer; sorted, these bring possible twins together, and only those are compared whole.
+    Each step is a column of its own, so that it is made once.
+    """
+    w, h, packed, twins = (F.col(c) for c in ("w", "_h", "_packed", "_twins"))
+    windows = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    d = d.withColumn("_h", F.slice(windows, 1, F.greatest(F.size(w) - 2, F.lit(0))))
+    places = F.transform(h, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("long")))
+    d = d.withColumn("_packed", F.when(F.size(F.array_distinct(h)) == F.size(h), F.slice(h, 1, 0)).otherwise(F.sort_array(places)))
 
-        places = F.transform(F.array(at), lambda a: F.sort_array(F.transform(F.filter(a, lambda x, i: F.coalesce(twin(x, i, a), F.lit(False))), lambda x: x["i"])))[0]
-        return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
+    def beside(a: Column, i: Column, same: Callable[[Column], Column]) -> Column:
+        return F.coalesce(same(F.get(a, i + 1)), F.lit(False)) | F.coalesce((i > 0) & same(F.get(a, i - 1)), F.lit(False))
 
-    # bound once; most texts have no repeated window and end at the first test
-    return F.transform(F.array(whole), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))[0].cast("long")
+    close = F.filter(packed, lambda x, i: beside(packed, i, lambda y: F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0))
+    at = F.transform(close, lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+    d = d.withColumn("_twins", F.sort_array(F.transform(at, lambda p: F.struct(F.get(h, p).alias("h"), p.alias("p")))))
+    d = d.withColumn("_places", F.sort_array(F.transform(F.filter(twins, lambda x, i: beside(twins, i, lambda y: x["h"] == y["h"])), lambda x: x["p"])))
+    start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
+    total = F.aggregate("_places", start, lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
+    return d.withColumn("n_repeat_words", total.cast("long"))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, _lang, t (the text), w (its words) and the base measures."""
+    """doc_id, _lang, t (the text), w (its words), chars (see with_class_counts) and the base measures."""
     d = docs.select("doc_id", F.col("lang").cast("string").alias("_lang"), text_of().alias("t")).withColumn("w", words_of(F.col("t")))
+    d = with_class_counts(with_repeated_words(d))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumns(
         {
             "n_words": F.size("w").cast("long"),
-            "word_chars": F.char_length(F.array_join("w", "")).cast("long"),
-            "n_symbols": (F.char_length("t") - F.char_length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long"),
+            "word_chars": (F.char_length("t") - F.get("chars", F.lit(CLASSES.index(SPACES)))).cast("long"),
+            "n_symbols": F.get("chars", F.lit(CLASSES.index(SYMBOLS))).cast("long"),
             "n_dup_lines": F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long"),
-            "n_repeat_words": repeated_words(F.col("w")),
         }
     )
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -89,8 +99,8 @@ def distance(p: Column, q: Column) -> Column:
 
 def common_words(docs: DataFrame, most: int = COMMON_WORDS) -> list[str]:
     """The words with the largest share of a language's words, lower case, most of them at most."""
-    words = docs.select(F.col("lang").cast("string").alias("_lang"), F.explode(words_of(F.lower(text_of()))).alias("word")).filter(F.col("word").rlike(r"^\p{L}+$"))
-    counts = stored(words.groupBy("_lang", "word").agg(F.count("*").alias("n")).filter("n > 1"))
+    words = docs.select(F.col("lang").cast("string").alias("_lang"), F.explode(words_of(F.lower(text_of()))).alias("word"))
+    counts = stored(words.groupBy("_lang", "word").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("word").rlike(r"^\p{L}+$")))
     total = stored(counts.groupBy("_lang").agg(F.sum("n").alias("all")))
     share = counts.join(bounded(total, MAX_LANGUAGES), counts["_lang"].eqNullSafe(total["_lang"])).filter("all >= 1000").groupBy("word").agg(F.max(F.col("n") / F.col("all")).alias("share"))
     return [r["word"] for r in share.orderBy(F.desc("share"), "word").limit(most).select("word").collect()]
@@ -105,7 +115,7 @@ def judged(docs: DataFrame) -> DataFrame:
     words is a parameter of bounded length and goes with the plan; other columns are not read.
     """
     words = common_words(docs)
-    d = with_class_counts(base_counts(docs))
+    d = base_counts(docs)
     if words:
         hits = F.filter(F.transform("w", lambda x: F.lower(x)), lambda x: x.isin(words))
         d = d.withColumn("common", F.transform(F.array(hits), lambda h: F.array(*((F.size(h) - F.size(F.array_remove(h, w))).cast("double") for w in words), (F.col("n_words") - F.size(h)).cast("double")))[0])
