@@ -1,4 +1,4 @@
-"""Hospitality fixtures: a brand, a result page, samples and drafts (our own texts)."""
+"""Invented inputs: a river boathouse with cabins, one result page about it, sampled answers and two drafts."""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,19 +9,19 @@ from brandloom.operators.visibility import CITATION, MENTION
 def brands(spark: SparkSession) -> DataFrame:
     rows = [
         {
-            "project_id": "lis", "brand_name": "Casa Ribeira Lisbon", "brand_aliases": ["Casa Ribeira"], "website": "https://www.casaribeira.com",
-            "industry": "Hospitality", "property_type": "Boutique hotel", "city": "Lisbon", "region": "Lisboa", "country": "Portugal", "country_code": "pt",
-            "brand_facts": "38 rooms\n4-minute walk to Ribeira Market\nRooftop terrace with river views\nOn-site parking available",
-            "usps": "Next to Ribeira Market\nRooftop terrace", "products": "Rooms, rooftop bar, restaurant",
-            "restricted_claims": "Cannot claim Michelin-starred\nCannot claim private beach", "words_to_avoid": "world-class, hidden gem, unforgettable",
-            "words_to_use": "thoughtfully designed, local experience", "target_customers": "Families visiting Lisbon; couples on weekend breaks; business travellers",
-            "cta_preference": "Check availability", "english_variant": "British English",
-            "competitors": [("Palacio Hotel", None, None), ("The Alfama House", None, None)],
-            "site_pages": [("Rooms & Suites", "https://www.casaribeira.com/rooms", None), ("Rooftop bar", "https://www.casaribeira.com/bar", None), ("Parking & getting here", "https://www.casaribeira.com/parking", None)],
+            "project_id": "boat", "brand_name": "Nidelva Boathouse Trondheim", "brand_aliases": ["Nidelva Boathouse"], "website": "https://nidelvaboathouse.example",
+            "industry": "Hospitality", "property_type": "Guesthouse", "city": "Trondheim", "region": "Trøndelag", "country": "Norway", "country_code": "no",
+            "brand_facts": "12 cabins above the water\nCanoe hire costs guests nothing\nSauna lit at 17 o'clock\nFree parking behind the smokehouse\n9-minute walk to Kristiansten Fortress",
+            "usps": "Canoe hire costs guests nothing", "products": "Cabins, canoe hire, sauna evenings",
+            "restricted_claims": "Cannot claim carbon-neutral\nCannot claim oldest inn", "words_to_avoid": "fairytale, bucket list",
+            "words_to_use": "slow mornings, by the river", "target_customers": "Families with small children; rowing clubs",
+            "cta_preference": "Reserve a cabin", "english_variant": "British English",
+            "competitors": [("Lerkendal Lodge", None, None), ("Solsiden Pensjonat", None, None)],
+            "site_pages": [("Our cabins", "https://nidelvaboathouse.example/cabins", None), ("Canoe trips", "https://nidelvaboathouse.example/canoes", None), ("Parking and the road in", "https://nidelvaboathouse.example/road", None)],
         },
         {
-            "project_id": "hoi", "brand_name": "Anio Boutique Hotel Hoi An", "brand_aliases": ["Anio Hotel"], "website": "https://aniohotel.com", "city": "Hoi An",
-            "industry": "Hospitality", "competitors": [("Little Hoi An Boutique Hotel", None, None), ("Allegro Hoi An", None, None)],
+            "project_id": "tea", "brand_name": "Copper Kettle Tea Rooms", "brand_aliases": ["Copper Kettle"], "website": "https://copperkettle.example", "city": "Whitby",
+            "industry": "Food", "competitors": [("Magpie Lane Bakery", None, None), ("Harbour Scones", None, None)],
         },
     ]
     names = BRAND_SCHEMA.fieldNames()
@@ -29,103 +29,105 @@ def brands(spark: SparkSession) -> DataFrame:
 
 
 ORGANIC = [
-    ("The 12 best boutique hotels in Lisbon, Portugal", "https://www.booking.com/boutique/lisbon.html", "Palacio Hotel · The Alfama House · Hotel Santa Clara · Memmo Príncipe Real"),
-    ("Where to Stay in Lisbon", "https://www.lisbonguide.example/visit/stay/", "From the award winning Palacio Hotel to Santa Clara, central areas for every budget"),
-    ("Best area to stay? : r/lisbon", "https://www.reddit.com/r/lisbon/comments/1/best/", "First time in Lisbon for work. What's a nice place to stay?"),
-    ("Find Lisbon Hotel Deals", "https://www.airline.example/hotels/lisbon", "Latest hotel deals · Hotel Santa Clara · Ribeira Market rooms"),
-    ("Lisbon Travel Guide - Hotels", "https://www.expedia.pt/Lisbon-Hotels", "Consider Palacio Hotel, The Alfama House and Hotel Santa Clara near Ribeira Market"),
+    ("Cabins and guesthouses: Trondheim", "https://www.booking.com/guesthouse/no/trondheim.html", "Lerkendal Lodge · Fjordgata Rooms"),
+    ("Rowing weekend: which cabin to rent?", "https://www.reddit.com/r/norway/comments/77/rowing/", "Eight rowers, two cars, one dog. Is Fjordgata Rooms any good?"),
+    ("A weekend by the Nidelva", "https://slowtravel.example/blog/nidelva-weekend", "We slept at Lerkendal Lodge and walked up to Kristiansten Fortress twice"),
+    ("Solsiden Pensjonat", "https://solsidenpensjonat.example/", "Ten rooms by the dock. Kristiansten Fortress is up the hill"),
 ]
-ASKS = ["What is the best area to stay in Lisbon for tourists?", "What are the best hotels with breakfast?", "Which area has quiet hotels?", "What's the most expensive hotel in Lisbon?"]
-RELATED = ["best hotels lisbon luxury", "lisbon hotels with parking", "lisbon hotels with breakfast included", "which area has quiet hotels lisbon"]
+ASKS = ["Can you swim in the Nidelva in June?", "Is there a guesthouse with breakfast near the river in Trondheim?"]
+RELATED = ["trondheim cabins with parking", "trondheim guesthouse near the river with breakfast"]
 
 
 def serp(spark: SparkSession) -> dict:
     post = "serp_id string, ord int, title string, link string, snippet string, source string"
     return {
         "serps": spark.createDataFrame(
-            [("s1", "lis", "best hotels in Lisbon", None, None, False)],
+            [("p7", "boat", "top guesthouses in Trondheim", None, None, False)],
             "serp_id string, project_id string, query string, ai_overview string, answer_snippet string, has_answer boolean",
         ),
         "organic": spark.createDataFrame(
-            [("s1", i, i, t, link, s) for i, (t, link, s) in enumerate(ORGANIC, 1)],
+            [("p7", i, i, t, link, s) for i, (t, link, s) in enumerate(ORGANIC, 1)],
             "serp_id string, ord int, position int, title string, link string, snippet string",
         ),
-        "questions": spark.createDataFrame([("s1", i, q, None) for i, q in enumerate(ASKS)], "serp_id string, ord int, question string, snippet string"),
-        "related": spark.createDataFrame([("s1", i, q) for i, q in enumerate(RELATED)], "serp_id string, ord int, text string"),
-        "forums": spark.createDataFrame([("s1", 0, "Is Lisbon good for families? - Tripadvisor", "https://forum.example/1", "We have kids", "Forum")], post),
-        "reddit": spark.createDataFrame([("s1", 0, "is lisbon a good place for families : r/travel", "https://reddit.com/2", None, "reddit.com")], post),
+        "questions": spark.createDataFrame([("p7", i, q, None) for i, q in enumerate(ASKS)], "serp_id string, ord int, question string, snippet string"),
+        "related": spark.createDataFrame([("p7", i, q) for i, q in enumerate(RELATED)], "serp_id string, ord int, text string"),
+        "forums": spark.createDataFrame([("p7", 0, "Does Trondheim suit toddlers in winter?", "https://board.example/t/4", "Two kids, one sledge", "Board")], post),
+        "reddit": spark.createDataFrame([("p7", 0, "does trondheim suit toddlers in winter", "https://reddit.com/r/norway/9", None, "reddit.com")], post),
         "places": spark.createDataFrame(
             [
-                ("s1", "local_pack", 1, 1, "Palacio Hotel & Spa", 4.5, 900), ("s1", "local_pack", 2, 2, "Casa Ribeira", 4.7, 300),
-                ("s1", "maps", 1, 1, "Hotel Santa Clara", 4.2, 150), ("s1", "maps", 2, 2, "The Alfama House", 4.1, 80),
-                ("s1", "tripadvisor", 1, 1, "Alfama House", 4.0, 60),
+                ("p7", "local_pack", 1, 1, "Nidelva Boathouse", 4.9, 41), ("p7", "local_pack", 2, 2, "Lerkendal Lodge", 3.9, 220),
+                ("p7", "maps", 1, 1, "Solsiden Pensjonat", 4.4, 75), ("p7", "maps", 2, 2, "Fjordgata Rooms", 4.0, 18),
             ],
             "serp_id string, list string, ord int, position int, title string, rating double, reviews int",
         ),
         "reviews": spark.createDataFrame(
             [
-                ("s1", 0, "Google", "Palacio Hotel", 2.0, "The room was small and noisy. Parking was expensive."),
-                ("s1", 1, "Google", "Casa Ribeira Lisbon", 5.0, "Great location and the breakfast was delicious. Staff were friendly."),
+                ("p7", 0, "Google", "Lerkendal Lodge", 1.0, "Nowhere to put the car, parking was a nightmare."),
+                ("p7", 1, "Google", "Lerkendal Lodge", 2.0, "Breakfast was cold and the bathroom dirty."),
+                ("p7", 2, "Google", "Nidelva Boathouse Trondheim", 5.0, "Lovely breakfast in a basket."),
             ],
             "serp_id string, ord int, source string, place string, rating double, text string",
         ),
     }
 
 
-WEAK = """# Best hotels in Lisbon
+# Faults: a restricted claim, a word to avoid, a misspelt brand, a rival, a figure that no fact has, American spelling,
+# no call to action, no link, and neither of the required entities.
+FAULTY = """# Trondheim guesthouses compared
 
-Casa Ribeira Lisbon is a world-class hidden gem with 55 rooms and a Michelin-starred restaurant. Casa Ribera Lisbon is the best choice.
+If you only tick one thing off your bucket list, sleep above the water. Nidelva Bothouse Trondheim rents canoes. Nidelva Boathouse Trondheim has 30 rooms, and is carbon-neutral since last spring; the gray boards are original.
 
-## Things to do
+## Elsewhere
 
-The Palacio Hotel is nice too. Our favorite spot is the city center."""
+Lerkendal Lodge stands by the stadium."""
 
-STRONG = """# Best hotels in Lisbon: why guests choose Casa Ribeira Lisbon
+SOUND = """# Guesthouses in Trondheim: a night at Nidelva Boathouse Trondheim
 
-Casa Ribeira Lisbon is a boutique hotel in Lisbon with 38 rooms, a 4-minute walk to Ribeira Market. Its rooftop terrace with river views is a thoughtfully designed local experience.
+At Nidelva Boathouse Trondheim you get one of 12 cabins above the water, and slow mornings with the window open over Trondheim. It is a 9-minute walk to Kristiansten Fortress from the door.
 
-## Where should families stay in Lisbon?
+## Is it good for families?
 
-Families like Casa Ribeira Lisbon because on-site parking is available and Ribeira Market is a 4-minute walk away. Alfama Tower is a short tram ride.
+Nidelva Boathouse Trondheim works for families with toddlers: railings are high, and free parking behind the smokehouse means a short carry. The Old Town Bridge is round the corner.
 
-## What is near the hotel?
+## What does a canoe cost?
 
-Ribeira Market and Alfama Tower are both easy to reach. See our [rooms](https://www.casaribeira.com/rooms) and [rooftop bar](https://www.casaribeira.com/bar).
+Nothing. Canoe hire costs guests nothing, so paddle under the Old Town Bridge before lunch; the [canoe page](https://nidelvaboathouse.example/canoes) tells the hours and the [cabin page](https://nidelvaboathouse.example/cabins) shows every bed. Sauna lit at 17 o'clock.
 
-Check availability for your dates and [book your stay](https://www.casaribeira.com/rooms)."""
+Reserve a cabin today, or [book now](https://nidelvaboathouse.example/cabins) for June."""
 
 
 def drafts(spark: SparkSession) -> DataFrame:
-    required = ["Ribeira Market", "Alfama Tower"]
+    required = ["Kristiansten Fortress", "Old Town Bridge"]
     return spark.createDataFrame(
-        [("weak", "lis", WEAK, "best hotels in Lisbon", required), ("strong", "lis", STRONG, "best hotels in Lisbon", required)],
+        [("faulty", "boat", FAULTY, "guesthouses in Trondheim", required), ("sound", "boat", SOUND, "guesthouses in Trondheim", required)],
         "draft_id string, project_id string, content string, keyword string, required_entities array<string>",
     )
 
 
 def _mentions(names):
-    return [(n, n, i + 1, "positive", "") for i, n in enumerate(names)]
+    return [(n, n, i + 1, "neutral", "") for i, n in enumerate(names)]
 
 
 def samples(spark: SparkSession) -> DataFrame:
-    cites = lambda pairs: [(u, "", d) for u, d in pairs]
-    little, anio, short = "Little Hoi An Boutique Hotel", "Anio Boutique Hotel Hoi An", "Anio Hotel"
+    """Five answers to two prompts, one of them failed: the brand is named in three of the four, under two names."""
+    kettle, short, bakery, scones = "Copper Kettle Tea Rooms", "Copper Kettle", "Magpie Lane Bakery", "Whitby Fudge Shop"
     rows = [
-        ("r1", 0, 0, _mentions([little, short, anio]), cites([("https://www.tripadvisor.com/x", "tripadvisor.com"), ("https://aniohotel.com/rooms", "aniohotel.com")]), None),
-        ("r1", 0, 1, _mentions([little, "La Siesta"]), cites([]), None),
-        ("r1", 1, 0, _mentions([anio, "La Siesta"]), cites([("https://www.booking.com/y", "booking.com")]), None),
-        ("r1", 1, 1, None, None, "boom"),
+        ("w1", 0, 0, _mentions([bakery, kettle, short]), [("https://copperkettle.example/menu", "", "copperkettle.example")], None),
+        ("w1", 0, 1, _mentions([bakery]), [], None),
+        ("w1", 1, 0, _mentions([short, scones]), [("https://www.booking.com/whitby", "", "booking.com"), ("https://copperkettle.example/", "", "copperkettle.example")], None),
+        ("w1", 1, 1, _mentions([kettle]), [], None),
+        ("w1", 1, 2, None, None, "no answer in time"),
     ]
     return spark.createDataFrame(rows, f"run_id string, prompt_index int, iteration int, mentions array<{MENTION}>, citations array<{CITATION}>, error string")
 
 
 def plans(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("r1", "hoi", [("p0", "seed"), ("p1", "couples")])], "run_id string, project_id string, prompts array<struct<prompt:string,angle:string>>")
+    return spark.createDataFrame([("w1", "tea", [("cream tea in Whitby", "seed"), ("tea rooms with a view", "view")])], "run_id string, project_id string, prompts array<struct<prompt:string,angle:string>>")
 
 
 def places(spark: SparkSession) -> DataFrame:
     rows = [
-        ("r1", "maps", 1, 1, "Allegro Hoi An . Little Luxury Hotel & Spa", 4.5, 10), ("r1", "maps", 2, 2, "Anio Boutique Hotel Hoi An", 4.8, 20),
-        ("r1", "maps", 3, 3, "Some Villa", 4.0, 5), ("r1", "local_pack", 1, 1, "Anio Boutique Hotel Hoi An", 4.8, 20),
+        ("w1", "maps", 1, 1, "Harbour Scones", 4.1, 310), ("w1", "maps", 2, 2, "Abbey Steps Cafe", 3.8, 12),
+        ("w1", "maps", 3, 3, "Copper Kettle Tea Rooms", 4.6, 95), ("w1", "local_pack", 1, 1, "Copper Kettle Tea Rooms", 4.6, 95),
     ]
     return spark.createDataFrame(rows, "run_id string, list string, ord int, position int, title string, rating double, reviews int")

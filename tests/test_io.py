@@ -100,34 +100,34 @@ def test_visibility_stream(spark):
         spark.readStream.schema(s.schema).parquet(f"{d}/in/*"), f"{d}/samples", f"{d}/summary", f"{d}/cp", X.brands(spark), X.plans(spark), X.places(spark)
     ).awaitTermination(300)
     run()
-    assert spark.read.parquet(f"{d}/summary").collect()[0].successful_samples == 3
-    fixed = s.filter("iteration = 0 and prompt_index = 1").withColumn("iteration", F.lit(1)).withColumn("arrived_at", F.lit(2))
+    assert spark.read.parquet(f"{d}/summary").collect()[0].successful_samples == 4
+    fixed = s.filter("iteration = 0 and prompt_index = 1").withColumn("iteration", F.lit(2)).withColumn("arrived_at", F.lit(2))
     fixed.write.parquet(f"{d}/in/2")
     run()
     r = spark.read.parquet(f"{d}/summary").collect()
-    assert len(r) == 1 and (r[0].total_samples, r[0].successful_samples) == (4, 4)
+    assert len(r) == 1 and (r[0].total_samples, r[0].successful_samples) == (5, 5)
 
 
 def test_research_inputs_and_overview(spark):
     local = json.dumps({"ai": {"customer_questions": [{"question": "q1"}], "content_angles": ["a1"]}})
     vis = json.dumps({"brand": {"ai_mention_rate": 0.5}, "businesses": [{"name": "B"}], "citation_domains": [{"domain": "d"}]})
     runs = spark.createDataFrame(
-        [("lis", "1", "local_context", "done", local, 1, None), ("lis", "2", "ai_visibility", "done", vis, 2, 0.5), ("lis", "3", "ai_visibility", "running", None, 3, None)],
+        [("boat", "1", "local_context", "done", local, 1, None), ("boat", "2", "ai_visibility", "done", vis, 2, 0.5), ("boat", "3", "ai_visibility", "running", None, 3, None)],
         "project_id string, run_id string, kind string, status string, summary string, created_at int, brand_rate double",
     )
     r = research_inputs(runs).collect()[0]
     assert r.customer_questions == ["q1"] and r.content_angles == ["a1"] and r.ai_visibility[0].leaders == ["B"]
     none = spark.createDataFrame([], "project_id string, document_id string")
-    drafts = spark.createDataFrame([("lis", "d", 80)], "project_id string, draft_id string, overall int")
-    fb = spark.createDataFrame([("lis", True)], "project_id string, apply_as_rule boolean")
-    o = {x.project_id: x for x in project_overview(X.brands(spark), none, drafts, fb, runs, none, none).collect()}["lis"]
+    drafts = spark.createDataFrame([("boat", "d", 80)], "project_id string, draft_id string, overall int")
+    fb = spark.createDataFrame([("boat", True)], "project_id string, apply_as_rule boolean")
+    o = {x.project_id: x for x in project_overview(X.brands(spark), none, drafts, fb, runs, none, none).collect()}["boat"]
     assert o.avg_score == 80 and o.visibility_rate == 0.5 and [s.done for s in o.steps] == [True, True, True, False, False, True, True, True]
 
 
 def test_recheck_stream(spark):
     d = folder()
     edits = X.drafts(spark).drop("required_entities").withColumn("edited_at", F.lit(1))
-    swapped = edits.filter("draft_id = 'weak'").withColumn("content", F.lit(X.STRONG)).withColumn("edited_at", F.lit(2))
+    swapped = edits.filter("draft_id = 'faulty'").withColumn("content", F.lit(X.SOUND)).withColumn("edited_at", F.lit(2))
     edits.write.parquet(f"{d}/in/1")
     prior = lambda: X.drafts(spark).select("draft_id", "required_entities")
     run = lambda: recheck_stream(
@@ -135,8 +135,8 @@ def test_recheck_stream(spark):
     ).awaitTermination(300)
     run()
     first = {r.draft_id: r.overall for r in spark.read.parquet(f"{d}/scores").collect()}
-    assert first["weak"] < 50 < first["strong"]
+    assert first["faulty"] < 50 < first["sound"]
     swapped.write.parquet(f"{d}/in/2")
     run()
     second = {r.draft_id: r.overall for r in spark.read.parquet(f"{d}/scores").collect()}
-    assert second == {"weak": first["strong"], "strong": first["strong"]}
+    assert second == {"faulty": first["sound"], "sound": first["sound"]}

@@ -18,48 +18,47 @@ def test_visibility(spark):
     out = visibility.visibility_summary(X.brands(spark), X.plans(spark), X.places(spark), X.samples(spark))
     b = {r.name: r for r in out["businesses"].collect()}
     s = out["summary"].collect()[0]
-    assert (s.total_samples, s.successful_samples) == (4, 3)
-    brand = b["Anio Boutique Hotel Hoi An"]
-    assert brand.role == "brand" and brand.ai_samples == 2 and abs(brand.ai_mention_rate - 2 / 3) < 1e-9
-    assert (brand.gap, brand.maps_rank, brand.local_pack_rank) == ("both", 2, 1)
+    assert (s.total_samples, s.successful_samples) == (5, 4)
+    brand = b["Copper Kettle Tea Rooms"]
+    assert brand.role == "brand" and brand.ai_samples == 3 and abs(brand.ai_mention_rate - 3 / 4) < 1e-9
+    assert (brand.gap, brand.maps_rank, brand.local_pack_rank) == ("both", 3, 1)
     assert s.brand.name == brand.name
-    assert (b["Little Hoi An Boutique Hotel"].role, b["Little Hoi An Boutique Hotel"].gap) == ("competitor", "ai_only")
-    assert b["Allegro Hoi An"].gap == "serp_only"
-    assert set(b) == {"Anio Boutique Hotel Hoi An", "Little Hoi An Boutique Hotel", "Allegro Hoi An", "La Siesta", "Some Villa"}
+    assert (b["Magpie Lane Bakery"].role, b["Magpie Lane Bakery"].gap) == ("competitor", "ai_only")
+    assert b["Harbour Scones"].gap == "serp_only"
+    assert set(b) == {"Copper Kettle Tea Rooms", "Magpie Lane Bakery", "Harbour Scones", "Whitby Fudge Shop", "Abbey Steps Cafe"}
     kinds = {r.domain: r.kind for r in out["domains"].collect()}
-    assert kinds["aniohotel.com"] == "brand site" and kinds["booking.com"] == "OTA"
+    assert kinds["copperkettle.example"] == "brand site" and kinds["booking.com"] == "OTA"
     assert [r.brand_rate for r in out["per_prompt"].orderBy("prompt_index").collect()] == [0.5, 1.0]
-    assert abs(s.avg_mentions_per_answer - 2.0) < 1e-9 and abs(s.brand_share_of_voice - 2 / 6) < 1e-9
+    # 3 + 1 + 2 + 1 names in four answers; one answer names the brand twice, which counts once
+    assert abs(s.avg_mentions_per_answer - 6 / 4) < 1e-9 and abs(s.brand_share_of_voice - 3 / 6) < 1e-9
 
 
 def test_gsc(spark):
     rows = [
-        ("hoi", 0, "anio hotel hoi an", None, 120, 900, 0.133, 1.2),
-        ("hoi", 1, "where to stay in hoi an with kids", None, 4, 800, 0.005, 9.4),
-        ("hoi", 2, "little hoi an vs anio", None, 1, 60, 0.0167, 4.1),
-        ("hoi", 3, "best boutique hotel, hoi an", None, 2, 1500, 0.0013, 14.0),
+        ("tea", 0, "copper kettle whitby opening hours", None, 50, 400, 0.125, 1.1),
+        ("tea", 1, "which tea room in whitby allows dogs", None, 3, 700, 0.0043, 8.2),
+        ("tea", 2, "copper kettle or magpie lane bakery", None, 2, 90, 0.022, 3.6),
+        ("tea", 3, "cream tea whitby", None, 4, 2100, 0.0019, 12.7),
     ]
     df = spark.createDataFrame(rows, "project_id string, ord int, query string, page string, clicks long, impressions long, ctr double, position double")
-    got = {r.query: r for r in gsc.classify_gsc(df, X.brands(spark)).collect()}
-    assert got["anio hotel hoi an"].pillar == "company"
-    kids = got["where to stay in hoi an with kids"]
-    assert kids.pillar == "customers" and "question" in kids.signals and kids.tail == "long"
-    assert got["little hoi an vs anio"].pillar == "competitors"
-    assert "striking distance" in got["best boutique hotel, hoi an"].signals
+    got = {r.ord: r for r in gsc.classify_gsc(df, X.brands(spark)).collect()}
+    assert [got[k].pillar for k in range(3)] == ["company", "customers", "competitors"]
+    assert "question" in got[1].signals and got[1].tail == "long"
+    assert "striking distance" in got[3].signals
 
 
 def test_content_plan(spark):
     rows = [
-        ("lis", 0, "casa ribeira lisbon parking", None, 5, 400, 0.0125, 3.1, "company", ["branded", "low CTR for position"], "long", 50),
-        ("lis", 1, "things to do near ribeira market", None, 1, 900, 0.001, 14.0, "customers", ["striking distance"], "long", 90),
+        ("boat", 0, "nidelva boathouse trondheim parking", None, 2, 300, 0.0067, 2.4, "company", ["branded", "low CTR for position"], "long", 40),
+        ("boat", 1, "things to do near kristiansten fortress", None, 3, 1200, 0.0025, 11.5, "customers", ["striking distance"], "long", 80),
     ]
     opps = spark.createDataFrame(
         rows, "project_id string, ord int, query string, page string, clicks long, impressions long, ctr double, position double, pillar string, signals array<string>, tail string, score long"
     )
     plan = content_plan.content_plan(opps, X.brands(spark)).orderBy("rank").collect()
     assert [r.action for r in plan] == ["local_guide", "title_meta_rewrite"]
-    assert plan[0].title == "Local Itinerary: Things to Do Near Ribeira Market" or plan[0].title.startswith("Local")
-    assert plan[1].brand_facts_to_use == ["On-site parking available"]
+    assert plan[0].title.startswith("Local")
+    assert plan[1].brand_facts_to_use == ["Free parking behind the smokehouse"]
     s = content_plan.plan_summary(opps, content_plan.content_plan(opps, X.brands(spark))).collect()[0]
     assert (s.queries, s.company, s.customers, s.competitors, s.briefs) == (2, 1, 1, 0, 2)
 
@@ -70,87 +69,86 @@ def test_serp_and_brief(spark):
     assert r.intent.primary == "Commercial investigation"
     assert r.serp_features == ["Local pack", "People Also Ask", "Discussions & forums", "Related searches"]
     names = [e.name for e in r.top_entities]
-    assert any("Santa Clara" in n for n in names) and "Lisbon" not in names and "Casa Ribeira" not in names, names
+    assert any("Kristiansten Fortress" in n for n in names) and "Trondheim" not in names and "Nidelva Boathouse" not in names, names
     assert {f.format for f in r.content_formats} >= {"OTA listing", "Forum thread"}
     gaps = {g.topic: g for g in r.missing_opportunities}
-    assert {"family", "breakfast", "parking"} <= set(gaps), gaps
+    assert {"breakfast", "parking"} <= set(gaps), gaps
     assert gaps["parking"].brand_can_answer is True
     q = r.customer_questions
-    assert q[0].sources[0] == "People Also Ask" and len(q) >= 3
-    fam = [x for x in q if "families" in x.question][0]
-    assert fam.sources == ["Forums", "Reddit"] and fam.frequency == "High" and fam.intent.startswith("Family travel")
-    assert r.brand_presence.local_pack == 2 and r.brand_presence.organic is None
+    assert len(q) >= 3 and any(x.sources[0] == "People Also Ask" for x in q[1:])
+    toddlers = q[0]  # asked twice, so it comes first
+    assert "toddlers" in toddlers.question and toddlers.sources == ["Forums", "Reddit"] and toddlers.frequency == "High" and toddlers.intent.startswith("Family travel")
+    assert r.brand_presence.local_pack == 1 and r.brand_presence.organic is None
     comp = {c.name: c for c in r.competitors}
-    assert list(comp)[:2] == ["Palacio Hotel", "The Alfama House"] and "Hotel Santa Clara" in comp
-    assert comp["The Alfama House"].maps_rank == 2 and comp["Palacio Hotel"].rating == 4.5
-    assert comp["Palacio Hotel"].weaknesses and comp["Palacio Hotel"].opportunity.startswith("Explain Casa Ribeira Lisbon's advantage on parking")
-    assert r.review_themes.reviews == 2 and r.brand_review_themes.reviews == 1
-    assert len(r.recommendations) >= 3 and r.recommendations[-1].title == "Position against Palacio Hotel"
-
-    topics = spark.createDataFrame([("lis", "s1", "Best things to do in Lisbon")], "project_id string, serp_id string, topic string")
-    b = brief.build_briefs(topics, X.brands(spark), ins, 2026).collect()[0]
+    assert list(comp)[:2] == ["Lerkendal Lodge", "Solsiden Pensjonat"] and "Fjordgata Rooms" in comp
+    assert comp["Solsiden Pensjonat"].maps_rank == 1 and comp["Lerkendal Lodge"].rating == 3.9
+    assert comp["Lerkendal Lodge"].weaknesses and comp["Lerkendal Lodge"].opportunity.startswith("Explain Nidelva Boathouse Trondheim's advantage on")
+    assert r.review_themes.reviews == 3 and r.brand_review_themes.reviews == 1
+    assert len(r.recommendations) >= 3 and r.recommendations[-1].title == "Position against Lerkendal Lodge"
+
+    topics = spark.createDataFrame([("boat", "p7", "Best things to do in Trondheim")], "project_id string, serp_id string, topic string")
+    b = brief.build_briefs(topics, X.brands(spark), ins, 2031).collect()[0]
     assert any("Famil" in a for a in b.audience)
-    assert any("Ribeira Market" in x.detail for x in b.brand_integration)
+    assert any("Kristiansten Fortress" in x.detail for x in b.brand_integration)
     assert len(b.internal_links) >= 1
     heads = [o.heading for o in b.outline]
     assert heads[0] == "Quick answer" and "FAQs" in heads and heads[-1] == "Call to action"
-    assert b.title_ideas[0] == "Best Things to Do in Lisbon (2026): A Local's Guide"
+    assert "Trondheim" in b.title_ideas[0] and "2031" in b.title_ideas[0]
     assert len(b.meta_description) <= 158
 
 
 def test_checks(spark):
-    rules = spark.createDataFrame([("lis", 1, 'Never call us a "resort"')], "project_id string, rank int, content string")
+    rules = spark.createDataFrame([("boat", 1, 'Never call us a "motel"')], "project_id string, rank int, content string")
     checks = C.check_drafts(X.drafts(spark), X.brands(spark), rules)
     rows = checks.collect()
     st = {(r.draft_id, r.check_id): r.status for r in rows}
-    weak = {k[1]: v for k, v in st.items() if k[0] == "weak"}
-    assert weak["kw-h1"] == "pass"
-    for c in ("brand-claims", "brand-avoid", "brand-names", "cta", "geo-where", "entities"):
-        assert weak[c] == "fail", c
-    for c in ("brand-competitors", "brand-figures", "brand-english"):
-        assert weak[c] == "warn", c
-    names = [r for r in rows if r.draft_id == "weak" and r.check_id == "brand-names"][0]
-    assert "Ribera" in names.detail
-    for c in ("brand-claims", "brand-avoid", "brand-names", "geo-where", "geo-why", "geo-audience", "cta", "internal-links", "entities"):
-        assert st[("strong", c)] == "pass", c
+    want = {
+        "faulty": {"kw-h1": "pass", **dict.fromkeys(("brand-claims", "brand-avoid", "brand-names", "cta", "geo-where", "entities", "internal-links"), "fail"),
+                   **dict.fromkeys(("brand-competitors", "brand-figures", "brand-english"), "warn")},
+        "sound": dict.fromkeys(("kw-h1", "brand-claims", "brand-avoid", "brand-names", "brand-competitors", "brand-figures", "brand-english", "brand-vocab", "geo-where", "geo-why",
+                                "geo-audience", "geo-faq", "cta", "internal-links", "entities"), "pass"),
+    }
+    assert {d: {c: st[d, c] for c in w} for d, w in want.items()} == want
+    detail = {r.check_id: r.detail for r in rows if r.draft_id == "faulty"}
+    assert "Bothouse" in detail["brand-names"] and "carbon-neutral" in detail["brand-claims"] and "Lerkendal Lodge" in detail["brand-competitors"]
     scores = {r.draft_id: r for r in C.score_drafts(checks).collect()}
-    assert scores["weak"].overall < 50 and scores["strong"].overall > scores["weak"].overall + 30
+    assert scores["faulty"].overall < 50 and scores["sound"].overall > scores["faulty"].overall + 30
     digest = {r.draft_id: r.issues for r in C.failed_checks(checks).collect()}
-    assert "[brand] Restricted claims" in digest["weak"]
+    assert "[brand] Restricted claims" in digest["faulty"]
 
 
 def test_reviews(spark):
-    rows = [("x", 0, 5.0, "Great location and the breakfast was delicious. Staff were friendly."), ("x", 1, 2.0, "The room was small and noisy. Parking was expensive.")]
+    rows = [("x", 0, 5.0, "We loved the breakfast basket, it was excellent."), ("x", 1, 2.0, "It was noisy all night.")]
     t = reviews.review_themes(spark.createDataFrame(rows, "k string, ord int, rating double, text string"), ["k"]).collect()
     assert ("breakfast", 1) in {(r.topic, r.polarity) for r in t} and ("noise", -1) in {(r.topic, r.polarity) for r in t}
     assert ("rooms", -1) not in {(r.topic, r.polarity) for r in t}
 
 
 def test_questions(spark):
-    rows = [("a", 0, "Is Ubud suitable for families?", "Reddit", 1), ("a", 1, "is ubud good for families", "People Also Ask", 2), ("a", 2, "Ubud hotels", "Related searches", 1)]
+    rows = [("a", 0, "Does Trondheim suit toddlers in winter?", "Reddit", 1), ("a", 1, "does trondheim suit toddlers in the winter", "People Also Ask", 2), ("a", 2, "Trondheim cabins", "Related searches", 1)]
     df = spark.createDataFrame(rows, "k string, ord int, text string, source string, weight int")
     got = questions.merge_questions(df, ["k"]).collect()
     assert len(got) == 1 and got[0].frequency == "High" and got[0].intent.startswith("Family travel")
 
 
 def test_entities(spark):
-    docs = ["Stay near Hoi An Old Town and An Bang Beach", "An Bang Beach is quiet. Hoi An Old Town is busy.", "Hoi An night market"]
+    docs = ["We walked from Kristiansten Fortress to Korsvika Beach", "Korsvika Beach is stony. Kristiansten Fortress is windy.", "a market in Trondheim"]
     df = spark.createDataFrame([("a", i, t) for i, t in enumerate(docs)], "k string, ord int, text string")
-    ctx = spark.createDataFrame([("a", ["Hoi An", "Vietnam"], [], [])], "k string, exclude array<string>, exclude_businesses array<string>, businesses array<string>")
+    ctx = spark.createDataFrame([("a", ["Trondheim", "Norway"], [], [])], "k string, exclude array<string>, exclude_businesses array<string>, businesses array<string>")
     got = {r.name: r.type for r in extract_entities(df, ["k"], ctx).collect()}
-    assert {"An Bang Beach", "Hoi An Old Town"} <= set(got) and "Hoi" not in got and "Bang Beach" not in got
-    assert got["An Bang Beach"] == "Landmark"
+    assert {"Korsvika Beach", "Kristiansten Fortress"} <= set(got) and "Trondheim" not in got and "Korsvika" not in got
+    assert got["Korsvika Beach"] == "Landmark"
 
 
 def test_knowledge(spark):
     empty = spark.createDataFrame([], "project_id string, run_id string")
     got = {r.project_id: r for r in dashboards.knowledge_score(X.brands(spark), empty, empty, empty).collect()}
-    assert got["lis"].score > 50 and "Brand documents" in got["lis"].missing
+    assert got["boat"].score > 50 and "Brand documents" in got["boat"].missing
 
 
 def test_brand_topics(spark):
     got = {(r.project_id, r.topic): r.fact for r in brand_topics(X.brands(spark)).collect()}
-    assert got[("lis", "parking")] == "On-site parking available"
+    assert got[("boat", "parking")] == "Free parking behind the smokehouse"
 
 
 def brute_leaders(items, similar):
@@ -197,7 +195,7 @@ def test_leader_rounds_equal_fold_and_brute_force(spark):
 
 def test_name_rounds_equal_brute_force(spark):
     rnd = random.Random(5)
-    toks = ["hoi", "an", "garden", "la", "siesta", "river"]
+    toks = ["old", "mill", "garden", "by", "the", "river"]
     names = sorted({" ".join(rnd.choices(toks, k=rnd.randint(1, 4))) for _ in range(60)}, key=lambda s: rnd.random())
     items = list(enumerate(names))
     df = spark.createDataFrame([("r", o, f) for o, f in items], "k string, ord long, feature string")
@@ -211,7 +209,7 @@ def test_name_rounds_equal_brute_force(spark):
 
 def test_same_business_join_equals_brute_force(spark):
     rnd = random.Random(11)
-    toks = ["hoi", "an", "garden", "la", "siesta", "hotel", "spa"]
+    toks = ["old", "mill", "garden", "by", "river", "hotel", "spa"]
     mk = lambda n: [" ".join(rnd.choices(toks, k=rnd.randint(1, 4))) for _ in range(n)]
     left, right = mk(60), mk(60)
     norm = lambda s: " ".join(t for t in s.split() if t not in ("hotel", "spa"))
