@@ -16,12 +16,15 @@ files, with its commit protocol, to any store; nothing is left on an executor.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,7 +40,8 @@ DICTIONARY_BYTES = 32 << 10
 SAMPLE_DOCS = 2_000  # documents whose ids train the dictionary, about
 SAMPLE_BYTES = 8 << 10  # of each
 MAX_BLOCKS = 1_000_000
-REMEMBERED = 400_000
+REMEMBERED = 500_000  # parts in either half of a worker's table, about
+SLICE_BYTES = 8 << 20  # of text encoded together
 
 _ADJACENT_SPACES = re.compile(r"\s\s")
 
@@ -47,32 +51,67 @@ class Encoder:
 
     A byte-level pre-tokenizer never joins a space that follows a visible character to what is
     before it, nor a line break between visible characters to anything, so the ids of a text are
-    those of its parts. Texts with other white space go to the library whole.
+    those of its parts. Texts with other white space go to the library whole. Parts that are not in
+    the table go to the library together, for many texts at once; the table has two halves, and
+    the older one, with what was not met since, goes when the younger is full.
     """
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, serialized."""
-        if "\0" in text or _ADJACENT_SPACES.search(text) or any(s in text for s in self.special):
-            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
-        parts, seen = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"), self.seen
-        new = list({p for p in parts if p not in seen})
-        if new:
-            if len(seen) + len(new) > REMEMBERED:
-                seen.clear()
-                new = list(set(parts))
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                seen[p] = self.packed(e.ids)
-        return b"".join([seen[p] for p in parts])
+    def learn(self, parts: set[str]) -> None:
+        """Bring parts into the table."""
+        seen, older, new = self.seen, self.older, []
+        for p in parts - seen.keys():
+            found = older.get(p)
+            if found is None:
+                new.append(p)
+            else:
+                seen[p] = found
+        for k in range(0, len(new), 50_000):
+            some = new[k : k + 50_000]
+            found = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+            data, at = np.array(list(chain.from_iterable(found)), self.dtype).tobytes(), 0
+            for p, ids in zip(some, found):
+                end = at + len(ids) * self.width
+                seen[p] = data[at:end]
+                at = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, serialized."""
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.older = {}, self.seen
+        split, met = [], set()
+        for text in texts:
+            if "\0" in text or _ADJACENT_SPACES.search(text) or any(s in text for s in self.special):
+                split.append(None)
+            else:
+                split.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
+                met.update(split[-1])
+        self.learn(met)
+        seen = self.seen
+        return [self.packed(self.library.encode(t, add_special_tokens=False).ids) if s is None else b"".join([seen[p] for p in s]) for t, s in zip(texts, split)]
+
+
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about SLICE_BYTES of a column of texts, a row at least."""
+    sizes, begin, size = pc.binary_length(b.column(column)).to_pylist(), 0, 0
+    for k, n in enumerate(sizes):
+        if size and size + n > SLICE_BYTES:
+            yield b.slice(begin, k - begin)
+            begin, size = k, 0
+        size += n
+    if begin < b.num_rows:
+        yield b.slice(begin)
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -115,7 +154,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, samples = _encoder(definition.value), []
         for b in batches:
-            samples += [encoder.encode(t.as_py())[:SAMPLE_BYTES] for t in b.column(0)]
+            for c in _slices(b, 0):
+                samples += [data[:SAMPLE_BYTES] for data in encoder.encode(c.column(0).to_pylist())]
         raw = train_dictionary(samples)
         yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([raw], pa.binary())], names=["hash", "bytes"])
 
@@ -138,17 +178,17 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 names=["part", "seq", "dictionary", "doc_ids", "n_tokens", "ends", "width", "payload", "total"],
             )
 
-        for b in batches:
-            for i, t in zip(b.column(0), b.column(1)):
-                data = encoder.encode(t.as_py()) + end
+        for c in (c for b in batches for c in _slices(b, 1)):
+            id_type = c.schema.field(0).type
+            for i, data in zip(c.column(0).to_pylist(), encoder.encode(c.column(1).to_pylist())):
+                data += end
                 frames.append(zstd.compress(data))
-                ids.append(i.as_py())
+                ids.append(i)
                 counts.append(len(data) // encoder.width)
                 ends.append((ends[-1] if ends else 0) + len(frames[-1]))
                 if len(ids) >= BLOCK_DOCS or sum(counts) >= BLOCK_IDS:
-                    yield block(b.schema.field(0).type)
+                    yield block(id_type)
                     seq, ids, counts, ends, frames = seq + 1, [], [], [], []
-            id_type = b.schema.field(0).type
         if ids:
             yield block(id_type)
 
