@@ -41,7 +41,7 @@ SAMPLE_DOCS = 2_000  # documents whose ids train the dictionary, about
 SAMPLE_BYTES = 8 << 10  # of each
 MAX_BLOCKS = 1_000_000
 REMEMBERED = 500_000  # parts in either half of a worker's table, about
-SLICE_BYTES = 8 << 20  # of text encoded together
+SLICE_BYTES = 4 << 20  # of text encoded together
 
 _ADJACENT_SPACES = re.compile(r"\s\s")
 
