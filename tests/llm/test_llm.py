@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -213,3 +214,20 @@ def test_exact_duplicates(docs, rows, none, bits):
             want[i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()] += 1
     assert Counter(tuple(x) for x in exact_dedup.exact_duplicates(docs, bits=bits, least=4, most=50).collect()) == want
     assert exact_dedup.exact_duplicates(none).count() == 0
+
+
+def test_token_table_forgets(monkeypatch):
+    """A table that is full at each call, long texts, other white space and special tokens change no ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = token_files.Encoder(f.read())
+    monkeypatch.setattr(token_files, "REMEMBERED", 2)
+    texts = ["", " ", "a b\nc", "a b  c", "x\0y z", "end <|endoftext|> here", "tab\tand\n\nline", "é ß 漢字", "word " * 500 + "z", "a b\nc"]
+    for k in (1, 3, len(texts)):
+        for at in range(0, len(texts), k):
+            some = texts[at : at + k]
+            assert own.encode(some) == [own.packed(library.encode(t, add_special_tokens=False).ids) for t in some]
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert [t for s in token_files._slices(batch, 0) for t in s.column(0).to_pylist()] == texts
