@@ -96,6 +96,27 @@ def test_templates(spark):
     assert all(n == len(t) for t, n in got.values())
 
 
+def test_templates_inside_main(spark):
+    """Notices and menus within the article are found by the template, though not in all pages and with no listed name."""
+
+    def page(k):
+        menu = f"<ul><li><a href='/{k}'>Go {k}</a></li></ul>"
+        extra = "<div class='k7'>Read our terms</div>" if k != 3 else ""
+        return f"<html><body><div class='x'>Top {k}</div><article>{menu}<h2>Head {k}</h2>{extra}{f'<p>Story {k} goes on</p>' * (1 + k % 2)}</article><div>Foot {k}</div></body></html>"
+
+    pages = [(k, f"http://h.example/{k}", page(k)) for k in range(8)] + [(8, "http://h.example/8", "<html><body><p>No article 8</p></body></html>"), (9, "http://h.example/1", page(1))]
+    got = {x.page_id: x.text for x in templates.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {k: f"Head {k}" + f" Story {k} goes on" * (1 + k % 2) for k in range(8)}
+    assert got == want | {8: "No article 8", 9: want[1]}
+
+
+def test_template_slots():
+    """Runs nest by position; a run that begins inside another and goes on after it crosses it."""
+    classes, sizes, crossed = {1: 7, 2: 7, 3: 8, 4: 8, 5: 0}, {7: 2, 8: 2}, set()
+    assert list(templates.slots([1, 9, 3, 9, 4, 9, 2, 9, 5, 9], classes, sizes, crossed)) == [0, 1, 1, 3, 3, 1, 1, 0, 0, 0] and not crossed
+    assert list(templates.slots([1, 3, 2, 4], classes, sizes, crossed))[:3] == [0, 1, 3] and crossed == {8}
+
+
 def test_pieces(docs, rows, none):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = Counter()
