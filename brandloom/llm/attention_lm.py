@@ -9,13 +9,12 @@ in the first window that sees enough before it.
 
 Counts cover all training texts. The FREQUENT most frequent words (a bounded list) go to the tasks;
 what a text holds besides is joined with the counts by word. The model is trained by every task on
-windows of all its training texts and averaged row by row, ROUNDS times.
+consecutive windows that cover all words of its training texts, and averaged row by row, ROUNDS times.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -139,8 +138,8 @@ def step(m: dict[str, np.ndarray], seen: dict[str, np.ndarray], x: np.ndarray, t
     m["E"][piece] -= RATE * g / np.sqrt(seen["E"][piece] + 1e-8)
 
 
-def train_on(m: dict[str, np.ndarray], lexicon: Lexicon, texts: Iterator[tuple[int, bytes]], turn: int) -> tuple[np.ndarray, int]:
-    """Train in place on a window of each text, chosen by the text's crc and the turn. Rows of E touched, windows."""
+def train_on(m: dict[str, np.ndarray], lexicon: Lexicon, texts: Iterator[bytes]) -> tuple[np.ndarray, int]:
+    """Train in place on consecutive windows that cover all words of each text and its end. Rows of E touched, windows."""
     seen = {k: np.zeros_like(v) for k, v in m.items()}
     touched, windows, batch = np.zeros(lexicon.size + 1, bool), 0, []
 
@@ -172,13 +171,13 @@ def train_on(m: dict[str, np.ndarray], lexicon: Lexicon, texts: Iterator[tuple[i
         windows += len(batch)
         batch.clear()
 
-    for crc, text in texts:
+    for text in texts:
         words = words_in(text)
-        begin = (crc * (turn + 1)) % max(1, len(words) - WINDOW + 2)
-        part = words[max(0, begin - 1) : begin + WINDOW]
-        batch.append((part, begin == 0, begin + WINDOW > len(words)))
-        if len(batch) == BATCH:
-            learn()
+        for begin in range(0, len(words) + 1, WINDOW):
+            part = words[max(0, begin - 1) : begin + WINDOW]
+            batch.append((part, begin == 0, begin + WINDOW > len(words)))
+            if len(batch) == BATCH:
+                learn()
     if batch:
         learn()
     return np.flatnonzero(touched), windows
@@ -290,8 +289,8 @@ def scores(docs: DataFrame, model_path: str) -> DataFrame:
     of_one = (1 - unseen) / np.maximum(1, in_class)  # what it gives a word for each time it occurs
 
     weights = fresh(size)
-    for turn in range(ROUNDS):
-        weights = _round(spark, rows, lexicon, weights, turn)
+    for _ in range(ROUNDS):
+        weights = _round(spark, rows, lexicon, weights)
     shared = spark.sparkContext.broadcast(weights)
     base_of_known = np.log10((known + 1) / floor)
     base_end = float(np.log10((ends + 1) / floor))
@@ -337,15 +336,14 @@ def scores(docs: DataFrame, model_path: str) -> DataFrame:
     )
 
 
-def _round(spark, rows: DataFrame, lexicon, weights: dict[str, np.ndarray], turn: int) -> dict[str, np.ndarray]:
+def _round(spark, rows: DataFrame, lexicon, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Every task trains on its training texts from the same weights; rows are averaged by windows."""
     shared = spark.sparkContext.broadcast(weights)
     names = list(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = {k: v.copy() for k, v in shared.value.items()}
-        texts = ((zlib.crc32(t.as_py()), t.as_py()) for b in batches for t in b.column(0))
-        touched, windows = train_on(m, lexicon(), texts, turn)
+        touched, windows = train_on(m, lexicon(), (t.as_py() for b in batches for t in b.column(0)))
         if windows:
             for j, name in enumerate(names):
                 at = touched if name == "E" else np.arange(len(m[name]))

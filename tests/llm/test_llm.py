@@ -213,6 +213,19 @@ def test_attention_base_scores(docs, rows):
         assert x.base_score == pytest.approx(base) and x.score < 0 and np.isfinite(x.score)
 
 
+def test_attention_trains_on_all_words(monkeypatch):
+    """Every word and the end of each text is a target once, with the word before it as input."""
+    with open(PIECES, "rb") as f:
+        own = attention_lm.Lexicon(f.read(), [b"w%d" % k for k in range(50)], np.ones(50))
+    seen, w = Counter(), attention_lm.WINDOW
+    monkeypatch.setattr(attention_lm, "step", lambda m, g, x, target, real, *_: seen.update({"targets": int(real.sum()), "ends": int((real & (target == attention_lm.END)).sum())}))
+    sizes = [0, 1, w - 1, w, w + 1, 2 * w, 5 * w + 7, 100 * w]
+    texts = [b" ".join(b"w%d" % (k % 70) for k in range(n)) for n in sizes]
+    touched, windows = attention_lm.train_on(attention_lm.fresh(own.size), own, iter(texts))
+    assert seen == {"targets": sum(sizes) + len(sizes), "ends": len(sizes)} and windows == sum(n // w + 1 for n in sizes)
+    assert {i for x in own.pieces([b"w%d" % k for k in range(70)]) for i in x} <= set(touched.tolist())
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
