@@ -37,20 +37,31 @@ SUPPORT = 0.5  # and its tokens are in this share of them
 MAX_HOSTS = 200_000
 
 # Elements and names that never hold main text, and elements that do.
-SKIP = set("head script style noscript template nav header footer aside form button select option textarea label fieldset iframe object svg canvas dialog menu".split())
+SKIP = set("head script style noscript template nav header footer aside button select option textarea label fieldset iframe object svg canvas dialog menu".split())
 RAW = set("script style textarea title noscript iframe".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 MAIN = set("article main".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIP_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|header|footer|comments?|replies|disqus|share|social|related|newsletter|subscribe|login|search|widget|pagination|skip)(?:$|[\s_-])")
+SKIP_NAMES = set(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar header footer "
+    "comment comments commentlist comment-list comments-area comment-respond respond replies disqus share social related newsletter subscribe login search widget pagination skip".split()
+)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*>", re.S)
+_MAIN_TAG = re.compile(r"<(?:article|main)\b|\brole\s*=\s*[\"']?main\b", re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _DIGITS = re.compile(r"\d+")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool, str]]:
-    """(kind, value, skipped, main, link, path) in page order; kind is tag or inline (value: role) or text (raw text)."""
+def skip_name(names: dict[str, str]) -> bool:
+    """Whether a class, an id or a role of an element is listed, as a whole word."""
+    return any(v in ("navigation", "search", "banner") if k == "role" else not SKIP_NAMES.isdisjoint(v.lower().split()) for k, v in names.items())
+
+
+def tokens(page: str, lax: bool = False) -> Iterator[tuple[str, str, bool, bool, bool, str]]:
+    """(kind, value, skipped, main, link, path) in page order; kind is tag or inline (value: role) or text (raw text).
+
+    Names skip neither html and body nor a main container; if lax, nothing outside one."""
     stack: list[tuple[str, bool, bool, bool, str]] = []
     at, n = 0, len(page)
     while at < n:
@@ -79,7 +90,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool, str]]:
                 if stack[k - 1][0] == "p":
                     del stack[k - 1 :]
             inside = main or name in MAIN or names.get("role") == "main"
-            skip = skipped or name in SKIP and not (name == "header" and main) or any(SKIP_NAME.search(v) for k, v in names.items() if k != "role" or v in ("navigation", "search", "banner"))
+            named = main or not (lax or inside or name in ("html", "body"))
+            skip = skipped or name in SKIP and not (name == "header" and main) or named and bool(names) and skip_name(names)
             above = stack[-1][4] if stack else ""
             role = above + "/" + name + "".join(f"[{_DIGITS.sub('#', v)}]" for v in sorted(names.values()))
             if name in RAW:
@@ -90,12 +102,23 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool, str]]:
         yield "tag" if name not in INLINE else "inline", role, skipped, main, link, path
 
 
-def parts(page: str) -> Iterator[tuple[int, str, bool, int, int]]:
+def parts(page: str) -> list[tuple[int, str, bool, int, int]]:
+    """The parts of a page; where a named element holds all the text or the main container, names outside it skip nothing."""
+    own = list(_parts(page, False))
+    text = [main for _, t, main, _, _ in own if t]
+    if not text or not any(text) and _MAIN_TAG.search(page):
+        more = list(_parts(page, True))
+        if not text or any(main for _, t, main, _, _ in more if t):
+            return more
+    return own
+
+
+def _parts(page: str, lax: bool) -> Iterator[tuple[int, str, bool, int, int]]:
     """(token, text, main, link, role) in page order: tags, whose text is empty, and the visible text blocks outside
     skipped elements, decoded, with whether the main container has them, how many characters are links and their role."""
     found: list[str] = []
     inside, links, where = False, 0, ""
-    for kind, value, skipped, main, link, path in chain(tokens(page), [("tag", "", False, False, False, "")]):
+    for kind, value, skipped, main, link, path in chain(tokens(page, lax), [("tag", "", False, False, False, "")]):
         if kind == "text":
             if not skipped:
                 found.append(value)
@@ -143,7 +166,7 @@ def _sequences(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [list(parts(x.as_py())) for x in b.column(2)]
+            own = [parts(x.as_py()) for x in b.column(2)]
             ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -274,7 +297,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                     tokens_, groups, *more = (b.column(c)[j].as_py() or () for c in (4, 5, 6, 7))
                     last = h, dict(zip(tokens_, groups)), Counter(groups), *map(set, more)
                 _, known, sizes, good, free = last
-                own = list(parts(x.as_py()))
+                own = parts(x.as_py())
                 text = [(t, main, k in known or slot in good) for (k, t, main, _, role), slot in zip(own, slots((y[0] for y in own), known, sizes)) if t and (k not in known or main and role in free)]
                 kept = [t for t, _, right in text if right] if known else []
                 if not kept:

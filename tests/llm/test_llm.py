@@ -110,6 +110,22 @@ def test_templates_inside_main(spark):
     assert got == want | {8: "No article 8", 9: want[1]}
 
 
+def test_template_names():
+    """Names skip whole words only, and neither the page nor its main container nor what holds it."""
+
+    def text(page, main=True):
+        return [t for _, t, inside, _, _ in templates.parts(page) if t and (inside or not main)]
+
+    for name in ("single no-sidebar", "sidebar", "with-header-fixed", "search-results", "job-search", "search"):
+        for page in ("<html class='{0}'><body><article>Story</article></body></html>", "<body class='{0}'><article>Story</article></body>", "<body><div class='{0}'><main>Story</main></div></body>", "<body><article id='{0}'>Story</article></body>"):
+            assert text(page.format(name)) == ["Story"]
+    assert text("<body class='sidebar'><p>Story</p><div class='menu'>M</div>", main=False) == ["Story"]
+    assert text("<body><form action='/'><p>Story</p><label>Name</label></form><div>Foot</div></body>", main=False) == ["Story", "Foot"]
+    for name in ("commentlist", "respond", "x Comments", "ad"):
+        assert text(f"<body><article>Story<div class='{name}'>no</div><article class='{name}'>no</article></article></body>") == ["Story"]
+    assert text("<body><main>Story</main><div class='sidebar'><article>Teaser</article></div></body>") == ["Story"]
+
+
 def test_template_slots():
     """Runs nest by position; a run that begins inside another and goes on after it crosses it."""
     classes, sizes, crossed = {1: 7, 2: 7, 3: 8, 4: 8, 5: 0}, {7: 2, 8: 2}, set()
