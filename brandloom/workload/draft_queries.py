@@ -71,9 +71,11 @@ def vector_norm_profile(spark, sf):
 def passage_search(spark, sf):
     """Best passages per test item by full text, in every language."""
     b = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), R.search_terms(F.array("text")).alias("terms"))
-    langs = D.table(spark, sf, "documents").select(F.col("lang").alias("project_id")).distinct()
-    req = b.withColumn("project_id", F.explode(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]))).join(langs, "project_id", "left_semi")
-    return R.text_topk(req, D.chunks(spark, sf), 5).select("project_id", "request_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
+    none = F.lit("\0")  # documents without a language are one of their own
+    langs = D.table(spark, sf, "documents").select(F.coalesce("lang", none).alias("project_id")).distinct()
+    chunks = D.chunks(spark, sf).withColumn("project_id", F.coalesce("project_id", none))
+    top = R.text_topk(b.crossJoin(langs), chunks, 5)
+    return top.select(F.nullif("project_id", none).alias("project_id"), "request_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def retrieved_passages(spark, sf):

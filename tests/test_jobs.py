@@ -257,3 +257,13 @@ def test_retrieve_text_fallback(spark):
     req = spark.createDataFrame([("p", "r", [("pool breakfast", None)])], "project_id string, request_id string, queries array<struct<text:string,embedding:array<float>>>")
     got = [r.chunk_id for r in retrieval.retrieve(req, chunks).orderBy("rank").collect()]
     assert got == [2, 1]
+
+
+def test_passages_in_every_language(spark, tmp_path):
+    from brandloom.workload import draft_queries
+
+    docs = [(1, "the blue boat sails home", "en"), (2, "la barca blue torna", "it"), (3, "blue without language", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "blue")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = draft_queries.passage_search(spark, str(tmp_path)).collect()
+    assert {(x.project_id, x.request_id, x.chunk_id, x["rank"]) for x in got} == {("en", 7, 10_000, 1), ("it", 7, 20_000, 1), (None, 7, 30_000, 1)}
