@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brandloom.llm import attention_lm, divergence, exact_dedup, mixing, near_dup, pieces, quality, substring_dedup, templates, token_files
+from brandloom.llm import attention_lm, centroids, divergence, exact_dedup, mixing, near_dup, packing, pieces, quality, resampling, substring_dedup, templates, token_files
 from brandloom.llm.common import new_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,6 +55,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,10 +84,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attention_lm": op8,
     "op9_quality_classifier": op9,
     "op10_exact_dedup": op10,
+    "op11_packing": op11,
+    "op12_centroids": op12,
+    "op13_resampling": op13,
     "pipeline": pipeline,
 }
 
+# Centroids of each round as rows (c, m, x): cluster, component, value; vectors as rows (r, m, x).
+_ROUND = """
+a{k} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.r, z.c, sum((v.x - z.x) * (v.x - z.x)) AS d FROM v JOIN z{k} z USING (m) GROUP BY v.r, z.c) GROUP BY r)"""
+_MOVE = """,
+z{n} AS MATERIALIZED (SELECT z.c, z.m, coalesce(s.x, z.x) AS x FROM z{k} z LEFT JOIN
+  (SELECT a.c, v.m, (sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM v JOIN a{k} a USING (r) GROUP BY a.c, v.m) s
+  ON s.c = z.c AND s.m = z.m),"""
+CENTROIDS_SQL = """
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT r, m, CAST(floor(1024 * CAST(embedding[m] AS DOUBLE)) AS BIGINT) AS x FROM e, range(1, 65) t(m)),
+f AS MATERIALIZED (
+  SELECT r, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE)))) - 1 AS c
+  FROM e QUALIFY c < 8),
+z0 AS MATERIALIZED (SELECT f.c, v.m, v.x FROM f JOIN v USING (r)),""" + "".join(_ROUND.format(k=k) + (_MOVE.format(k=k, n=k + 1) if k < 10 else "") for k in range(11)) + """,
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY m)) AS centroid_sha256 FROM z10 GROUP BY c)
+SELECT e.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM e JOIN a10 a USING (r) JOIN h ON h.c = a.c"""
+
 ORACLES: dict[str, str] = {
+    "op12_centroids": CENTROIDS_SQL,
     "op7_mixing": """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
