@@ -17,6 +17,7 @@ of two, which need no padding.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator, Sequence
 
@@ -37,44 +38,99 @@ SLICE_TOKENS = 1 << 20  # of one queue cut together
 MAX_BASES = 500_000  # rows (part, source, count) sent to all tasks; more are joined by a shuffle
 
 
+# Kinds of bytes, for boundaries at which a pre-tokenizer that tells letters, digits and
+# other signs apart always cuts: letter to digit or sign, and digit or sign (but for an apostrophe) to letter.
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _OTHER = 1, 2, 3, 4, 0
+_KIND, _LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+for _c in range(0x21, 0x7F):
+    _KIND[_c] = _LETTER if chr(_c).isalpha() else _DIGIT if chr(_c).isdigit() else _APOSTROPHE if chr(_c) == "'" else _SIGN
+    _LOWER[_c] = ord(chr(_c).lower())
+_CUT = np.zeros(32, bool)
+for _x, _y in ((_LETTER, _DIGIT), (_LETTER, _SIGN), (_LETTER, _APOSTROPHE), (_DIGIT, _LETTER), (_SIGN, _LETTER), (_DIGIT, _SIGN), (_SIGN, _DIGIT)):
+    _CUT[_x * 5 + _y] = True
+
+
+def plain_words(texts: pa.Array, special: str) -> pa.Array:
+    """The words of each text (a list array) between ASCII white space and, but where a text has
+    `special` in it, in lower case and cut between letters and other signs."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    kind = _KIND[data]
+    cut = np.append(_CUT[kind[:-1] * 5 + kind[1:]], False) if len(data) else np.zeros(0, bool)
+    cut[offsets[1:][offsets[1:] > 0] - 1] = False
+    lower = _LOWER[data]
+    odd = pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+    if odd.any():
+        odd = np.repeat(odd, np.diff(offsets))
+        cut &= ~odd
+        lower = np.where(odd, data, lower)
+    at = np.flatnonzero(cut) + 1
+    offsets += np.searchsorted(at, offsets)
+    whole = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(np.insert(lower, at, 0x20))])
+    return pc.ascii_split_whitespace(whole)
+
+
 class WordEncoder:
-    """The tokenizers library behind a bounded table of words between ASCII white space.
+    """The tokenizers library behind a bounded table of words.
 
-    For tokenizers whose pre-tokenizer drops white space, so that a text's ids are those of its
-    words; others are refused. Each distinct word of a slice is looked up once.
+    For tokenizers that lower the case, drop white space and cut between letters, digits and
+    other signs, so that a text's ids are those of its words; others are refused. Each distinct
+    word of a slice is looked up once. Unknown words of letters alone go to the library many in a
+    text, as each ends with an id that ends a word; others one by one.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_str(definition)
-        probe = [self.library.encode(x, add_special_tokens=False).ids for x in ("ab cd", "ab\n\t cd ", "ab", "cd")]
-        if not probe[0] == probe[1] == probe[2] + probe[3]:
-            raise ValueError("only tokenizers that drop white space and encode each word alone are supported")
+        vocabulary, suffix = self.library.get_vocab(), json.loads(definition)["model"].get("end_of_word_suffix")
+        self.special = os.path.commonprefix([t.content for t in self.library.get_added_tokens_decoder().values()]) or "<|"
+        probe = [self.library.encode(x, add_special_tokens=False).ids for x in ("AB\n\t cd ", "ab", "cd", "x1(Y),it's 2z", "x 1 ( y ), it 's 2 z")]
+        if not suffix or probe[0] != probe[1] + probe[2] or probe[3] != probe[4]:
+            raise ValueError("only tokenizers that lower the case, drop white space and encode each word alone are supported")
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
         self.ids, self.ends = np.empty(0, self.dtype), np.zeros(1, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.place) > REMEMBERED_WORDS or len(self.ids) > REMEMBERED_IDS:
-            self.forget()
-        new = [w for w in words if w not in self.place]
-        if not new:
-            return
-        found = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.ids = np.concatenate([self.ids, *found])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of letters, and the end of each; nothing if one is not a single word to the library."""
+        found = self.library.encode_batch_fast([" ".join(words[k : k + 200]) for k in range(0, len(words), 200)], add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], self.dtype)
+        ends = np.flatnonzero(self.final[ids]) + 1
+        return (ids, ends) if len(ends) == len(words) else None
+
+    def learn(self, new: pa.Array) -> None:
+        words = new.to_pylist()
+        letters = np.array([w.isalpha() for w in words], bool)
+        plain = [w for w in words if w.isalpha()]
+        found = self._joined(plain) if plain else None
+        if found is None:
+            letters[:], plain, found = False, [], (np.empty(0, self.dtype), np.empty(0, np.int64))
+        rest = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast([w for w, x in zip(words, letters) if not x], add_special_tokens=False)]
+        added = np.concatenate([found[0], *rest])
+        ends = np.concatenate([found[1], len(found[0]) + np.cumsum([len(x) for x in rest], dtype=np.int64)])
+        order = pa.array(np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)]))
+        self.words = pa.concat_arrays([self.words, new.take(order)])
+        self.ids = np.concatenate([self.ids, added])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, end_id after each, and the number of each."""
-        words = pc.ascii_split_whitespace(texts)
+        if len(self.words) > REMEMBERED_WORDS or len(self.ids) > REMEMBERED_IDS:
+            self.forget()
+        words = plain_words(texts, self.special)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn(distinct)
-        at = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))
+        distinct = coded.dictionary
+        at = pc.index_in(distinct, self.words)
+        if at.null_count:
+            self.learn(distinct.filter(at.is_null()))
+            at = pc.index_in(distinct, self.words)
+        at = at.to_numpy()
         begin, length = self.ends[at], self.ends[at + 1] - self.ends[at]
         code = coded.indices.to_numpy(zero_copy_only=False)
         n = length[code]

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -152,6 +153,18 @@ def test_packing_mixes_each_sequence(spark):
         assert all(abs(c["small"] - 256 * share) <= 2 for c in (full if weights is None else early))
 
 
+def test_word_encoder_equals_the_library():
+    r = random.Random(0)
+    texts = ["", "  ", " a", "It's (x)!?…, don't 'S", "Σ ΑΣ éx 1́ ≮ a≮", "<|ENDOFTEXT|> Ab,c<|endoftext|>", "\x1c a\x1cb \x85 \xa0x\u3000y", "İI ﬁ Å K", "가나 가x", "٣x9"]
+    texts += ["".join(r.choice("aB1',.é́…日<| \n(ſ") for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    with open(WORDS, encoding="utf-8") as f:
+        encoder = packing.WordEncoder(f.read())
+    for _ in range(2):  # with an empty table and a filled one
+        ids, n = encoder.encode(pa.array(texts).slice(1), 7)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [encoder.library.encode(t, add_special_tokens=False).ids + [7] for t in texts[1:]]
+
+
 def brute_clusters(vectors, k, rounds):
     kept = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
     order = sorted(kept, key=lambda r: (hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
