@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandloom.functions.lexicon import HOSPITALITY, Lexicon
-from brandloom.functions.names import any_same, first_same, normalize_name, proper_prefixes, same_norm
+from brandloom.functions.names import any_same, first_same, normalize_name, proper_prefixes
 from brandloom.functions.search import domain_kind
 from brandloom.operators.brands import brand_profile
-from brandloom.operators.leaders import FOLD_LIMIT, first_copies, leader_clusters
+from brandloom.operators.leaders import LOCAL_EDGES, leader_clusters
 from brandloom.operators.names import first_match
 from brandloom.operators.topics import top_rows
 from brandloom.session import cut_lineage
@@ -70,11 +70,21 @@ def named_businesses(samples: DataFrame, profiles: DataFrame, places: DataFrame)
 
 
 def _appearance(seen: Column) -> Column:
-    """Order-preserving key of the appearance struct (fixed-width decimal text)."""
-    return F.concat(*[F.lpad(seen[f].cast("string"), 12, "0") for f in ("g", "s0", "s1", "s2")])
+    """Order-preserving key of the appearance struct (decimal text as wide as any long)."""
+    return F.concat(*[F.lpad(seen[f].cast("string"), 19, "0") for f in ("g", "s0", "s1", "s2")])
 
 
-def mention_clusters(named: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def name_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ord_a, ord_b (ord_a < ord_b) of the same business, on normalised names: an equality
+    join of whole names with names and their whole-word prefixes, either way."""
+    every = lambda f: F.explode(F.concat(F.array(f), proper_prefixes(f)))
+    whole_a, whole_b = (x.select(*keys, F.col("ord").alias(f"ord_{s}"), F.col("feature").alias("p")) for x, s in ((a, "a"), (b, "b")))
+    cut_a, cut_b = (x.select(*keys, F.col("ord").alias(f"ord_{s}"), every(F.col("feature")).alias("p")) for x, s in ((a, "a"), (b, "b")))
+    met = whole_a.join(cut_b, [*keys, "p"]).unionByName(cut_a.join(whole_b, [*keys, "p"]))
+    return met.filter("ord_a < ord_b").select(*keys, "ord_a", "ord_b").distinct()
+
+
+def mention_clusters(named: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(run_id, name, display, cluster, business, cluster_seen): greedy first-seen
     clustering of names. ``named`` holds one row per distinct name and run."""
     named = cut_lineage(named)
@@ -84,8 +94,7 @@ def mention_clusters(named: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFram
         F.min(seen).alias("ord"), F.min_by("display", seen).alias("business")
     )
     led = leader_clusters(
-        norms.select("run_id", "ord", F.col("norm").alias("feature")), ["run_id"], same_norm,
-        lambda f: F.concat(F.array(f), proper_prefixes(f)), "string", ord_kind="string", fold_limit=fold_limit,
+        norms.select("run_id", "ord", F.col("norm").alias("feature")), ["run_id"], lambda a, b: name_pairs(a, b, ["run_id"]), local_edges=local_edges
     )
     leaders = norms.select("run_id", F.col("ord").alias("leader_ord"), F.col("norm").alias("cluster"), "business")
     cluster_of = led.join(leaders, ["run_id", "leader_ord"]).select(
@@ -115,7 +124,6 @@ def visibility_summary(
     places: DataFrame,
     samples: DataFrame,
     lexicon: Lexicon = HOSPITALITY,
-    fold_limit: int = FOLD_LIMIT,
     top_domains: int = 25,
 ) -> dict[str, DataFrame]:
     """``plans``: run_id, project_id, prompts array<struct<prompt,angle>>.
@@ -123,7 +131,7 @@ def visibility_summary(
     Returns the frames businesses, domains, per_prompt and summary."""
     profiles = run_profiles(plans, brands, lexicon)
     named = named_businesses(samples, profiles, places)
-    clusters = mention_clusters(named, fold_limit)
+    clusters = mention_clusters(named)
     ok = successful(samples)
     totals = samples.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total_samples"),

@@ -236,7 +236,7 @@ def analyse_serp(brands: DataFrame, serp: dict[str, DataFrame], lexicon: Lexicon
     coverage = topic_coverage(organic, KEY, lexicon)
     angles = competitor_angles(coverage, KEY)
     gaps = topic_gaps(subjects, topic_demand(demand_texts(subjects, serp), KEY, lexicon), coverage, counts, KEY, lexicon)
-    questions = merge_questions(question_items(serp), KEY, subjects.select(*KEY, "brand_folds"), lexicon=lexicon, bounded=True)
+    questions = merge_questions(question_items(serp), KEY, subjects.select(*KEY, "brand_folds"), lexicon=lexicon)
     questions = top_rows(questions, KEY, [F.desc("score"), "ord"], 15)
     local_titles = places.filter(F.col("list").isin("local_pack", "maps")).groupBy(*KEY).agg(F.collect_set("title").alias("businesses"))
     context = subjects.join(local_titles, KEY, "left").select(

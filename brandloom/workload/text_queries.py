@@ -10,7 +10,7 @@ from brandloom.functions import text as T
 from brandloom.functions.names import normalize_name
 from brandloom.operators.documents import corpus_budget, document_text
 from brandloom.operators.names import first_match, same_business_join
-from brandloom.operators.questions import similar_pairs, word_set
+from brandloom.operators.questions import similar_clusters, similar_pairs, word_set
 from brandloom.workload import data as D
 from brandloom.workload import sqltext as S
 
@@ -89,9 +89,10 @@ def first_listed_part(spark, sf):
 
 
 def similar_documents(spark, sf):
+    """Each document with the first document like it that leads a group."""
     d = D.table(spark, sf, "documents").select("doc_id", word_set(F.col("text")).alias("ws"))
-    p = similar_pairs(d, "doc_id", "ws", 0.5)
-    return p.select("id_a", "id_b", "copies_a", "copies_b", F.round("similarity", 6).alias("similarity"))
+    p = similar_clusters(d, "doc_id", "ws", 0.5)
+    return p.select(F.col("member").alias("doc_id"), F.col("leader").alias("leader_id"), F.round("similarity", 6).alias("similarity"), F.col("size").alias("group_size"))
 
 
 def benchmark_overlap(spark, sf):
@@ -216,8 +217,15 @@ ORACLES = {
     "first_listed_part": f"""WITH n AS (SELECT DISTINCT p_brand, p_name || ' ' || lower(p_type) AS name, {S.norm("p_name || ' ' || lower(p_type)")} AS an FROM part),
         t AS (SELECT p_brand, p_partkey AS ord, p_retailprice, {S.norm("p_name || CASE WHEN p_size > 30 THEN ' ' || lower(p_type) || ' spa' ELSE '' END")} AS bn FROM part WHERE p_size >= 10)
         SELECT n.p_brand, name, min(ord) AS ord, arg_min(t.p_retailprice, ord) AS p_retailprice FROM n LEFT JOIN t ON n.p_brand = t.p_brand AND {S.same('an', 'bn')} GROUP BY n.p_brand, name""",
-    "similar_documents": f"""WITH s AS (SELECT doc_id, {_WORDSET.format(S.content_words('text'))} AS w FROM documents), g AS (SELECT w, min(doc_id) AS id, count(*) AS c FROM s WHERE len(w) > 0 GROUP BY w)
-        SELECT * FROM (SELECT a.id AS id_a, b.id AS id_b, a.c AS copies_a, b.c AS copies_b, round({_jaccard('a.w', 'b.w')}, 6) AS similarity FROM g a JOIN g b ON a.id < b.id AND len(a.w) >= len(b.w) * 0.5 AND len(b.w) >= len(a.w) * 0.5) WHERE similarity >= 0.5""",
+    "similar_documents": f"""WITH RECURSIVE s AS (SELECT doc_id, {_WORDSET.format(S.content_words('text'))} AS w FROM documents),
+        g AS MATERIALIZED (SELECT w, min(doc_id) AS id, count(*) AS c FROM s WHERE len(w) > 0 GROUP BY w),
+        e AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b, {_jaccard('a.w', 'b.w')} AS sim FROM g a JOIN g b ON a.id < b.id AND len(a.w) >= len(b.w) * 0.5 AND len(b.w) >= len(a.w) * 0.5) WHERE sim >= 0.5),
+        n AS MATERIALIZED (SELECT g.id, row_number() OVER (ORDER BY g.id) AS r, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS before FROM g LEFT JOIN e ON e.b = g.id GROUP BY g.id),
+        walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS leaders UNION ALL
+          SELECT n.r, CASE WHEN list_has_any(walk.leaders, n.before) THEN walk.leaders ELSE list_append(walk.leaders, n.id) END FROM walk JOIN n ON n.r = walk.r + 1),
+        l AS (SELECT unnest(leaders) AS id FROM walk QUALIFY r = max(r) OVER ()),
+        f AS (SELECT g.id, coalesce(min(e.a), g.id) AS leader, coalesce(arg_min(e.sim, e.a), 1.0) AS sim, any_value(g.c) AS c, any_value(g.w) AS w FROM g LEFT JOIN (SELECT e.* FROM e JOIN l ON e.a = l.id WHERE e.b NOT IN (SELECT id FROM l)) e ON e.b = g.id GROUP BY g.id)
+        SELECT s.doc_id, f.leader AS leader_id, round(f.sim, 6) AS similarity, z.size AS group_size FROM f JOIN s ON s.w = f.w JOIN (SELECT leader, sum(c)::BIGINT AS size FROM f GROUP BY leader) z ON z.leader = f.leader""",
     "benchmark_overlap": f"""WITH i AS (SELECT item_id AS id, {_WORDSET.format(S.content_words('text'))} AS w FROM benchmark), p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents),
         d AS (SELECT doc_id * 10000 + k AS id, {_WORDSET.format(S.content_words('x'))} AS w FROM (SELECT doc_id, k, ps[k + 1] AS x FROM (SELECT *, unnest(range(len(ps))) AS k FROM p))),
         a AS (SELECT w, min(id) AS id, count(*) AS c FROM i WHERE len(w) > 0 GROUP BY w), b AS (SELECT w, min(id) AS id, count(*) AS c FROM d WHERE len(w) > 0 GROUP BY w)

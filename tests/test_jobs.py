@@ -2,13 +2,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from brandloom.functions.names import same_norm
-from brandloom.functions.text import jaccard
 from brandloom.operators import checks as C
-from brandloom.operators import gsc, questions, retrieval, reviews, visibility
+from brandloom.operators import gsc, questions, retrieval, reviews, setjoin, visibility
 from brandloom.operators.brands import brand_topics
 from brandloom.operators.entities import extract_entities
-from brandloom.operators.leaders import first_copies, leader_clusters
+from brandloom.operators.leaders import leader_clusters
 from brandloom.operators.names import first_match, same_business_join
 from brandloom.plans import brief, content_plan, dashboards, serp
 from tests import fixtures as X
@@ -173,7 +171,10 @@ def py_same(a, b):
     return a == b or (len(s) >= 5 and (long + " ").startswith(s + " "))
 
 
-def test_leader_rounds_equal_fold_and_brute_force(spark):
+WAYS = [(1000, 10_000), (1, 10_000), (1000, 1), (1, 1)]  # edges settled in one task; items from which buckets lead
+
+
+def test_set_leaders_equal_brute_force(spark):
     rnd = random.Random(3)
     words = [f"word{i}" for i in range(12)]
     sets = {"a": [], "b": []}
@@ -184,45 +185,68 @@ def test_leader_rounds_equal_fold_and_brute_force(spark):
             if f not in seen:
                 seen.add(f)
                 sets[k].append((o, list(f)))
-    df = spark.createDataFrame([(k, o, f) for k, v in sets.items() for o, f in v], "k string, ord long, feature array<string>")
-    sim = lambda x, y: jaccard(x, y) >= 0.5
-    buckets = lambda f: questions.prefix_words(f, 0.5)
-    for limit in (1000, 1):
-        got = leader_clusters(df, ["k"], sim, buckets, "array<string>", fold_limit=limit).collect()
+    df = spark.createDataFrame([(k, o, f) for k, v in sets.items() for o, f in v], "k string, ord long, words array<string>")
+    for local_edges, collapse_from in WAYS:
+        got = questions.leading_sets(df, ["k"], 0.5, local_edges, collapse_from).collect()
         for k, v in sets.items():
-            assert {r.ord: r.leader_ord for r in got if r.k == k} == brute_leaders(v, py_jaccard), (k, limit)
+            assert {r.ord: r.leader_ord for r in got if r.k == k} == brute_leaders(v, py_jaccard), (k, local_edges, collapse_from)
 
 
-def test_name_rounds_equal_brute_force(spark):
+def test_name_leaders_equal_brute_force(spark):
     rnd = random.Random(5)
     toks = ["old", "mill", "garden", "by", "the", "river"]
     names = sorted({" ".join(rnd.choices(toks, k=rnd.randint(1, 4))) for _ in range(60)}, key=lambda s: rnd.random())
     items = list(enumerate(names))
     df = spark.createDataFrame([("r", o, f) for o, f in items], "k string, ord long, feature string")
-    from brandloom.functions.names import proper_prefixes
-
-    for limit in (1000, 1):
-        got = leader_clusters(df, ["k"], same_norm, lambda f: F.concat(F.array(f), proper_prefixes(f)), "string", fold_limit=limit).collect()
+    for local_edges in (1000, 1):
+        got = leader_clusters(df, ["k"], lambda a, b: visibility.name_pairs(a, b, ["k"]), local_edges=local_edges).collect()
         assert {r.ord: r.leader_ord for r in got} == brute_leaders(items, py_same)
-    assert first_copies(df, ["k"]).count() == len(names)
-
-
-def test_same_business_join_equals_brute_force(spark):
-    rnd = random.Random(11)
-    toks = ["old", "mill", "garden", "by", "river", "hotel", "spa"]
-    mk = lambda n: [" ".join(rnd.choices(toks, k=rnd.randint(1, 4))) for _ in range(n)]
-    left, right = mk(60), mk(60)
-    norm = lambda s: " ".join(t for t in s.split() if t not in ("hotel", "spa"))
-    l = spark.createDataFrame([("k", i, n) for i, n in enumerate(left)], "k string, lid int, lname string")
-    r = spark.createDataFrame([("k", i, n) for i, n in enumerate(right)], "k string, rid int, rname string")
-    got = sorted((x.lid, x.rid) for x in same_business_join(l, r, "lname", "rname", ["k"]).collect())
-    want = sorted((i, j) for i, a in enumerate(left) for j, b in enumerate(right) if py_same(norm(a), norm(b)))
-    assert got == want
-    fm = {x.lname: x.rid for x in first_match(l, r.withColumnRenamed("rid", "ord").withColumn("rid", F.col("ord")), "lname", "rname", ["k"], ["ord"], ["rid"]).collect()}
-    for i, a in enumerate(left):
-        hits = [j for x, j in want if x == i]
-        if norm(a):
-            assert fm[a] == (min(hits) if hits else None)
+
+
+def test_one_word_in_many_dissimilar_sets(spark):
+    """One word is shared by 20,000 sets that resemble none other: all lead, and no pair is sent on."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").alias("ord"), F.array(F.lit("common"), F.concat(F.lit("own"), F.col("id").cast("string"))).alias("words"))
+    got = questions.leading_sets(df, ["k"], 0.5)
+    assert got.filter("leader_ord = ord").count() == 20_000
+    shaped = setjoin.prepared(df, ["k"], 0.5)
+    assert setjoin.candidates(shaped, shaped, ["k"], 0.5, True).count() == 0
+
+
+def test_many_alike_sets_and_a_long_chain(spark):
+    alike = [("a", i, [f"w{j}" for j in range(20)] + [f"x{i}"]) for i in range(3_000)]
+    chain = [("c", i, [f"c{i + j:05d}" for j in range(3)]) for i in range(3_000)]  # each resembles the next alone
+    df = spark.createDataFrame(alike + chain, "k string, ord long, words array<string>").repartition(4)
+    got = questions.leading_sets(df, ["k"], 0.5, collapse_from=1_000)
+    groups = {(r.k, r.leader_ord): r["count"] for r in got.groupBy("k", "leader_ord").count().collect()}
+    assert groups == {("a", 0): 3_000, **{("c", i): 2 for i in range(0, 3_000, 2)}}
+
+
+def test_cells_of_hot_words_lose_no_pair(spark):
+    rnd = random.Random(4)
+    rows = [(i, ["every", "some"] + [f"w{rnd.randint(0, 5)}" for _ in range(2)]) for i in range(120)]
+    rows = [(i, list(dict.fromkeys(w))) for i, w in rows]
+    shaped = setjoin.prepared(spark.createDataFrame(rows, "ord long, words array<string>"), [], 0.5)
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and py_jaccard(x, y)}
+    for cell in (7, 4_000):
+        assert {(r.ord_a, r.ord_b) for r in setjoin.similar(shaped, shaped, [], 0.5, cell=cell).collect()} == want
+
+
+def test_similar_clusters(spark):
+    rnd = random.Random(6)
+    words = [f"w{i:02d}" for i in range(14)]
+    rows = [(i, sorted(rnd.sample(words, rnd.randint(0, 5)))) for i in range(80)] + [(200, None), (201, ["w01", "w02"]), (202, ["w01", "w02"])]
+    df = spark.createDataFrame(rows, "id int, ws array<string>")
+    got = {r.member: (r.leader, round(r.similarity, 9), r["size"]) for r in questions.similar_clusters(df, "id", "ws", 0.5).collect()}
+    first = {}
+    for i, w in rows:
+        if w:
+            first.setdefault(tuple(w), i)
+    leader = brute_leaders([(i, list(w)) for w, i in first.items()], py_jaccard)
+    of = {i: leader[first[tuple(w)]] for i, w in rows if w}
+    sets = dict(rows)
+    j = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    assert got == {i: (l, round(j(sets[i], sets[l]), 9), sum(x == l for x in of.values())) for i, l in of.items()}
+    assert questions.similar_clusters(df.limit(0), "id", "ws", 0.5).collect() == []
 
 
 def test_similar_pairs(spark):
