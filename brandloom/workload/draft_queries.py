@@ -8,6 +8,7 @@ from brandloom import vocab as V
 from brandloom.functions.text import paragraphs
 from brandloom.operators import checks as C
 from brandloom.operators import retrieval as R
+from brandloom.operators.topics import top_rows
 from brandloom.workload import data as D
 from brandloom.workload import sqltext as S
 from brandloom.workload.text_queries import CHUNKS
@@ -72,25 +73,29 @@ def passage_search(spark, sf):
     """Best passages per test item by full text, in every language."""
     b = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), R.search_terms(F.array("text")).alias("terms"))
     none = F.lit("\0")  # documents without a language are one of their own
-    langs = D.table(spark, sf, "documents").select(F.coalesce("lang", none).alias("project_id")).distinct()
     chunks = D.chunks(spark, sf).withColumn("project_id", F.coalesce("project_id", none))
-    top = R.text_topk(b.crossJoin(langs), chunks, 5)
+    top = R.text_topk(b, chunks, 5)
     return top.select(F.nullif("project_id", none).alias("project_id"), "request_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def retrieved_passages(spark, sf):
-    """Retrieval per label: its mean vector first, test items as the text fallback."""
+    """Retrieval per label over all documents: its mean vector first, its first eight test items
+    as the text fallback; with the passages that were found."""
     e = D.table(spark, sf, "embeddings")
     dims = len(e.select("embedding").first()[0])
     mean = e.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(dims)]).alias("embedding"))
-    item = D.table(spark, sf, "benchmark").select((F.col("item_id") % 10).cast("int").alias("label"), "item_id", "text").groupBy("label").agg(F.min_by("text", "item_id").alias("text"))
-    req = mean.join(item, "label").select(
-        F.lit("en").alias("project_id"), F.col("label").alias("request_id"),
-        F.array(F.struct("text", F.when(F.col("label") % 2 == 0, F.col("embedding")).alias("embedding"))).alias("queries"),
+    items = D.table(spark, sf, "benchmark").select((F.col("item_id") % 10).cast("int").alias("label"), "item_id", "text")
+    items = top_rows(items, ["label"], ["item_id"], 8).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
+    asked = mean.join(items, "label").withColumn("embedding", F.when(F.col("label") % 2 == 0, F.col("embedding")))
+    req = asked.select(
+        F.lit("all").alias("project_id"), F.col("label").alias("request_id"),
+        F.transform("texts", lambda t: F.struct(t.alias("text"), F.col("embedding").alias("embedding"))).alias("queries"),
     )
-    d = D.table(spark, sf, "documents").filter(F.col("lang") == "en")
-    chunks = d.join(e, d.doc_id == e.vec_id, "left").select(F.lit("en").alias("project_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "embedding")
-    return R.retrieve(req, chunks).select("request_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
+    d = D.table(spark, sf, "documents")
+    chunks = d.join(e, d.doc_id == e.vec_id, "left").select(F.lit("all").alias("project_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"), "embedding")
+    documents = d.select(F.lit("all").alias("project_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("title"), F.col("lang").alias("category"))
+    found = R.with_passages(R.retrieve(req, chunks), chunks, documents)
+    return found.select("request_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank", "title", "category", F.md5("content").alias("content_md5"))
 
 
 def draft_search_texts(spark, sf):
@@ -233,7 +238,7 @@ def terms(x: str) -> str:
 
 
 TOKENS = "tokens AS (SELECT project_id, chunk_id, token, count(*) AS n FROM (SELECT project_id, chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS token FROM chunks) GROUP BY ALL)"
-_RANK = "round(sum(list_sum(list_transform(range(1, least(n, 256) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685::DOUBLE) / max(nt), 9)"
+_RANK = "sum(round(list_sum(list_transform(range(1, least(n, 256) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685::DOUBLE * 1000000000000)::BIGINT)::DOUBLE / 1000000000000 / max(nt)"
 
 ORACLES = {
     "seo_checks": f"{check_rows(('seo', SEO))} SELECT draft_id, check_id, status, wc AS word_count FROM checks",
@@ -243,20 +248,22 @@ ORACLES = {
     "draft_scores": f"""{check_rows(('seo', SEO), ('geo', GEO), ('brand', BRAND), ('conversion', CONVERSION))}, sc AS (SELECT draft_id, {_AREA} FROM checks GROUP BY draft_id)
         SELECT *, floor(seo * 0.3::DOUBLE + geo * 0.25::DOUBLE + brand * 0.3::DOUBLE + conversion * 0.15::DOUBLE + 0.5)::BIGINT AS overall FROM sc""",
     "open_issues": f"{check_rows(('seo', SEO), ('conversion', CONVERSION))} SELECT draft_id, count(*) FILTER (area = 'seo') AS seo, count(*) FILTER (area = 'conversion') AS conversion, count(*)::INT AS lines FROM checks WHERE status <> 'pass' GROUP BY draft_id",
-    "label_neighbours": f"""WITH {_MEAN}, s AS (SELECT label AS query_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], m), 9) AS sim FROM means, (SELECT vec_id, embedding FROM embeddings))
+    "label_neighbours": f"""WITH {_MEAN}, s AS (SELECT label AS query_id, vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], m) AS sim FROM means, (SELECT vec_id, embedding FROM embeddings))
         SELECT query_id, chunk_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 10""",
     "vector_norm_profile": f"WITH {_MEAN} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], m), 6) AS similarity FROM embeddings JOIN means USING (label)",
     "passage_search": f"""WITH {CHUNKS}, {TOKENS}, q AS (SELECT item_id AS request_id, {terms('text')} AS ts FROM benchmark), w AS (SELECT request_id, len(ts) AS nt, unnest(ts) AS token FROM q),
         s AS (SELECT project_id, request_id, chunk_id, {_RANK} AS sim FROM w JOIN tokens USING (token) GROUP BY ALL)
         SELECT project_id, request_id, chunk_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY project_id, request_id ORDER BY sim DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 5""",
-    "retrieved_passages": f"""WITH {_MEAN}, item AS (SELECT (item_id % 10)::INT AS label, arg_min(text, item_id) AS text FROM benchmark GROUP BY 1), req AS (SELECT label, text, CASE WHEN label % 2 = 0 THEN m END AS m, {terms('text')} AS ts FROM means JOIN item USING (label)),
-        chunks AS (SELECT 'en' AS project_id, doc_id AS chunk_id, text AS content, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE lang = 'en'), {TOKENS},
-        near AS (SELECT label, chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], m), 9) AS sim, row_number() OVER (PARTITION BY label ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], m), 9) DESC, chunk_id) AS r FROM req, chunks WHERE m IS NOT NULL AND embedding IS NOT NULL QUALIFY r <= 6),
+    "retrieved_passages": f"""WITH {_MEAN}, item AS (SELECT label, array_to_string(list(text ORDER BY item_id)[1:8], ' ') AS text FROM (SELECT (item_id % 10)::INT AS label, * FROM benchmark) GROUP BY 1),
+        req AS (SELECT label, text, CASE WHEN label % 2 = 0 THEN m END AS m, {terms('text')} AS ts FROM means JOIN item USING (label)),
+        chunks AS (SELECT 'all' AS project_id, doc_id AS chunk_id, text AS content, embedding, source, lang FROM documents LEFT JOIN embeddings ON doc_id = vec_id), {TOKENS},
+        near AS (SELECT label, chunk_id, list_cosine_similarity(embedding::DOUBLE[], m) AS sim, row_number() OVER (PARTITION BY label ORDER BY list_cosine_similarity(embedding::DOUBLE[], m) DESC, chunk_id) AS r FROM req, chunks WHERE m IS NOT NULL AND embedding IS NOT NULL QUALIFY r <= 6),
         few AS (SELECT label, ts FROM req WHERE (SELECT count(*) FROM near n WHERE n.label = req.label) < 7),
         scored AS (SELECT label, chunk_id, {_RANK} AS sim FROM (SELECT label, len(ts) AS nt, unnest(ts) AS token FROM few) JOIN tokens USING (token) GROUP BY ALL),
         txt AS (SELECT label, chunk_id, least(sim, 0.5::DOUBLE) AS sim, row_number() OVER (PARTITION BY label ORDER BY sim DESC, chunk_id) AS r FROM scored QUALIFY r <= 14),
-        merged AS (SELECT label, chunk_id, max(sim) AS sim, min(seen) AS seen FROM (SELECT label, chunk_id, sim, (0, r) AS seen FROM near UNION ALL SELECT label, chunk_id, sim, (8, r) FROM txt) GROUP BY ALL)
-        SELECT label AS request_id, chunk_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY label ORDER BY sim DESC, seen, chunk_id)::INT AS rank FROM merged QUALIFY rank <= 14""",
+        merged AS (SELECT label, chunk_id, max(sim) AS sim, min(seen) AS seen FROM (SELECT label, chunk_id, sim, (0, r) AS seen FROM near UNION ALL SELECT label, chunk_id, sim, (8, r) FROM txt) GROUP BY ALL),
+        best AS (SELECT label, chunk_id, sim, row_number() OVER (PARTITION BY label ORDER BY sim DESC, seen, chunk_id)::INT AS rank FROM merged QUALIFY rank <= 14)
+        SELECT label AS request_id, chunk_id, round(sim, 6) AS similarity, rank, source AS title, lang AS category, md5(content) AS content_md5 FROM best JOIN chunks USING (chunk_id)""",
     "draft_search_texts": f"""WITH p AS (SELECT doc_id, list_concat(['T' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' — ' || source ELSE '' END], list_transform(list_filter({S.paragraphs("replace(text, chr(10), chr(10) || chr(10))")}, lambda p: length(p) > 40)[1:7], lambda p: left(p, 600))) AS qs FROM documents)
         SELECT doc_id, len(qs)::INT AS n, md5(array_to_string(qs, '|')) AS texts_md5 FROM p""",
 }

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brandloom.operators import checks as C
@@ -263,14 +265,80 @@ def test_similar_pairs(spark):
     assert got == want
 
 
-def test_retrieval_blocks_equal_shared(spark):
+def test_vector_topk_equals_brute_force(spark):
     rnd = random.Random(1)
-    vec = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
-    chunks = spark.createDataFrame([("p", i, f"pool {i}", vec()) for i in range(200)], "project_id string, chunk_id long, content string, embedding array<float>")
-    qs = spark.createDataFrame([("p", f"q{i}", vec()) for i in range(7)], "project_id string, query_id string, embedding array<float>")
-    a = {tuple(r) for r in retrieval.vector_topk(qs, chunks, 5).collect()}
-    b = {tuple(r) for r in retrieval.vector_topk(qs, chunks, 5, max_shared=2).collect()}
-    assert a == b and len(a) == 35
+    hubs = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(5)]
+    vec = lambda: [x + rnd.gauss(0, 0.1) for x in rnd.choice(hubs)]
+    chunks = [(rnd.choice("pq"), i, vec()) for i in range(300)]
+    chunks += [("p", 300 + i, hubs[0]) for i in range(30)] + [("p", 400, None), ("p", 401, [0.0] * 8)]  # ties, no vector, no direction
+    queries = [(p, f"{p}{i}", vec()) for p in "pq" for i in range(6)] + [("p", "hub", hubs[0]), ("p", "none", None), ("p", "zero", [0.0] * 8), ("r", "r0", vec())]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = set()
+    for p, q, v in queries:
+        if v and any(v):
+            near = sorted((round(-cos(v, x), 12), c) for o, c, x in chunks if o == p and x and any(x))[:5]
+            want |= {(p, q, c, k + 1) for k, (_, c) in enumerate(near)}
+    c = spark.createDataFrame(chunks, "project_id string, chunk_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(queries, "project_id string, query_id string, embedding array<double>")
+    for slice_bytes, pivots in ((1 << 20, 64), (200, 3)):
+        got = retrieval.vector_topk(q, c, 5, slice_bytes, pivots).collect()
+        assert {(r.project_id, r.query_id, r.chunk_id, r["rank"]) for r in got} == want
+    assert retrieval.vector_topk(q.limit(0), c, 5).collect() == [] and retrieval.vector_topk(q, c.limit(0), 5).collect() == []
+
+
+def test_groups_that_cannot_hold_a_neighbour_are_not_compared():
+    hubs = np.eye(8)
+    chunks = np.vstack([h + 0.01 for h in hubs for _ in range(50)])
+    chunks /= np.sqrt((chunks**2).sum(axis=1, keepdims=True))
+    nearest = retrieval._Nearest(np.array(["q"]), hubs[:1], hubs, 5)
+    seen = []
+    offer = nearest._offer
+    nearest._offer = lambda i, rows, *rest: (seen.append(len(rows)), offer(i, rows, *rest))
+    nearest.add(np.arange(400), chunks)
+    assert seen == [50] and [c for _, c in nearest.found[0]] == [0, 1, 2, 3, 4]
+
+
+def brute_text_topk(requests, chunks, k):
+    weight = [0.0]
+    for i in range(1, 257):
+        weight.append(weight[-1] + 0.1 / (i * i))
+    weight = [round(w / 1.64493406685 * 10**12) for w in weight]
+    out = set()
+    for project, request, terms in requests:
+        for p in {c[0] for c in chunks} if project is None else {project}:
+            scores = []
+            for owner, cid, text in chunks:
+                n = Counter(text.split()) if owner == p else {}
+                score = sum(weight[min(n[t], 256)] for t in terms if n and n[t])
+                if score:
+                    scores.append((-score, cid))
+            out |= {(p, request, c, r + 1) for r, (_, c) in enumerate(sorted(scores)[:k])}
+    return out
+
+
+def test_text_topk_equals_brute_force(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    heavy = [1 / (i + 1) for i in range(40)]  # some words are everywhere
+    chunks = [(rnd.choice("pq"), i, " ".join(rnd.choices(words, heavy, k=rnd.randint(1, 30)))) for i in range(250)]
+    chunks += [("p", 250, " ".join(words)), ("p", 251, "w0 " * 400)]
+    requests = [(p, f"{p}{i}", rnd.sample(words, rnd.randint(1, 12))) for p in "pq" for i in range(8)] + [("p", "rare", ["nowhere"]), ("p", "all", words)]
+    c = spark.createDataFrame(chunks, "project_id string, chunk_id long, content string").repartition(3)
+    q = spark.createDataFrame(requests, "project_id string, request_id string, terms array<string>")
+    rank = lambda df: {(r.project_id, r.request_id, r.chunk_id, r["rank"]) for r in df.collect()}
+    for k in (1, 4):
+        want = brute_text_topk(requests, chunks, k)
+        assert rank(retrieval.text_topk(q, c, k)) == want
+        assert rank(retrieval.text_topk(q, None, k, retrieval.token_index(c))) == want
+        assert rank(retrieval.text_topk(q.drop("project_id"), c, k)) == brute_text_topk([(None, r, t) for _, r, t in requests], chunks, k)
+
+
+def test_passages_of_hits(spark):
+    hits = spark.createDataFrame([("p", "r", 2, 1), ("p", "s", 2, 1), ("p", "s", 1, 2)], "project_id string, request_id string, chunk_id long, rank int")
+    chunks = spark.createDataFrame([("p", 1, 10, "one"), ("p", 2, 11, "two"), ("q", 2, 10, "other"), ("p", 3, 10, "three")], "project_id string, chunk_id long, document_id long, content string")
+    documents = spark.createDataFrame([("p", 10, "Ten", "menu"), ("q", 10, "Other", None)], "project_id string, document_id long, title string, category string")
+    got = {(r.request_id, r.chunk_id, r.content, r.title, r.category) for r in retrieval.with_passages(hits, chunks, documents).collect()}
+    assert got == {("r", 2, "two", None, None), ("s", 2, "two", None, None), ("s", 1, "one", "Ten", "menu")}
 
 
 def test_retrieve_text_fallback(spark):
