@@ -13,7 +13,7 @@ from brandloom import vocab as V
 from brandloom.functions.regex import trim_ws
 from brandloom.functions.text import drop_accents
 from brandloom.operators.topics import top_rows
-from brandloom.session import cut_lineage
+from brandloom.session import cut_lineage, stored
 
 #: Bytes of query vectors sent to the tasks at once; more queries take more passes over the chunks.
 SLICE_BYTES = 32 << 20
@@ -176,7 +176,7 @@ def text_topk(requests: DataFrame, chunks: DataFrame | None, k: int, index: Data
     for candidates, only looked up for the chunks that the other words found."""
     by = ["project_id"] if "project_id" in requests.columns else []
     wanted = requests.select(*by, "request_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("token"))
-    index = cut_lineage(token_index(chunks, wanted.select("token").distinct()) if index is None else index)
+    index = stored(token_index(chunks, wanted.select("token").distinct())) if index is None else index
     index = index.withColumn("weight", word_weight(F.col("n"))).select("project_id", "token", "chunk_id", "weight")
     known = index.groupBy("project_id", "token").agg(F.count(F.lit(1)).alias("chunks"), F.max("weight").alias("most"))
     at = ["project_id", "request_id"]
@@ -195,7 +195,7 @@ def text_topk(requests: DataFrame, chunks: DataFrame | None, k: int, index: Data
     terms = cut_lineage(terms.join(bar, at, "left").withColumn("bar", F.coalesce("bar", F.lit(0).cast("long"))).withColumn("opens", F.col("upto") >= F.col("bar")))
     rest = terms.groupBy(*at).agg(F.first("bar").alias("bar"), F.first("n_terms").alias("n_terms"), F.coalesce(F.max(F.when(~F.col("opens"), F.col("upto"))), F.lit(0)).alias("rest"))
     found = scored(terms.filter("opens")).join(rest, at).filter(F.col("score") + F.col("rest") >= F.col("bar"))
-    found = cut_lineage(found)
+    found = stored(found)
     asked = found.select(*at, "chunk_id").join(terms.filter(~F.col("opens")).select(*at, "token"), at)
     more = asked.join(index, ["project_id", "token", "chunk_id"]).groupBy(*at, "chunk_id").agg(F.sum("weight").alias("more"))
     whole = found.join(more, [*at, "chunk_id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0)))

@@ -90,9 +90,9 @@ def mention_clusters(named: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFr
     named = cut_lineage(named)
     seen = _appearance(F.col("seen"))
     # One row per distinct norm, ordered by its first appearance.
-    norms = named.filter(F.col("norm") != "").groupBy("run_id", "norm").agg(
+    norms = cut_lineage(named.filter(F.col("norm") != "").groupBy("run_id", "norm").agg(
         F.min(seen).alias("ord"), F.min_by("display", seen).alias("business")
-    )
+    ))
     led = leader_clusters(
         norms.select("run_id", "ord", F.col("norm").alias("feature")), ["run_id"], lambda a, b: name_pairs(a, b, ["run_id"]), local_edges=local_edges
     )
