@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from brandloom import vocab as V
 from brandloom.functions.lexicon import HOSPITALITY, Lexicon
-from brandloom.functions.search import sentiment
+from brandloom.functions.names import normalize_name, same_norm
+from brandloom.functions.search import empty_array, sentiment
 from brandloom.functions.text import ellipsis, sentences
+from brandloom.operators.names import first_match
 from brandloom.operators.topics import top_rows
 
 
@@ -47,3 +49,44 @@ def review_themes(
     return ranked.join(examples, [*keys, "polarity", "topic"]).select(
         *keys, "polarity", "rank", "topic", lexicon.label_of(F.col("topic")).alias("label"), "count", "examples"
     )
+
+
+#: Place list and the label of the reviews that belong to it.
+REVIEW_SOURCES = {"maps": "Google", "tripadvisor": "Tripadvisor"}
+
+
+def review_targets(subjects: DataFrame, places: DataFrame, keys: list[str], lookups: DataFrame | None = None, rivals: int = 2) -> DataFrame:
+    """Which places' reviews to read: for the brand (target 0) and its first ``rivals`` competitors
+    the first place of the same business in each list. ``subjects``: keys, brand_name,
+    competitor_names. ``places``: keys, list, ord, title, ref (the id reviews are asked by).
+
+    ``lookups``: keys, name, list, ord, title, ref of places found by a search for one name; they
+    count where the list itself has none, on Maps the first of them even under another name.
+    Returns keys, target, name, source, title, ref; a place without a ref gives no row."""
+    listed = F.concat(F.array("brand_name"), F.slice(F.coalesce("competitor_names", empty_array()), 1, rivals))
+    targets = subjects.select(*keys, F.posexplode(listed).alias("target", "name")).filter(F.col("name") != "")
+    lists = tuple(REVIEW_SOURCES)
+    hits = first_match(targets.select(*keys, "name"), places, "name", "title", keys, ["ord"], ["ord", "title", "ref"], by="list", values=lists)
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("list"), F.col(f"{v}_ord").isNotNull().alias("found"), F.col(f"{v}_title").alias("title"), F.col(f"{v}_ref").alias("ref")) for v in lists]))
+    hits = hits.select(*keys, "name", each.alias("h")).select(*keys, "name", "h.*")
+    found = hits.filter("found").drop("found")
+    if lookups is not None:
+        open_ = hits.filter(~F.col("found")).select(*keys, "name", "list")
+        same = same_norm(normalize_name(F.col("title")), normalize_name(F.col("name")))
+        asked = lookups.join(open_, [*keys, "name", "list"], "left_semi").withColumn("other", ~same).filter((F.col("list") == "maps") | ~F.col("other"))
+        first = asked.groupBy(*keys, "name", "list").agg(F.min(F.struct("other", "ord", "title", "ref")).alias("f"))
+        found = found.unionByName(first.select(*keys, "name", "list", "f.title", "f.ref"))
+    label = F.create_map(*[F.lit(x) for kv in REVIEW_SOURCES.items() for x in kv])
+    return (
+        targets.join(found.filter(F.coalesce("ref", F.lit("")) != ""), [*keys, "name"])
+        .select(*keys, "target", "name", F.element_at(label, F.col("list")).alias("source"), "title", "ref")
+    )
+
+
+def chosen_reviews(targets: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFrame:
+    """The reviews of the targets' places: keys, source, place, target (the first that chose the
+    place), ord, rating, text. A place that several targets chose, and a review that a place
+    lists twice, counts once."""
+    chosen = targets.groupBy(*keys, "source", F.col("title").alias("place")).agg(F.min("target").alias("target"))
+    once = reviews.groupBy(*keys, "source", "place", "text").agg(F.min(F.struct("ord", "rating")).alias("f"))
+    return once.join(chosen, [*keys, "source", "place"]).select(*keys, "source", "place", "target", "f.ord", "f.rating", "text")

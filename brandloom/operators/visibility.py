@@ -15,6 +15,8 @@ from brandloom.operators.topics import top_rows
 from brandloom.session import cut_lineage
 
 MENTION = "struct<name:string,canonical:string,position:int,sentiment:string,context:string>"
+#: Places of the Maps list that are shown beside the answers.
+TOP_PLACES = 10
 CITATION = "struct<url:string,title:string,domain:string>"
 
 
@@ -60,7 +62,9 @@ def named_businesses(samples: DataFrame, profiles: DataFrame, places: DataFrame)
     )
     own = profiles.select("run_id", F.col("brand_name").alias("name"), seq(1).alias("seen"))
     rivals = profiles.select("run_id", F.posexplode("competitor_names").alias("i", "name")).select("run_id", "name", seq(2, F.col("i")).alias("seen"))
-    listed = places.filter((F.col("list") == "local_pack") | ((F.col("list") == "maps") & (F.col("ord") <= 10)))
+    # The first ten of the list, however its reader counts: ord is 0-based in one and 1-based in another.
+    first = places.filter(F.col("list") == "maps").groupBy("run_id").agg(F.min("ord").alias("_first"))
+    listed = places.join(first, "run_id", "left").filter((F.col("list") == "local_pack") | ((F.col("list") == "maps") & (F.col("ord") < F.col("_first") + TOP_PLACES)))
     local = listed.select("run_id", F.col("title").alias("name"), seq(3, F.when(F.col("list") == "maps", 0).otherwise(1), F.col("ord")).alias("seen"))
     every = mentioned.unionByName(own).unionByName(rivals).unionByName(local)
     firsts = every.groupBy("run_id", "name").agg(F.min("seen").alias("seen"))

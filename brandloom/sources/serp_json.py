@@ -16,6 +16,7 @@ DOCUMENT = (
     f"local_results string, discussions_and_forums array<{RESULT}>, ai_overview struct<text_blocks:array<struct<snippet:string,list:array<struct<snippet:string>>>>>, "
     "answer_box struct<title:string,snippet:string,answer:string>"
 )
+TRIPADVISOR_PLACES = "array<struct<title:string,place_id:string,rating:double,reviews:double,link:string,location:string,place_type:string>>"
 REVIEW = "struct<title:string,snippet:string,rating:double,date:string,extracted_snippet:struct<original:string>>"
 
 
@@ -99,6 +100,13 @@ def map_places(docs: DataFrame, limit: int = 20) -> DataFrame:
     return _rows(d, F.col("places"), limit, *place_fields()).withColumn("list", F.lit("maps"))
 
 
+def tripadvisor_places(docs: DataFrame, limit: int | None = 15) -> DataFrame:
+    """``docs``: serp_id, places (array of the search's place objects)."""
+    d = docs.select("serp_id", F.from_json(F.to_json("places"), TRIPADVISOR_PLACES).alias("places"))
+    fields = [_text("r.title").alias("title"), _text("r.place_id").alias("place_id"), F.col("r.rating").alias("rating"), F.col("r.reviews").cast("long").alias("reviews"), "r.link", "r.location", F.col("r.place_type").alias("type")]
+    return _rows(d, F.col("places"), limit, *fields).withColumn("list", F.lit("tripadvisor"))
+
+
 def map_reviews(docs: DataFrame, limit: int = 10) -> DataFrame:
     """``docs``: serp_id, place, reviews array. Text is the snippet or its original."""
     text = F.coalesce("r.snippet", "r.extracted_snippet.original", F.lit(""))

@@ -11,7 +11,7 @@ from brandloom.functions.text import citation_domain
 from brandloom.operators import visibility as VIS
 from brandloom.operators.entities import entity_candidates, extract_entities
 from brandloom.operators.questions import merge_questions
-from brandloom.operators.reviews import review_themes
+from brandloom.operators.reviews import chosen_reviews, review_targets, review_themes
 from brandloom.operators.topics import competitor_angles, result_counts, topic_coverage, topic_demand, topic_gaps
 from brandloom.plans import brief, serp as P
 from brandloom.workload import data as D
@@ -93,6 +93,19 @@ def rival_names(spark, sf):
     return P.competitor_names(subjects, f["places"]).select("serp_id", F.array_join("names", "|").alias("names"))
 
 
+def reviewed_places(spark, sf):
+    """Places whose reviews are read for the brand and two rivals of each result page, and how many there are."""
+    f = serp_frames(spark, sf)
+    subjects = P.serp_subjects(f["serps"], D.brands(spark), D.PROSE_WORDS)
+    first = [F.min_by("title", F.when(F.col("list") == v, F.col("ord"))) for v in ("maps", "tripadvisor")]
+    rivals = f["places"].groupBy("serp_id").agg(F.array_compact(F.array(*first)).alias("competitor_names"))
+    named = subjects.select("serp_id", "brand_name").join(rivals, "serp_id", "left")
+    places = f["places"].withColumn("ref", F.when(F.col("ord") % 4 > 0, F.col("ord").cast("string")))
+    targets = review_targets(named, places, KEY)
+    n = chosen_reviews(targets, f["reviews"], KEY).groupBy("serp_id", "source", F.col("place").alias("title")).agg(F.count(F.lit(1)).alias("reviews"))
+    return targets.join(n, ["serp_id", "source", "title"], "left").select("serp_id", "target", "name", "source", "title", "ref", F.coalesce("reviews", F.lit(0)).alias("reviews"))
+
+
 def serp_insights(spark, sf):
     """The whole analysis per result page, nested columns shown as counts and text."""
     i = P.analyse_serp(D.brands(spark), serp_frames(spark, sf), D.PROSE_WORDS)
@@ -208,7 +221,7 @@ def deduped_citations(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    topic_coverage_by_page, covered_angles, asked_topics, missing_topics, result_formats, brand_positions, page_features, rival_names, serp_insights, content_briefs,
+    topic_coverage_by_page, covered_angles, asked_topics, missing_topics, result_formats, brand_positions, page_features, rival_names, reviewed_places, serp_insights, content_briefs,
     required_entity_names, source_entities, customer_questions, review_topics, ai_visibility, ai_visibility_summary, ai_visibility_prompts, cited_domains, deduped_citations,
 )}
 
@@ -394,6 +407,11 @@ ORACLES = {
         fold_ AS (SELECT serp_id, list_reduce(list_concat([['Sich Sich', 'Thatin', 'Orantion']], coalesce(list([title] ORDER BY r) FILTER (title IS NOT NULL AND NOT {_is_brand('tn')}), [])),
            lambda acc, x: CASE WHEN len(list_filter(acc, lambda l: {S.same(S.norm('l'), S.norm('x[1]'))})) > 0 THEN acc ELSE list_concat(acc, x) END) AS names FROM subj LEFT JOIN near USING (serp_id) GROUP BY serp_id)
         SELECT serp_id, array_to_string(names[1:6], '|') AS names FROM fold_""",
+    "reviewed_places": f"""WITH {ORGANIC}, {SUBJECTS}, {TURNS}, {PLACES}, firsts AS (SELECT serp_id, list_filter([arg_min(title, ord) FILTER (list = 'maps'), arg_min(title, ord) FILTER (list = 'tripadvisor')], lambda x: x IS NOT NULL) AS names FROM places GROUP BY serp_id),
+        wanted AS (SELECT serp_id, 0 AS target, 'Orre Orre' AS name FROM subj UNION ALL SELECT serp_id, unnest(range(1, len(names) + 1))::INT, unnest(names) FROM firsts JOIN subj USING (serp_id)),
+        hit AS (SELECT w.serp_id, target, name, list, arg_min(title, p.ord) AS title, min(p.ord) AS ord FROM (SELECT *, {S.norm('name')} AS wn FROM wanted WHERE name <> '') w JOIN normed p ON p.serp_id = w.serp_id AND list <> 'local_pack' AND {S.same('wn', 'tn')} GROUP BY ALL)
+        SELECT serp_id, target, name, CASE list WHEN 'maps' THEN 'Google' ELSE 'Tripadvisor' END AS source, title, ord::VARCHAR AS ref,
+          CASE list WHEN 'maps' THEN (SELECT count(DISTINCT text) FROM turns t WHERE t.serp_id = hit.serp_id AND role = 'assistant' AND array_to_string(string_split(t.text, ' ')[1:2], ' ') = hit.title) ELSE 0 END AS reviews FROM hit WHERE ord % 4 > 0""",
     "required_entity_names": f"WITH {ORGANIC}, {SUBJECTS}, {TURNS}, {entity_sql(_SERP_DOCS, ['Th', 'Ing', 'Tion'], ['orre orre', 'und'], 10, 'serp_id')} SELECT * FROM ents",
     "source_entities": f"WITH {entity_sql(_PROSE_DOCS, ['The Ing', 'Tion'], ['orre orre'], 15, 'source')} SELECT * FROM ents",
     "customer_questions": _questions(),

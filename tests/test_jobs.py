@@ -124,6 +124,35 @@ def test_reviews(spark):
     assert ("rooms", -1) not in {(r.topic, r.polarity) for r in t}
 
 
+def test_review_targets(spark):
+    subjects = spark.createDataFrame([("s", "Copper Kettle", ["Magpie Lane", "Harbour Scones", "Abbey Steps"]), ("t", "Copper Kettle", None)], "serp_id string, brand_name string, competitor_names array<string>")
+    places = [
+        ("s", "maps", 0, "Magpie Lane Bakery", "m0"), ("s", "maps", 1, "Copper Kettle Tea Rooms", "m1"), ("s", "maps", 2, "Copper Kettle", "m2"),
+        ("s", "tripadvisor", 0, "Copper Kettle", ""), ("s", "tripadvisor", 1, "Abbey Steps", "t1"), ("s", "local_pack", 0, "Harbour Scones", "x"),
+    ]
+    places = spark.createDataFrame(places, "serp_id string, list string, ord int, title string, ref string")
+    looked = [("s", "Harbour Scones", "maps", 0, "The Pier", "l0"), ("s", "Harbour Scones", "tripadvisor", 0, "The Pier", "l1"), ("s", "Magpie Lane", "maps", 0, "Magpie Lane", "l2"), ("t", "Copper Kettle", "tripadvisor", 3, "Copper Kettle Cafe", "l3")]
+    looked = spark.createDataFrame(looked, "serp_id string, name string, list string, ord int, title string, ref string")
+    got = {(r.serp_id, r.target, r.source, r.title, r.ref) for r in reviews.review_targets(subjects, places, ["serp_id"]).collect()}
+    assert got == {("s", 0, "Google", "Copper Kettle Tea Rooms", "m1"), ("s", 1, "Google", "Magpie Lane Bakery", "m0")}
+    targets = reviews.review_targets(subjects, places, ["serp_id"], looked)
+    more = {(r.serp_id, r.target, r.source, r.title, r.ref) for r in targets.collect()}
+    assert more - got == {("s", 2, "Google", "The Pier", "l0"), ("t", 0, "Tripadvisor", "Copper Kettle Cafe", "l3")} and got < more
+    texts = [("s", "Google", "The Pier", 0, 5.0, "fine"), ("s", "Google", "The Pier", 1, 4.0, "fine"), ("s", "Tripadvisor", "The Pier", 0, 1.0, "no"), ("t", "Google", "The Pier", 0, 1.0, "no")]
+    texts = spark.createDataFrame(texts, "serp_id string, source string, place string, ord int, rating double, text string")
+    assert [tuple(r) for r in reviews.chosen_reviews(targets, texts, ["serp_id"]).collect()] == [("s", "Google", "The Pier", 2, 0, 5.0, "fine")]
+
+
+def test_ten_places_of_a_list_from_zero(spark):
+    """The reader counts places from 0: the eleventh stays out."""
+    profiles = visibility.run_profiles(X.plans(spark), X.brands(spark))
+    run = profiles.first().run_id
+    kind = dict(X.plans(spark).dtypes)["run_id"]
+    rows = spark.range(11).select(F.lit(run).cast(kind).alias("run_id"), F.lit("maps").alias("list"), F.col("id").alias("ord"), F.concat(F.lit("Place number "), F.col("id").cast("string")).alias("title"))
+    names = {r.name for r in visibility.named_businesses(X.samples(spark), profiles, rows).collect()}
+    assert {f"Place number {k}" for k in range(10)} <= names and "Place number 10" not in names
+
+
 def test_questions(spark):
     rows = [("a", 0, "Does Trondheim suit toddlers in winter?", "Reddit", 1), ("a", 1, "does trondheim suit toddlers in the winter", "People Also Ask", 2), ("a", 2, "Trondheim cabins", "Related searches", 1)]
     df = spark.createDataFrame(rows, "k string, ord int, text string, source string, weight int")
