@@ -54,10 +54,9 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
 MAX_IDS = 2_000_000
 
 
-def kept_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids.doc_id; a null doc_id matches a null one.
-
-    Up to MAX_IDS ids go to the texts; beyond that both sides are shuffled by doc_id.
-    """
-    ids = stored(ids.select(F.col("doc_id").alias("_kept_id")).distinct())
-    return docs.join(bounded(ids, MAX_IDS), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

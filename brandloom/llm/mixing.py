@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns."""
     plan = _plan(stored(_rows(docs)), weights, share, limit)
-    names = [F.col(f"d.{c}") for c in docs.columns]
-    own = F.col("d.source").cast("string")
-    out = docs.alias("d").join(bounded(plan, MAX_SOURCES), own.eqNullSafe(F.col("_s")))
-    return out.withColumn("_times", F.explode(F.array_repeat(F.lit(1), _times(order_hash(F.col("d.doc_id"))).cast("int")))).select(*names)
+    # The row goes along as one column, so that no name of its columns can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    out = rows.join(bounded(plan, MAX_SOURCES), F.col("_doc.source").cast("string").eqNullSafe(F.col("_s")))
+    return out.withColumn("_times", F.explode(F.array_repeat(F.lit(1), _times(order_hash(F.col("_doc.doc_id"))).cast("int")))).select("_doc.*")

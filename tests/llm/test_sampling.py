@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from brandloom.llm import centroids, packing, resampling
+from brandloom.llm import centroids, mixing, packing, resampling
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, source string, n int, at long, s string, _at long, _row string"
@@ -165,6 +165,14 @@ def test_word_encoder_equals_the_library():
         assert got == [encoder.library.encode(t, add_special_tokens=False).ids + [7] for t in texts[1:]]
 
 
+def test_mixed_rows_keep_columns_whose_names_clash(spark):
+    rows = [(i, "a b c", "s" if i % 2 else None, i, 2, "x", "y", "z") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, whole int, cut int, _s string, _times string, _doc string")
+    taken = {r["doc_id"]: r["taken"] // 3 for r in mixing.mix(docs).collect()}
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.select("doc_id", "whole", "_s").collect()) == sorted((i, i, "x") for i, n in taken.items() for _ in range(n))
+
+
 def brute_clusters(vectors, k, rounds):
     kept = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
     order = sorted(kept, key=lambda r: (hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
