@@ -73,3 +73,12 @@ def test_run(spark, rows, tmp_path, monkeypatch):
     assert Counter(x[0] for x in got) == want
     own = {(len(sp.encode(t)), hashlib.sha256(",".join(map(str, sp.encode(t))).encode()).hexdigest()) for t in {x[1] or "" for x in rows}}
     assert {(x[1], x[2]) for x in got} <= own
+
+
+def test_stages_keep_columns_whose_names_clash(spark, rows):
+    some = [(*x, k, "k", "i", "s", "r") for k, x in enumerate(dict.fromkeys(x for x in rows if x[1]))]
+    docs = spark.createDataFrame(some, SCHEMA + ", _row int, _kept string, _id string, sha string, _number string").repartition(3)
+    for stage in (corpus_pipeline.exact_duplicates, corpus_pipeline.near_duplicates, corpus_pipeline.mix_sources):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        assert {tuple(x) for x in got.collect()} <= set(some) and got.count() > 0
