@@ -126,12 +126,12 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages as search results: ten consecutive pages form one result page."""
+    """Web pages as search results, with all their paragraphs: ten consecutive pages form one result page."""
     p = table(spark, sf_dir, "pages")
     return p.select(
         F.floor(F.col("page_id") / 10).cast("long").alias("serp_id"), (F.col("page_id") % 10 + 1).cast("int").alias("ord"),
         (F.col("page_id") % 10 + 1).cast("int").alias("position"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.col("url").alias("link"), F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1).alias("snippet"),
+        F.col("url").alias("link"), F.array_join(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), 1), " ").alias("snippet"),
     )
 
 

@@ -29,17 +29,16 @@ def serp_frames(spark, sf) -> dict:
     )
     none = F.lit(None).cast("string")
     user, assistant, system = (D.turns(spark, sf, r) for r in ("user", "assistant", "system"))
-    first_line = F.substring_index("text", "\n", 1)
     place = lambda df, kind: df.select(
         "serp_id", F.lit(kind).alias("list"), "ord", (F.col("ord") % 1000 + 1).cast("int").alias("position"), F.substring_index("text", " ", 2).alias("title"),
         (F.length("text") % 5 + 1).cast("double").alias("rating"), F.length("text").alias("reviews"),
     )
     return {
         "serps": serps, "organic": organic,
-        "questions": user.select("serp_id", "ord", F.concat(F.lit("Is "), first_line).alias("question"), none.alias("snippet")),
+        "questions": user.select("serp_id", "ord", F.concat(F.lit("Is "), "text").alias("question"), none.alias("snippet")),
         "related": system.select("serp_id", "ord", "text"),
-        "forums": assistant.select("serp_id", "ord", F.concat(F.lit("Are "), first_line).alias("title"), none.alias("link"), none.alias("snippet"), none.alias("source")),
-        "reddit": user.select("serp_id", "ord", F.concat(F.lit("is "), first_line).alias("title"), none.alias("link"), none.alias("snippet"), none.alias("source")),
+        "forums": assistant.select("serp_id", "ord", F.concat(F.lit("Are "), "text").alias("title"), none.alias("link"), none.alias("snippet"), none.alias("source")),
+        "reddit": user.select("serp_id", "ord", F.concat(F.lit("is "), "text").alias("title"), none.alias("link"), none.alias("snippet"), none.alias("source")),
         "places": place(user, "local_pack").unionByName(place(assistant, "maps")).unionByName(place(system, "tripadvisor")),
         "reviews": assistant.select("serp_id", "ord", F.lit("Google").alias("source"), F.substring_index("text", " ", 2).alias("place"), F.lit(4.0).alias("rating"), "text"),
     }
@@ -51,7 +50,7 @@ def topic_coverage_by_page(spark, sf):
 
 
 def covered_angles(spark, sf):
-    c = competitor_angles(topic_coverage(D.page_results(spark, sf), KEY, D.PROSE_WORDS), KEY, limit=3)
+    c = competitor_angles(topic_coverage(D.page_results(spark, sf), KEY, D.PROSE_WORDS), KEY)
     return c.select("serp_id", "rank", "topic", "results", "n")
 
 
@@ -226,16 +225,16 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 L = D.PROSE_WORDS
-ORGANIC = """organic AS (SELECT page_id // 10 AS serp_id, (page_id % 10 + 1)::INT AS ord, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url AS link, regexp_extract(html, '(?s)<p>(.*?)</p>', 1) AS snippet FROM pages),
+ORGANIC = """organic AS (SELECT page_id // 10 AS serp_id, (page_id % 10 + 1)::INT AS ord, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url AS link, array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), ' ') AS snippet FROM pages),
 tops AS (SELECT serp_id, ord, title, link, {T} AS ts FROM organic),
 cov AS (SELECT serp_id, topic, count(*) AS results, min(ord * 100 + pos) AS seen FROM (SELECT serp_id, ord, unnest(ts) AS topic, unnest(range(len(ts))) AS pos FROM tops) GROUP BY ALL),
 n AS (SELECT serp_id, count(*) AS n FROM organic GROUP BY serp_id)""".replace("{T}", S.topics(S.fold("title || ' ' || snippet"), L))
 SUBJECTS = """subj AS (SELECT serp_id, 'best hotels ' || arg_min(title, ord) AS query FROM organic GROUP BY serp_id)"""
-TURNS = """turns AS (SELECT conv_id // 4 AS serp_id, conv_id * 1000 + turn AS ord, role, text, string_split(text, chr(10))[1] AS line FROM conversations)"""
+TURNS = """turns AS (SELECT conv_id // 4 AS serp_id, conv_id * 1000 + turn AS ord, role, text FROM conversations)"""
 DEMAND = f"""asked AS (
   SELECT serp_id, 'your query' AS source, 0 AS sr, 0 AS ord, query AS text FROM subj
-  UNION ALL SELECT serp_id, 'People Also Ask', 1, ord, 'Is ' || line FROM turns WHERE role = 'user' UNION ALL SELECT serp_id, 'related searches', 2, ord, text FROM turns WHERE role = 'system'
-  UNION ALL SELECT serp_id, 'forums', 3, ord, 'Are ' || line FROM turns WHERE role = 'assistant' UNION ALL SELECT serp_id, 'Reddit', 4, ord, 'is ' || line FROM turns WHERE role = 'user'
+  UNION ALL SELECT serp_id, 'People Also Ask', 1, ord, 'Is ' || text FROM turns WHERE role = 'user' UNION ALL SELECT serp_id, 'related searches', 2, ord, text FROM turns WHERE role = 'system'
+  UNION ALL SELECT serp_id, 'forums', 3, ord, 'Are ' || text FROM turns WHERE role = 'assistant' UNION ALL SELECT serp_id, 'Reddit', 4, ord, 'is ' || text FROM turns WHERE role = 'user'
   UNION ALL SELECT serp_id, 'reviews', 5, ord, text FROM turns WHERE role = 'assistant'),
 found AS (SELECT serp_id, source, sr, ord, unnest(ts) AS topic, unnest(range(len(ts))) AS pos FROM (SELECT *, {S.topics(S.fold('text'), L)} AS ts FROM asked)),
 bysrc AS (SELECT serp_id, topic, source, min((sr, ord, pos)) AS seen FROM found GROUP BY ALL),
@@ -334,8 +333,8 @@ SELECT place, polarity::INT AS polarity, row_number() OVER (PARTITION BY place,
 
 
 _PROSE_DOCS = "SELECT source, doc_id AS ord, text FROM documents"
-_SERP_DOCS = """SELECT serp_id, (0, ord::BIGINT) AS ord, title || '. ' || snippet AS text FROM organic UNION ALL SELECT serp_id, (1, ord), 'Is ' || line || ' ' FROM turns WHERE role = 'user' AND serp_id IN (SELECT serp_id FROM subj)
-  UNION ALL SELECT serp_id, (2, ord), 'Are ' || line || '. ' FROM turns WHERE role = 'assistant' AND serp_id IN (SELECT serp_id FROM subj)
+_SERP_DOCS = """SELECT serp_id, (0, ord::BIGINT) AS ord, title || '. ' || snippet AS text FROM organic UNION ALL SELECT serp_id, (1, ord), 'Is ' || text || ' ' FROM turns WHERE role = 'user' AND serp_id IN (SELECT serp_id FROM subj)
+  UNION ALL SELECT serp_id, (2, ord), 'Are ' || text || '. ' FROM turns WHERE role = 'assistant' AND serp_id IN (SELECT serp_id FROM subj)
   UNION ALL SELECT serp_id, (3, 0), CASE WHEN serp_id % 2 = 0 THEN 'Overview of Orre Orre. ' || substr(query, 13) END FROM subj"""
 
 _RIVALS = ["Sich Sich", "Thatin", "Orantion"]
@@ -393,7 +392,7 @@ ORACLES = {
         SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY count DESC, seen)::INT AS rank, domain, count, CASE WHEN domain LIKE '%ththre.example.com' THEN 'brand site' WHEN regexp_matches(domain, {S.q(V.CITATION_OTA_DOMAINS)}) THEN 'OTA'
         WHEN regexp_matches(domain, {S.q(V.CITATION_REVIEW_DOMAINS)}) THEN 'reviews / maps' WHEN regexp_matches(domain, {S.q(V.CITATION_FORUM_DOMAINS)}) THEN 'forum' ELSE 'editorial / other' END AS kind FROM g QUALIFY rank <= 25""",
     "topic_coverage_by_page": f"WITH {ORGANIC} SELECT serp_id, topic, {S.label('topic', L)} AS label, results, round(results::DOUBLE / n, 6) AS coverage FROM cov JOIN n USING (serp_id)",
-    "covered_angles": f"WITH {ORGANIC} SELECT serp_id, row_number() OVER (PARTITION BY serp_id ORDER BY results DESC, seen)::INT AS rank, topic, results, n FROM cov JOIN n USING (serp_id) WHERE results::DOUBLE / n >= 0.2::DOUBLE QUALIFY rank <= 3",
+    "covered_angles": f"WITH {ORGANIC} SELECT serp_id, row_number() OVER (PARTITION BY serp_id ORDER BY results DESC, seen)::INT AS rank, topic, results, n FROM cov JOIN n USING (serp_id) WHERE results::DOUBLE / n >= 0.2::DOUBLE QUALIFY rank <= 8",
     "asked_topics": f"WITH {ORGANIC}, {SUBJECTS}, {TURNS}, {DEMAND} SELECT serp_id, topic, n_sources, array_to_string(sources, '|') AS sources FROM demand",
     "missing_topics": f"WITH {ORGANIC}, {SUBJECTS}, {TURNS}, {DEMAND}, {GAPS} SELECT serp_id, row_number() OVER (PARTITION BY serp_id ORDER BY priority DESC, via)::INT AS rank, topic, lab AS label, reason, {S.topic_format('topic', L)} AS format, (topic IN (SELECT topic FROM facts))::INT AS brand_can_answer, priority FROM gaps QUALIFY rank <= 8",
     "result_formats": f"WITH {ORGANIC}, r AS (SELECT *, {S.domain('link')} AS domain, {S.fold('title')} AS f FROM organic), g AS (SELECT serp_id, {FORMAT} AS format, count(*) AS count, min(ord) AS seen FROM r GROUP BY ALL) SELECT serp_id, row_number() OVER (PARTITION BY serp_id ORDER BY count DESC, seen)::INT AS rank, format, count FROM g",
