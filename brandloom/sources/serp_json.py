@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brandloom.session import stored
+
 PLACE = "struct<position:double,title:string,rating:double,reviews:double,type:string,address:string,website:string,links:struct<website:string>,price:string,description:string,data_id:string,place_id:string>"
 RESULT = "struct<position:double,title:string,link:string,snippet:string,source:string,date:string,displayed_meta:string,about_this_result:struct<source:struct<description:string>>>"
 DOCUMENT = (
@@ -25,6 +27,22 @@ def read_json(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFra
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
+def read_serp(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Result pages of many projects, and the records that are not whole.
+
+    Every line is parsed once, and the documents are stored for the frames to read. The second
+    frame (path, record, reason) names the lines that are no JSON object or have no serp_id, which
+    no frame holds, and the documents with a field of an unexpected type: these stay, the field is
+    empty. Blank lines are passed over."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", DOCUMENT + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    docs = stored(raw.select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("_record"), parsed.alias("d")).select("_path", "_record", "d.*"))
+    lost = F.col("serp_id").isNull()
+    reason = F.when(lost & F.col("_bad").isNotNull(), "not JSON").when(lost, "no serp_id").otherwise("unexpected types")
+    rejects = docs.filter(lost | F.col("_bad").isNotNull()).select(F.col("_path").alias("path"), F.col("_record").alias("record"), reason.alias("reason"))
+    return serp_frames(docs.filter(~lost).drop("_path", "_record", "_bad")), rejects
+
+
 def _rows(df: DataFrame, array: Column, limit: int | None, *fields: Column) -> DataFrame:
     wanted = array if limit is None else F.slice(array, 1, limit)
     listed = df.select("serp_id", F.posexplode_outer(wanted).alias("ord", "r")).filter(F.col("r").isNotNull())

@@ -1,4 +1,5 @@
 import json
+import os
 import tempfile
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from brandloom.operators.keyed import clear_missing_parent, upsert_latest
 from brandloom.plans.dashboards import project_overview, research_inputs
 from brandloom.sources import serp_json as J
-from brandloom.sources.gsc_csv import read_gsc, resolve_headers
+from brandloom.sources.gsc_csv import read_gsc, read_gsc_exports, resolve_headers, split_cells
 from brandloom.sources.tables import checked_input, read_text_documents, upsert_table
 from brandloom.streaming.jobs import recheck_stream, visibility_stream
 from tests import fixtures as X
@@ -56,6 +57,59 @@ def test_serp_json(spark):
     assert fr["related"].count() == 2
 
 
+def test_gsc_exports_of_many_projects(spark):
+    d = folder()
+    files = {
+        "p one/may.csv": '\n\ufeffTop queries,Clicks,Impressions,CTR,Position\n"a, b","1,002",10,50%,1.5\nTop queries,Clicks,Impressions,CTR,Position\n',
+        "p+2/june.2.csv": "Landing page,Query,Position\nhttps://x,q2,3\n,  ,1\n/y,q3,\n",
+        "p+2/july.csv": "CTR,Impressions,Clicks,Search query URL\n0.2,7,3,q4\n",
+        "p3/broken.csv": "a,b\n1,2\n", "p3/empty.csv": "", "p3/head.csv": "Query,Clicks\n",
+    }
+    for name, text in files.items():
+        os.makedirs(os.path.dirname(f"{d}/{name}"), exist_ok=True)
+        with open(f"{d}/{name}", "w", encoding="utf-8") as f:
+            f.write(text)
+    rows, rejects = read_gsc_exports(spark, d)
+    got = {(r.project_id, r.period_label, r.query): (r.page, r.clicks, r.impressions, r.ctr, r.position) for r in rows.collect()}
+    assert got == {
+        ("p one", "may", "a, b"): (None, 1002, 10, 0.5, 1.5), ("p one", "may", "Top queries"): (None, 0, 0, 0.0, 0.0),
+        ("p+2", "june.2", "q2"): ("https://x", 0, 0, None, 3.0), ("p+2", "june.2", "q3"): ("/y", 0, 0, None, 0.0),
+        ("p+2", "july", "q4"): (None, 3, 7, 0.2, None),
+    }
+    assert [(r.path.split("/")[-1], r.header, r.reason) for r in rejects.collect()] == [("broken.csv", "a,b", "no query column")]
+    lines = [",x", 'a,"b ""c"", d",', '""', '"open, end', "x" * 20_000]
+    cells = spark.createDataFrame([(x,) for x in lines], "x string").select(split_cells(F.col("x"))).collect()
+    assert [r[0] for r in cells] == [["", "x"], ["a", 'b "c", d', ""], [""], ["open, end"], ["x" * 20_000]]
+
+
+def test_gsc_header_of_a_file_in_many_splits(spark):
+    """The header is the first line of the file whichever split is read first."""
+    d = folder()
+    os.makedirs(f"{d}/p")
+    with open(f"{d}/p/m.csv", "w") as f:
+        f.write("Clicks,Query\n" + "".join(f"{i},q{i}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows, rejects = read_gsc_exports(spark, d)
+        assert spark.read.text(f"{d}/p").rdd.getNumPartitions() > 1 and rejects.count() == 0
+        assert sorted((r.clicks, r.query) for r in rows.collect()) == [(i, f"q{i}") for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_serp_rejects(spark):
+    d = folder()
+    with open(f"{d}/a.json", "w") as f:
+        f.write('{"serp_id": "s", "query": "q", "related_searches": [{"query": "a"}]}\n\n{"serp_id": "cut", "query\n[1]\n{"query": "no key"}\n')
+        f.write('{"serp_id": "t", "query": "q", "organic_results": "none", "related_searches": [{"query": "b"}]}\n')
+    frames, rejects = J.read_serp(spark, d)
+    assert sorted(r.serp_id for r in frames["serps"].collect()) == ["s", "t"]
+    assert sorted((r.serp_id, r.text) for r in frames["related"].collect()) == [("s", "a"), ("t", "b")] and frames["organic"].count() == 0
+    got = sorted((r.reason, r.record[:18]) for r in rejects.collect())
+    assert got == [("no serp_id", '{"query": "no key"'), ("not JSON", '[1]'), ("not JSON", '{"serp_id": "cut", '[:18]), ("unexpected types", '{"serp_id": "t", "q'[:18])]
+
+
 def test_reviews_and_forums(spark):
     r = spark.createDataFrame([("s", "P", [("T", "S", 4.0, "d", None), (None, None, None, None, ("orig",)), (None, None, None, None, None)])], f"serp_id string, place string, reviews array<{J.REVIEW}>")
     assert [x.text for x in J.map_reviews(r).orderBy("ord").collect()] == ["S", "orig"]
