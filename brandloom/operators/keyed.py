@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from graphlib import TopologicalSorter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,29 +20,73 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[s
     return picked.select(*[F.col(c) if c in keys else F.col("r")[c].alias(c) for c in cols])
 
 
-#: Child tables and the column that refers to the parent, per deleted parent.
-PROJECT_CHILDREN = {
-    "documents": "project_id", "document_chunks": "project_id", "feedback_logs": "project_id", "content_drafts": "project_id",
-    "research_runs": "project_id", "gsc_queries": "project_id", "content_briefs": "project_id", "opportunity_reports": "project_id",
-}
-
-
-def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame, children: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Child tables without the rows of deleted projects (``deleted``: project_id).
-    Samples follow their runs."""
-    children = children or PROJECT_CHILDREN
+@dataclass(frozen=True)
+class Reference:
+    """``child.column`` refers to the key of ``parent``; what becomes of a child row whose parent
+    row is deleted: it goes too, or loses the reference."""
+
+    child: str
+    column: str
+    parent: str
+    set_null: bool = False
+
+
+#: Key column of the tables that others refer to.
+TABLE_KEYS = {"projects": "project_id", "documents": "document_id", "content_drafts": "draft_id", "research_runs": "run_id"}
+REFERENCES = (
+    *[
+        Reference(child, "project_id", "projects") for child in (
+            "documents", "document_chunks", "feedback_logs", "content_drafts", "research_runs", "gsc_queries", "content_briefs", "opportunity_reports",
+        )
+    ],
+    Reference("document_chunks", "document_id", "documents"),
+    Reference("visibility_samples", "run_id", "research_runs"),
+    Reference("feedback_logs", "draft_id", "content_drafts", set_null=True),
+)
+
+
+def cascade_delete(
+    tables: dict[str, DataFrame], deleted: DataFrame | dict[str, DataFrame], references: tuple[Reference, ...] = REFERENCES, keys: dict[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """Tables without the deleted rows and all that hangs on them.
+
+    ``deleted``: key frames by table (one frame alone: projects). Sets of deleted keys are pushed
+    along the references, parents first: a table's set holds the keys given for it and the keys of
+    its rows whose parents go. References that are set to NULL lose the keys of deleted rows only.
+    A missing reference or key keeps its row, repeated keys count once, and references to tables
+    that are not given or lack the column are passed over. A circle of references is an error."""
+    keys = keys or TABLE_KEYS
+    given = deleted if isinstance(deleted, dict) else {"projects": deleted}
+    held = [r for r in references if r.child in tables and (r.parent in tables or r.parent in given) and r.column in tables[r.child].columns]
+    order = TopologicalSorter({t: {r.parent for r in held if r.child == t} for t in {*tables, *given}}).static_order()
+    gone: dict[str, DataFrame] = {}
     out = dict(tables)
-    for name, col in children.items():
+    for name in order:
+        up = [r for r in held if r.child == name and r.parent in gone]
+        cascades = [r for r in up if not r.set_null]
+        sets = [given[name].select(keys[name])] if name in given else []
         if name in tables:
-            out[name] = tables[name].join(deleted.select(F.col("project_id").alias(col)), col, "left_anti")
-    if "visibility_samples" in tables and "research_runs" in tables:
-        gone = tables["research_runs"].join(deleted, "project_id", "left_semi").select("run_id")
-        out["visibility_samples"] = tables["visibility_samples"].join(gone, "run_id", "left_anti")
-    if "projects" in tables:
-        out["projects"] = tables["projects"].join(deleted, "project_id", "left_anti")
+            rows = tables[name]
+            ends = [(r.column, gone[r.parent].toDF(r.column)) for r in cascades]
+            if name in keys:
+                sets += [rows.join(k, c, "left_semi").select(keys[name]) for c, k in ends]
+            for c, k in ends + [(keys[name], s) for s in sets[:1] if name in given]:
+                rows = rows.join(k, c, "left_anti")
+            for r in up:
+                if r.set_null:
+                    rows = _cleared(rows, r.column, gone[r.parent])
+            out[name] = rows.select(*tables[name].columns)
+        if sets and name in keys:
+            gone[name] = reduce(DataFrame.union, sets).filter(F.col(keys[name]).isNotNull()).distinct()
     return out
 
 
+def _cleared(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """``column`` set to NULL where it holds a deleted key."""
+    marked = rows.join(gone.toDF(column).withColumn("_gone", F.lit(True)), column, "left")
+    return marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
+
+
 def clear_missing_parent(child: DataFrame, parents: DataFrame, fk: str, pk: str) -> DataFrame:
     """Sets the reference to NULL where the parent row is gone."""
     alive = parents.select(F.col(pk).alias(fk), F.lit(True).alias("_alive"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brandloom.operators import feedback as FB
@@ -81,12 +84,25 @@ def latest_events(spark, sf):
 
 
 def cascaded_delete(spark, sf):
-    """Rows left per table after removing the projects with a negative balance."""
-    c = D.table(spark, sf, "customer")
-    gone = c.filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("project_id"))
-    left = K.cascade_delete({"projects": projects(spark, sf), "content_drafts": drafts(spark, sf), "feedback_logs": feedback(spark, sf)}, gone)
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in left.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Rows and optional references left per table, after removing the projects with a negative
+    balance, the runs that ended in an error and the documents labelled as poor."""
+    c, e, d = D.table(spark, sf, "customer"), D.table(spark, sf, "events"), D.table(spark, sf, "documents")
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("chunk_index", "content")
+    tables = {
+        "projects": projects(spark, sf), "content_drafts": drafts(spark, sf), "feedback_logs": feedback(spark, sf), "research_runs": runs(spark, sf),
+        "visibility_samples": D.table(spark, sf, "conversations").select(F.col("conv_id").alias("run_id"), "turn"),
+        "documents": d.select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("project_id")),
+        "document_chunks": d.select(F.col("doc_id").alias("document_id"), lines),
+    }
+    gone = {
+        "projects": c.filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("project_id")),
+        "research_runs": e.filter(F.col("event_type") == "error").select(F.col("event_id").alias("run_id")),
+        "documents": D.table(spark, sf, "labels").filter(F.col("quality") == 0).select(F.col("doc_id").alias("document_id")),
+    }
+    left = K.cascade_delete(tables, gone)
+    linked = lambda name: F.count("draft_id") if name == "feedback_logs" else F.lit(None).cast("long")
+    parts = [df.agg(F.count(F.lit(1)).alias("n"), linked(name).alias("linked")).select(F.lit(name).alias("table_name"), "n", "linked") for name, df in left.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def orphaned_feedback(spark, sf):
@@ -122,8 +138,12 @@ ORACLES = {
     "project_pieces": "SELECT c_custkey AS project_id, c_name AS name, count(o_orderkey) AS pieces FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "average_scores": f"WITH {_DR} SELECT project_id, floor(avg(overall) + 0.5)::BIGINT AS avg_score, count(*) AS drafts FROM dr GROUP BY project_id",
     "latest_events": "SELECT user_id, event_type, event_id, round(value, 2) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
-    "cascaded_delete": """WITH gone AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0) SELECT 'projects' AS table_name, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone)
-        UNION ALL SELECT 'content_drafts', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM gone) UNION ALL SELECT 'feedback_logs', count(*) FROM events WHERE user_id NOT IN (SELECT k FROM gone)""",
+    "cascaded_delete": """WITH gp AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0), gd AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (FROM gp)),
+        gr AS (SELECT event_id AS k FROM events WHERE event_type = 'error' OR user_id IN (FROM gp)), left_docs AS (SELECT * FROM documents d WHERE NOT EXISTS (FROM gp WHERE k = doc_id) AND NOT EXISTS (FROM labels l WHERE l.quality = 0 AND l.doc_id = d.doc_id))
+        SELECT 'projects' AS table_name, count(*) AS n, NULL::BIGINT AS linked FROM customer WHERE c_custkey NOT IN (FROM gp)
+        UNION ALL SELECT 'content_drafts', count(*), NULL FROM orders WHERE o_custkey NOT IN (FROM gp) UNION ALL SELECT 'feedback_logs', count(*), count(*) FILTER (event_id NOT IN (FROM gd)) FROM events WHERE user_id NOT IN (FROM gp)
+        UNION ALL SELECT 'research_runs', count(*), NULL FROM events WHERE event_id NOT IN (FROM gr) UNION ALL SELECT 'visibility_samples', count(*), NULL FROM conversations WHERE conv_id NOT IN (FROM gr)
+        UNION ALL SELECT 'documents', count(*), NULL FROM left_docs UNION ALL SELECT 'document_chunks', sum(len(string_split(coalesce(text, ''), chr(10))))::BIGINT, NULL FROM left_docs""",
     "orphaned_feedback": f"WITH {_FB} SELECT kind, count(*) AS n FROM fb WHERE project_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY kind",
     "filtered_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS price FROM orders WHERE o_orderstatus <> 'F' AND (o_orderpriority = '1-URGENT' OR o_custkey = 7) AND o_orderstatus IN ('O', 'P') ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
 }

@@ -5,7 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from brandloom.operators.keyed import clear_missing_parent, upsert_latest
+from brandloom.operators.keyed import Reference, cascade_delete, clear_missing_parent, upsert_latest
 from brandloom.plans.dashboards import project_overview, research_inputs
 from brandloom.sources import serp_json as J
 from brandloom.sources.gsc_csv import read_gsc, read_gsc_exports, resolve_headers, split_cells
@@ -140,6 +140,37 @@ def test_upsert_and_parents(spark):
     assert {r.id: r.fk for r in clear_missing_parent(child, spark.createDataFrame([(10,)], "pk int"), "fk", "pk").collect()} == {1: 10, 2: None}
 
 
+def test_cascades(spark):
+    def make(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    tables = {
+        "projects": make([("a",), ("b",)], "project_id string"),
+        "research_runs": make([(1, "a"), (2, "b"), (3, "b"), (4, None)], "run_id int, project_id string"),
+        "visibility_samples": make([(1, "x"), (2, "y"), (2, "z"), (3, "w"), (None, "n")], "run_id int, v string"),
+        "documents": make([(10, "a"), (20, "b")], "document_id int, project_id string"),
+        "document_chunks": make([(10, "a", 0), (20, "b", 0), (20, "b", 1)], "document_id int, project_id string, i int"),
+        "content_drafts": make([(7, "a"), (8, "b")], "draft_id int, project_id string"),
+        "feedback_logs": make([("f", 7, "b"), ("g", 8, "b"), ("h", 8, "a"), ("i", None, "b"), ("j", 99, "b")], "id string, draft_id int, project_id string"),
+    }
+
+    def left(gone):
+        return {t: sorted((tuple(r) for r in df.collect()), key=repr) for t, df in cascade_delete(tables, gone).items()}
+
+    whole = left({"projects": make([], "project_id string")})
+    assert whole == {t: sorted((tuple(r) for r in df.collect()), key=repr) for t, df in tables.items()}
+    by_project = left(make([("a",), ("a",), (None,)], "project_id string"))
+    assert by_project["projects"] == [("b",)] and by_project["research_runs"] == [(2, "b"), (3, "b"), (4, None)]
+    assert by_project["visibility_samples"] == [(2, "y"), (2, "z"), (3, "w"), (None, "n")] and by_project["document_chunks"] == [(20, "b", 0), (20, "b", 1)]
+    assert by_project["feedback_logs"] == [("f", None, "b"), ("g", 8, "b"), ("i", None, "b"), ("j", 99, "b")]
+    one = left({"research_runs": make([(2,)], "run_id int"), "documents": make([(20,)], "document_id int"), "content_drafts": make([(8,)], "draft_id int")})
+    assert one["research_runs"] == [(1, "a"), (3, "b"), (4, None)] and one["visibility_samples"] == [(1, "x"), (3, "w"), (None, "n")]
+    assert one["documents"] == [(10, "a")] and one["document_chunks"] == [(10, "a", 0)] and one["projects"] == whole["projects"]
+    assert one["content_drafts"] == [(7, "a")] and [r[:2] for r in one["feedback_logs"]] == [("f", 7), ("g", None), ("h", None), ("i", None), ("j", 99)]
+    with pytest.raises(ValueError):
+        cascade_delete(tables, make([], "project_id string"), (Reference("projects", "project_id", "documents"), Reference("documents", "project_id", "projects")))
+
+
 def test_checked_input(spark):
     df = spark.createDataFrame([(" n ", "", "x"), ("", "abc", None)], "name string, note string, kind string")
     got = checked_input(df, {"name": (1, 5)}, {"note": 2}, {"kind": ["x"]}, {"kind": "x"}).collect()
