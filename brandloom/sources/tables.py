@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brandloom.functions.regex import trim_ws
 from brandloom.operators.documents import document_text
@@ -27,22 +29,42 @@ def replace_by_key(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def table_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A Parquet table, or no rows where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def upsert_table(new: DataFrame, path: str, partition: str, keys: list[str], order: list[str]) -> None:
     """Merge rows into a partitioned table; only the touched partitions are read
     (a pruned scan) and rewritten. The merged rows are checkpointed first, because
     they are read from the folder they replace."""
     from brandloom.session import cut_lineage
 
-    spark = new.sparkSession
-    try:
-        old = spark.read.schema(new.schema).parquet(path).join(new.select(partition).distinct(), partition, "left_semi").select(*new.columns)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = new.limit(0)
+    touched = new.select(partition).distinct()
+    old = table_or_empty(new.sparkSession, path, new.schema).join(touched, partition, "left_semi").select(*new.columns)
     replace_by_key(cut_lineage(upsert_latest(old, new, keys, order)), path, [partition])
 
 
+def replace_rows(new: DataFrame, path: str, bucket: str, key: str, touched: DataFrame, buckets: list[int]) -> None:
+    """Replace all rows of the ``touched`` keys (columns bucket, key) by ``new``, which may hold none
+    for some. ``buckets``: the buckets of these keys; only they are read and rewritten. Buckets
+    that are left without rows are emptied."""
+    from brandloom.session import cut_lineage
+
+    spark = new.sparkSession
+    old = table_or_empty(spark, path, new.schema).filter(F.col(bucket).isin(buckets)).join(touched, [bucket, key], "left_anti").select(*new.columns)
+    merged = cut_lineage(old.unionByName(new))
+    replace_by_key(merged, path, [bucket])
+    filled = {r[0] for r in merged.select(bucket).distinct().collect()}  # as many as there are buckets, at most
+    for b in sorted(set(buckets) - filled):
+        merged.limit(0).drop(bucket).write.mode("overwrite").parquet(f"{path}/{bucket}={b}")
+
+
 def save_results(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
     """Nested result rows (briefs, plans, reports, summaries) as Parquet."""
     if keys:

@@ -5,11 +5,13 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from brandloom.operators.checks import check_drafts
 from brandloom.operators.keyed import Reference, cascade_delete, clear_missing_parent, upsert_latest
+from brandloom.operators.visibility import visibility_summary
 from brandloom.plans.dashboards import project_overview, research_inputs
 from brandloom.sources import serp_json as J
 from brandloom.sources.gsc_csv import read_gsc, read_gsc_exports, resolve_headers, split_cells
-from brandloom.sources.tables import checked_input, read_text_documents, upsert_table
+from brandloom.sources.tables import checked_input, read_text_documents, replace_rows, upsert_table
 from brandloom.streaming.jobs import recheck_stream, visibility_stream
 from tests import fixtures as X
 
@@ -177,20 +179,51 @@ def test_checked_input(spark):
     assert (got[0].name, got[0].note, got[0].violations) == ("n", None, []) and got[1].violations == ["name", "note"] and got[1].kind == "x"
 
 
+def table_rows(spark, path, *drop):
+    """Sorted rows of a stored table, whatever the order of its columns."""
+    df = spark.read.parquet(path)
+    return sorted((str(tuple(r)) for r in df.select(*sorted(set(df.columns) - set(drop))).collect()))
+
+
+VISIBILITY_TABLES = ("samples", "businesses", "domains", "per_prompt", "summary")
+
+
 def test_visibility_stream(spark):
     d = folder()
     s = X.samples(spark).withColumn("arrived_at", F.lit(1))
     s.write.parquet(f"{d}/in/1")
-    run = lambda: visibility_stream(
-        spark.readStream.schema(s.schema).parquet(f"{d}/in/*"), f"{d}/samples", f"{d}/summary", f"{d}/cp", X.brands(spark), X.plans(spark), X.places(spark)
-    ).awaitTermination(300)
-    run()
+
+    def run(to, checkpoint):
+        visibility_stream(spark.readStream.schema(s.schema).parquet(f"{d}/in/*"), to, checkpoint, X.brands(spark), X.plans(spark), X.places(spark), buckets=4).awaitTermination(300)
+
+    run(d, f"{d}/cp")
     assert spark.read.parquet(f"{d}/summary").collect()[0].successful_samples == 4
     fixed = s.filter("iteration = 0 and prompt_index = 1").withColumn("iteration", F.lit(2)).withColumn("arrived_at", F.lit(2))
     fixed.write.parquet(f"{d}/in/2")
-    run()
+    run(d, f"{d}/cp")
     r = spark.read.parquet(f"{d}/summary").collect()
     assert len(r) == 1 and (r[0].total_samples, r[0].successful_samples) == (5, 5)
+    assert len(table_rows(spark, f"{d}/ledger")) == 2
+
+    # All frames equal one analysis of the newest samples, before and after an empty checkpoint reads all again.
+    stored = {t: table_rows(spark, f"{d}/{t}") for t in VISIBILITY_TABLES}
+    whole = visibility_summary(X.brands(spark), X.plans(spark), X.places(spark), spark.read.parquet(f"{d}/samples"))
+    for name, frame in whole.items():
+        assert sorted(str(tuple(x)) for x in frame.select(*sorted(frame.columns)).collect()) == table_rows(spark, f"{d}/{name}", "bucket"), name
+    run(d, f"{d}/cp2")
+    assert {t: table_rows(spark, f"{d}/{t}") for t in VISIBILITY_TABLES} == stored
+
+
+def test_replace_rows_touches_its_buckets_alone(spark):
+    path = folder() + "/t"
+    schema = "k int, v string, bucket int"
+    first = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "c", 2), (3, "d", 2), (4, "e", 3)], schema)
+    replace_rows(first, path, "bucket", "k", first.select("bucket", "k").distinct(), [1, 2, 3])
+    before = set(os.listdir(f"{path}/bucket=3"))
+    touched = spark.createDataFrame([(1, 1), (2, 2)], "bucket int, k int")
+    replace_rows(spark.createDataFrame([(2, "x", 2)], schema), path, "bucket", "k", touched, [1, 2])
+    assert sorted(tuple(r) for r in spark.read.schema(schema).parquet(path).select("k", "v", "bucket").collect()) == [(2, "x", 2), (3, "d", 2), (4, "e", 3)]
+    assert set(os.listdir(f"{path}/bucket=3")) == before
 
 
 def test_research_inputs_and_overview(spark):
@@ -215,9 +248,13 @@ def test_recheck_stream(spark):
     swapped = edits.filter("draft_id = 'faulty'").withColumn("content", F.lit(X.SOUND)).withColumn("edited_at", F.lit(2))
     edits.write.parquet(f"{d}/in/1")
     prior = lambda: X.drafts(spark).select("draft_id", "required_entities")
-    run = lambda: recheck_stream(
-        spark.readStream.schema(edits.schema).parquet(f"{d}/in/*"), prior, f"{d}/scores", f"{d}/cp", X.brands(spark)
-    ).awaitTermination(300)
+
+    def run(checkpoint="cp"):
+        recheck_stream(spark.readStream.schema(edits.schema).parquet(f"{d}/in/*"), prior, d, f"{d}/{checkpoint}", X.brands(spark), buckets=4).awaitTermination(300)
+
+    def files():
+        return {t: sorted(f for _, _, fs in os.walk(f"{d}/{t}") for f in fs) for t in ("checks", "scores")}
+
     run()
     first = {r.draft_id: r.overall for r in spark.read.parquet(f"{d}/scores").collect()}
     assert first["faulty"] < 50 < first["sound"]
@@ -225,3 +262,21 @@ def test_recheck_stream(spark):
     run()
     second = {r.draft_id: r.overall for r in spark.read.parquet(f"{d}/scores").collect()}
     assert second == {"faulty": first["sound"], "sound": first["sound"]}
+    latest = X.drafts(spark).withColumn("content", F.lit(X.SOUND))
+    report = check_drafts(latest, X.brands(spark))
+    want = sorted(str(tuple(r)) for r in report.select(*sorted(report.columns)).collect())
+    assert table_rows(spark, f"{d}/checks", "bucket") == want
+
+    # The same edits again, and older ones, write nothing; a later time alone leaves the report.
+    before = files()
+    swapped.unionByName(edits.filter("draft_id = 'faulty'")).write.parquet(f"{d}/in/3")
+    run()
+    assert files() == before
+    swapped.withColumn("edited_at", F.lit(5)).write.parquet(f"{d}/in/4")
+    run()
+    assert files()["checks"] == before["checks"] and {r.draft_id: r.edited_at for r in spark.read.parquet(f"{d}/scores").collect()} == {"faulty": 5, "sound": 1}
+    edits.filter("draft_id = 'faulty'").withColumn("edited_at", F.lit(4)).write.parquet(f"{d}/in/5")
+    run()
+    assert {r.draft_id: r.overall for r in spark.read.parquet(f"{d}/scores").collect()} == second
+    run("cp2")
+    assert table_rows(spark, f"{d}/checks", "bucket") == want and files()["checks"] == before["checks"]
