@@ -10,6 +10,7 @@ from brandloom.functions import text as T
 from brandloom.functions.names import normalize_name
 from brandloom.operators.documents import corpus_budget, document_text
 from brandloom.operators.names import first_match, same_business_join
+from brandloom.operators.phrases import phrase_matches
 from brandloom.operators.questions import similar_clusters, similar_pairs, word_set
 from brandloom.workload import data as D
 from brandloom.workload import sqltext as S
@@ -112,11 +113,18 @@ def topic_mentions(spark, sf):
 
 def topic_table_matches(spark, sf):
     """The lexicon as a joined dimension table: texts per topic and language."""
-    lex = D.PROSE_WORDS.table(spark)
-    d = D.table(spark, sf, "documents").select("lang", X.ascii_view(T.fold(F.col("text"))).alias("t"))
-    # A seven-row constant dimension: the lexicon size is fixed by its definition.
-    j = d.join(F.broadcast(lex), F.rlike(F.col("t"), F.col("pattern")))
-    return j.groupBy("topic_id", "label", "lang").agg(F.count(F.lit(1)).alias("texts"))
+    topics = D.PROSE_WORDS.topics_in(F.col("text"))
+    found = D.table(spark, sf, "documents").select("lang", F.explode(topics).alias("topic_id")).groupBy("lang", "topic_id").agg(F.count(F.lit(1)).alias("texts"))
+    return found.join(D.PROSE_WORDS.table(spark), "topic_id").select("topic_id", "label", "lang", "texts")
+
+
+def phrase_table_matches(spark, sf):
+    """Beginnings of the benchmark items as a table of phrases: documents that hold them, for each item."""
+    ws = T.words(F.col("text"))
+    begins = F.array(*[F.array_join(F.slice("ws", 1, n), " ") for n in (1, 2, 3, 5, 8)])
+    phrases = D.table(spark, sf, "benchmark").select("item_id", ws.alias("ws")).select(F.col("item_id").alias("topic_id"), F.explode(begins).alias("phrase"))
+    hits = phrase_matches(D.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", phrases, ["topic_id"])
+    return hits.groupBy("topic_id", "phrase").agg(F.count(F.lit(1)).alias("texts"))
 
 
 def phrase_hits(spark, sf):
@@ -140,7 +148,7 @@ def rule_phrases(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     text_profile, normalized_names, page_headlines, page_domains, page_structure, page_text, document_chunks, corpus_excerpts, same_business_pairs,
-    first_listed_part, similar_documents, benchmark_overlap, topic_mentions, topic_table_matches, phrase_hits, rule_phrases,
+    first_listed_part, similar_documents, benchmark_overlap, topic_mentions, topic_table_matches, phrase_table_matches, phrase_hits, rule_phrases,
 )}
 
 _BULLET = f"(?i)^[{V.WS_CLASS[1:-1]}\\-•*✓✔❌✗x]+"
@@ -233,6 +241,10 @@ ORACLES = {
     "topic_mentions": f"""SELECT doc_id, array_to_string(ts, '|') AS topics, coalesce(list_filter(ts, lambda t: t <> 'joined')[1], ts[1]) AS primary_topic, {S.join("list_filter(ts, lambda t: t IN ('company', 'past'))")} AS audience
         FROM (SELECT doc_id, {_TL} AS ts FROM (SELECT doc_id, {S.fold('text')} AS f FROM documents))""",
     "topic_table_matches": f"""SELECT topic_id, {S.label('topic_id', D.PROSE_WORDS)} AS label, lang, count(*) AS texts FROM (SELECT lang, unnest({_TL}) AS topic_id FROM (SELECT lang, {S.fold('text')} AS f FROM documents)) GROUP BY ALL""",
+    "phrase_table_matches": f"""WITH items AS (SELECT item_id, {S.words(S.fold('text'))} AS w FROM benchmark),
+        ph AS (SELECT DISTINCT item_id AS topic_id, phrase FROM (SELECT item_id, unnest([array_to_string(w[1:k], ' ') FOR k IN [1, 2, 3, 5, 8]]) AS phrase FROM items) WHERE phrase <> ''),
+        d AS (SELECT doc_id, ' ' || array_to_string({S.words(S.fold('text'))}, ' ') || ' ' AS t FROM documents)
+        SELECT topic_id, phrase, count(DISTINCT doc_id) AS texts FROM ph JOIN d ON contains(t, ' ' || phrase || ' ') GROUP BY ALL""",
     "phrase_hits": f"""SELECT lang, {', '.join(f"count(*) FILTER ({S.phrase('f', p)}) AS p_{p.replace(' ', '_')}" for p in ('of the', 'the thing', 'les', 'und der', 'apache license'))}
         FROM (SELECT lang, {S.fold('text')} AS f FROM documents) GROUP BY lang""",
     "rule_phrases": f"""SELECT p_partkey, CASE WHEN regexp_matches(r, {S.q('(?i)' + V.NEGATIVE_RULE)}) THEN {S.join(f'''list_filter(list_concat(regexp_extract_all(r, {S.q(V.QUOTED_PHRASE)}, 1), [regexp_extract(r, {S.q('(?i)' + V.NEVER_CALL)}, 1)]), lambda x: x <> '')''')} ELSE '' END AS banned,

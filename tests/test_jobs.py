@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ from brandloom.operators.brands import brand_topics
 from brandloom.operators.entities import extract_entities
 from brandloom.operators.leaders import leader_clusters
 from brandloom.operators.names import first_match, same_business_join
+from brandloom.operators.phrases import phrase_matches
 from brandloom.plans import brief, content_plan, dashboards, serp
 from tests import fixtures as X
 
@@ -388,3 +390,16 @@ def test_passages_in_every_language(spark, tmp_path):
     spark.createDataFrame([(7, "blue")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = draft_queries.passage_search(spark, str(tmp_path)).collect()
     assert {(x.project_id, x.request_id, x.chunk_id, x["rank"]) for x in got} == {("en", 7, 10_000, 1), ("it", 7, 20_000, 1), (None, 7, 30_000, 1)}
+
+
+def test_phrase_table(spark):
+    """Phrases of any length by joins, against a search in the plain texts."""
+    rnd = random.Random(5)
+    texts = [(i, " ".join(rnd.choice("ab") for _ in range(rnd.randint(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (62, "Ä b, A-B"), (62, "b b b"), (63, "a b " * 400)]
+    phrases = [(t, " ".join(rnd.choice("aAb") for _ in range(n))) for t, n in enumerate([0, 1, 1, 2, 3, 3, 4, 5, 6, 7, 8, 9, 12, 20])] + [(90, "a b a b a b a b a b a"), (91, "zz a"), (92, None), (1, "b  b")]
+    got = phrase_matches(
+        spark.createDataFrame(texts, "k int, text string").withColumn("phrase", F.lit("clash")), ["k"], "text", spark.createDataFrame(phrases, "topic int, phrase string"), ["topic"],
+    ).collect()
+    plain = lambda x: " ".join(re.findall("[a-z0-9]+", (x or "").lower().replace("ä", "a")))
+    want = {(k, t, plain(p)) for k, x in texts for t, p in phrases if plain(p) and f" {plain(p)} " in f" {plain(x)} "}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 100
