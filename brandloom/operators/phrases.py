@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,14 @@ from brandloom.functions.text import words
 PIECE = 3
 
 
-def _runs(ws: Column, n: int) -> Column:
-    """All runs of n words with their begins."""
-    begins = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(begins, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(ws, i + 1, F.lit(n)), " ").alias("piece")))
+def _ahead(ws: Column) -> Column:
+    """Each word with its place and the words after it, NULL beyond the end."""
+    return F.transform(ws, lambda w, i: F.struct(i.alias("pos"), *[F.get(ws, i + n).alias(f"w{n}") for n in range(PIECE)]))
+
+
+def _runs() -> Column:
+    """The runs of one to ``PIECE`` words that begin at a word; NULL where the text ends first."""
+    return F.array(*[reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.col(f"r.w{k}") for k in range(n)]) for n in range(1, PIECE + 1)])
 
 
 def phrase_pieces(phrases: DataFrame) -> DataFrame:
@@ -38,7 +44,8 @@ def phrase_matches(texts: DataFrame, keys: list[str], text: str, phrases: DataFr
     phrases without words match nothing; repeated phrases and repeated texts of a key count once."""
     known = phrases.select(*topic, F.array_join(words(F.col("phrase")), " ").alias("phrase")).filter(F.col("phrase") != "").distinct()
     ws = texts.select(*keys, words(F.col(text)).alias("ws"), F.monotonically_increasing_id().alias("_row"))
-    runs = ws.select(*keys, "_row", F.explode(F.concat(*[_runs(F.col("ws"), n) for n in range(1, PIECE + 1)])).alias("r")).select(*keys, "_row", "r.*")
+    each = ws.select(*keys, "_row", F.explode(_ahead(F.col("ws"))).alias("r"))
+    runs = each.select(*keys, "_row", F.col("r.pos").alias("pos"), F.explode(_runs()).alias("piece"))
     met = runs.join(phrase_pieces(known), "piece")
     begin = F.when(F.col("total") > 1, F.col("pos") - F.col("shift")).otherwise(0)
     held = met.groupBy(*keys, "_row", "phrase", "total", begin.alias("begin")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("total"))
