@@ -74,13 +74,28 @@ def place_string(city: Column, region: Column, country: Column) -> Column:
     return F.array_join(F.filter(F.array(city, region, country), lambda x: x.isNotNull() & (x != "")), ", ")
 
 
-def search_locale(serp_location: Column, city: Column, region: Column, country: Column, code: Column, language: Column) -> Column:
+def number_text(x: Column) -> Column:
+    """A coordinate as plain digits, without a closing ``.0`` and without an exponent."""
+    plain = x.cast("string").try_cast("decimal(38,18)").cast("string")
+    return F.when(x == 0, "0").otherwise(F.regexp_replace(plain, r"\.?0+\z", ""))
+
+
+def map_view(latitude: Column, longitude: Column) -> Column:
+    """Map position of a search; NULL unless both coordinates are known."""
+    return F.concat(F.lit("@"), number_text(latitude), F.lit(","), number_text(longitude), F.lit(V.MAP_ZOOM))
+
+
+def search_locale(
+    serp_location: Column, city: Column, region: Column, country: Column, code: Column, language: Column, latitude: Column, longitude: Column,
+) -> Column:
+    """Where a brand is searched from: place, canonical location, country, language and map position."""
     place = place_string(city, region, country)
     return F.struct(
         place.alias("place"),
         F.coalesce(F.nullif(serp_location, F.lit("")), F.nullif(place, F.lit(""))).alias("location"),
         F.nullif(F.lower(code), F.lit("")).alias("gl"),
         F.coalesce(F.nullif(language, F.lit("")), F.lit("en")).alias("hl"),
+        map_view(latitude, longitude).alias("ll"),
     )
 
 
@@ -150,10 +165,10 @@ def is_question(text: Column) -> Column:
 
 # --- content parsing --------------------------------------------------------------------
 
-_MD_HEADING = "(?m)^(#{1,6})" + V.WS_CLASS + "+(.+)$"
-_HTML_HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"
-_MD_LINK = r"\[([^\]]+)\]\(([^)\s]+)\)"
-_HTML_LINK = r"""(?is)<a\s[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+_MD_HEADING = "(?m)" + V.MD_HEADING.replace("\\s", V.WS_CLASS)
+_HTML_HEADING = "(?is)" + V.HTML_HEADING
+_MD_LINK = V.MD_LINK
+_HTML_LINK = "(?is)" + V.HTML_LINK
 
 
 def _all(c: Column, pattern: str, group: int) -> Column:
@@ -168,7 +183,7 @@ def headings(c: Column) -> Column:
     )
     html = F.zip_with(
         _all(c, _HTML_HEADING, 1), _all(c, _HTML_HEADING, 2),
-        lambda h, t: F.struct(h.cast("int").alias("level"), trim_ws(F.regexp_replace(t, "<[^>]+>", "")).alias("text")),
+        lambda h, t: F.struct(h.cast("int").alias("level"), trim_ws(F.regexp_replace(t, V.TAG, "")).alias("text")),
     )
     return F.concat(md, html)
 
@@ -180,16 +195,16 @@ def links(c: Column) -> Column:
     )
     html = F.zip_with(
         _all(c, _HTML_LINK, 2), _all(c, _HTML_LINK, 1),
-        lambda t, u: F.struct(F.regexp_replace(t, "<[^>]+>", "").alias("text"), u.alias("url")),
+        lambda t, u: F.struct(F.regexp_replace(t, V.TAG, "").alias("text"), u.alias("url")),
     )
     return F.concat(md, html)
 
 
 def plain_text(c: Column) -> Column:
-    c = F.regexp_replace(c, "<[^>]+>", " ")
-    c = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    c = F.regexp_replace(c, "(?m)^#{1,6}" + V.WS_CLASS + "+", "")
-    return F.regexp_replace(c, "[*_`>]", "")
+    c = F.regexp_replace(c, V.TAG, " ")
+    c = F.regexp_replace(c, V.MD_LINK_TEXT, "$1")
+    c = F.regexp_replace(c, "(?m)" + V.MD_HEADING_MARK.replace("\\s", V.WS_CLASS), "")
+    return F.regexp_replace(c, V.MD_SIGNS, "")
 
 
 def parse_content(c: Column) -> Column:

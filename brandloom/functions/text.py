@@ -170,7 +170,7 @@ def clean_text(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, "<[^>]+>", " ")
+    return F.regexp_replace(c, V.TAG, " ")
 
 
 def chunk_text(c: Column, size: int = 1200, overlap: int = 150) -> Column:

@@ -26,6 +26,7 @@ BRAND_SCHEMA = T.StructType(
             "english_variant",
         )
     ]
+    + [T.StructField("serp_location", _TEXT), T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType())]
     + [
         T.StructField("competitors", T.ArrayType(T.StructType([T.StructField("name", _TEXT), T.StructField("website", _TEXT), T.StructField("aliases", T.ArrayType(_TEXT))]))),
         T.StructField("site_pages", T.ArrayType(T.StructType([T.StructField(c, _TEXT) for c in ("title", "url", "type")]))),

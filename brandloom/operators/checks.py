@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brandloom import vocab as V
@@ -438,6 +438,7 @@ def failed_checks(checks: DataFrame) -> DataFrame:
 
 
 def checks_in_order(checks: DataFrame) -> DataFrame:
-    """Failures first, then warnings, then passes, within each draft and area."""
+    """Failures first, then warnings, then passes: the ``place`` of each check within its draft
+    and area, from 1. An area has a fixed number of checks, so no group of the window grows."""
     rank = F.array_position(F.array(F.lit(FAIL), F.lit(WARN), F.lit(PASS)), F.col("status"))
-    return checks.withColumn("status_rank", rank).orderBy("draft_id", "area", "status_rank", "pos")
+    return checks.withColumn("place", F.row_number().over(Window.partitionBy("draft_id", "area").orderBy(rank, "pos")))

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from brandloom import vocab as V
 from brandloom.functions.names import any_same, normalize_folded
-from brandloom.functions.regex import ascii_view, let, matches
+from brandloom.functions.regex import ascii_view, js_pattern, let, matches
 from brandloom.functions.search import empty_array
 from brandloom.functions.text import fold
 from brandloom.operators.topics import top_rows
 from brandloom.session import cut_lineage
 
-# A capitalised run; the boundary before it is an ASCII one.
-_RUN = (
-    f"(?<![A-Za-z0-9_])({V.CAPITALISED_WORD}(?:{V.WS_CLASS}+{V.CAPITALISED_CONNECTORS}{V.WS_CLASS}+{V.CAPITALISED_WORD}"
-    f"|{V.WS_CLASS}+{V.CAPITALISED_WORD}){{0,{V.CAPITALISED_MAX_EXTRA}}})"
-)
+# The boundary before a run is an ASCII one, while the text keeps its accented letters.
+_RUN = js_pattern(V.CAPITALISED_RUN).replace("\\b", "(?<![A-Za-z0-9_])", 1)
 
 
 def capitalised_runs(text: Column) -> Column:

@@ -80,6 +80,11 @@ def project_cards(projects: DataFrame, drafts: DataFrame) -> DataFrame:
     return projects.join(n, "project_id", "left").withColumn("pieces", F.coalesce("pieces", F.lit(0)))
 
 
+def draft_averages(drafts: DataFrame) -> DataFrame:
+    """Drafts and their average score per project."""
+    return drafts.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_drafts"), js_round(F.avg("overall")).alias("avg_score"))
+
+
 def project_overview(
     brands: DataFrame, documents: DataFrame, drafts: DataFrame, feedback: DataFrame, runs: DataFrame, briefs: DataFrame, gsc: DataFrame, latest_runs: int = 6
 ) -> DataFrame:
@@ -88,12 +93,12 @@ def project_overview(
     and brand_rate (of visibility runs)."""
     recent = top_rows(runs, ["project_id"], [F.desc("created_at"), "run_id"], latest_runs)
     rules = feedback.filter(F.col("apply_as_rule"))
-    done = (F.col("kind") == "ai_visibility") & (F.col("status") == "done")
+    done = F.coalesce((F.col("kind") == "ai_visibility") & (F.col("status") == "done"), F.lit(False))
     per_run = recent.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("n_runs"), F.bool_or(F.col("kind") == "local_context").alias("has_local"),
-        F.max_by(F.when(done, F.col("brand_rate")), F.when(done, F.col("created_at"))).alias("visibility_rate"), F.bool_or(done).alias("has_visibility"),
+        F.min_by("brand_rate", F.when(done, F.col("rank"))).alias("visibility_rate"), F.bool_or(done).alias("has_visibility"),
     )
-    per_draft = drafts.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_drafts"), js_round(F.avg("overall")).alias("avg_score"))
+    per_draft = draft_averages(drafts)
     ks = knowledge_score(brands, documents, rules, recent).select("project_id", F.col("score").alias("knowledge"))
     out = brands.select("project_id", F.coalesce(F.size("competitors"), F.lit(0)).alias("n_competitors"))
     for name, df in (("n_gsc", gsc), ("n_briefs", briefs), ("n_rules", rules), ("n_documents", documents)):
@@ -152,11 +157,14 @@ def research_inputs(runs: DataFrame, latest: int = 6, questions: int = 40, angle
 
 
 def linked_runs(drafts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Finished research runs a draft refers to. ``drafts``: draft_id, research_run_ids."""
-    refs = drafts.select("draft_id", F.explode("research_run_ids").alias("run_id"))
+    """Finished research runs a draft refers to, each once. ``drafts``: draft_id, research_run_ids."""
+    refs = drafts.select("draft_id", F.explode(F.array_distinct("research_run_ids")).alias("run_id"))
     return refs.join(runs.filter(F.col("status") == "done"), "run_id")
 
 
-def latest_per_project(df: DataFrame, order: str = "created_at") -> DataFrame:
+def latest_per_project(df: DataFrame, *order: str) -> DataFrame:
+    """The last row of each project by ``order`` (most significant column first; end with a key
+    to settle ties). Combined in the tasks, so a hot project costs one row for each of them."""
     cols = [c for c in df.columns if c != "project_id"]
-    return df.groupBy("project_id").agg(F.max_by(F.struct(*cols), order).alias("r")).select("project_id", "r.*")
+    by = F.struct(*(order or ("created_at",)))
+    return df.groupBy("project_id").agg(F.max_by(F.struct(*cols), by).alias("r")).select("project_id", "r.*")

@@ -80,6 +80,21 @@ def entity_texts(subjects: DataFrame, serp: dict[str, DataFrame], organic: DataF
     )
 
 
+def page_entities(subjects: DataFrame, serp: dict[str, DataFrame], organic: DataFrame, local_titles: DataFrame, limit: int = 12) -> DataFrame:
+    """Entities the texts of a result page keep mentioning, ranked; the brand and its location are
+    none. ``local_titles``: serp_id, businesses (names listed on the page)."""
+    context = subjects.join(local_titles, KEY, "left").select(
+        *KEY, F.array("city", "region", "country").alias("exclude"), F.col("brand_names").alias("exclude_businesses"),
+        F.coalesce("businesses", empty_array()).alias("businesses"),
+    )
+    return extract_entities(entity_texts(subjects, serp, organic), KEY, context, limit=limit)
+
+
+def required_entities(entities: DataFrame, k: int = 10) -> DataFrame:
+    """The ranked entities a draft on the query of their result page should mention."""
+    return entities.filter(F.col("rank") <= k)
+
+
 def question_items(serp: dict[str, DataFrame]) -> DataFrame:
     """Question texts with their source and weight, in one order across sources."""
     def part(df: DataFrame, group: int, text: Column, source: Column, weight: int) -> DataFrame:
@@ -239,11 +254,7 @@ def analyse_serp(brands: DataFrame, serp: dict[str, DataFrame], lexicon: Lexicon
     questions = merge_questions(question_items(serp), KEY, subjects.select(*KEY, "brand_folds"), lexicon=lexicon)
     questions = top_rows(questions, KEY, [F.desc("score"), "ord"], 15)
     local_titles = places.filter(F.col("list").isin("local_pack", "maps")).groupBy(*KEY).agg(F.collect_set("title").alias("businesses"))
-    context = subjects.join(local_titles, KEY, "left").select(
-        *KEY, F.array("city", "region", "country").alias("exclude"), F.col("brand_names").alias("exclude_businesses"),
-        F.coalesce("businesses", empty_array()).alias("businesses"),
-    )
-    entities = extract_entities(entity_texts(subjects, serp, organic), KEY, context, limit=12)
+    entities = page_entities(subjects, serp, organic, local_titles)
     results = top_results(organic, subjects, lexicon)
     reviews = serp["reviews"]
     themes = cut_lineage(review_themes(reviews, KEY, lexicon))
@@ -282,8 +293,3 @@ def analyse_serp(brands: DataFrame, serp: dict[str, DataFrame], lexicon: Lexicon
         *KEY, "project_id", "query", "intent", "serp_features", "top_entities", "competitor_angles", "missing_opportunities", "customer_questions",
         "top_results", "content_formats", "brand_presence", "review_themes", "brand_review_themes", "competitors", "recommendations",
     )
-
-
-def required_entities(insights: DataFrame, k: int = 10) -> DataFrame:
-    """Names a draft on this query should mention."""
-    return insights.select(*KEY, "project_id", "query", F.slice(F.transform("top_entities", lambda e: e["name"]), 1, k).alias("required_entities"))

@@ -100,9 +100,7 @@ ENTITY_LANDMARK = (
     r"|garden|gardens|pagoda|cathedral|church|palace|lake|mountain|falls|tower|gallery|zoo|stadium|harbour|harbor|pier"
     r"|old town|quarter|village|night market|precinct|lane|mount|reserve|centre|center|wharf|terrace)\b"
 )
-CAPITALISED_WORD = r"[A-Z][\p{L}'’.-]+"
-CAPITALISED_CONNECTORS = "(?:of|the|de|du|la|le|by)"
-CAPITALISED_MAX_EXTRA = 4
+CAPITALISED_RUN = r"\b([A-Z][\p{L}'’.-]+(?:\s+(?:of|the|de|du|la|le|by)\s+[A-Z][\p{L}'’.-]+|\s+[A-Z][\p{L}'’.-]+){0,4})"
 
 # --- fixed values: review sentiment ----------------------------------------------
 NEGATIVE_WORDS = (
@@ -129,6 +127,16 @@ REVIEW_TITLE = r"\breview"
 ACCOMMODATION_QUERY = r"\b(hotels?|resorts?|stay|stays|accommodation|villas?|where to stay)\b"
 ACCOMMODATION_PROFILE = r"hotel|resort|villa|hospitality"
 
+# --- fixed values: content markup ---------------------------------------------------
+MD_HEADING = r"^(#{1,6})\s+(.+)$"
+HTML_HEADING = r"<h([1-6])[^>]*>(.*?)</h\1>"
+MD_LINK = r"\[([^\]]+)\]\(([^)\s]+)\)"
+HTML_LINK = r"""<a\s[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+TAG = r"<[^>]+>"
+MD_LINK_TEXT = r"\[([^\]]+)\]\([^)]+\)"
+MD_HEADING_MARK = r"^#{1,6}\s+"
+MD_SIGNS = r"[*_`>]"
+
 # --- fixed values: search console --------------------------------------------------
 GSC_QUESTION = r"^(how|what|where|when|which|who|why|is|are|can|do|does|should|best|top)\b|\?$"
 GSC_COMPARISON = r"\b(vs|versus|or|alternative|alternatives|compare|comparison|like|similar)\b"
@@ -136,6 +144,7 @@ GSC_LOCAL = r"\b(near|nearby|near me|close to|walking distance|around|from|to)\b
 CTR_CURVE = [0.28, 0.16, 0.11, 0.08, 0.06, 0.045, 0.035, 0.03, 0.025, 0.02]
 CTR_SECOND_PAGE = 0.01
 CTR_BEYOND = 0.003
+MAP_ZOOM = ",14z"
 GSC_HEADERS = {
     "query": ["top queries", "query", "queries"],
     "page": ["page", "url", "landing"],

@@ -51,6 +51,11 @@ def open_issues(spark, sf):
     return C.failed_checks(c).join(n, "draft_id").select("draft_id", "seo", "conversion", F.size(F.split("issues", "\n- ")).alias("lines"))
 
 
+def ordered_checks(spark, sf):
+    """Checks of each draft as a report lists them: failures, warnings, passes."""
+    return C.checks_in_order(_checks(spark, sf, "seo", "conversion")).select("draft_id", "area", "place", "check_id")
+
+
 def label_neighbours(spark, sf):
     """Nearest vectors to the mean vector of each label."""
     e = D.table(spark, sf, "embeddings")
@@ -106,7 +111,7 @@ def draft_search_texts(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    seo_checks, geo_checks, brand_checks, conversion_checks, draft_scores, open_issues, label_neighbours, vector_norm_profile, passage_search, retrieved_passages, draft_search_texts,
+    seo_checks, geo_checks, brand_checks, conversion_checks, draft_scores, open_issues, ordered_checks, label_neighbours, vector_norm_profile, passage_search, retrieved_passages, draft_search_texts,
 )}
 
 _W = S.WS
@@ -248,6 +253,8 @@ ORACLES = {
     "draft_scores": f"""{check_rows(('seo', SEO), ('geo', GEO), ('brand', BRAND), ('conversion', CONVERSION))}, sc AS (SELECT draft_id, {_AREA} FROM checks GROUP BY draft_id)
         SELECT *, floor(seo * 0.3::DOUBLE + geo * 0.25::DOUBLE + brand * 0.3::DOUBLE + conversion * 0.15::DOUBLE + 0.5)::BIGINT AS overall FROM sc""",
     "open_issues": f"{check_rows(('seo', SEO), ('conversion', CONVERSION))} SELECT draft_id, count(*) FILTER (area = 'seo') AS seo, count(*) FILTER (area = 'conversion') AS conversion, count(*)::INT AS lines FROM checks WHERE status <> 'pass' GROUP BY draft_id",
+    "ordered_checks": f"""{check_rows(('seo', SEO), ('conversion', CONVERSION))}, o AS (SELECT unnest([{S.strs([c for c, _ in SEO + CONVERSION])}]) AS check_id, unnest(range({len(SEO) + len(CONVERSION)})) AS pos)
+        SELECT draft_id, area, row_number() OVER (PARTITION BY draft_id, area ORDER BY list_position(['fail', 'warn', 'pass'], status), pos)::INT AS place, check_id FROM checks JOIN o USING (check_id)""",
     "label_neighbours": f"""WITH {_MEAN}, s AS (SELECT label AS query_id, vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], m) AS sim FROM means, (SELECT vec_id, embedding FROM embeddings))
         SELECT query_id, chunk_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 10""",
     "vector_norm_profile": f"WITH {_MEAN} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], m), 6) AS similarity FROM embeddings JOIN means USING (label)",

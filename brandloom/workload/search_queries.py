@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brandloom import vocab as V
-from brandloom.functions.search import classify_intent, expected_ctr, localize, place_string
+from brandloom.functions.search import classify_intent, expected_ctr, localize, place_string, search_locale
 from brandloom.operators.brands import brand_topics
 from brandloom.operators.gsc import classify_gsc, distinct_signals, filter_opportunities
 from brandloom.plans.content_plan import content_plan, opportunity_clusters, plan_summary
@@ -81,6 +81,19 @@ def localized_queries(spark, sf):
     return j.select("c_custkey", localize(query, F.col("n_name")).alias("query"), place_string(F.lit(""), F.col("n_name"), F.col("r_name")).alias("place"))
 
 
+def search_locales(spark, sf):
+    """Where each customer is searched from: canonical location, country, language, map position."""
+    c, n, r = (D.table(spark, sf, t) for t in ("customer", "nation", "region"))
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey")
+    given = lambda by, value: F.when(k % by > 0, value)
+    locale = search_locale(
+        F.when(k % 5 == 0, F.concat("n_name", F.lit(" Province"))).when(k % 5 == 1, ""), given(3, F.col("c_mktsegment")), F.col("n_name"), F.col("r_name"),
+        given(7, F.substring("n_name", 1, 2)), F.when(k % 4 == 0, "fr").when(k % 4 == 1, ""), given(11, F.col("c_acctbal") / 100), given(6, (k % 360 - 180) / 2),
+    )
+    return j.select("c_custkey", locale.alias("l")).select("c_custkey", "l.*")
+
+
 def parsed_numbers(spark, sf):
     """Localised numbers back to values: thousands separators, percent signs, junk."""
     p = D.table(spark, sf, "part")
@@ -96,7 +109,7 @@ def parsed_numbers(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     gsc_opportunities, gsc_filtered, gsc_signals, opportunity_themes, content_plan_briefs, content_plan_summary, approved_facts_by_topic, search_intents,
-    expected_clicks, localized_queries, parsed_numbers,
+    expected_clicks, localized_queries, search_locales, parsed_numbers,
 )}
 
 _FLAT = "ord, query, page, clicks, impressions, round(position, 3) AS position, pillar, array_to_string(signals, '|') AS signals, tail, score"
@@ -182,6 +195,10 @@ ORACLES = {
     "expected_clicks": f"""SELECT l_linenumber, round(sum(({S.ctr_curve('pos')}) * 100), 4) AS clicks, count(*) AS n FROM (SELECT l_linenumber, l_quantity / 2 - 0.5::DOUBLE AS pos FROM lineitem) GROUP BY 1""",
     "localized_queries": """SELECT c_custkey, CASE WHEN contains(lower(qy), lower(n_name)) THEN qy ELSE qy || ' ' || n_name END AS query, n_name || ', ' || r_name AS place
         FROM (SELECT *, 'hotels ' || CASE WHEN c_custkey % 2 = 0 THEN lower(n_name) ELSE 'x' END AS qy FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
+    "search_locales": """WITH b AS (SELECT c_custkey AS k, * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+        p AS (SELECT *, CASE WHEN k % 3 > 0 THEN c_mktsegment || ', ' ELSE '' END || n_name || ', ' || r_name AS place, c_acctbal / 100 AS lat, (k % 360 - 180) / 2 AS lng FROM b)
+        SELECT c_custkey, place, CASE WHEN k % 5 = 0 THEN n_name || ' Province' ELSE place END AS location, CASE WHEN k % 7 > 0 THEN lower(n_name[1:2]) END AS gl, CASE WHEN k % 4 = 0 THEN 'fr' ELSE 'en' END AS hl,
+          CASE WHEN k % 11 > 0 AND k % 6 > 0 THEN '@' || regexp_replace(lat::VARCHAR, '\\.0$', '') || ',' || regexp_replace(lng::VARCHAR, '\\.0$', '') || ',14z' END AS ll FROM p""",
     "parsed_numbers": f"""SELECT p_partkey, round({_NUMBER}, 4) AS number, round(CASE WHEN t = '' THEN NULL ELSE {_NUMBER} / CASE WHEN contains(t, '%') THEN 100 ELSE 1 END END, 6) AS share
         FROM (SELECT p_partkey, {_NUMBER_TEXT} AS t FROM part)""",
 }

@@ -125,8 +125,8 @@ def content_briefs(spark, sf):
 def required_entity_names(spark, sf):
     f = serp_frames(spark, sf)
     subjects = P.serp_subjects(f["serps"], D.brands(spark), D.PROSE_WORDS)
-    context = subjects.select(*KEY, F.array("city", "region", "country").alias("exclude"), F.col("brand_names").alias("exclude_businesses"), F.array(F.lit("Sich Sich")).alias("businesses"))
-    e = extract_entities(P.entity_texts(subjects, f, f["organic"]), KEY, context, limit=10)
+    listed = subjects.select(*KEY, F.array(F.lit("Sich Sich")).alias("businesses"))
+    e = P.required_entities(P.page_entities(subjects, f, f["organic"], listed))
     return e.select("serp_id", "rank", "name", "type", "mentions")
 
 

@@ -71,9 +71,7 @@ def project_pieces(spark, sf):
 
 
 def average_scores(spark, sf):
-    from brandloom.functions.regex import js_round
-
-    return drafts(spark, sf).groupBy("project_id").agg(js_round(F.avg("overall")).alias("avg_score"), F.count(F.lit(1)).alias("drafts"))
+    return DB.draft_averages(drafts(spark, sf)).withColumnRenamed("n_drafts", "drafts")
 
 
 def latest_events(spark, sf):
