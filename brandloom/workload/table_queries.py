@@ -74,6 +74,79 @@ def average_scores(spark, sf):
     return DB.draft_averages(drafts(spark, sf)).withColumnRenamed("n_drafts", "drafts")
 
 
+def profiles(spark, sf):
+    """Customers as brand profiles of different completeness."""
+    k = F.col("c_custkey")
+    some = lambda by, value: F.when(k % by > 0, value)
+    filler = lambda by: F.array_join(F.array_repeat(F.lit("- A line"), (k % by).cast("int")), "\n")
+    rival = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.concat(F.lit("Rival "), i.cast("string")))
+    page = F.transform(F.sequence(F.lit(0), (k % 5).cast("int")), lambda i: F.concat(F.lit("/page/"), i.cast("string")))
+    return D.table(spark, sf, "customer").select(
+        k.alias("project_id"), some(2, F.col("c_name")).alias("brand_summary"), filler(8).alias("brand_facts"), filler(3).alias("usps"), some(3, F.lit(" ")).alias("products"),
+        filler(2).alias("restricted_claims"), some(5, F.col("c_mktsegment")).alias("tone_of_voice"), some(4, F.lit("x")).alias("words_to_avoid"), F.lit("").alias("words_to_use"),
+        some(6, F.lit("Book")).alias("cta_preference"), some(7, F.col("c_mktsegment")).alias("target_customers"), F.when(k % 9 > 0, rival).alias("competitors"),
+        some(10, F.lit("City")).alias("city"), F.when(k % 11 > 0, "vn").otherwise("").alias("country_code"), F.when(k % 13 > 0, page).alias("site_pages"),
+    )
+
+
+def research_runs(spark, sf):
+    """Events as research runs with a JSON summary; local ones in either of two layouts."""
+    e = D.table(spark, sf, "events")
+    i = F.col("event_id")
+    kind = F.when(F.col("event_type").isin("signup", "purchase"), "ai_visibility").when(F.col("event_type") == "error", "other").otherwise("local_context")
+    numbered = lambda prefix, n: F.transform(F.sequence(F.lit(1), n.cast("int")), lambda x: F.concat(F.lit(prefix), i.cast("string"), F.lit("."), x.cast("string")))
+    local = F.struct(
+        F.transform(numbered("q", i % 9 + 1), lambda q: F.struct(q.alias("question"))).alias("customer_questions"), F.when(i % 5 > 0, numbered("a", i % 4 + 1)).alias("content_angles"),
+    )
+    rate = F.when(F.col("event_type") == "purchase", i % 8 / 8)
+    visibility = F.struct(
+        F.struct(rate.alias("ai_mention_rate")).alias("brand"), F.transform(numbered("b", i % 7 + 1), lambda b: F.struct(b.alias("name"))).alias("businesses"),
+        F.transform(numbered("d", i % 10 + 1), lambda d: F.struct(d.alias("domain"))).alias("citation_domains"),
+    )
+    summary = F.when(kind == "ai_visibility", F.to_json(visibility)).when(kind == "local_context", F.when(i % 2 == 0, F.to_json(F.struct(local.alias("ai")))).otherwise(F.to_json(local)))
+    return e.select(
+        F.col("user_id").alias("project_id"), i.alias("run_id"), kind.alias("kind"), F.when(i % 6 > 0, "done").otherwise("running").alias("status"), summary.alias("summary"),
+        F.col("ts").alias("created_at"), F.when(kind == "ai_visibility", F.coalesce(rate, F.lit(0.0))).alias("brand_rate"),
+    )
+
+
+def knowledge_scores(spark, sf):
+    """Completeness of each brand's profile, and what is missing."""
+    rules = feedback(spark, sf).filter("apply_as_rule")
+    s = DB.knowledge_score(profiles(spark, sf), drafts(spark, sf), rules, research_runs(spark, sf))
+    return s.select("project_id", "score", F.array_join("missing", "|").alias("missing"))
+
+
+def project_steps(spark, sf):
+    """Counts, average score, visibility rate and finished workflow steps of each project."""
+    d = drafts(spark, sf)
+    parts = {"documents": d.filter("status = 'published'"), "drafts": d.filter("status <> 'planned'"), "briefs": d.filter("status = 'planned'")}
+    gsc = D.table(spark, sf, "orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("project_id"))
+    o = DB.project_overview(profiles(spark, sf), parts["documents"], parts["drafts"], feedback(spark, sf), research_runs(spark, sf), parts["briefs"], gsc)
+    done = F.array_join(F.transform(F.filter("steps", lambda s: s["done"]), lambda s: s["label"]), "|")
+    return o.select("project_id", "n_gsc", "n_briefs", "n_rules", "n_documents", "n_drafts", "n_runs", "avg_score", "visibility_rate", "knowledge", done.alias("steps_done"))
+
+
+def plan_research(spark, sf):
+    """What the last finished research runs of each project bring into its content plan."""
+    shown = lambda v: F.concat_ws(" ", v["brand_rate"].cast("string"), F.array_join(v["leaders"], ","), F.array_join(v["cited_domains"], ","))
+    r = DB.research_inputs(research_runs(spark, sf))
+    return r.select("project_id", F.array_join("customer_questions", "|").alias("questions"), F.array_join("content_angles", "|").alias("angles"), F.array_join(F.transform("ai_visibility", shown), "|").alias("visibility"))
+
+
+def draft_research(spark, sf):
+    """Finished research runs that each draft refers to."""
+    k = F.col("o_orderkey")
+    refs = D.table(spark, sf, "orders").select(k.alias("draft_id"), F.array(k, F.col("o_custkey"), F.floor(k / 2), F.lit(-1).cast("long"), k).alias("research_run_ids"))
+    return DB.linked_runs(refs, research_runs(spark, sf).select("run_id", "kind", "status")).select("draft_id", "run_id", "kind")
+
+
+def latest_visibility_runs(spark, sf):
+    """The last visibility run of each project."""
+    r = research_runs(spark, sf).filter("kind = 'ai_visibility'")
+    return DB.latest_per_project(r, "created_at", "run_id").select("project_id", "run_id", "status", "brand_rate")
+
+
 def latest_events(spark, sf):
     """Two batches of events merged: the newest row per user and type stays."""
     e = D.table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts", "value")
@@ -116,7 +189,8 @@ def filtered_orders(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    rules_in_force, feedback_status, feedback_search, feedback_drafts, pipeline_stages, workspace_totals, project_pieces, average_scores, latest_events, cascaded_delete,
+    rules_in_force, feedback_status, feedback_search, feedback_drafts, pipeline_stages, workspace_totals, project_pieces, average_scores, knowledge_scores, project_steps, plan_research,
+    draft_research, latest_visibility_runs, latest_events, cascaded_delete,
     orphaned_feedback, filtered_orders,
 )}
 
@@ -124,6 +198,20 @@ _FB = """fb AS (SELECT event_id AS id, user_id AS project_id, CASE event_type WH
   CASE WHEN event_type = 'error' THEN 'archived' WHEN value > 10 THEN 'applied' ELSE 'open' END AS status, value > 20 AS apply, props AS content, event_type AS context, ts FROM events)"""
 _DR = """dr AS (SELECT o_custkey AS project_id, o_orderkey AS draft_id, CASE left(o_orderpriority, 1) WHEN '1' THEN 'planned' WHEN '2' THEN 'processing' WHEN '3' THEN 'draft' WHEN '4' THEN 'review' ELSE CASE WHEN o_orderstatus = 'F' THEN 'published' ELSE 'complete' END END AS status,
   (floor(o_totalprice)::BIGINT % 100)::INT AS overall FROM orders)"""
+_RUNS = """rr AS (SELECT user_id AS project_id, event_id AS run_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'ai_visibility' WHEN event_type = 'error' THEN 'other' ELSE 'local_context' END AS kind,
+  event_id % 6 > 0 AS done, ts, CASE WHEN event_type = 'purchase' THEN event_id % 8 / 8 WHEN event_type = 'signup' THEN 0.0::DOUBLE END AS rate FROM events)"""
+_KNOWN = {  # item of the profile: (holds, weight)
+    "Brand summary": ("k % 2 > 0", 8), "Approved facts (5+)": ("k % 8 >= 5", 16), "USPs": ("k % 3 >= 2", 8), "Products & services": ("false", 6), "Restricted claims": ("k % 2 >= 1", 8),
+    "Tone of voice": ("k % 5 > 0", 8), "Words to avoid / use": ("k % 4 > 0", 5), "CTA preference": ("k % 6 > 0", 4), "Target audiences": ("k % 7 > 0", 8), "Competitors listed": ("k % 9 > 0 AND k % 4 >= 1", 7),
+    "Location set": ("k % 10 > 0 AND k % 11 > 0", 5), "Site pages for internal links": ("k % 13 > 0 AND k % 5 >= 2", 5), "Brand documents": ("n_docs > 0", 6), "Feedback rules": ("n_rules > 0", 3), "Market research": ("n_runs > 0", 3),
+}
+_SCORE = f"floor(({' + '.join(f'CASE WHEN {c} THEN {w} ELSE 0 END' for c, w in _KNOWN.values())}) / {sum(w for _, w in _KNOWN.values())} * 100 + 0.5)::BIGINT"
+
+
+def _known(docs: str, runs: str) -> str:
+    return f"""kn AS (SELECT c_custkey AS k, (SELECT count(*) FROM dr WHERE project_id = c_custkey {docs}) AS n_docs, (SELECT count(*) FROM fb WHERE project_id = c_custkey AND apply) AS n_rules, (SELECT {runs} FROM rr WHERE project_id = c_custkey) AS n_runs FROM customer)"""
+
+
 _STAGES = "(VALUES (0, 'planned', 'Planned'), (1, 'processing', 'In Progress'), (2, 'draft', 'Draft'), (3, 'review', 'Review'), (4, 'complete', 'Complete'), (5, 'published', 'Published')) s(stage_ord, status, label)"
 
 ORACLES = {
@@ -135,6 +223,24 @@ ORACLES = {
     "workspace_totals": f"WITH {_DR} SELECT (SELECT count(*) FROM customer) AS projects, count(*) AS drafts, count(*) FILTER (status IN ('planned', 'processing', 'draft', 'review')) AS in_flight, (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-01') AS runs_this_month FROM dr",
     "project_pieces": "SELECT c_custkey AS project_id, c_name AS name, count(o_orderkey) AS pieces FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "average_scores": f"WITH {_DR} SELECT project_id, floor(avg(overall) + 0.5)::BIGINT AS avg_score, count(*) AS drafts FROM dr GROUP BY project_id",
+    "knowledge_scores": f"""WITH {_FB}, {_DR}, {_RUNS}, {_known('', 'count(*)')} SELECT k AS project_id, {_SCORE} AS score,
+        concat_ws('|', {', '.join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, (c, _) in _KNOWN.items())}) AS missing FROM kn""",
+    "project_steps": f"""WITH {_FB}, {_DR}, {_RUNS}, {_known("AND status = 'published'", 'least(count(*), 6)')},
+        recent AS (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, run_id) <= 6),
+        o AS (SELECT kn.*, {_SCORE} AS knowledge, (SELECT count(*) FROM orders WHERE o_custkey = k AND o_custkey % 3 = 0) AS n_gsc, (SELECT count(*) FROM dr WHERE project_id = k AND status = 'planned') AS n_briefs,
+          (SELECT count(*) FROM dr WHERE project_id = k AND status <> 'planned') AS n_drafts, (SELECT floor(avg(overall) + 0.5)::BIGINT FROM dr WHERE project_id = k AND status <> 'planned') AS avg_score,
+          (SELECT arg_max(rate, ts) FROM recent r WHERE r.project_id = k AND kind = 'ai_visibility' AND done) AS visibility_rate, EXISTS (FROM recent r WHERE r.project_id = k AND kind = 'local_context') AS has_local FROM kn)
+        SELECT k AS project_id, n_gsc, n_briefs, n_rules, n_docs AS n_documents, n_drafts, n_runs, avg_score, visibility_rate, knowledge, concat_ws('|', CASE WHEN knowledge >= 60 THEN 'Brand understanding' END,
+          CASE WHEN has_local THEN 'Customer understanding' END, CASE WHEN k % 9 > 0 AND k % 4 >= 1 THEN 'Competitor understanding' END, CASE WHEN n_gsc > 0 THEN 'Search intelligence' END, CASE WHEN n_briefs > 0 THEN 'Content strategy' END,
+          CASE WHEN n_drafts > 0 THEN 'Content creation' END, CASE WHEN avg_score >= 70 THEN 'Quality validation' END, CASE WHEN n_rules > 0 THEN 'Feedback learning' END) AS steps_done FROM o""",
+    "plan_research": f"""WITH {_RUNS}, recent AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, run_id) AS r FROM rr WHERE done QUALIFY r <= 6),
+        lists AS (SELECT project_id, flatten(list(list_transform(range(1, run_id % 9 + 2), lambda x: 'q' || run_id || '.' || x) ORDER BY r) FILTER (kind = 'local_context')) AS qs,
+          flatten(list(list_transform(range(1, CASE WHEN run_id % 5 > 0 THEN run_id % 4 + 2 ELSE 1 END), lambda x: 'a' || run_id || '.' || x) ORDER BY r) FILTER (kind = 'local_context')) AS ans,
+          list(rate::VARCHAR || ' ' || array_to_string(list_transform(range(1, least(run_id % 7 + 2, 6)), lambda x: 'b' || run_id || '.' || x), ',') || ' ' || array_to_string(list_transform(range(1, least(run_id % 10 + 2, 9)), lambda x: 'd' || run_id || '.' || x), ',') ORDER BY r) FILTER (kind = 'ai_visibility') AS vs
+          FROM recent GROUP BY project_id)
+        SELECT project_id, coalesce(array_to_string(qs[1:40], '|'), '') AS questions, coalesce(array_to_string(ans[1:15], '|'), '') AS angles, coalesce(array_to_string(vs, '|'), '') AS visibility FROM lists""",
+    "draft_research": f"WITH {_RUNS}, refs AS (SELECT DISTINCT o_orderkey AS draft_id, unnest([o_orderkey, o_custkey, o_orderkey // 2]) AS run_id FROM orders) SELECT draft_id, run_id, kind FROM refs JOIN rr USING (run_id) WHERE done",
+    "latest_visibility_runs": f"WITH {_RUNS} SELECT project_id, run_id, CASE WHEN done THEN 'done' ELSE 'running' END AS status, rate AS brand_rate FROM rr WHERE kind = 'ai_visibility' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, run_id DESC) = 1",
     "latest_events": "SELECT user_id, event_type, event_id, round(value, 2) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "cascaded_delete": """WITH gp AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0), gd AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (FROM gp)),
         gr AS (SELECT event_id AS k FROM events WHERE event_type = 'error' OR user_id IN (FROM gp)), left_docs AS (SELECT * FROM documents d WHERE NOT EXISTS (FROM gp WHERE k = doc_id) AND NOT EXISTS (FROM labels l WHERE l.quality = 0 AND l.doc_id = d.doc_id))
