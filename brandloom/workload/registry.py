@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from brandloom.session import tune
-from brandloom.workload import draft_queries, search_queries, serp_queries, table_queries, text_queries
+from brandloom.workload import draft_queries, scan_queries, search_queries, serp_queries, table_queries, text_queries
 
-MODULES = [search_queries, text_queries, serp_queries, draft_queries, table_queries]
+MODULES = [search_queries, text_queries, serp_queries, draft_queries, table_queries, scan_queries]
 
 
 def _tuned(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
