@@ -16,11 +16,10 @@ files, with its commit protocol, to any store; nothing is left on an executor.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,66 +39,127 @@ DICTIONARY_BYTES = 32 << 10
 SAMPLE_DOCS = 2_000  # documents whose ids train the dictionary, about
 SAMPLE_BYTES = 8 << 10  # of each
 MAX_BLOCKS = 1_000_000
-REMEMBERED = 500_000  # parts in either half of a worker's table, about
+REMEMBERED, REMEMBERED_IDS = 500_000, 4_000_000  # parts in a worker's table, and their ids, about
 SLICE_BYTES = 4 << 20  # of text encoded together
 
-_ADJACENT_SPACES = re.compile(r"\s\s")
+# Bytes of ASCII white space; bytes that end a visible character, or may end one; and
+# bytes that surely begin one (lead bytes under which other white space lies are left out).
+_SPACE, _ENDS, _BEGINS = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_ENDS[0x21:0x7F] = _ENDS[0x80:] = True
+_BEGINS[0x21:0x7F] = _BEGINS[0xC3:0xF5] = True
+_BEGINS[0xE1:0xE4] = False
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts (one after the other, between offsets) are cut into parts that are encoded alone.
+
+    A byte-level pre-tokenizer ends a token at each stretch of white space that follows a visible
+    character, and looks ahead no further than the character after the stretch; a single line
+    break or tab between visible characters is a token of its own. Other white space than that of
+    ASCII is never cut at, nor what follows it.
+    """
+    at = np.flatnonzero(_SPACE[data[1:]] & _ENDS[data[:-1]]) + 1
+    one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    blank = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE3) & (two == 0x80)
+    at = at[~(blank & (one >= 0x80))]
+    after = at[data[at] != 0x20] + 1
+    after = after[after < len(data)]
+    return np.unique(np.concatenate([offsets, at, after[_BEGINS[data[after]]]]))
 
 
 class Encoder:
-    """The tokenizers library behind a bounded table of what stands between spaces.
+    """The tokenizers library behind a bounded table of what stands between white space.
 
-    A byte-level pre-tokenizer never joins a space that follows a visible character to what is
-    before it, nor a line break between visible characters to anything, so the ids of a text are
-    those of its parts. Texts with other white space go to the library whole. Parts that are not in
-    the table go to the library together, for many texts at once; the table has two halves, and
-    the older one, with what was not met since, goes when the younger is full.
+    For byte-level tokenizers with their usual pattern and without a prefix space: the ids of a
+    text are those of its parts (see `_cuts`). Each distinct part of some texts is looked up once.
+    Unknown parts of one space and a word go to the library many in a text, as a token that
+    begins with a space begins each; others one by one. Texts that hold a special token go to the
+    library whole. The table is emptied when it is full.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        steps = json.loads(definition)
+        before = steps.get("pre_tokenizer") or {}
+        if steps.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("only byte-level tokenizers with the usual pattern and no prefix space are supported")
         self.library = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.parts = pa.array([], pa.large_string())
+        self.ids, self.ends = np.empty(0, self.dtype), np.zeros(1, np.int64)
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def learn(self, parts: set[str]) -> None:
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words with a space before each, and the end of each; nothing if a token that begins with a space does not begin each."""
+        found = self.whole(["".join(words[k : k + 200]) for k in range(0, len(words), 200)])
+        ids = np.concatenate(found)
+        begins = np.flatnonzero(self.spaced[ids])
+        return (ids, np.append(begins[1:], len(ids))) if len(begins) == len(words) else None
+
+    def learn(self, new: pa.Array) -> None:
         """Bring parts into the table."""
-        seen, older, new = self.seen, self.older, []
-        for p in parts - seen.keys():
-            found = older.get(p)
-            if found is None:
-                new.append(p)
-            else:
-                seen[p] = found
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
-            found = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-            data, at = np.array(list(chain.from_iterable(found)), self.dtype).tobytes(), 0
-            for p, ids in zip(some, found):
-                end = at + len(ids) * self.width
-                seen[p] = data[at:end]
-                at = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = new.to_pylist()
+        single = np.array([p[0] == " " and p[1:].split() == [p[1:]] for p in parts], bool)
+        words = [p for p, x in zip(parts, single) if x]
+        found = self.joined(words) if words else None
+        if found is None:
+            single[:], found = False, (np.empty(0, self.dtype), np.empty(0, np.int64))
+        rest = self.whole([p for p, x in zip(parts, single) if not x])
+        ends = np.concatenate([found[1], len(found[0]) + np.cumsum([len(x) for x in rest], dtype=np.int64)])
+        order = pa.array(np.concatenate([np.flatnonzero(single), np.flatnonzero(~single)]))
+        self.parts = pa.concat_arrays([self.parts, new.take(order)])
+        self.ids = np.concatenate([self.ids, found[0], *rest])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text, serialized."""
-        if len(self.seen) > REMEMBERED:
-            self.seen, self.older = {}, self.seen
-        split, met = [], set()
-        for text in texts:
-            if "\0" in text or _ADJACENT_SPACES.search(text) or any(s in text for s in self.special):
-                split.append(None)
-            else:
-                split.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-                met.update(split[-1])
-        self.learn(met)
-        seen = self.seen
-        return [self.packed(self.library.encode(t, add_special_tokens=False).ids) if s is None else b"".join([seen[p] for p in s]) for t, s in zip(texts, split)]
+        if len(self.parts) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
+            self.forget()
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if special.any():
+            out = np.empty(len(texts), object)
+            out[special] = [x.tobytes() for x in self.whole(texts.filter(pa.array(special)).to_pylist())]
+            out[~special] = self._parted(texts.filter(pa.array(~special)))
+            return out.tolist()
+        return self._parted(texts)
+
+    def _parted(self, texts: pa.Array) -> list[bytes]:
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return [b""] * len(texts)
+        cuts = _cuts(data, offsets)
+        coded = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        at = pc.index_in(coded.dictionary, self.parts)
+        if at.null_count:
+            self.learn(coded.dictionary.filter(at.is_null()))
+            at = pc.index_in(coded.dictionary, self.parts)
+        at = at.to_numpy()
+        begin, length = self.ends[at], self.ends[at + 1] - self.ends[at]
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        n = length[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(begin[code] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        stop = (ends[np.searchsorted(cuts, offsets)] * self.width).tolist()
+        return [ids[a:b] for a, b in zip(stop, stop[1:])]
 
 
 def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -155,7 +215,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         encoder, samples = _encoder(definition.value), []
         for b in batches:
             for c in _slices(b, 0):
-                samples += [data[:SAMPLE_BYTES] for data in encoder.encode(c.column(0).to_pylist())]
+                samples += [data[:SAMPLE_BYTES] for data in encoder.encode(c.column(0))]
         raw = train_dictionary(samples)
         yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([raw], pa.binary())], names=["hash", "bytes"])
 
@@ -180,7 +240,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
         for c in (c for b in batches for c in _slices(b, 1)):
             id_type = c.schema.field(0).type
-            for i, data in zip(c.column(0).to_pylist(), encoder.encode(c.column(1).to_pylist())):
+            for i, data in zip(c.column(0).to_pylist(), encoder.encode(c.column(1))):
                 data += end
                 frames.append(zstd.compress(data))
                 ids.append(i)
