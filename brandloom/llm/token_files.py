@@ -49,6 +49,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ENDS[0x21:0x7F] = _ENDS[0x80:] = True
 _BEGINS[0x21:0x7F] = _BEGINS[0xC3:0xF5] = True
 _BEGINS[0xE1:0xE4] = False
+# ASCII letters, digits and signs but for the apostrophe, between which a token always ends.
+_KIND = np.zeros(256, np.uint8)
+for _c in range(0x21, 0x7F):
+    _KIND[_c] = 1 if chr(_c).isalpha() else 2 if chr(_c).isdigit() else 3 if chr(_c) != "'" else 0
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -56,7 +60,8 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     A byte-level pre-tokenizer ends a token at each stretch of white space that follows a visible
     character, and looks ahead no further than the character after the stretch; a single line
-    break or tab between visible characters is a token of its own. Other white space than that of
+    break or tab between visible characters is a token of its own, and no token holds both letters
+    and digits, or one of these before another sign. Other white space than that of
     ASCII is never cut at, nor what follows it.
     """
     at = np.flatnonzero(_SPACE[data[1:]] & _ENDS[data[:-1]]) + 1
@@ -65,7 +70,9 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = at[~(blank & (one >= 0x80))]
     after = at[data[at] != 0x20] + 1
     after = after[after < len(data)]
-    return np.unique(np.concatenate([offsets, at, after[_BEGINS[data[after]]]]))
+    kind = _KIND[data]
+    inside = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    return np.unique(np.concatenate([offsets, at, after[_BEGINS[data[after]]], inside]))
 
 
 class Encoder:

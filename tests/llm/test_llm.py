@@ -278,6 +278,15 @@ def test_token_table_forgets(monkeypatch):
         for at in range(0, len(texts), k):
             some = texts[at : at + k]
             assert own.encode(some) == [own.packed(library.encode(t, add_special_tokens=False).ids) for t in some]
+    signs = [" ", " ", "\n", "\t", "a", "B", "é", "1", "'", "s", ",", "(", "’", "\u00a0", "\u0085", "\u3000", "\x1c", "\x0b", "\0", "漢", "😀", "Ġ", "<|endoftext|>"]
+    r = random.Random(4)
+    for k in range(4_000):
+        some = ["".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(3)]
+        assert own.encode(some) == [own.packed(library.encode(t, add_special_tokens=False).ids) for t in some]
+        if k % 500 == 0:
+            monkeypatch.setattr(token_files, "REMEMBERED", 1_000)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
+        token_files.Encoder(f.read())
     monkeypatch.setattr(token_files, "SLICE_BYTES", 7)
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
     assert [t for s in token_files._slices(batch, 0) for t in s.column(0).to_pylist()] == texts
