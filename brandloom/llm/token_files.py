@@ -42,17 +42,20 @@ MAX_BLOCKS = 1_000_000
 REMEMBERED, REMEMBERED_IDS = 500_000, 4_000_000  # parts in a worker's table, and their ids, about
 SLICE_BYTES = 4 << 20  # of text encoded together
 
-# Bytes of ASCII white space; bytes that end a visible character, or may end one; and
-# bytes that surely begin one (lead bytes under which other white space lies are left out).
-_SPACE, _ENDS, _BEGINS = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_ENDS[0x21:0x7F] = _ENDS[0x80:] = True
+# Kinds of bytes. Lead bytes under which white space outside ASCII lies do not surely begin a visible character.
+_OTHER, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _HIGH, _BLANK, _BREAK = range(8)
+_KIND, _BEGINS = np.zeros(256, np.uint8), np.zeros(256, bool)
+for _c in range(0x21, 0x7F):
+    _KIND[_c] = _LETTER if chr(_c).isalpha() else _DIGIT if chr(_c).isdigit() else _SIGN if chr(_c) != "'" else _APOSTROPHE
+_KIND[0x80:], _KIND[0x20], _KIND[0x09:0x0E] = _HIGH, _BLANK, _BREAK
 _BEGINS[0x21:0x7F] = _BEGINS[0xC3:0xF5] = True
 _BEGINS[0xE1:0xE4] = False
-# ASCII letters, digits and signs but for the apostrophe, between which a token always ends.
-_KIND = np.zeros(256, np.uint8)
-for _c in range(0x21, 0x7F):
-    _KIND[_c] = 1 if chr(_c).isalpha() else 2 if chr(_c).isdigit() else 3 if chr(_c) != "'" else 0
+# By kind of a byte and of the next one: 1 where a token always ends between, 2 where it does unless the first ends white space.
+_PAIR = np.zeros(64, np.uint8)
+for _x in (_LETTER, _DIGIT, _SIGN):
+    _PAIR[[_x * 8 + _y for _y in (_LETTER, _DIGIT, _SIGN) if _y != _x]] = 1
+for _x in (_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _HIGH):
+    _PAIR[[_x * 8 + _BLANK, _x * 8 + _BREAK]] = 2 if _x == _HIGH else 1
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -64,15 +67,18 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     and digits, or one of these before another sign. Other white space than that of
     ASCII is never cut at, nor what follows it.
     """
-    at = np.flatnonzero(_SPACE[data[1:]] & _ENDS[data[:-1]]) + 1
+    kind = _KIND[data]
+    cut = np.zeros(len(data) + 1, np.uint8)
+    cut[1:-1] = _PAIR[kind[:-1] * 8 + kind[1:]]
+    at = np.flatnonzero(cut == 2)
     one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
     blank = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE3) & (two == 0x80)
-    at = at[~(blank & (one >= 0x80))]
-    after = at[data[at] != 0x20] + 1
+    cut[at[blank]] = 0
+    after = np.flatnonzero((kind == _BREAK) & (cut[:-1] > 0)) + 1
     after = after[after < len(data)]
-    kind = _KIND[data]
-    inside = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
-    return np.unique(np.concatenate([offsets, at, after[_BEGINS[data[after]]], inside]))
+    cut[after[_BEGINS[data[after]]]] = 1
+    cut[offsets] = 1
+    return np.flatnonzero(cut)
 
 
 class Encoder:
