@@ -75,9 +75,13 @@ def place_string(city: Column, region: Column, country: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A coordinate as plain digits, without a closing ``.0`` and without an exponent."""
-    plain = x.cast("string").try_cast("decimal(38,18)").cast("string")
-    return F.when(x == 0, "0").otherwise(F.regexp_replace(plain, r"\.?0+\z", ""))
+    """A coordinate as plain digits, all of them, without a closing ``.0`` and without an exponent."""
+    x = x.cast("double")
+    s, size = x.cast("string"), F.abs(x)
+    part = lambda k: F.regexp_extract(s, r"^(-?)(\d)\.(\d+)E(-?\d+)$", k)
+    small = F.concat(part(1), F.lit("0."), F.repeat(F.lit("0"), -part(4).try_cast("int") - 1), part(2), part(3))
+    plain = F.when((size > 0) & (size < 1e-3), small).when(size < 1e7, s).otherwise(s.try_cast("decimal(38,18)").cast("string"))
+    return F.regexp_replace(plain, r"\.?0+\z", "")
 
 
 def map_view(latitude: Column, longitude: Column) -> Column:

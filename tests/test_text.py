@@ -38,6 +38,10 @@ CASES = [
     (lambda: HOSPITALITY.primary_topic(F.lit("room prices and pool")), "pool"),
     (lambda: HOSPITALITY.primary_topic(F.lit("room prices")), "rooms"),
     (lambda: S.localize(F.lit("hotels"), F.lit("Hoi An")), "hotels Hoi An"),
+    (lambda: S.number_text(F.lit(-0.78) / 100), "-0.0078000000000000005"),
+    (lambda: S.number_text(F.lit(0.07) / 100), "0.0007000000000000001"),
+    (lambda: S.number_text(F.lit(-0.0)), "-0"),
+    (lambda: S.map_view(F.lit(100.0), F.lit(-7.5e-05)), "@100,-0.000075,14z"),
     (lambda: S.localize(F.lit("hotels in hoi an"), F.lit("Hoi An")), "hotels in hoi an"),
     (lambda: S.place_string(F.lit("Hoi An"), F.lit(None).cast("string"), F.lit("Vietnam")), "Hoi An, Vietnam"),
     (lambda: S.clean_forum_title(F.lit("Best area? : r/lisbon stuff")), "Best area?"),
