@@ -428,12 +428,13 @@ def score_drafts(checks: DataFrame) -> DataFrame:
     return scores.withColumn("overall", js_round(total))
 
 
-def failed_checks(checks: DataFrame) -> DataFrame:
-    """Digest text of the checks a draft does not pass."""
+def failed_checks(checks: DataFrame, areas: tuple[str, ...] = ()) -> DataFrame:
+    """Digest text of the checks a draft does not pass, and their number for each of ``areas``."""
     line = F.concat(F.lit("- ["), "area", F.lit("] "), "label", F.lit(": "), "detail", F.when(F.coalesce("fix", F.lit("")) != "", F.concat(F.lit(" Fix: "), "fix")).otherwise(""))
-    open_ = checks.filter(F.col("status") != PASS).select("draft_id", "pos", line.alias("line"))
+    open_ = checks.filter(F.col("status") != PASS).select("draft_id", "area", "pos", line.alias("line"))
     return open_.groupBy("draft_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("issues")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("issues"),
+        *[F.count_if(F.col("area") == a).alias(a) for a in areas],
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brandloom.operators import checks as C
 from brandloom.operators import gsc, questions, retrieval, reviews, setjoin, visibility
+from brandloom.functions import text as T
 from brandloom.operators.brands import brand_topics
 from brandloom.operators.entities import extract_entities
 from brandloom.operators.leaders import leader_clusters
@@ -119,6 +120,17 @@ def test_checks(spark):
     assert "[brand] Restricted claims" in digest["faulty"]
 
 
+def test_failed_checks_counts_areas_in_one_pass(spark):
+    from brandloom.workload.draft_queries import open_issues
+
+    checks = C.check_drafts(X.drafts(spark), X.brands(spark))
+    want = Counter((r.draft_id, r.area) for r in checks.collect() if r.status != "pass")
+    got = C.failed_checks(checks, ("seo", "conversion")).collect()
+    assert {(r.draft_id, a): r[a] for r in got for a in ("seo", "conversion") if r[a]} == {k: n for k, n in want.items() if k[1] in ("seo", "conversion")}
+    plan = open_issues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1  # the drafts are checked once
+
+
 def test_reviews(spark):
     rows = [("x", 0, 5.0, "We loved the breakfast basket, it was excellent."), ("x", 1, 2.0, "It was noisy all night.")]
     t = reviews.review_themes(spark.createDataFrame(rows, "k string, ord int, rating double, text string"), ["k"]).collect()
