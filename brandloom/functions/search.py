@@ -179,33 +179,39 @@ def _all(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def _found(c: Column, pattern: str, sign: str) -> Column:
+    """Matches of a pattern that begins with ``sign``; a text without it is not searched."""
+    return F.when(~F.contains(c, F.lit(sign)), empty_array()).otherwise(_all(c, pattern, 0))
+
+
+def _group(match: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract(match, pattern, group)
+
+
 def headings(c: Column) -> Column:
     """Markdown headings first, then HTML ones: array<struct<level,text>>."""
-    md = F.zip_with(
-        _all(c, _MD_HEADING, 1), _all(c, _MD_HEADING, 2),
-        lambda h, t: F.struct(F.length(h).alias("level"), trim_ws(t).alias("text")),
+    md = F.transform(
+        _found(c, _MD_HEADING, "#"),
+        lambda m: F.struct(F.length(_group(m, _MD_HEADING, 1)).alias("level"), trim_ws(_group(m, _MD_HEADING, 2)).alias("text")),
     )
-    html = F.zip_with(
-        _all(c, _HTML_HEADING, 1), _all(c, _HTML_HEADING, 2),
-        lambda h, t: F.struct(h.cast("int").alias("level"), trim_ws(F.regexp_replace(t, V.TAG, "")).alias("text")),
+    html = F.transform(
+        _found(c, _HTML_HEADING, "<"),
+        lambda m: F.struct(_group(m, _HTML_HEADING, 1).cast("int").alias("level"), trim_ws(F.regexp_replace(_group(m, _HTML_HEADING, 2), V.TAG, "")).alias("text")),
     )
     return F.concat(md, html)
 
 
 def links(c: Column) -> Column:
     """Markdown links first, then HTML ones: array<struct<text,url>>."""
-    md = F.zip_with(
-        _all(c, _MD_LINK, 1), _all(c, _MD_LINK, 2), lambda t, u: F.struct(t.alias("text"), u.alias("url"))
-    )
-    html = F.zip_with(
-        _all(c, _HTML_LINK, 2), _all(c, _HTML_LINK, 1),
-        lambda t, u: F.struct(F.regexp_replace(t, V.TAG, "").alias("text"), u.alias("url")),
+    md = F.transform(_found(c, _MD_LINK, "["), lambda m: F.struct(_group(m, _MD_LINK, 1).alias("text"), _group(m, _MD_LINK, 2).alias("url")))
+    html = F.transform(
+        _found(c, _HTML_LINK, "<"), lambda m: F.struct(F.regexp_replace(_group(m, _HTML_LINK, 2), V.TAG, "").alias("text"), _group(m, _HTML_LINK, 1).alias("url"))
     )
     return F.concat(md, html)
 
 
 def plain_text(c: Column) -> Column:
-    c = F.regexp_replace(c, V.TAG, " ")
+    c = let(c, lambda t: F.when(F.contains(t, F.lit("<")), F.regexp_replace(t, V.TAG, " ")).otherwise(t))
     c = F.regexp_replace(c, V.MD_LINK_TEXT, "$1")
     c = F.regexp_replace(c, "(?m)" + V.MD_HEADING_MARK.replace("\\s", V.WS_CLASS), "")
     return F.regexp_replace(c, V.MD_SIGNS, "")

@@ -61,27 +61,37 @@ def split_phrases(text: Column) -> Column:
     return F.flatten(F.transform(lines(text), lambda l: F.split(l, ",")))
 
 
-def name_variants(official: Column, aliases: Column, kind: str, tokens: Column) -> Column:
-    """Word runs that are close to an official name but spelled differently."""
+def name_variants(official: Column, aliases: Column, kind: str, tokens: Column, folds: Column, ends: Column) -> Column:
+    """Word runs that are close to an official name but spelled differently.
+
+    ``folds``: the tokens folded, ``ends``: folded without closing punctuation, as the last word
+    of a run stands. A run of one edit holds the first or the second half of the name."""
     known = F.transform(F.coalesce(aliases, empty_array()), fold)
+    word = lambda words, i: F.get(words, i)
+
+    def run(i: Column, size: Column) -> Column:
+        last = word(ends, i + size - 1)
+        return F.when(size == 1, last).otherwise(F.concat_ws(" ", F.slice(folds, i + 1, size - 1), last))
 
-    def grams(size: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.regexp_replace(F.array_join(F.slice(tokens, i, size), " "), r"[.,;:!?)]+\z", ""))
+    def shown(i: Column, size: Column) -> Column:
+        return F.regexp_replace(F.array_join(F.slice(tokens, i + 1, size), " "), r"[.,;:!?)]+\z", "")
 
-    def close(f: Column, t: Column, reach: Column, names: Column) -> Column:
+    def close(f: Column, t: Column, reach: Column, names: Column, halves: Column) -> Column:
         near = F.abs(F.length(f) - F.length(t)) <= reach
-        d = F.levenshtein(f, t)
-        return near & (f != t) & ~F.array_contains(names, f) & (d > 0) & (d <= reach)
+        held = (reach > 1) | F.contains(f, halves["a"]) | F.contains(f, halves["b"])
+        return near & held & (f != t) & ~F.array_contains(names, f) & (F.levenshtein(f, t) <= reach)
 
-    def issues(t: Column, reach: Column, size: Column, names: Column) -> Column:
-        hits = F.filter(grams(size), lambda g: let(fold(g), lambda f: close(f, t, reach, names)))
-        found = F.transform(hits, lambda g: _cat(f"{kind}: “", g, "” → “", official, "”"))
+    def issues(t: Column, reach: Column, size: Column, names: Column, halves: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - size, F.lit(0)))
+        hits = F.filter(starts, lambda i: let(run(i, size), lambda f: close(f, t, reach, names, halves)))
+        found = F.transform(hits, lambda i: _cat(f"{kind}: “", shown(i, size), "” → “", official, "”"))
         return F.when((F.size(tokens) >= size) & (F.length(t) >= 6), found).otherwise(empty_array())
 
     reach_of = lambda t: F.greatest(F.lit(1), F.floor(F.length(t) / 8)).cast("int")
+    half = lambda t: F.floor(F.length(t) / 2).cast("int")
+    halves_of = lambda t: F.struct(t.substr(F.lit(1), half(t)).alias("a"), t.substr(half(t) + 1, F.length(t)).alias("b"))
     size = F.size(F.split(official, V.WS_CLASS + "+"))
-    return let(known, lambda ks: let(fold(official), lambda t: let(reach_of(t), lambda r: let(size, lambda n: issues(t, r, n, ks)))))
+    return let(known, lambda ks: let(fold(official), lambda t: let(reach_of(t), lambda r: let(size, lambda n: let(halves_of(t), lambda h: issues(t, r, n, ks, h))))))
 
 
 def draft_features(drafts: DataFrame, brands: DataFrame, rules: DataFrame | None, lexicon: Lexicon) -> DataFrame:
@@ -134,12 +144,15 @@ def draft_features(drafts: DataFrame, brands: DataFrame, rules: DataFrame | None
             "name_tokens": F.regexp_extract_all("plain", F.lit(r"[\p{L}\p{N}'’&.\-]+"), F.lit(0)),
         }
     )
-    return d.withColumns(
+    d = d.withColumns(
         {
-            "wc": F.size("word_list"), "first100": F.array_join(F.slice("word_list", 1, 100), " "),
+            "folded_names": fold(F.array_join("name_tokens", " ")), "wc": F.size("word_list"), "first100": F.array_join(F.slice("word_list", 1, 100), " "),
             "sent_words": F.transform("sent_folds", lambda s: drop_stopwords(words_of(s))),
         }
     )
+    return d.withColumns(  # tokens hold no blank, so the folded list can be cut at blanks
+        {"name_folds": F.split("folded_names", " "), "name_ends": F.split(F.regexp_replace("folded_names", r"[.,;:!?)]+(?= |\z)", ""), " ")}
+    )
 
 
 Area = tuple[dict[str, Column], list[Column]]
@@ -231,7 +244,7 @@ def _geo(lexicon: Lexicon, r: Reader) -> Area:
     metrics = {
         "where": _any(
             F.arrays_zip(r("paras"), r("para_folds")),
-            lambda p: matches(ascii_view(p["paras"], "–"), V.DISTANCE, ignore_case=True) & _names_any(p["para_folds"], names),
+            lambda p: p["paras"].rlike("[0-9]") & matches(ascii_view(p["paras"], "–"), V.DISTANCE, ignore_case=True) & _names_any(p["para_folds"], names),
         ),
         "stated": F.transform(stated_facts, lambda f: f["stated_facts"]),
         "audience": audience,
@@ -310,6 +323,7 @@ def _brand(lexicon: Lexicon, r: Reader) -> Area:
         return F.transform(F.slice(stating, 1, 1), lambda s: s["sents"])
 
     uk = fold(F.coalesce(r("english_variant"), F.lit(V.DEFAULT_ENGLISH))).rlike(V.UK_VARIANTS)
+    tokens = (r("name_tokens"), r("name_folds"), r("name_ends"))
     metrics = {
         "claims": present(r("restricted")),
         "avoid": F.array_distinct(present(r("avoid"))),
@@ -318,8 +332,8 @@ def _brand(lexicon: Lexicon, r: Reader) -> Area:
             F.filter(F.arrays_zip(r("competitors"), r("rival_phrases")), lambda c: _names_any(text, c["rival_phrases"])), lambda c: c["competitors"]["name"]
         ),
         "issues": F.concat(
-            name_variants(r("brand_name"), r("brand_aliases"), "Brand", r("name_tokens")),
-            F.flatten(F.transform(r("competitors"), lambda c: name_variants(c["name"], c["aliases"], "Competitor", r("name_tokens")))),
+            name_variants(r("brand_name"), r("brand_aliases"), "Brand", *tokens),
+            F.flatten(F.transform(r("competitors"), lambda c: name_variants(c["name"], c["aliases"], "Competitor", *tokens))),
         ),
         "figures": unverified_figures(r),
         "wrong": other_spellings(r),
@@ -384,12 +398,6 @@ def _conversion(lexicon: Lexicon, r: Reader) -> Area:
 
 
 _AREAS = {"seo": _seo, "geo": _geo, "brand": _brand, "conversion": _conversion}
-FEATURES = [
-    "headings", "links", "plain", "plain_fold", "paras", "sents", "word_list", "para_folds", "sent_folds", "plain_view", "sent_views", "kw_words",
-    "name_tokens", "wc", "first100", "sent_words", "keyword", "required_entities", "site_pages", "brand_site", "brand_phrases", "city", "city_phrase",
-    "stated_facts", "fact_words", "audience", "restricted", "avoid", "preferred", "competitors", "rival_phrases", "brand_name", "brand_aliases", "fact_text",
-    "english_variant", "cta_words",
-]
 
 
 def check_drafts(
@@ -403,7 +411,15 @@ def check_drafts(
     fix, evidence, word_count, keyword."""
     d = draft_features(drafts, brands, rules, lexicon)
     makers = [_AREAS[a] for a in areas]
-    features = F.struct(*FEATURES)
+    read: dict[str, None] = {}  # features the metrics of these areas read; the others are not computed
+
+    def noted(name: str) -> Column:
+        read[name] = None
+        return F.col(name)
+
+    for make in makers:
+        make(lexicon, noted)
+    features = F.struct(*read)
 
     def measured(row: Column) -> Column:
         found = {k: v for make in makers for k, v in make(lexicon, lambda c: row[c])[0].items()}

@@ -131,6 +131,42 @@ def test_failed_checks_counts_areas_in_one_pass(spark):
     assert plan.count("Generate posexplode") == 1  # the drafts are checked once
 
 
+def test_checks_compute_only_what_they_read(spark):
+    plan = C.check_drafts(X.drafts(spark), X.brands(spark), areas=("seo",)).select("draft_id", "check_id", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [c for c in ("name_tokens", "sent_folds", "para_folds", "plain_view") if f"AS {c}#" in plan]
+
+
+def test_name_variants(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(4)
+    official, aliases = ["Orre Orre", "Thatin", "Grand Copper Kettle Rooms"], [["orre erre"], None, []]
+    pool = ["Orre", "orre", "Örre", "ore", "orrE.", "ore...", "...", "Thatin", "thatim", "hatin", "THATINS.", "thètin", "xhatix", "Grand", "grant", "Coper", "Kettle", "Rooms", "room.", "a-b"]
+    rows = [(i, o, a, [rng.choice(pool) for _ in range(rng.randint(0, 40))]) for i in range(40) for o, a in zip(official, aliases)]
+    near = lambda t: t[:-1] + rng.choice("xyz")
+    rows += [(99, official[2], [], [near("Grand"), "Copper", near("Kettle"), "Rooms.", "Grand", "Copper", "Kettle", "Rooms"])]
+    df = spark.createDataFrame(rows, "i int, o string, a array<string>, toks array<string>")
+    joined = T.fold(F.array_join("toks", " "))
+    folds, ends = F.split(joined, " "), F.split(F.regexp_replace(joined, r"[.,;:!?)]+(?= |\z)", ""), " ")
+    df = df.withColumns({"folds": folds, "ends": ends})
+    got = df.select("*", C.name_variants(F.col("o"), F.col("a"), "Brand", F.col("toks"), F.col("folds"), F.col("ends")).alias("v")).collect()
+    plain = lambda x: x.lower().replace("ö", "o").replace("è", "e")
+    for r in got:
+        n, t, want = len(r.o.split()), r.o.lower(), []
+        for k in range(len(r.toks) - n + 1):
+            g = re.sub(r"[.,;:!?)]+$", "", " ".join(r.toks[k : k + n]))
+            if plain(g) != t and plain(g) not in (r.a or []) and distance(plain(g), t) <= max(1, len(t) // 8):
+                want.append(f"Brand: “{g}” → “{r.o}”")
+        assert r.v == want
+    assert sum(len(r.v) for r in got) > 20
+
+
 def test_reviews(spark):
     rows = [("x", 0, 5.0, "We loved the breakfast basket, it was excellent."), ("x", 1, 2.0, "It was noisy all night.")]
     t = reviews.review_themes(spark.createDataFrame(rows, "k string, ord int, rating double, text string"), ["k"]).collect()
