@@ -42,11 +42,18 @@ def knowledge_items() -> list[tuple[str, Column, int, str]]:
     ]
 
 
+def _counts(children: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each child per project, by one aggregation: a task holds no sort for each child."""
+    rows = None
+    for name, df in children.items():
+        one = df.select("project_id", F.lit(name).alias("_child"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("project_id").agg(*[F.count_if(F.col("_child") == name).alias(name) for name in children])
+
+
 def knowledge_score(brands: DataFrame, documents: DataFrame, rules: DataFrame, runs: DataFrame) -> DataFrame:
     """Completeness of each brand's knowledge base, 0 to 100, with what is missing."""
-    b = brands
-    for name, child in (("documents", documents), ("rules", rules), ("research", runs)):
-        b = b.join(child.groupBy("project_id").agg(F.count(F.lit(1)).alias(name)), "project_id", "left")
+    b = brands.join(_counts({"documents": documents, "rules": rules, "research": runs}), "project_id", "left")
     items = knowledge_items()
     total = sum(w for _, _, w, _ in items)
     parts = F.array(
@@ -101,8 +108,7 @@ def project_overview(
     per_draft = draft_averages(drafts)
     ks = knowledge_score(brands, documents, rules, recent).select("project_id", F.col("score").alias("knowledge"))
     out = brands.select("project_id", F.coalesce(F.size("competitors"), F.lit(0)).alias("n_competitors"))
-    for name, df in (("n_gsc", gsc), ("n_briefs", briefs), ("n_rules", rules), ("n_documents", documents)):
-        out = out.join(df.groupBy("project_id").agg(F.count(F.lit(1)).alias(name)), "project_id", "left")
+    out = out.join(_counts({"n_gsc": gsc, "n_briefs": briefs, "n_rules": rules, "n_documents": documents}), "project_id", "left")
     out = out.join(per_run, "project_id", "left").join(per_draft, "project_id", "left").join(ks, "project_id")
     zero = F.lit(0).cast("long")
     out = out.withColumns({c: F.coalesce(c, zero) for c in ("n_gsc", "n_briefs", "n_rules", "n_documents", "n_runs", "n_drafts")})

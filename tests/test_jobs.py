@@ -451,3 +451,13 @@ def test_phrase_table(spark):
     plain = lambda x: " ".join(re.findall("[a-z0-9]+", (x or "").lower().replace("ä", "a")))
     want = {(k, t, plain(p)) for k, x in texts for t, p in phrases if plain(p) and f" {plain(p)} " in f" {plain(x)} "}
     assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 100
+
+
+def test_overview_counts_children_in_one_aggregation(spark):
+    names = X.brands(spark).select("project_id")
+    child = lambda n: names.crossJoin(spark.range(n)).select("project_id")
+    drafts, runs = child(2).selectExpr("project_id", "80 AS overall"), child(1).selectExpr("project_id", "1 AS run_id", "'local_context' AS kind", "'done' AS status", "1 AS created_at", "0.5 AS brand_rate")
+    o = dashboards.project_overview(X.brands(spark), child(3), drafts, child(4).selectExpr("project_id", "true AS apply_as_rule"), runs, child(5), child(0))
+    assert {(r.n_documents, r.n_rules, r.n_briefs, r.n_gsc, r.n_drafts, r.n_runs) for r in o.collect()} == {(3, 4, 5, 0, 2, 1)}
+    plan = o._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join LeftOuter") <= 4  # not one for each child
