@@ -38,6 +38,10 @@ CASES = [
     (lambda: HOSPITALITY.primary_topic(F.lit("room prices and pool")), "pool"),
     (lambda: HOSPITALITY.primary_topic(F.lit("room prices")), "rooms"),
     (lambda: S.localize(F.lit("hotels"), F.lit("Hoi An")), "hotels Hoi An"),
+    (lambda: T.first_content_words(F.lit("the " * 150 + "copper kettle tea"), 2), ["copper", "kettle"]),
+    (lambda: T.first_content_words(F.lit("copper kettle tearoom"), 2, head=10), ["copper", "kettle"]),
+    (lambda: S.headings(F.lit("# One\n<H2 class=x>Two <b>b</b></H2>\n## Three ")), [(1, "One"), (2, "Three"), (2, "Two b")]),
+    (lambda: S.links(F.lit('[a](/b) <a href="/c">d <i>e</i></a>')), [("a", "/b"), ("d e", "/c")]),
     (lambda: S.number_text(F.lit(-0.78) / 100), "-0.0078000000000000005"),
     (lambda: S.number_text(F.lit(0.07) / 100), "0.0007000000000000001"),
     (lambda: S.number_text(F.lit(-0.0)), "-0"),
