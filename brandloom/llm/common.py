@@ -52,6 +52,16 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 MAX_IDS = 2_000_000
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size: whole texts are held several times over on their way to a Python worker and back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= TEXT_BATCH:
+        spark.conf.set(key, TEXT_BATCH)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brandloom.llm.common import bounded, stored, text_of
+from brandloom.llm.common import bounded, small_batches, stored, text_of
 from brandloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 200
@@ -29,7 +29,8 @@ SLICE = 500  # rows of a batch that are worked on together
 GRAM = 32
 SHARD_BYTES = 1 << 20  # bytes of windows that one suffix array takes, about
 LARGE_BYTES = 1 << 21  # an anchor hash with more is searched begin by begin, in its windows' memory
-MAX_HASHES = 2_000_000  # repeated anchor hashes, texts with windows, or texts with removals that may be broadcast
+MAX_HASHES = 2_000_000  # repeated anchor hashes, or texts with copies, that may be broadcast
+MAX_ENTRIES = 500_000  # texts with lists, and all that the lists hold, that may be broadcast (100 bytes each, about)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,6 +136,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE))
 
 
+def few(df: DataFrame, entries: str, most: int = MAX_ENTRIES) -> DataFrame:
+    """Mark a stored side for broadcast if its rows and the entries of their lists are few: lists grow with the texts, so a count of rows bounds nothing."""
+    held = df.agg(F.coalesce(F.sum(F.size(entries) + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= most else df
+
+
 def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """key, spans: the merged runs of removed bytes of each text that has some (rows: key, text)."""
 
@@ -183,7 +190,7 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     data.append(text[lo:hi])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(f, pa.binary()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["h", "form", "at", "window"])
 
-    windows = rows.filter("first").join(bounded(wanted, MAX_HASHES // 4), F.col("key") == F.col("_k")).select("text", "wanted").mapInArrow(cut, "h long, form binary, at int, window binary")
+    windows = rows.filter("first").join(few(wanted, "wanted"), F.col("key") == F.col("_k")).select("text", "wanted").mapInArrow(cut, "h long, form binary, at int, window binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[int] = []
@@ -261,6 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     text or in several. A null text is empty. Rows with equal texts, repeated rows among them, repeat
     each other. Null ids keep their rows apart like any others. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -290,5 +298,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())] if with_text else columns, names=[*names, "kept"] if with_text else names)
 
-    joined = rows.join(bounded(removed, MAX_HASHES // 4), F.col("key") == F.col("_k"), "left").select("doc_id", "text", "spans")
+    joined = rows.join(few(removed, "spans"), F.col("key") == F.col("_k"), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

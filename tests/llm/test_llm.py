@@ -85,6 +85,17 @@ def test_substrings(docs, rows, none, monkeypatch, shard, large):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substrings_by_shuffle(docs, rows, spark, monkeypatch):
+    """Few rows with long lists are no small table; the joins by a shuffle give the same."""
+    lists = spark.createDataFrame([(1, [[0, 1]] * 50), (2, [])], "k int, x array<array<int>>")
+    assert substring_dedup.few(lists, "x", 51)._jdf.queryExecution().logical().toString().count("Hint") == 0
+    assert substring_dedup.few(lists, "x", 52)._jdf.queryExecution().logical().toString().count("Hint") == 1
+    assert substring_dedup.few(lists.filter("k > 2"), "x", 0)._jdf.queryExecution().logical().toString().count("Hint") == 1
+    monkeypatch.setattr(substring_dedup.few, "__defaults__", (0,))
+    got = Counter(tuple(x) for x in substring_dedup.remove_repeats(docs, 20, 6).collect())
+    assert got == Counter((r[0], *x) for r, x in zip(rows, removed([(r[1] or "").encode() for r in rows], 20)))
+
+
 def test_templates(spark):
     def page(k, body):
         return f'<html><head><title>t{k}</title><script>var a="</p>";</script></head><body><nav><a>Menu</a></nav><div class="ad">Buy {k}</div>{body}<footer>&copy; x</footer></body></html>'
