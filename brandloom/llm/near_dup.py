@@ -5,7 +5,7 @@
    leader, and linked sets are a group. This only makes the matrix small; it decides nothing else.
 3. The matrix lists, for each token, the groups that have it among the leading tokens of a
    member: those of which two similar sets must share so many, in an order that all sets have in
-   common. Tokens that are frequent in a bounded sample come last in that order.
+   common. Tokens that are frequent in a bounded sample come last in that order, the most frequent at the end.
 4. A set's row of the matrix counts the tokens that it shares with each group. Only groups that
    reach the bound are asked; such a group is opened if the set's overlap with the union of all
    its tokens reaches the bound too, and then its members are compared with whole sets. Groups
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from brandloom.llm.common import bounded, stored, text_of
+from brandloom.llm.common import bounded, small_batches, stored, text_of
 from brandloom.llm.components import components
 
 SHINGLE = 5
@@ -41,7 +41,7 @@ SAMPLE_COUNT = 4  # documents of the sample that make a token frequent
 HOT_TOKENS = 1 << 20
 BROADCAST_IDS = 2_000_000
 LEADER_ROWS = 20_000  # sets that meet one leader in one task at most, about
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _seen: dict[bytes, bytes] = {}
 _K = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -78,8 +78,8 @@ def tokens_of(text: bytes) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def leading(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """So many tokens, frequent ones last, that a linked set of no fewer tokens shares n // SLACK + 1 of them.
+def leading(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many tokens, frequent ones last by their counts, that a linked set of no fewer tokens shares n // SLACK + 1 of them.
 
     Two sets of n and m tokens are linked only if they share 0.75 of either. Then the first k
     tokens that they share are among the first n - ceil(0.75 n) + k of the one, and likewise of
@@ -89,8 +89,7 @@ def leading(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     need = -(-NUMERATOR * n // DENOMINATOR)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-        often = hot[at] == tokens
-        tokens = np.concatenate([tokens[~often], tokens[often]])
+        tokens = tokens[np.argsort(np.where(hot[at] == tokens, counts[at], 0), kind="stable")]
     return tokens[: n - need + 1 + n // SLACK]
 
 
@@ -105,8 +104,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def frequent_tokens(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Ascending tokens that are frequent in a bounded sample of documents, HOT_TOKENS at most."""
+def frequent_tokens(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending tokens that are frequent in a bounded sample of documents, HOT_TOKENS at most, and their counts."""
     every = max(1, n_docs // SAMPLE_DOCS)
     picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) if every > 1 else docs
 
@@ -117,11 +116,13 @@ def frequent_tokens(docs: DataFrame, n_docs: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], names=["token", "n"])
 
     counts = picked.select(text_of().cast("binary").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") >= SAMPLE_COUNT).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token")
-    return np.sort(rows.toArrow().column(0).to_numpy().view(np.uint64)) if HOT_TOKENS else np.empty(0, np.uint64)
+    rows = counts.filter(F.col("n") >= SAMPLE_COUNT).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
+    token, n = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
 
 
-def _profile(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def _profile(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """id, n, two hashes of the set, leading tokens and band keys of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -130,7 +131,7 @@ def _profile(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             sets = [tokens_of(t.as_py()) for t in b.column(1)]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([leading(s, shared.value) for s in sets]), _lists([_bands(s) if len(s) else s for s in sets])],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([leading(s, *shared.value) for s in sets]), _lists([_bands(s) if len(s) else s for s in sets])],
                 names=["id", "n", "key", "leading", "bands"],
             )
 
@@ -254,6 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id. Rows that repeat a doc_id are one node: links of any of them count. Other
     columns are not read, whatever their names.
     """
+    small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     hot = frequent_tokens(known, known.count())
     rows = stored(_profile(docs.select("doc_id", "text"), hot))

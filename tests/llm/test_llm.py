@@ -193,6 +193,15 @@ def test_divergence_counts(docs, rows):
         assert x.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words)) and not (x.base_failed and x.kept)
 
 
+def test_leading_tokens():
+    """Frequent tokens come last by their counts, so the most frequent head no set that has others."""
+    tokens, hot, counts = np.arange(1, 21, dtype=np.uint64), np.array([1, 2, 3, 30], np.uint64), np.array([9, 7, 8, 1])
+    n = 20 - 15 + 1 + 1
+    assert near_dup.leading(tokens, hot, counts).tolist() == list(range(4, 4 + n))
+    assert near_dup.leading(tokens[:4], hot, counts).tolist() == [4, 2]
+    assert near_dup.leading(tokens, hot[:0], counts[:0]).tolist() == list(range(1, 1 + n))
+
+
 def test_near_duplicates(docs, rows, none):
     sets = {}
     for r in rows:
