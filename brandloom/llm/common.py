@@ -51,7 +51,37 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-MAX_IDS = 2_000_000
+#: Ids that are broadcast as they are. Of more, a filter of FILTER_WORDS rows of 64 bits is broadcast.
+FEW_IDS = 100_000
+FILTER_WORDS = 1 << 18
+
+
+def sifted(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be among ids (one column, of the key's type), and those whose key is not.
+
+    What is broadcast for it has the same bound however many ids there are; with more ids more
+    rows of others pass as well, so the first frame is to be joined with ids."""
+    own, word, bits = (free_name(df, c) for c in ("_hash", "_word", "_bits"))
+
+    def place(h: Column) -> Column:
+        return F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS))
+
+    hashes = ids.select(F.xxhash64(ids.columns[0]).alias("_h"))
+    words = stored(hashes.groupBy(place(F.col("_h")).alias(word)).agg(F.expr("bit_or(shiftleft(1L, CAST(_h & 63 AS int)))").alias(bits)))
+    marked = df.withColumn(own, F.xxhash64(key)).join(F.broadcast(words), place(F.col(own)) == F.col(word), "left")
+    may = F.coalesce(F.expr(f"shiftright({bits}, CAST({own} & 63 AS int)) & 1L") == 1, F.lit(False))
+    return marked.filter(may).drop(own, word, bits), marked.filter(~may).drop(own, word, bits)
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key is not among ids (stored; one column, whose name df doesn't have)."""
+    same = F.col(key) == F.col(ids.columns[0])
+    if ids.count() <= FEW_IDS:
+        return df.join(F.broadcast(ids), same, "left_anti")
+    may, rest = sifted(df, key, ids)
+    return rest.union(may.join(ids, same, "left_anti"))
+
+
 #: Rows of whole texts that go to a Python worker at once.
 TEXT_BATCH = 1_000
 
