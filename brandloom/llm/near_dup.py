@@ -5,15 +5,17 @@
    leader, and linked sets are a group. This only makes the matrix small; it decides nothing else.
 3. The matrix lists, for each token, the groups that have it among the leading tokens of a
    member: those of which two similar sets must share so many, in an order that all sets have in
-   common. Tokens that are frequent in a bounded sample come last in that order, the most frequent at the end.
+   common: by the number of documents that have a token, or one of the tokens that begin with the
+   same bits, so the most frequent come last. All documents are counted.
 4. A set's row of the matrix counts the tokens that it shares with each group. Only groups that
    reach the bound are asked; such a group is opened if the set's overlap with the union of all
    its tokens reaches the bound too, and then its members are compared with whole sets. Groups
    larger than GROUP_ROWS are dealt into parts.
 5. Links within and between groups give the connected components.
 
-Tokens are 64-bit hashes of shingles. Any order of the tokens gives the same links, so the sample
-does not touch the result.
+Tokens are 64-bit hashes of shingles. Any order of the tokens gives the same links, so tokens that
+are counted together do not touch the result. The driver gets the counts, whose number is fixed, and
+broadcasts of bounded size; lists of ids that grow with the documents are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from brandloom.llm.common import bounded, small_batches, stored, text_of
+from brandloom.llm import common
+from brandloom.llm.common import bounded, sifted, small_batches, stored, text_of, without
 from brandloom.llm.components import components
 
 SHINGLE = 5
@@ -36,12 +39,12 @@ BANDS = 4
 ROUNDS = 3  # of comparing sets with leaders
 SLACK = 20
 GROUP_ROWS = 32
-SAMPLE_DOCS = 60_000  # documents in which frequent tokens are counted, at most about as many
-SAMPLE_COUNT = 4  # documents of the sample that make a token frequent
-HOT_TOKENS = 1 << 20
-BROADCAST_IDS = 2_000_000
+BUCKET_BITS, SLICE_BITS = 22, 16  # of a token: counted by its first bits, in slices of buckets
 LEADER_ROWS = 20_000  # sets that meet one leader in one task at most, about
 REMEMBERED = 100_000
+# Of a token at place `at` of n: two linked sets of n and m tokens share n // SLACK + 1 tokens that have
+# edge < -NUMERATOR * m here, and the same there, as they share NUMERATOR * (n + m) / (DENOMINATOR + NUMERATOR).
+EDGE = f"{DENOMINATOR + NUMERATOR} * (at - n DIV {SLACK} - 1) - {DENOMINATOR} * n"
 
 _seen: dict[bytes, bytes] = {}
 _K = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -78,16 +81,23 @@ def tokens_of(text: bytes) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def leading(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _buckets(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def leading(tokens: np.ndarray, hot: np.ndarray | None, counts: np.ndarray) -> np.ndarray:
     """So many tokens, frequent ones last by their counts, that a linked set of no fewer tokens shares n // SLACK + 1 of them.
 
+    counts: of the ascending tokens in hot, or of all buckets where hot is None.
     Two sets of n and m tokens are linked only if they share 0.75 of either. Then the first k
     tokens that they share are among the first n - ceil(0.75 n) + k of the one, and likewise of
     the other.
     """
     n = len(tokens)
     need = -(-NUMERATOR * n // DENOMINATOR)
-    if len(hot):
+    if hot is None:
+        tokens = tokens[np.argsort(counts[_buckets(tokens)], kind="stable")]
+    elif len(hot):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
         tokens = tokens[np.argsort(np.where(hot[at] == tokens, counts[at], 0), kind="stable")]
     return tokens[: n - need + 1 + n // SLACK]
@@ -104,34 +114,49 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def frequent_tokens(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending tokens that are frequent in a bounded sample of documents, HOT_TOKENS at most, and their counts."""
-    every = max(1, n_docs // SAMPLE_DOCS)
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) if every > 1 else docs
+def token_counts(docs: DataFrame) -> np.ndarray:
+    """By bucket, how often the sets of all documents have a token of it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task sends the buckets that it has seen, a row for each slice; the driver gets 1 << BUCKET_BITS numbers.
+    """
+    width = 1 << SLICE_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << BUCKET_BITS, np.uint32)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(n, _buckets(tokens_of(t.as_py())), np.uint32(1))
+        for k, own in enumerate(n.reshape(-1, width)):
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<u4").tobytes()], pa.binary())], names=["slice", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            t = np.concatenate([np.empty(0, np.uint64), *(tokens_of(x.as_py()) for x in b.column(0))])
-            token, count = np.unique(t, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], names=["token", "n"])
+            for k, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                sums.setdefault(k, np.zeros(width, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+        for k, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(n, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["slice", "n"])
 
-    counts = picked.select(text_of().cast("binary").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") >= SAMPLE_COUNT).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
-    token, n = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
+    slices = docs.select(text_of().cast("binary").alias("text")).mapInArrow(count, "slice int, at binary, n binary").repartition("slice")
+    found = slices.mapInArrow(add, "slice int, n binary").toArrow()
+    counts = np.zeros((1 << BUCKET_BITS - SLICE_BITS, width), np.uint32)
+    for k, n in zip(found["slice"].to_pylist(), found["n"].to_pylist()):
+        counts[k] = np.frombuffer(n, "<u4")
+    return counts.ravel()
 
 
-def _profile(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _profile(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """id, n, two hashes of the set, leading tokens and band keys of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [tokens_of(t.as_py()) for t in b.column(1)]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([leading(s, *shared.value) for s in sets]), _lists([_bands(s) if len(s) else s for s in sets])],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([leading(s, None, shared.value) for s in sets]), _lists([_bands(s) if len(s) else s for s in sets])],
                 names=["id", "n", "key", "leading", "bands"],
             )
 
@@ -187,8 +212,12 @@ def _compare(docs: DataFrame, roles: DataFrame) -> DataFrame:
             kind = batch.schema.field(3).type
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
-    texts = docs.select("doc_id", text_of().cast("binary").alias("text")).join(bounded(asked, BROADCAST_IDS), F.col("doc_id") == F.col("id")).select("id", "text", "roles")
-    rows = texts.mapInArrow(send, f"g {kind}, part long, query int, id {kind}, tokens binary").repartition("g", "part").sortWithinPartitions("g", "part", "query")
+    texts = docs.select("doc_id", text_of().cast("binary").alias("text"))
+    if (asked.agg(F.sum(F.size("roles"))).first()[0] or 0) <= common.FEW_IDS:
+        asked = F.broadcast(asked)
+    else:  # only texts that may have a role are shuffled
+        texts, _ = sifted(texts, "doc_id", asked.select("id"))
+    rows = texts.join(asked, F.col("doc_id") == F.col("id")).select("id", "text", "roles").mapInArrow(send, f"g {kind}, part long, query int, id {kind}, tokens binary").repartition("g", "part").sortWithinPartitions("g", "part", "query")
     return rows.mapInArrow(meet, f"a {kind}, b {kind}")
 
 
@@ -257,23 +286,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    hot = frequent_tokens(known, known.count())
-    rows = stored(_profile(docs.select("doc_id", "text"), hot))
+    rows = stored(_profile(docs.select("doc_id", "text"), token_counts(known)))
     kind = rows.schema["id"].dataType.simpleString()
     least = stored(rows.filter("n > 0 AND id IS NOT NULL").groupBy("key", "n").agg(F.min("id").alias("least")))
-    sets = rows.filter("n > 0").join(bounded(least.select("least"), BROADCAST_IDS), F.col("id") == F.col("least"), "left_semi")
+    wordy = rows.filter("n > 0 AND id IS NOT NULL")
+    copies = stored(wordy.select(F.col("id").alias("copy")).join(least.select("least"), F.col("copy") == F.col("least"), "left_anti").distinct())
+    sets = without(wordy, "id", copies)
 
     near, group = _near(known, sets)
 
     # Tokens that one set has alone can't link: they go before the groups are looked up.
     token = W.partitionBy("token")
-    posts = sets.select(F.explode("leading").alias("token"), "id", "n").withColumns({"lo": F.min("id").over(token), "hi": F.max("id").over(token)}).filter("lo < hi")
-    posts = stored(posts.join(bounded(group, BROADCAST_IDS), "id", "left").select("token", "id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("part", F.lit(0)).alias("part")))
+    posts = sets.select(F.posexplode("leading").alias("at", "token"), "id", "n").withColumn("edge", F.expr(EDGE))
+    posts = posts.withColumns({"lo": F.min("id").over(token), "hi": F.max("id").over(token), "fewest": F.min("n").over(token)}).filter(f"lo < hi AND edge < -{NUMERATOR} * fewest")
+    posts = stored(posts.join(bounded(group, common.FEW_IDS), "id", "left").select("token", "id", "n", "edge", F.coalesce("g", "id").alias("g"), F.coalesce("part", F.lit(0)).alias("part")))
     shared = posts.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token")
     posts = stored(posts.join(shared, "token", "left_semi"))
-    matrix = posts.groupBy("token", "g", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    q = posts.select("token", "id", "n", F.col("g").alias("own"))
+    matrix = posts.groupBy("token", "g", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("edge").alias("there"))
+    q = posts.select("token", "id", "n", "edge", F.col("g").alias("own"))
     fits = (F.col("own") < F.col("g")) & (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("least")) & (DENOMINATOR * F.col("most") >= NUMERATOR * F.col("n"))
+    fits &= (F.col("edge") < -NUMERATOR * F.col("least")) & (F.col("there") < -NUMERATOR * F.col("n"))
     shared = q.join(matrix, "token").filter(fits).groupBy("id", "g", "part").agg(F.count("*").alias("common"), F.min(F.least("n", "least")).alias("fewest"))
     met = stored(shared.filter(F.col("common") > F.floor(F.col("fewest") / SLACK)).select("id", "g", "part", "common"))
 

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from brandloom.llm import attention_lm, divergence, exact_dedup, mixing, near_dup, pieces, quality, substring_dedup, templates, token_files
+from brandloom.llm import attention_lm, common, divergence, exact_dedup, mixing, near_dup, pieces, quality, substring_dedup, templates, token_files
 from brandloom.llm.common import new_folder
 from brandloom.llm.suffix_array import permuted_prefixes, suffix_array
 
@@ -220,6 +220,55 @@ def test_near_duplicates(docs, rows, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_count_all_documents(spark):
+    """No document is left out of the counts, however many there are; a token has its documents' number at least."""
+    texts = [f"one two three four five{' own%d and more words' % k if k % 3 else ''}" for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [near_dup.tokens_of(t.encode()) for t in texts]
+    counts = near_dup.token_counts(docs)
+    assert counts.sum() == sum(map(len, sets))
+    token, n = np.unique(np.concatenate(sets), return_counts=True)
+    assert n.max() == 300 and (counts[near_dup._buckets(token)] >= n).all()
+    assert near_dup.leading(token, None, counts)[0] != token[n.argmax()] and near_dup.token_counts(docs.limit(0)).sum() == 0
+
+
+@pytest.mark.parametrize("rounds", [3, 0])  # without rounds the matrix finds all links
+def test_near_duplicates_at_the_bound(spark, monkeypatch, rounds):
+    """Sets of unlike sizes that reach the bound just so, or fail by one token, in one family."""
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(64)]
+    texts = [" ".join(base[lo:hi]) for lo in range(0, 12, 3) for hi in (40, 44, 48, 52, 56, 60, 64)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(64)] = f"x{r.randrange(40)}"
+        texts.append(" ".join(w[r.randint(0, 8) : 64 - r.randint(0, 8)]))
+    sets = [set(near_dup.tokens_of(t.encode()).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    links = [(a, b) for a in group for b in group if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    if not rounds:
+        monkeypatch.setattr(near_dup, "_near", lambda docs, sets: (spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, g long, part long")))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs).collect()} == dict(enumerate(group))
+
+
+def test_near_duplicates_broadcast_no_lists(spark, docs, rows, none, monkeypatch):
+    """Lists of ids beyond the bound are never broadcast, and the result is the same."""
+    want = {tuple(x) for x in near_dup.near_duplicates(docs).collect()}
+    sent = []
+    monkeypatch.setattr(common, "FEW_IDS", 0)
+    monkeypatch.setattr(common, "FILTER_WORDS", 2)  # most others pass the filter too
+    monkeypatch.setattr(common.F, "broadcast", lambda df, f=common.F.broadcast: sent.append(df.count()) or f(df))
+    assert {tuple(x) for x in near_dup.near_duplicates(docs).collect()} == want
+    assert sent and max(sent) <= 2
+    ids, some = spark.range(0, 90, 3).toDF("gone"), docs.select("doc_id", "text")
+    got = common.without(some, "doc_id", ids).collect()
+    assert Counter(map(tuple, got)) == Counter((r[0], r[1]) for r in rows if r[0] is None or r[0] not in range(0, 90, 3))
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
