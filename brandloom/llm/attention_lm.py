@@ -34,7 +34,9 @@ ROUNDS = 2
 RATE = 0.15
 FLUSH = 300_000  # words a task counts before it hands them on
 BATCH = 64  # windows in a training step
-CHUNK = 4_096  # windows scored together
+CHUNK = 128  # windows scored together: so few that they stay in a core's cache
+READ = 64 * BATCH  # windows that are laid out together
+READ_COLUMNS = ["words", "lengths", "subwords"]
 
 
 def held_out(doc_id: Column, parts: int = 7, left_out: int = 2) -> Column:
@@ -79,6 +81,51 @@ class Lexicon:
         return at, cls, (lengths, flat), list(new)
 
 
+Read = tuple[np.ndarray, np.ndarray, np.ndarray]  # of a text: index of each word (new ones count on from the frequent words), lengths and flat subwords of its new words
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of spans, one span after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def read_texts(lexicon: Lexicon, texts: list[list[bytes]]) -> list[tuple[Read, list[bytes], np.ndarray, np.ndarray]]:
+    """What is read of each text; its new words, how often it has them and their classes."""
+    at, cls, (lengths, flat), new = lexicon.read(texts)
+    starts, base, n, out = np.cumsum(lengths) - lengths, len(lexicon.counts), 0, []
+    for t in texts:
+        x = at[n : n + len(t)]
+        n += len(t)
+        is_new = x >= base
+        rare, where, times = np.unique(x[is_new], return_inverse=True, return_counts=True)
+        x, own = x.copy(), lengths[rare - base]
+        x[is_new] = base + where
+        out.append(((x, own, flat[_spans(starts[rare - base], own)]), [new[k] for k in (rare - base).tolist()], times, cls[rare]))
+    return out
+
+
+def _merged(lexicon: Lexicon, reads: list[Read]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of each word of the texts in a row, classes by index, lengths and flat subwords of the new words of all."""
+    none, base = np.empty(0, np.int64), len(lexicon.counts)
+    at, lengths, flat = (np.concatenate([none, *(r[k] for r in reads)]) for k in range(3))
+    more = np.array([len(r[1]) for r in reads], np.int64)
+    at += np.where(at >= base, np.repeat(np.cumsum(more) - more, [len(r[0]) for r in reads]), 0)
+    return at, np.concatenate([lexicon.word_class, lexicon.of_piece[flat[np.cumsum(lengths) - 1]]]), lengths, flat
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) for x in arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]).astype(np.int32)))
+
+
+def _from_lists(columns: list[pa.Array]) -> list[Read]:
+    split = []
+    for c in columns:
+        ends = c.offsets.to_numpy() - c.offsets[0].as_py()
+        split.append(np.split(c.flatten().to_numpy().astype(np.int64), ends[1:-1]) if len(c) else [])
+    return list(zip(*split))
+
+
 def _means(table: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """Mean embedding of each word."""
     if not len(lengths):
@@ -98,99 +145,140 @@ def fresh(size: int) -> dict[str, np.ndarray]:
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """x: windows of word vectors. Attention, its result and the class logits."""
+def _rows(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
+
+
+def forward(m: dict[str, np.ndarray], x: np.ndarray, lo: int = 0) -> tuple[np.ndarray, ...]:
+    """x: windows of word vectors. Attention, its result and the class logits, from place lo of each window on."""
     x = x + m["P"]
-    q, k, v = x @ m["Q"], x @ m["K"], x @ m["V"]
-    a = q @ k.transpose(0, 2, 1) * np.float32(DIM**-0.5) + _MASK
-    a = np.exp(a - a.max(-1, keepdims=True))
+    n = len(x)
+    kv = (_rows(x) @ np.concatenate([m["K"], m["V"]], axis=1)).reshape(n, WINDOW, 2 * DIM)
+    k, v = kv[..., :DIM], kv[..., DIM:]
+    own = np.ascontiguousarray(x[:, lo:]) if lo else x
+    q = (_rows(own) @ m["Q"]).reshape(own.shape)
+    a = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1)
+    a += _MASK[lo:]
+    a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(-1, keepdims=True)
-    h = x + a @ v
-    return x, q, k, v, a, h, h @ m["O"] + m["b"]
+    h = a @ v
+    h += own
+    z = (_rows(h) @ m["O"]).reshape(*h.shape[:2], CLASSES)
+    z += m["b"]
+    return x, q, k, v, a, h, z
+
+
+def _summed(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of at, ascending, and the sum of the rows of values at each."""
+    order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")
+    at = at[order]
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[begin], np.add.reduceat(values[order], begin, axis=0)
 
 
 def step(m: dict[str, np.ndarray], seen: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, real: np.ndarray, lengths: np.ndarray, flat: np.ndarray, place: np.ndarray) -> None:
     """One Adagrad step. place: which word (of lengths, flat) stands at each position of x."""
-    xp, q, k, v, a, h, z = forward(m, x)
-    p = np.exp(z - z.max(-1, keepdims=True))
+    xp, q, k, v, a, h, p = forward(m, x)
+    p = _rows(p)
+    p -= p.max(-1, keepdims=True)
+    np.exp(p, out=p)
     p /= p.sum(-1, keepdims=True)
-    np.put_along_axis(p, target[..., None], np.take_along_axis(p, target[..., None], -1) - 1, -1)
-    dz = p * (real[..., None] / max(1, real.sum())).astype(np.float32)
-    dh = dz @ m["O"].T
+    p[np.arange(len(p)), target.ravel()] -= 1
+    p *= (real.ravel()[:, None] / max(1, real.sum())).astype(np.float32)
+    dh2 = p @ m["O"].T
+    dh = dh2.reshape(h.shape)
     da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-    dx = dh + dq @ m["Q"].T + dk @ m["K"].T + dv @ m["V"].T
-
-    def rows(t: np.ndarray) -> np.ndarray:
-        return t.reshape(-1, t.shape[-1])
-
-    grads = {"O": rows(h).T @ rows(dz), "b": rows(dz).sum(0, keepdims=True), "P": dx.sum(0), "Q": rows(xp).T @ rows(dq), "K": rows(xp).T @ rows(dk), "V": rows(xp).T @ rows(dv)}
+    da -= (dh * (h - xp)).sum(-1, keepdims=True)  # h - xp is a @ v, so this is (da * a).sum(-1)
+    da *= a
+    da *= np.float32(DIM**-0.5)
+    dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
+    d, xr = np.concatenate([_rows(dq), _rows(dk), _rows(dv)], axis=1), _rows(xp)
+    dx = dh2 + d @ np.concatenate([m["Q"], m["K"], m["V"]], axis=1).T
+    into = xr.T @ d
+    grads = {"O": _rows(h).T @ p, "b": p.sum(0, keepdims=True), "P": dx.reshape(x.shape).sum(0), "Q": into[:, :DIM], "K": into[:, DIM : 2 * DIM], "V": into[:, 2 * DIM :]}
     for name, g in grads.items():
         seen[name] += g * g
         m[name] -= RATE * g / np.sqrt(seen[name] + 1e-8)
     word = np.zeros((len(lengths), DIM), np.float32)
-    np.add.at(word, place.ravel(), rows(dx))
-    piece, where = np.unique(flat, return_inverse=True)
-    g = np.zeros((len(piece), DIM), np.float32)
-    np.add.at(g, where, np.repeat(word / lengths[:, None].astype(np.float32), lengths, axis=0))
-    seen["E"][piece] += g * g
-    m["E"][piece] -= RATE * g / np.sqrt(seen["E"][piece] + 1e-8)
+    at, sums = _summed(dx, place.ravel())
+    word[at] = sums
+    word /= lengths[:, None].astype(np.float32)
+    piece, g = _summed(np.repeat(word, lengths, axis=0), flat)
+    own = seen["E"][piece] + g * g
+    seen["E"][piece] = own
+    m["E"][piece] -= RATE * g / np.sqrt(own + 1e-8)
 
 
 def train_on(m: dict[str, np.ndarray], lexicon: Lexicon, texts: Iterator[bytes]) -> tuple[np.ndarray, int]:
+    return train_on_reads(m, lexicon, (read_texts(lexicon, [words_in(t)])[0][0] for t in texts))
+
+
+def train_on_reads(m: dict[str, np.ndarray], lexicon: Lexicon, reads: Iterator[Read]) -> tuple[np.ndarray, int]:
     """Train in place on consecutive windows that cover all words of each text and its end. Rows of E touched, windows."""
     seen = {k: np.zeros_like(v) for k, v in m.items()}
-    touched, windows, batch = np.zeros(lexicon.size + 1, bool), 0, []
+    touched, windows = np.zeros(lexicon.size + 1, bool), 0
 
-    def learn() -> None:
+    def learn(texts: list[tuple[Read, bool]], end: bool) -> list[tuple[Read, bool]]:
+        """Steps on all full batches, and on the rest at the end; else gives the texts of the rest, from there on.
+
+        A text that has its begin has an input and a target more than words; of one without, the first word is an input only."""
         nonlocal windows
-        texts = [w for w, _, _ in batch]
-        at, cls, (new_lengths, new_flat), _ = lexicon.read(texts)
-        cls = cls[at]
-        base = len(lexicon.counts)
-        used, place = np.unique(at, return_inverse=True)
-        starts = np.cumsum(lexicon.lengths) - lexicon.lengths
-        new_starts = np.cumsum(new_lengths) - new_lengths
-        spans = [lexicon.flat[starts[i] : starts[i] + lexicon.lengths[i]] if i < base else new_flat[new_starts[i - base] : new_starts[i - base] + new_lengths[i - base]] for i in used]
-        lengths = np.array([1, *map(len, spans)], np.int64)  # word 0 is the begin of a text and padding
-        flat = np.concatenate([np.array([lexicon.size]), *spans])
-        where = np.zeros((len(batch), WINDOW), np.int64)
-        target = np.zeros((len(batch), WINDOW), np.int64)
-        real = np.zeros((len(batch), WINDOW), bool)
-        n = 0
-        for r, (w, begins, ends) in enumerate(batch):
-            own, c = place[n : n + len(w)] + 1, cls[n : n + len(w)]
-            n += len(w)
-            inputs = np.concatenate([[0], own]) if begins else own
-            targets = np.concatenate([c if begins else c[1:], [END]]) if ends else (c if begins else c[1:])
-            size = min(WINDOW, len(inputs), len(targets))
-            where[r, :size], target[r, :size], real[r, :size] = inputs[:size], targets[:size], True
-        step(m, seen, _means(m["E"], lengths, flat)[where], target, real, lengths, flat, where)
-        touched[flat] = True
-        windows += len(batch)
-        batch.clear()
-
-    for text in texts:
-        words = words_in(text)
-        for begin in range(0, len(words) + 1, WINDOW):
-            part = words[max(0, begin - 1) : begin + WINDOW]
-            batch.append((part, begin == 0, begin + WINDOW > len(words)))
-            if len(batch) == BATCH:
-                learn()
-    if batch:
-        learn()
+        begins = np.array([b for _, b in texts])
+        words = np.array([len(r[0]) for r, _ in texts], np.int64)
+        at, cls, new_lengths, new_flat = _merged(lexicon, [r for r, _ in texts])
+        lengths = np.concatenate([[1], lexicon.lengths, new_lengths])  # word 0 is the begin of a text and padding
+        flat = np.concatenate([[lexicon.size], lexicon.flat, new_flat])
+        starts = np.cumsum(lengths) - lengths
+        size = words + begins
+        first = np.cumsum(size) - size
+        inputs, targets = np.zeros(size.sum(), np.int64), np.full(size.sum(), END)
+        is_word, goes_on, aimed = np.ones(len(inputs), bool), np.ones(len(inputs), bool), np.ones(len(at), bool)
+        is_word[first[begins]] = False
+        inputs[is_word] = at + 1
+        goes_on[first + size - 1] = False
+        aimed[(np.cumsum(words) - words)[~begins]] = False
+        targets[goes_on] = cls[at[aimed]]
+        n = -(-size // WINDOW)
+        text = np.repeat(np.arange(len(texts)), n)
+        begin = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+        stop = len(text) if end else len(text) // BATCH * BATCH
+        for lo in range(0, stop, BATCH):
+            t = text[lo : min(stop, lo + BATCH)]
+            pos = begin[lo : lo + len(t), None] + np.arange(WINDOW)
+            real = pos < size[t][:, None]
+            pos = first[t][:, None] + np.minimum(pos, size[t][:, None] - 1)
+            used, place = np.unique(np.concatenate([[0], np.where(real, inputs[pos], 0).ravel()]), return_inverse=True)
+            place, own = place[1:].reshape(real.shape), lengths[used]
+            pieces = flat[_spans(starts[used], own)]
+            step(m, seen, _means(m["E"], own, pieces)[place], np.where(real, targets[pos], 0), real, own, pieces, place)
+            touched[pieces] = True
+            windows += len(t)
+        if stop == len(text):
+            return []
+        t, b = text[stop], begin[stop]
+        (own, *new), whole = texts[t]
+        return [((own[max(0, b - whole) :], *new), whole and b == 0), *texts[t + 1 :]]
+
+    waiting, n = [], 0
+    for r in reads:
+        waiting.append((r, True))
+        n += len(r[0]) // WINDOW + 1
+        if n >= READ:
+            waiting = learn(waiting, False)
+            n = sum(-(-(len(r[0]) + b) // WINDOW) for r, b in waiting)
+    if waiting:
+        learn(waiting, True)
     return np.flatnonzero(touched), windows
 
 
-def score_all(m: dict[str, np.ndarray], lexicon: Lexicon, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """log10 probability of each text's classes; then the words' indices in a row, the classes by index and
-    the words beyond the frequent ones."""
-    at, cls, (lengths, flat), new = lexicon.read(texts)
+def score_all(m: dict[str, np.ndarray], lexicon: Lexicon, reads: list[Read]) -> np.ndarray:
+    """log10 probability of each text's classes."""
+    at, cls, lengths, flat = _merged(lexicon, reads)
     table = np.concatenate([m["E"][lexicon.size][None], lexicon.means, _means(m["E"], lengths, flat)])
-    sizes = np.array([len(t) for t in texts], np.int64)
+    sizes = np.array([len(r[0]) for r in reads], np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1  # where a text's inputs begin, with the begin mark
-    inputs = np.zeros(int(sizes.sum() + len(texts)), np.int64)
+    inputs = np.zeros(int(sizes.sum() + len(reads)), np.int64)
     target = np.zeros_like(inputs)
     is_word = np.ones(len(inputs), bool)
     is_word[first] = False
@@ -202,19 +290,23 @@ def score_all(m: dict[str, np.ndarray], lexicon: Lexicon, texts: list[list[bytes
     out = np.zeros(len(inputs))
     # windows of a text begin every STRIDE tokens; all but the first score their second half
     n_windows = 1 + np.maximum(0, -(-(sizes + 1 - WINDOW) // STRIDE))
-    text = np.repeat(np.arange(len(texts)), n_windows)
+    text = np.repeat(np.arange(len(reads)), n_windows)
     begin = (np.arange(len(text)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * STRIDE
-    for c in range(0, len(text), CHUNK):
-        t, b = text[c : c + CHUNK], begin[c : c + CHUNK]
-        pos = b[:, None] + np.arange(WINDOW)
-        real = pos <= sizes[t][:, None]
-        flat_pos = first[t][:, None] + np.minimum(pos, sizes[t][:, None])
-        z = forward(m, table[inputs[flat_pos]])[-1]
-        fresh_here = real & ((b == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
-        z, where = z[fresh_here], flat_pos[fresh_here]
-        top = z.max(-1)
-        out[where] += (z[np.arange(len(z)), target[where]] - top - np.log(np.exp(z - top[:, None]).sum(-1))) / np.log(10)
-    return np.add.reduceat(out, first) if len(texts) else np.empty(0), at, cls, new
+    for lo, some in ((0, np.flatnonzero(begin == 0)), (WINDOW - STRIDE, np.flatnonzero(begin))):
+        for c in range(0, len(some), CHUNK):
+            t, b = text[some[c : c + CHUNK]], begin[some[c : c + CHUNK]]
+            pos = b[:, None] + np.arange(WINDOW)
+            real = pos <= sizes[t][:, None]
+            flat_pos = first[t][:, None] + np.minimum(pos, sizes[t][:, None])
+            z = _rows(forward(m, table[inputs[flat_pos]], lo)[-1])
+            where = flat_pos[:, lo:].ravel()
+            z -= z.max(-1, keepdims=True)
+            own = z[np.arange(len(z)), target[where]]
+            np.exp(z, out=z)
+            own = (own - np.log(z.sum(-1))) / np.log(10)
+            fresh_here = real[:, lo:].ravel()
+            out[where[fresh_here]] = own[fresh_here]
+    return np.add.reduceat(out, first) if len(reads) else np.empty(0)
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -288,47 +380,53 @@ def scores(docs: DataFrame, model_path: str) -> DataFrame:
     unseen = np.minimum(unseen, np.where(in_class > 0, 0.95, 1.0))  # what a class leaves to unseen words
     of_one = (1 - unseen) / np.maximum(1, in_class)  # what it gives a word for each time it occurs
 
-    weights = fresh(size)
-    for _ in range(ROUNDS):
-        weights = _round(spark, rows, lexicon, weights)
-    shared = spark.sparkContext.broadcast(weights)
     base_of_known = np.log10((known + 1) / floor)
     base_end = float(np.log10((ends + 1) / floor))
     known_base = spark.sparkContext.broadcast(base_of_known)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    plain = f"_row long, doc_id {kind}, held_out boolean, n_tokens long, n_often long, base double, "
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, m, part, k = lexicon(), shared.value, TaskContext.get().partitionId(), 0
-        lex.means = _means(m["E"], lex.lengths, lex.flat)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, part, k = lexicon(), TaskContext.get().partitionId(), 0
         base = known_base.value
         within = np.log10(np.maximum(of_one[lex.word_class] * lex.counts, 1e-300))
+        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("cls", pa.int64())]))
         for b in batches:
             texts, ids, outs = b.column(2), b.column(0), b.column(1)
             for lo in range(0, b.num_rows, 200):
-                own = [words_in(t.as_py()) for t in texts[lo : lo + 200]]
-                score, at, cls, new = score_all(m, lex, own)
-                n, found = 0, []
-                for j, w in enumerate(own):
-                    x = at[n : n + len(w)]
-                    n += len(w)
-                    often = x[x < len(base)]
-                    score[j] += within[often].sum()
-                    rare, times = np.unique(x[x >= len(base)], return_counts=True)
-                    found.append((len(often), float(base[often].sum()), [{"word": new[r - len(base)], "n": c, "cls": int(cls[r])} for r, c in zip(rare.tolist(), times.tolist())]))
-                rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("cls", pa.int64())]))
+                own = read_texts(lex, [words_in(t.as_py()) for t in texts[lo : lo + 200]])
+                often = [x[x < len(base)] for (x, _, _), *_ in own]
+                rare = [[{"word": w, "n": n, "cls": c} for w, n, c in zip(new, times.tolist(), cls.tolist())] for _, new, times, cls in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << 36) + k + j for j in range(len(own))]), ids[lo : lo + 200], outs[lo : lo + 200], pa.array([len(w) + 1 for w in own], pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64()), pa.array(score, pa.float64()), pa.array([x[2] for x in found], rare_type)],
-                    names=["_row", "doc_id", "held_out", "n_tokens", "n_often", "base", "score", "rare"],
+                    [pa.array([(part << 36) + k + j for j in range(len(own))]), ids[lo : lo + 200], outs[lo : lo + 200], pa.array([len(r[0]) + 1 for r, *_ in own], pa.int64()), pa.array([len(x) for x in often], pa.int64()), pa.array([float(base[x].sum()) for x in often], pa.float64()), pa.array([float(within[x].sum()) for x in often], pa.float64())]
+                    + [_lists([r[j] for r, *_ in own]) for j in range(3)] + [pa.array(rare, rare_type)],
+                    names=["_row", "doc_id", "held_out", "n_tokens", "n_often", "base", "within", *READ_COLUMNS, "rare"],
                 )
                 k += len(own)
 
-    read = stored(rows.mapInArrow(run, f"_row long, doc_id {kind}, held_out boolean, n_tokens long, n_often long, base double, score double, rare array<struct<word:binary,n:long,cls:long>>"))
+    # Words are looked up and cut into subwords once, for the rounds and the scores.
+    texts = stored(rows.mapInArrow(read, plain + "within double, words array<int>, lengths array<int>, subwords array<int>, rare array<struct<word:binary,n:long,cls:long>>"))
+    weights = fresh(size)
+    for _ in range(ROUNDS):
+        weights = _round(spark, texts, lexicon, weights)
+    shared = spark.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, m = lexicon(), shared.value
+        lex.means = _means(m["E"], lex.lengths, lex.flat)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                b = batch.slice(lo, 200)
+                score = score_all(m, lex, _from_lists(b.columns[7:])) + b.column(6).to_numpy()
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(score, pa.float64())], names=[*b.schema.names[:6], "score"])
+
+    scored = texts.drop("rare").mapInArrow(run, plain + "score double")
     # Words beyond the frequent ones are joined by word: none of them is hot.
-    rare = read.select("_row", F.explode("rare").alias("x")).select("_row", "x.word", "x.n", "x.cls").join(counts, "word", "left")
+    rare = texts.select("_row", F.explode("rare").alias("x")).select("_row", "x.word", "x.n", "x.cls").join(counts, "word", "left")
     by_class = [F.get(F.array(*(F.lit(float(v)) for v in values)), F.col("cls").cast("int")) for values in (of_one, unseen)]
     share = F.log10(F.when(F.col("c").isNotNull(), F.col("c") * by_class[0]).otherwise(by_class[1]))
     rare = rare.groupBy("_row").agg(F.sum(F.col("n") * share).alias("more_score"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(floor)))).alias("more_base"))
-    out = read.drop("rare").join(rare, "_row", "left")
+    out = scored.join(rare, "_row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_often") + F.coalesce("more", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + F.lit(base_end)).alias("base_score"),
@@ -336,20 +434,20 @@ def scores(docs: DataFrame, model_path: str) -> DataFrame:
     )
 
 
-def _round(spark, rows: DataFrame, lexicon, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _round(spark, texts: DataFrame, lexicon, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Every task trains on its training texts from the same weights; rows are averaged by windows."""
     shared = spark.sparkContext.broadcast(weights)
     names = list(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = {k: v.copy() for k, v in shared.value.items()}
-        touched, windows = train_on(m, lexicon(), (t.as_py() for b in batches for t in b.column(0)))
+        touched, windows = train_on_reads(m, lexicon(), (r for b in batches for r in _from_lists(b.columns)))
         if windows:
             for j, name in enumerate(names):
                 at = touched if name == "E" else np.arange(len(m[name]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), j)), pa.array(at), pa.array(np.full(len(at), float(windows))), pa.array([r.astype(np.float64) * windows for r in m[name][at]], pa.list_(pa.float64()))], names=["part", "row", "n", "sums"])
 
-    out = rows.filter("NOT _out").select("_text").mapInArrow(run, "part long, row long, n double, sums array<double>")
+    out = texts.filter("NOT held_out").select(*READ_COLUMNS).mapInArrow(run, "part long, row long, n double, sums array<double>")
     flat = out.select("part", "row", "n", F.posexplode("sums").alias("col", "x")).groupBy("part", "row", "col").agg((F.sum("x") / F.sum("n")).alias("x"))
     found = flat.toArrow()
     new = {k: v.copy() for k, v in weights.items()}
