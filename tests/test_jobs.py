@@ -461,3 +461,28 @@ def test_overview_counts_children_in_one_aggregation(spark):
     assert {(r.n_documents, r.n_rules, r.n_briefs, r.n_gsc, r.n_drafts, r.n_runs) for r in o.collect()} == {(3, 4, 5, 0, 2, 1)}
     plan = o._jdf.queryExecution().analyzed().toString()
     assert plan.count("Join LeftOuter") <= 4  # not one for each child
+
+
+def test_similar_pairs_gather_only_sets_within_reach(spark, monkeypatch):
+    """Pairs of few items against many sets equal brute force, and sets that can't resemble any are not gathered."""
+    rnd = random.Random(9)
+    words = [f"w{i:03d}" for i in range(40)]
+    items = [(i, sorted(rnd.sample(words[:20], rnd.randint(2, 6)))) for i in range(30)] + [(98, []), (99, None)]
+    docs = [(i, sorted(rnd.sample(words, rnd.randint(1, 9)))) for i in range(300)] + [(400, []), (401, None), (402, ["w001", "w002"]), (403, ["w001", "w002"])]
+    docs += [(1_000 + i, [f"far{i}", f"off{i}", "w001"]) for i in range(500)]
+    seen = []
+    monkeypatch.setattr(questions, "prepared", lambda sets, *a, f=questions.prepared: seen.append(sets.count()) or f(sets, *a))
+    a, b = (spark.createDataFrame(x, "id int, ws array<string>") for x in (items, docs))
+    sides = []
+    for rows in (items, docs):
+        by = {}
+        for i, w in rows:
+            if w:
+                by.setdefault(tuple(w), []).append(i)
+        sides.append({w: (min(v), len(v)) for w, v in by.items()})
+    j = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(x[0], y[0], x[1], y[1], round(j(w, v), 9)) for w, x in sides[0].items() for v, y in sides[1].items() if j(w, v) >= 0.4}
+    got = questions.similar_pairs(a, "id", "ws", 0.4, against=b).collect()
+    assert {(r.id_a, r.id_b, r.copies_a, r.copies_b, round(r.similarity, 9)) for r in got} == want and len(got) == len(want)
+    assert seen[0] < len(sides[0]) + 250
+    assert questions.similar_pairs(a.limit(0), "id", "ws", 0.4, against=b).collect() == []
