@@ -311,6 +311,32 @@ def test_attention_trains_on_all_words(monkeypatch):
     assert {i for x in own.pieces([b"w%d" % k for k in range(70)]) for i in x} <= set(touched.tolist())
 
 
+def test_attention_reads_texts_once(monkeypatch):
+    """Texts that are read apart give the steps that they give together, wherever a text is cut between layouts; scores hang on no slices."""
+    with open(PIECES, "rb") as f:
+        own = attention_lm.Lexicon(f.read(), [b"w%d" % k for k in range(50)], np.ones(50))
+    r, w = random.Random(3), attention_lm.WINDOW
+    texts = [[b"w%d" % r.randrange(90) for _ in range(n)] for n in (0, 3, w, 70 * w + 5, w - 1, 140 * w, 64 * w - 1, 9)]
+    reads = [x[0] for x in attention_lm.read_texts(own, texts)]
+    for (at, lengths, flat), t in zip(reads, texts):
+        new = list(dict.fromkeys(x for x in t if x not in own.index))
+        assert len(at) == len(t) and sorted(lengths.tolist()) == sorted(map(len, own.pieces(new))) and (at < 50).tolist() == [x in own.index for x in t]
+        places = np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
+        assert [places[k - 50].tolist() for k in at if k >= 50] == [own.pieces([x])[0] for x in t if x not in own.index]
+    got = []
+    for size in (1, 65, 10_000):
+        monkeypatch.setattr(attention_lm, "READ", size)
+        m = attention_lm.fresh(own.size)
+        got.append((m, *attention_lm.train_on_reads(m, own, iter(reads))))
+    for m, touched, windows in got:
+        assert windows == sum(len(t) // w + 1 for t in texts) and touched.tolist() == got[0][1].tolist()
+        assert all(np.allclose(m[k], got[0][0][k], atol=1e-4) for k in m)
+    own.means = attention_lm._means(m["E"], own.lengths, own.flat)
+    whole = attention_lm.score_all(m, own, reads)
+    monkeypatch.setattr(attention_lm, "CHUNK", 3)
+    assert np.allclose(whole, np.concatenate([attention_lm.score_all(m, own, [x]) for x in reads]), rtol=1e-5)
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
